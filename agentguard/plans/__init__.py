@@ -1,0 +1,23 @@
+"""Registered queries: importing the modules fills the registry."""
+
+from __future__ import annotations
+
+import functools
+
+from agentguard.plans import detection  # noqa: F401
+from agentguard.plans.base import REGISTRY
+from agentguard.session import SESSION_CONF
+
+__all__ = ["REGISTRY", "prepare"]
+
+
+def prepare(run):
+    """Run a query in a session whose result-changing settings are fixed."""
+
+    @functools.wraps(run)
+    def wrapped(spark, sf):
+        for key, value in SESSION_CONF.items():
+            spark.conf.set(key, value)
+        return run(spark, sf)
+
+    return wrapped

@@ -11,9 +11,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rule packs build thousands of column objects: skip the call-site capture for each.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+#: Settings that only a new session takes. Rule packs build thousands of column objects:
+#: skip the call-site capture for each.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(app: str = "agentguard", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,7 +22,7 @@ def build_session(app: str = "agentguard", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_CONF, **conf}.items():
+    for key, value in {**SESSION_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
