@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import ipaddress
+import operator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agentguard.functions.expr import let
+
 # Host of a URL by its text: lenient where java.net.URI rejects the whole URL.
 HOST_PATTERN = r"(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 USERINFO_PATTERN = r"(?i)^[a-z][a-z0-9+.\-]*://[^/?#]*@"
@@ -46,10 +50,7 @@ def match_domain(domain: Column, pattern: Column) -> Column:
 
 def ipv4_to_long(ip: Column) -> Column:
     """Dotted address as a number; NULL for anything else."""
-    parts = F.split(ip, r"\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + parts[i].cast("long")
+    value = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda acc, p: acc * 256 + p.cast("long"))
     return F.when(ip.rlike(IPV4_PATTERN), value)
 
 
@@ -66,23 +67,23 @@ def cidr_range(cidr: str) -> tuple[int, int]:
 
 def in_any_cidr(addr: Column, cidrs) -> Column:
     """Address number inside one of a fixed list of networks."""
-    cond = F.lit(False)
-    for cidr in cidrs:
-        lo, hi = cidr_range(cidr)
-        cond = cond | addr.between(lo, hi)
-    return cond
+    ranges = [cidr_range(c) for c in cidrs]
+    return let(addr, lambda a: functools.reduce(operator.or_, [a.between(lo, hi) for lo, hi in ranges]))
 
 
 def egress_url_problem(url: Column) -> Column:
     """Why an outgoing webhook URL is refused, or NULL when it is fine."""
-    host = F.lower(extract_domain(url))
-    addr = ipv4_to_long(host)
-    internal = in_any_cidr(addr, ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "224.0.0.0/24"))
-    internal_v6 = host.rlike(r"^(?:[0:]*:0*1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff02:.*)\z")
-    return (
-        F.when(~F.startswith(url, F.lit("https://")), F.lit("must use https"))
-        .when(host == "", F.lit("no host"))
-        .when(host.isin("localhost", "ip6-localhost", "ip6-loopback"), F.lit("localhost"))
-        .when(host == "169.254.169.254", F.lit("metadata endpoint"))
-        .when(F.coalesce(internal, F.lit(False)) | internal_v6, F.lit("internal address"))
-    )
+
+    def judge(f: Column) -> Column:
+        internal = in_any_cidr(f["addr"], ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "224.0.0.0/24"))
+        internal_v6 = f["host"].rlike(r"^(?:[0:]*:0*1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff02:.*)\z")
+        return (
+            F.when(~F.startswith(url, F.lit("https://")), F.lit("must use https"))
+            .when(f["host"] == "", F.lit("no host"))
+            .when(f["host"].isin("localhost", "ip6-localhost", "ip6-loopback"), F.lit("localhost"))
+            .when(f["host"] == "169.254.169.254", F.lit("metadata endpoint"))
+            .when(F.coalesce(internal, F.lit(False)) | internal_v6, F.lit("internal address"))
+        )
+
+    host = let(F.lower(url_host(url)), lambda h: F.when(h == "", F.lower(extract_domain(url))).otherwise(h))
+    return let(host, lambda h: let(F.struct(h.alias("host"), ipv4_to_long(h).alias("addr")), judge))

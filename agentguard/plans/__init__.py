@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from agentguard.plans import detection  # noqa: F401
+from agentguard.plans import detection, policies  # noqa: F401
 from agentguard.plans.base import REGISTRY
 from agentguard.session import SESSION_CONF
 
