@@ -217,7 +217,7 @@ def evaluate_responses(df: DataFrame, policy: Policy, body: str = "body", method
     df = df.withColumn("__sec", sec_found)
     redacting = bool(sec_rules) and policy.secrets_scan.action == "redact"
     nothing = F.struct(work.alias("text"), F.array().cast(redact.NOTHING).alias("found"))
-    redacted = redact.redact_secrets(work, views.fold, sec_rules) if redacting else nothing
+    redacted = redact.redact_secrets(views.name("raw"), views.name("fold"), sec_rules) if redacting else nothing
     df = df.withColumn("__work", F.when(F.col("__sec").isNotNull(), redacted).otherwise(nothing) if redacting else nothing)
 
     # The second scanner reads the text the first one left.
@@ -233,7 +233,7 @@ def evaluate_responses(df: DataFrame, policy: Policy, body: str = "body", method
     pii_redacting = bool(pii_rules) and policy.pii_scan.action == "redact"
     kept = F.struct(F.col("__work.text").alias("text"), F.array().cast(redact.NOTHING).alias("found"))
     if pii_redacting:
-        clean = redact.redact_pii(F.col("__work.text"), F.col("__u_fold"), pii_rules)
+        clean = redact.redact_pii("__work.text", "__u_fold", pii_rules)
         kept = F.when(F.col("__pii").isNotNull(), clean).otherwise(kept)
     df = df.withColumn("__final", kept)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from agentguard.functions import text as tx
 from agentguard.functions.entropy import byte_entropies
 from agentguard.functions.jsonfuncs import flatten_json_strings
-from agentguard.operators.scan import TextViews, fires, no_result, scan_result
+from agentguard.functions.expr import sql_str
+from agentguard.operators.scan import TextViews, coalesce_sql, finding_sql, fires_sql, no_result, rule_stage
 from agentguard.rules import injection, malware
 
 BLOBS = "array<string>"
@@ -32,96 +33,83 @@ def decoded(blob: Column) -> Column:
     return F.try_to_binary(blob, F.lit("base64"))
 
 
-def magic_name(data: Column) -> Column:
-    """Name of the executable format by its first bytes, or NULL; at least four bytes are needed."""
-    head = F.hex(F.substring(data, 1, 24))
-    out = F.when(F.octet_length(data) < 4, F.lit(None).cast("string"))
-    for name, magic in malware.MAGICS:
-        out = out.when(F.startswith(head, F.lit(magic)), F.lit(name))
-    return out
+def magic_sql(data: str) -> str:
+    """Name of the executable format by its first bytes, as SQL text; NULL when there is none."""
+    head = f"hex(substring({data}, 1, 24))"
+    cases = " ".join(f"WHEN startswith({head}, '{magic}') THEN {sql_str(name)}" for name, magic in malware.MAGICS)
+    return f"CASE WHEN octet_length({data}) < 4 THEN NULL {cases} END"
 
 
-def le_u32(data: Column, offset: Column) -> Column:
+def le_u32_sql(data: str, offset: str) -> str:
     """Little-endian unsigned number of four bytes; `offset` counts from 1."""
-    pairs = F.regexp_extract_all(F.hex(F.substr(data, offset, F.lit(4))), F.lit(".."), F.lit(0))
-    return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("long")
+    pairs = f"regexp_extract_all(hex(substring({data}, {offset}, 4)), '..', 0)"
+    return f"cast(conv(array_join(reverse({pairs}), ''), 16, 10) AS bigint)"
 
 
-def archive_bomb(data: Column) -> Column:
+def archive_bomb_sql(data: str) -> str:
     """Struct (rule_id, ratio) for a ZIP or GZIP header that promises over 100:1, or NULL."""
-    size = F.octet_length(data)
-    packed, unpacked = le_u32(data, F.lit(19)), le_u32(data, F.lit(23))
-    zip_ratio = F.when((packed > 0) & (unpacked > 0), unpacked / packed)
-    original = le_u32(data, size - 3)
-    gzip_ratio = F.when(original > 0, original / size)
-    head = F.hex(F.substring(data, 1, 4))
+    packed, unpacked = le_u32_sql(data, "19"), le_u32_sql(data, "23")
+    size, head = f"octet_length({data})", f"hex(substring({data}, 1, 4))"
+    original = le_u32_sql(data, f"{size} - 3")
 
-    def bomb(rule_id, ratio):
-        return F.struct(F.lit(rule_id).alias("rule_id"), ratio.alias("ratio"))
+    def branch(magic, rule_id, cond, ratio):
+        return f"WHEN startswith({head}, '{magic}') AND {cond} AND {ratio} > {malware.BOMB_RATIO} THEN named_struct('rule_id', '{rule_id}', 'ratio', {ratio})"
 
     return (
-        F.when(size < 30, F.lit(None))
-        .when(F.startswith(head, F.lit(malware.ZIP_MAGIC)) & (zip_ratio > malware.BOMB_RATIO), bomb("zip_bomb", zip_ratio))
-        .when(F.startswith(head, F.lit(malware.GZIP_MAGIC)) & (gzip_ratio > malware.BOMB_RATIO), bomb("gzip_bomb", gzip_ratio))
+        f"CASE WHEN {size} < 30 THEN NULL "
+        + branch(malware.ZIP_MAGIC, "zip_bomb", f"{packed} > 0 AND {unpacked} > 0", f"{unpacked} / nullif({packed}, 0)") + " "
+        + branch(malware.GZIP_MAGIC, "gzip_bomb", f"{original} > 0", f"{original} / {size}") + " END"
     )
 
 
-def _rule_stage(rule, cond: Column) -> Column:
+def _rule_branch(rule, cond: str) -> str:
     what = f"{rule.name} detected" if rule.rule_id == "script_detection" else f"signature match — {rule.name}"
-    return F.when(cond, scan_result("malware", rule.rule_id, f"malware_scan: {what}", rule.name))
+    return rule_stage(rule, cond, f"malware_scan: {what}", rule.name)
 
 
 def text_finding(views: TextViews, checks=malware.CHECKS) -> Column:
     """First script or signature rule that fires on the text itself, or NULL."""
     rules = [r for r in malware.PACK if ("script_detection" if r.rule_id == "script_detection" else "signatures") in checks]
-    return F.coalesce(no_result(), *[_rule_stage(r, fires(r, views)) for r in rules])
+    return F.expr(coalesce_sql(_rule_branch(r, fires_sql(r, views)) for r in rules)) if rules else no_result()
 
 
-def blob_finding(blob: Column, data: Column, entropy: Column, checks=malware.CHECKS,
-                 threshold: float = malware.ENTROPY_THRESHOLD, max_size: int = malware.MAX_DECODED_SIZE) -> Column:
-    """First finding on one decoded blob, or NULL."""
+def blob_finding_sql(b: str, checks=malware.CHECKS, threshold: float = malware.ENTROPY_THRESHOLD,
+                     max_size: int = malware.MAX_DECODED_SIZE) -> str:
+    """First finding on one blob: a struct (blob, data, entropy, text, low) named `b`."""
+    data, size = f"{b}.data", f"octet_length({b}.data)"
 
     def plain(rule_id, text):
-        return scan_result("malware", rule_id, f"malware_scan: {text}", "")
+        return finding_sql("malware", rule_id, sql_str(f"malware_scan: {text}"), "''")
 
-    size = F.octet_length(data)
     stages = [
-        F.when(F.octet_length(blob) > 2 * max_size, plain("blob_size", "base64 blob exceeds max decoded size")),
-        F.when(size > max_size, plain("decoded_size", "decoded content exceeds max size")),
+        f"CASE WHEN octet_length({b}.blob) > {2 * max_size} THEN {plain('blob_size', 'base64 blob exceeds max decoded size')} END",
+        f"CASE WHEN {size} > {max_size} THEN {plain('decoded_size', 'decoded content exceeds max size')} END",
     ]
     if "magic_bytes" in checks:
-        name = magic_name(data)
-        stages.append(F.when(name.isNotNull(), scan_result(
-            "malware", "executable_magic",
-            F.concat(F.lit("malware_scan: executable content detected — "), name, F.lit(" (magic bytes match)")), name)))
+        found = finding_sql("malware", "executable_magic", "concat('malware_scan: executable content detected — ', m, ' (magic bytes match)')", "m")
+        stages.append(f"transform(array({magic_sql(data)}), m -> CASE WHEN m IS NOT NULL THEN {found} END)[0]")
     if "entropy" in checks:
-        shown, limit = F.format_string("%.2f", entropy), f"{threshold:.2f}"
-        stages.append(F.when((entropy > threshold) & (size > malware.ENTROPY_MIN_BYTES), scan_result(
-            "malware", "high_entropy",
-            F.concat(F.lit("malware_scan: high-entropy blob detected (entropy: "), shown, F.lit(f" > threshold: {limit})")),
-            "", "medium", F.create_map(F.lit("entropy"), shown, F.lit("threshold"), F.lit(limit)))))
+        shown, limit = f"format_string('%.2f', {b}.entropy)", f"{threshold:.2f}"
+        found = finding_sql(
+            "malware", "high_entropy", f"concat('malware_scan: high-entropy blob detected (entropy: ', {shown}, ' > threshold: {limit})')",
+            "''", "medium", f"map('entropy', {shown}, 'threshold', '{limit}')")
+        stages.append(f"CASE WHEN {b}.entropy > {threshold} AND {size} > {malware.ENTROPY_MIN_BYTES} THEN {found} END")
     if "archive_safety" in checks:
-        bomb = archive_bomb(data)
-        kind = F.when(bomb["rule_id"] == "zip_bomb", "zip").otherwise("gzip")
-        stages.append(F.when(bomb.isNotNull(), scan_result(
-            "malware", bomb["rule_id"],
-            F.concat(F.lit("malware_scan: potential "), kind, F.lit(" bomb detected (compression ratio: "),
-                     F.format_string("%.0f", bomb["ratio"]), F.lit(":1)")),
-            F.when(bomb["rule_id"] == "zip_bomb", "PK").otherwise("gzip"))))
-    text = F.decode(data, "ISO-8859-1")
-    low = F.lower(text)
+        text = "concat('malware_scan: potential {k} bomb detected (compression ratio: ', format_string('%.0f', a.ratio), ':1)')"
+        zip_found = finding_sql("malware", "zip_bomb", text.format(k="zip"), "'PK'")
+        gzip_found = finding_sql("malware", "gzip_bomb", text.format(k="gzip"), "'gzip'")
+        stages.append(
+            f"transform(array({archive_bomb_sql(data)}), a -> CASE a.rule_id WHEN 'zip_bomb' THEN {zip_found} WHEN 'gzip_bomb' THEN {gzip_found} END)[0]")
     stages += [
-        F.when(F.contains(low, F.lit(k)), scan_result(
-            "malware", "dangerous_decoded_content",
-            f"malware_scan: dangerous keyword detected in decoded content: {k}", k))
+        f"CASE WHEN contains({b}.low, {sql_str(k)}) THEN "
+        + finding_sql("malware", "dangerous_decoded_content", sql_str(f"malware_scan: dangerous keyword detected in decoded content: {k}"), sql_str(k)) + " END"
         for k in malware.DANGEROUS_KEYWORDS
     ]
     if "script_detection" in checks:
-        stages += [_rule_stage(r, low.rlike(r.java_pattern)) for r in malware.SCRIPTS]
+        stages += [_rule_branch(r, f"rlike({b}.low, {sql_str(r.java_pattern)})") for r in malware.SCRIPTS]
     if "signatures" in checks:
-        stages += [_rule_stage(r, text.rlike(r.java_pattern)) for r in malware.SIGNATURES]
-    found = F.coalesce(*stages)
-    return F.when(data.isNotNull() | (F.octet_length(blob) > 2 * max_size), found)
+        stages += [_rule_branch(r, f"rlike({b}.text, {sql_str(r.java_pattern)})") for r in malware.SIGNATURES]
+    return f"CASE WHEN {data} IS NOT NULL OR octet_length({b}.blob) > {2 * max_size} THEN {coalesce_sql(stages)} END"
 
 
 def with_malware_finding(df: DataFrame, views: TextViews, out: str, checks=malware.CHECKS,
@@ -132,11 +120,15 @@ def with_malware_finding(df: DataFrame, views: TextViews, out: str, checks=malwa
     df = df.withColumn("__blobs", base64_blobs(views.raw, max_blobs))
     df = df.withColumn("__decoded", F.transform("__blobs", decoded))
     has_blobs = F.size("__blobs") > 0
-    df = df.withColumn("__entropy", byte_entropies(F.when(has_blobs, F.col("__decoded"))))
-    items = F.arrays_zip("__blobs", "__decoded", "__entropy")
-    verdicts = F.filter(
-        F.transform(items, lambda b: blob_finding(b["__blobs"], b["__decoded"], b["__entropy"], checks, threshold, max_size)),
-        lambda v: v.isNotNull(),
-    )
+    if "entropy" in checks:
+        df = df.withColumn("__entropy", byte_entropies(F.when(has_blobs, F.col("__decoded"))))
+    else:
+        df = df.withColumn("__entropy", F.array().cast("array<double>"))
+    verdicts = F.expr(f"""
+        filter(transform(
+          transform(arrays_zip(__blobs, __decoded, __entropy), z -> named_struct(
+            'blob', z.__blobs, 'data', z.__decoded, 'entropy', z.__entropy,
+            'text', decode(z.__decoded, 'ISO-8859-1'), 'low', lower(decode(z.__decoded, 'ISO-8859-1')))),
+          b -> {blob_finding_sql('b', checks, threshold, max_size)}), v -> v IS NOT NULL)""")
     found = F.coalesce(text_finding(views, checks), F.when(has_blobs, F.get(verdicts, F.lit(0))))
     return df.withColumn(out, found).drop("__blobs", "__decoded", "__entropy")

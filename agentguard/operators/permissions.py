@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentguard.functions import text as tx
-from agentguard.functions.expr import let
+from agentguard.functions.expr import let, sql_str
 from agentguard.functions.labels import CLASS_LEVELS, class_rank
 from agentguard.functions.regex import check_user_pattern
-from agentguard.operators.scan import TextViews, drop_views, fires, with_views
+from agentguard.operators.redact import candidates_sql
+from agentguard.operators.scan import TextViews, drop_views, fires_sql, with_views
 from agentguard.rules import permissions as defaults
 from agentguard.rules.model import Rule
 
@@ -113,11 +113,11 @@ def check_scope(df: DataFrame, perms: Permissions, agent: str = "agent", platfor
 
 def classify(views: TextViews, perms: Permissions) -> Column:
     """Struct (level, blocked, labels): every rule that matches, the highest level wins."""
-    hits = F.array_compact(F.array(*[
-        F.when(fires(r, views), F.struct(
-            F.lit(CLASS_LEVELS[r.category]).alias("rank"), F.lit(r.category).alias("level"), F.lit(r.name).alias("label")))
+    hits = F.expr("array_compact(array(" + ", ".join(
+        f"CASE WHEN {fires_sql(r, views)} THEN named_struct('rank', {CLASS_LEVELS[r.category]}, "
+        f"'level', {sql_str(r.category)}, 'label', {sql_str(r.name)}) END"
         for r in perms.class_rules
-    ]))
+    ) + "))")
 
     def judge(found: Column) -> Column:
         rank = F.coalesce(F.array_max(F.transform(found, lambda h: h["rank"])), F.lit(0))
@@ -136,77 +136,85 @@ def within_ceiling(level: Column, ceiling: Column) -> Column:
     return F.coalesce(class_rank(level) <= class_rank(ceiling), F.lit(False))
 
 
-def _allowed_phrase(hit: Column, perms: Permissions) -> Column:
-    return tx.contains_any(F.lower(hit), [p.lower() for p in perms.allow_phrases])
+def dlp_scrub(text: str, perms: Permissions) -> Column:
+    """`dlp_scrub_sql` as a column."""
+    return F.expr(dlp_scrub_sql(text, perms))
 
 
-def dlp_scrub(text: Column, perms: Permissions) -> Column:
+def dlp_scrub_sql(text: str, perms: Permissions) -> str:
     """Struct (allowed, text, labels, bypassed): patterns applied in order to the evolving text.
 
     REDACT replaces hits, BLOCK stops at the first one, OFF changes nothing. Hits that hold
-    an allowed phrase stay and are listed in `bypassed`. A fold with one branch per rule.
+    an allowed phrase stay and are listed in `bypassed`. A fold with one branch per rule;
+    `text` is SQL text.
     """
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit(True).alias("allowed"), text.alias("text"), empty.alias("labels"), empty.alias("bypassed"))
-    if perms.dlp_mode == OFF:
-        return start
-    rules = perms.all_dlp_rules()
-    fold = tx.folded(text)
+    empty = "cast(array() AS array<string>)"
 
     def state(allowed, body, labels, bypassed):
-        return F.struct(allowed.alias("allowed"), body.alias("text"), labels.alias("labels"), bypassed.alias("bypassed"))
-
-    def apply(rule: Rule, s: Column) -> Column:
-        def with_hits(hits: Column) -> Column:
-            taken = F.filter(hits, lambda h: ~_allowed_phrase(h, perms)) if perms.allow_phrases else hits
-            skipped = F.filter(hits, lambda h: _allowed_phrase(h, perms)) if perms.allow_phrases else empty
-            bypassed = F.concat(s["bypassed"], skipped)
-            if perms.dlp_mode == BLOCK:
-                return F.when(F.size(taken) > 0, state(F.lit(False), text, F.array(F.lit(rule.name)), bypassed)).otherwise(
-                    state(s["allowed"], s["text"], s["labels"], bypassed))
-            labels = F.concat(s["labels"], F.transform(taken, lambda _: F.lit(rule.name)))
-            if perms.allow_phrases:
-                # Walk the pieces between hits so that hits with an allowed phrase keep their place.
-                pieces = F.split(s["text"], rule.java_pattern)
-                body = F.aggregate(
-                    F.arrays_zip(F.slice(pieces, 2, F.size(hits)).alias("piece"), hits.alias("hit")), F.get(pieces, F.lit(0)),
-                    lambda acc, z: F.concat(
-                        acc, F.when(_allowed_phrase(z["hit"], perms), z["hit"]).otherwise(F.lit(rule.note)), F.coalesce(z["piece"], F.lit(""))))
-            else:
-                body = F.regexp_replace(s["text"], rule.java_pattern, rule.note)
-            return state(s["allowed"], body, labels, bypassed)
-
-        found = s["text"].rlike(rule.java_pattern) & s["allowed"]
-        return F.when(found, let(tx.all_matches(s["text"], rule.java_pattern), with_hits)).otherwise(s)
+        return f"named_struct('allowed', {allowed}, 'text', {body}, 'labels', {labels}, 'bypassed', {bypassed})"
 
-    def step(s: Column, i: Column) -> Column:
-        out = F
-        for k, rule in enumerate(rules):
-            out = out.when(i == k, apply(rule, s))
-        return out.otherwise(s)
-
-    def candidate(i: int, rule: Rule) -> Column:
-        return F.when(tx.contains_any(fold, rule.needs), F.lit(i)) if rule.needs else F.lit(i)
+    start = state("true", text, empty, empty)
+    rules = perms.all_dlp_rules()
+    if perms.dlp_mode == OFF or not rules:
+        return start
+    phrases = [p.lower() for p in perms.allow_phrases]
+
+    def allowed_phrase(hit: str) -> str:
+        return "(" + (" OR ".join(f"contains(lower({hit}), {sql_str(p)})" for p in phrases) or "false") + ")"
+
+    def step(rule: Rule) -> str:
+        pattern = sql_str(rule.java_pattern)
+        taken = f"filter(hs, h -> NOT {allowed_phrase('h')})" if phrases else "hs"
+        bypassed = f"concat(s.bypassed, filter(hs, h -> {allowed_phrase('h')}))" if phrases else "s.bypassed"
+        if perms.dlp_mode == BLOCK:
+            body = (
+                f"IF(size({taken}) > 0, {state('false', text, f'array({sql_str(rule.name)})', bypassed)}, "
+                f"{state('s.allowed', 's.text', 's.labels', bypassed)})"
+            )
+        else:
+            labels = f"concat(s.labels, transform({taken}, x -> {sql_str(rule.name)}))"
+            scrubbed = f"regexp_replace(s.text, {pattern}, {sql_str(rule.note)})"
+            if phrases:
+                # Walk the pieces between hits so that hits with an allowed phrase keep their place.
+                scrubbed = (
+                    f"transform(array(split(s.text, {pattern})), ps -> aggregate(arrays_zip(slice(ps, 2, size(hs)), hs), ps[0], "
+                    f"(acc, z) -> concat(acc, IF({allowed_phrase('z.hs')}, z.hs, {sql_str(rule.note)}), coalesce(z.`0`, ''))))[0]"
+                )
+            body = state("s.allowed", scrubbed, labels, bypassed)
+        return f"IF(s.allowed AND rlike(s.text, {pattern}), transform(array(regexp_extract_all(s.text, {pattern}, 0)), hs -> {body})[0], s)"
 
-    order = F.array_compact(F.array(*[candidate(i, r) for i, r in enumerate(rules)]))
-    return F.aggregate(order, start, step)
+    steps = " ".join(f"WHEN {i} THEN {step(r)}" for i, r in enumerate(rules))
+    fold = f"replace(lower({text}), '\u017f', 's')"
+    order = f"transform(array({fold}), f -> {candidates_sql(text, 'f', rules)})[0]"
+    return f"aggregate({order}, {start}, (s, i) -> CASE i {steps} ELSE s END)"
 
 
 def sanitize_response(views: TextViews, perms: Permissions, platforms: Column) -> Column:
     """Reason to block a response, or NULL when it is clean. `platforms` are those the agent may use."""
-    raw, low = views.raw, views.lower
+    raw = views.raw
     size = F.octet_length(raw)
     stages = [F.when(size > perms.max_response_bytes, F.concat(
         F.lit("response exceeds max length ("), size.cast("string"), F.lit(f" > {perms.max_response_bytes})")))]
-    stages += [F.when(fires(r, views), f"injection detected: {r.name}") for r in perms.injection_rules]
-    stages += [F.when(fires(r, views), f"cross-action detected: {r.name}") for r in perms.cross_action_rules]
-    scoped = F.size(platforms) > 0
-    for p in perms.platforms:
-        outside = scoped & ~F.array_contains(F.transform(platforms, F.lower), p)
-        actions = tx.contains_any(low, [p + s for s in ("-send", "-create", "-delete", "-update", "-search", "-list", "-get")])
-        directives = tx.contains_any(low, [v + p for v in ("use ", "invoke ", "call ")])
-        stages.append(F.when(outside & actions, f"cross-scope: response references {p} platform (agent lacks access)"))
-        stages.append(F.when(outside & directives, f"cross-scope: response directs use of {p} platform (agent lacks access)"))
+    rules = [("injection", r) for r in perms.injection_rules] + [("cross-action", r) for r in perms.cross_action_rules]
+    stages += [
+        F.expr(f"CASE WHEN {fires_sql(r, views)} THEN {sql_str(f'{kind} detected: {r.name}')} END") for kind, r in rules
+    ]
+
+    def scope(p: str) -> str:
+        def any_of(words):
+            return " OR ".join(f"contains({views.name('lower')}, {sql_str(w)})" for w in words)
+
+        actions = any_of(p + s for s in ("-send", "-create", "-delete", "-update", "-search", "-list", "-get"))
+        directives = any_of(v + p for v in ("use ", "invoke ", "call "))
+        return (
+            f"WHEN NOT array_contains(ps, {sql_str(p)}) AND ({actions}) THEN 'cross-scope: response references {p} platform (agent lacks access)' "
+            f"WHEN NOT array_contains(ps, {sql_str(p)}) AND ({directives}) THEN 'cross-scope: response directs use of {p} platform (agent lacks access)'"
+        )
+
+    cases = " ".join(scope(p) for p in perms.platforms)
+    lowered = F.transform(platforms, F.lower)
+    stages.append(F.call_function(
+        "transform", F.array(lowered), F.expr(f"ps -> CASE WHEN size(ps) > 0 THEN CASE {cases} END END"))[0])
     return F.coalesce(*stages)
 
 
@@ -231,7 +239,7 @@ def permission_pipeline(df: DataFrame, perms: Permissions, text: str = "text", a
     """
     out = resolve_agent(df, perms, agent)
     out, views = with_views(out, F.col(text), perms.class_rules, normalised=False)
-    out = out.withColumn("__class", classify(views, perms)).withColumn("__dlp", dlp_scrub(F.col(text), perms))
+    out = out.withColumn("__class", classify(views, perms)).withColumn("__dlp", dlp_scrub(text, perms))
     level, name = F.col("__class.level"), F.lower(agent)
     present = F.col(text) != ""
     blocked = F.col("__class.blocked")
@@ -261,11 +269,14 @@ def permission_pipeline(df: DataFrame, perms: Permissions, text: str = "text", a
     return drop_views(drop_views(out.drop("__class", "__dlp", "__step", "__bad")), "__r")
 
 
+def _scrub_turn(perms: Permissions) -> Column:
+    body = dlp_scrub_sql("m.content", perms)
+    return F.expr(f"m -> named_struct('role', m.role, 'content', IF(m.role = 'user', {body}.text, m.content))")
+
+
 def scrub_user_turns(messages: Column, perms: Permissions) -> Column:
     """Each user message of a chat scrubbed on its own; other roles stay as they are."""
-    return F.transform(messages, lambda m: F.struct(
-        m["role"].alias("role"),
-        F.when(m["role"] == "user", dlp_scrub(m["content"], perms)["text"]).otherwise(m["content"]).alias("content")))
+    return F.call_function("transform", messages, _scrub_turn(perms))
 
 
 def ephemeral_session(df: DataFrame, salt: str, user: str = "user") -> DataFrame:

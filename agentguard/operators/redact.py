@@ -5,65 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agentguard.functions import text as tx
-from agentguard.functions.expr import let
-from agentguard.functions.validators import validate
+from agentguard.functions.expr import sql_str
+from agentguard.functions.validators import validator_sql
 from agentguard.rules import pii, secrets
 
 NOTHING = "array<string>"
 
 
-def _apply(rule, state: Column, tag: str) -> Column:
-    """State (text, found) after one rule: each accepted hit replaces its first occurrence."""
+def candidates_sql(text: str, fold: str, rules) -> str:
+    """Numbers of the rules whose literals and guard the text has, as a SQL array."""
+    guards = list(dict.fromkeys(r.guard for r in rules if r.guard))
 
-    def replace(hits: Column) -> Column:
-        redacted = F.aggregate(hits, state["text"], lambda acc, h: tx.replace_first(acc, h, F.lit(tag)))
-        return F.when(F.size(hits) == 0, state).otherwise(F.struct(
-            redacted.alias("text"),
-            F.array_append(state["found"], F.lit(rule.name)).alias("found"),
-        ))
+    def candidate(i, rule) -> str:
+        parts = []
+        if rule.guard:
+            parts.append(f"g[{guards.index(rule.guard)}]")
+        if rule.needs:
+            parts.append("(" + " OR ".join(f"contains({fold}, {sql_str(n)})" for n in rule.needs) + ")")
+        return f"CASE WHEN {' AND '.join(parts)} THEN {i} END" if parts else str(i)
+
+    tests = ", ".join(f"rlike({text}, {sql_str(g)})" for g in guards) or "true"
+    listed = ", ".join(candidate(i, r) for i, r in enumerate(rules))
+    return f"array_compact(transform(array(array({tests})), g -> array({listed}))[0])"
 
-    text = state["text"]
-    hits = tx.all_matches(text, rule.java_pattern)
+
+def _step(rule, tag: str) -> str:
+    """State `s` (text, found) after one rule: each accepted hit replaces its first occurrence."""
+    pattern = sql_str(rule.java_pattern)
+    hits = f"regexp_extract_all(s.text, {pattern}, 0)"
     if rule.validator:
-        hits = F.filter(hits, lambda h: validate(rule.validator, h))
-    return F.when(text.rlike(rule.java_pattern), let(hits, replace)).otherwise(state)
+        hits = f"filter({hits}, h -> {validator_sql(rule.validator, 'h')})"
+    replaced = (
+        "aggregate(hs, s.text, (t, h) -> IF(instr(t, h) = 0, t, "
+        f"concat(substr(t, 1, instr(t, h) - 1), {sql_str(tag)}, substr(t, instr(t, h) + length(h)))))"
+    )
+    after = f"named_struct('text', {replaced}, 'found', array_append(s.found, {sql_str(rule.name)}))"
+    return f"IF(rlike(s.text, {pattern}), transform(array({hits}), hs -> IF(size(hs) = 0, s, {after}))[0], s)"
 
 
-def redact(text: Column, fold: Column, rules, tag_of) -> Column:
+def redact(text: str, fold: str, rules, tag_of) -> Column:
     """Struct (text, found): the redacted text and the names of the rules applied.
 
     A fold over the rules whose literals and guard the original text has: redaction only
-    removes text or adds tags, so what is missing there cannot appear later. `fold` is the
-    folded original (`text.folded`).
+    removes text or adds tags, so what is missing there cannot appear later. Inputs are SQL
+    texts of the text and of its folded form (`text.folded`).
     """
     rules = tuple(rules)
-    guards = {g: text.rlike(g) for g in dict.fromkeys(r.guard for r in rules if r.guard)}
-
-    def candidate(i: int, rule) -> Column:
-        cond = F.lit(True)
-        if rule.guard:
-            cond = cond & guards[rule.guard]
-        if rule.needs:
-            cond = cond & tx.contains_any(fold, rule.needs)
-        return F.when(cond, F.lit(i))
-
-    def step(state: Column, i: Column) -> Column:
-        out = F
-        for k, rule in enumerate(rules):
-            out = out.when(i == k, _apply(rule, state, tag_of(rule)))
-        return out.otherwise(state)
-
-    start = F.struct(text.alias("text"), F.array().cast(NOTHING).alias("found"))
-    candidates = F.array_compact(F.array(*[candidate(i, r) for i, r in enumerate(rules)]))
-    return F.aggregate(candidates, start, step)
+    start = f"named_struct('text', {text}, 'found', cast(array() AS {NOTHING}))"
+    if not rules:
+        return F.expr(start)
+    steps = " ".join(f"WHEN {i} THEN {_step(r, tag_of(r))}" for i, r in enumerate(rules))
+    return F.expr(f"aggregate({candidates_sql(text, fold, rules)}, {start}, (s, i) -> CASE i {steps} ELSE s END)")
 
 
-def redact_pii(text: Column, fold: Column, rules=pii.PACK) -> Column:
+def redact_pii(text: str, fold: str, rules=pii.PACK) -> Column:
     """Personal data becomes `[CATEGORY_REDACTED]`; every confidence level is redacted."""
     return redact(text, fold, rules, pii.placeholder)
 
 
-def redact_secrets(text: Column, fold: Column, rules=secrets.PACK) -> Column:
+def redact_secrets(text: str, fold: str, rules=secrets.PACK) -> Column:
     """Credentials become `[REDACTED]`."""
     return redact(text, fold, rules, lambda _: secrets.PLACEHOLDER)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from agentguard.functions import jsonfuncs, text as tx
 from agentguard.functions.expr import let, sql_str
-from agentguard.functions.validators import validate
+from agentguard.functions.validators import validator_sql
 from agentguard.rules import injection
 from agentguard.rules.model import Rule
 
@@ -84,31 +84,16 @@ def fires(rule: Rule, views: TextViews) -> Column:
     return F.expr(fires_sql(rule, views))
 
 
-def _rule_hits(rule: Rule, order: int, views: TextViews) -> Column:
+def _rule_hits_sql(rule: Rule, order: int, views: TextViews) -> str:
     """Struct of one rule's result on one text; `n_hits` counts the hits that pass validation."""
     found = f"regexp_extract_all({views.name(rule.view)}, {sql_str(rule.java_pattern)}, 0)"
-    head = (
-        f"'scanner', {sql_str(rule.scanner)}, 'rule_id', {sql_str(rule.rule_id)}, "
-        f"'rule_order', {order}, 'confidence', {sql_str(rule.confidence)}"
-    )
-    if rule.validator is None:
-        body = f"named_struct({head}, 'n_hits', size(h), 'first_hit_valid', true, 'first_hit', h[0])"
-        return F.expr(
-            f"CASE WHEN {fires_sql(rule, views)} THEN transform(array({found}), h -> {body})[0] END"
-        )
-
-    def valid(hit: Column) -> Column:
-        return validate(rule.validator, hit)
-
-    return F.when(
-        fires(rule, views),
-        let(F.expr(found), lambda hits: F.struct(
-            F.lit(rule.scanner).alias("scanner"), F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(order).alias("rule_order"), F.lit(rule.confidence).alias("confidence"),
-            F.size(F.filter(hits, valid)).alias("n_hits"),
-            valid(hits[0]).alias("first_hit_valid"), hits[0].alias("first_hit"),
-        )),
+    valid = f"filter(hs, h -> {validator_sql(rule.validator, 'h')})" if rule.validator else "hs"
+    body = (
+        f"named_struct('scanner', {sql_str(rule.scanner)}, 'rule_id', {sql_str(rule.rule_id)}, "
+        f"'rule_order', {order}, 'confidence', {sql_str(rule.confidence)}, 'n_hits', size({valid}), "
+        f"'first_hit_valid', {validator_sql(rule.validator, 'hs[0]')}, 'first_hit', hs[0])"
     )
+    return f"CASE WHEN {fires_sql(rule, views)} THEN transform(array({found}), hs -> {body})[0] END"
 
 
 def scan_all(df: DataFrame, text: str, rules, keep) -> DataFrame:
@@ -116,27 +101,29 @@ def scan_all(df: DataFrame, text: str, rules, keep) -> DataFrame:
     rules = tuple(rules)
     normalised = any(r.view.startswith("nfkc") for r in rules)
     df, views = with_views(df.select(*dict.fromkeys([*keep, text])), F.col(text), rules, normalised=normalised)
-    hits = F.array_compact(F.array(*[_rule_hits(r, i, views) for i, r in enumerate(rules)]))
+    hits = F.expr("array_compact(array(" + ", ".join(_rule_hits_sql(r, i, views) for i, r in enumerate(rules)) + "))")
     out = df.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
     return out.filter("n_hits > 0")
 
 
-def scan_result(scanner, rule_id, description, excerpt, confidence="high", metadata=None) -> Column:
-    """A finding struct; every argument is a column or a literal."""
+NO_METADATA = "cast(map() AS map<string,string>)"
+
+
+def finding_sql(scanner: str, rule_id: str, description: str, excerpt: str, confidence: str = "high", metadata: str = NO_METADATA) -> str:
+    """A finding as SQL text; description, excerpt and metadata are SQL, the rest plain text."""
+    return (
+        f"named_struct('scanner', {sql_str(scanner)}, 'rule_id', {sql_str(rule_id)}, 'description', {description}, "
+        f"'match_excerpt', {excerpt}, 'confidence', {sql_str(confidence)}, 'blocked', true, 'metadata', {metadata})"
+    )
+
+
+def rule_stage(rule: Rule, cond: str, description: str, excerpt: str) -> str:
+    """CASE branch for a rule with fixed description and excerpt."""
+    return f"CASE WHEN {cond} THEN {finding_sql(rule.scanner, rule.rule_id, sql_str(description), sql_str(excerpt), rule.confidence)} END"
 
-    def col(v):
-        return v if isinstance(v, Column) else F.lit(v)
 
-    meta = metadata if metadata is not None else F.create_map().cast("map<string,string>")
-    return F.struct(
-        col(scanner).alias("scanner"),
-        col(rule_id).alias("rule_id"),
-        col(description).alias("description"),
-        col(excerpt).alias("match_excerpt"),
-        col(confidence).alias("confidence"),
-        F.lit(True).alias("blocked"),
-        meta.alias("metadata"),
-    ).cast(SCAN_RESULT)
+def coalesce_sql(stages) -> str:
+    return f"coalesce(cast(NULL AS {SCAN_RESULT}), {', '.join(stages)})"
 
 
 def no_result() -> Column:
@@ -191,66 +178,47 @@ def injection_finding(views: TextViews, direction: str = "request", sensitivity:
     is used for responses at high sensitivity.
     """
     reason = "prompt_injection" if direction == "request" else "prompt_injection_response"
-    stages = [
-        F.when(
-            fires(rule, views),
-            scan_result(
-                "injection", rule.rule_id,
-                f"{reason}: {injection.REASONS[rule.rule_id]} (pattern: {rule.pattern})", _clip(rule.pattern),
-            ),
-        )
-        for rule in injection.PACK
-    ]
+    patterns = F.expr(coalesce_sql(
+        rule_stage(r, fires_sql(r, views), f"{reason}: {injection.REASONS[r.rule_id]} (pattern: {r.pattern})", _clip(r.pattern))
+        for r in injection.PACK
+    ))
     where = "arguments" if direction == "request" else "response"
-    excerpt = F.left(views.nfkc, F.lit(tx.EXCERPT_RUNES))
+
+    def structural(cond: Column, rule_id: str, text: str) -> Column:
+        return F.when(cond, F.expr(finding_sql("injection", rule_id, sql_str(text), f"left({views.name('nfkc')}, {tx.EXCERPT_RUNES})")))
+
+    stages = [patterns]
     if sensitivity == "high":
         inner = "" if direction == "request" else f"{reason}: "
-        stages.append(F.when(
-            base64_injection(views.nfkc, max_blobs),
-            scan_result("injection", "base64_injection",
-                        f"{inner}prompt_injection: base64-encoded injection payload detected", excerpt),
-        ))
+        stages.append(structural(base64_injection(views.nfkc, max_blobs), "base64_injection",
+                                 f"{inner}prompt_injection: base64-encoded injection payload detected"))
     if sensitivity != "low":
-        stages.append(F.when(
-            imperative_density(views.nfkc),
-            scan_result("injection", "imperative_density",
-                        f"{reason}: high imperative instruction density in tool {where}", excerpt),
-        ))
+        stages.append(structural(imperative_density(views.nfkc), "imperative_density",
+                                 f"{reason}: high imperative instruction density in tool {where}"))
     if sensitivity == "high" and direction == "response" and high_entropy is not None:
-        stages.append(F.when(
-            high_entropy,
-            scan_result("injection", "high_entropy",
-                        f"{reason}: high-entropy block detected in response (possible encoded payload)", excerpt),
-        ))
+        stages.append(structural(high_entropy, "high_entropy",
+                                 f"{reason}: high-entropy block detected in response (possible encoded payload)"))
     return F.coalesce(*stages)
 
 
 # --- PII and secrets -----------------------------------------------------------------------
 
+REDACTED_EXCERPT = f"IF(octet_length(h) < 8, '{tx.MASK}', concat(left(h, 4), '{tx.MASK}', right(h, 2)))"
 
-def pii_finding(views: TextViews, rules) -> Column:
-    """First PII rule whose first hit is valid, or NULL. A failed check skips that rule."""
 
-    def stage(rule):
-        def describe(hit):
-            return F.when(
-                validate(rule.validator, hit),
-                scan_result("pii", rule.rule_id, f"pii_scan: {rule.name} detected ({rule.note})",
-                            tx.redact_excerpt(hit), rule.confidence),
-            )
+def _first_hit_stage(rule: Rule, views: TextViews, description: str) -> str:
+    """Finding on the first hit of a rule when that hit is valid; the excerpt hides the value."""
+    hit = f"regexp_extract({views.name(rule.view)}, {sql_str(rule.java_pattern)}, 0)"
+    finding = finding_sql(rule.scanner, rule.rule_id, sql_str(description), REDACTED_EXCERPT, rule.confidence)
+    body = f"CASE WHEN {validator_sql(rule.validator, 'h')} THEN {finding} END"
+    return f"CASE WHEN {fires_sql(rule, views)} THEN transform(array({hit}), h -> {body})[0] END"
 
-        return F.when(fires(rule, views), let(tx.first_match(views.view(rule), rule.java_pattern), describe))
 
-    return F.coalesce(no_result(), *[stage(r) for r in rules])
+def pii_finding(views: TextViews, rules) -> Column:
+    """First PII rule whose first hit is valid, or NULL. A failed check skips that rule."""
+    return F.expr(coalesce_sql(_first_hit_stage(r, views, f"pii_scan: {r.name} detected ({r.note})") for r in rules)) if rules else no_result()
 
 
 def secrets_finding(views: TextViews, rules) -> Column:
     """First credential rule that fires, with the value hidden, or NULL."""
-    return F.coalesce(no_result(), *[
-        F.when(
-            fires(r, views),
-            scan_result("secrets", r.rule_id, f"secrets_scan: {r.note} detected",
-                        tx.redact_excerpt(F.regexp_extract(views.view(r), r.java_pattern, 0))),
-        )
-        for r in rules
-    ])
+    return F.expr(coalesce_sql(_first_hit_stage(r, views, f"secrets_scan: {r.note} detected") for r in rules)) if rules else no_result()

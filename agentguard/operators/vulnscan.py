@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agentguard.functions import text as tx
-from agentguard.functions.expr import let
-from agentguard.operators.scan import TextViews, _clip, fires, no_result, scan_result
+from agentguard.operators.scan import TextViews, _clip, coalesce_sql, finding_sql, fires_sql, no_result, rule_stage
 from agentguard.operators.ssrf import first_ssrf
 from agentguard.rules import vuln
 
@@ -21,20 +19,21 @@ _GROUPS = {
 
 def vuln_finding(views: TextViews, rules=()) -> Column:
     """First finding, or NULL. `rules` restricts the groups; none named means all."""
-    stages = [no_result()]
+    stages: list[Column] = [no_result()]
     for group in vuln.ORDER:
         if rules and group not in rules:
             continue
         if group == "ssrf":
-            stages.append(let(first_ssrf(views.raw), lambda v: F.when(
-                v.isNotNull(), scan_result("vuln", "ssrf", v["description"], tx.truncate_excerpt(v["excerpt"])))))
+            found = finding_sql("vuln", "ssrf", "v.description", "v.excerpt")
+            stages.append(F.call_function(
+                "transform", F.array(first_ssrf(views.raw)), F.expr(f"v -> CASE WHEN v IS NOT NULL THEN {found} END"))[0])
             continue
-        stages += [
-            F.when(fires(r, views), scan_result(
-                "vuln", group, f"vuln_scan: {vuln.REASONS[group]} (pattern: {r.pattern})", _clip(r.pattern)))
+        branches = [
+            rule_stage(r, fires_sql(r, views), f"vuln_scan: {vuln.REASONS[group]} (pattern: {r.pattern})", _clip(r.pattern))
             for r in _GROUPS[group]
         ]
         if group == "path_traversal":
-            stages.append(F.when(F.contains(views.raw, F.lit("\x00")), scan_result(
-                "vuln", group, "vuln_scan: path traversal detected — null byte in path", "null byte")))
+            found = finding_sql("vuln", group, "'vuln_scan: path traversal detected — null byte in path'", "'null byte'")
+            branches.append(f"CASE WHEN contains({views.name('raw')}, char(0)) THEN {found} END")
+        stages.append(F.expr(coalesce_sql(branches)))
     return F.coalesce(*stages)

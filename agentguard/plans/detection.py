@@ -63,13 +63,13 @@ def _redacted(df, key, expr):
 @register("pii_redacted", _sql_redact("documents", "doc_id", pii.PACK, pii.placeholder))
 def pii_redacted(spark, sf):
     docs = table(spark, sf, "documents", spread=True).select("doc_id", "text").withColumn("fold", tx.folded(F.col("text")))
-    return _redacted(docs, "doc_id", redact.redact_pii(F.col("text"), F.col("fold")))
+    return _redacted(docs, "doc_id", redact.redact_pii("text", "fold"))
 
 
 @register("secrets_redacted", _sql_redact("documents", "doc_id", secrets.PACK, lambda r: secrets.PLACEHOLDER))
 def secrets_redacted(spark, sf):
     docs = table(spark, sf, "documents", spread=True).select("doc_id", "text").withColumn("fold", tx.folded(F.col("text")))
-    return _redacted(docs, "doc_id", redact.redact_secrets(F.col("text"), F.col("fold")))
+    return _redacted(docs, "doc_id", redact.redact_secrets("text", "fold"))
 
 
 _CARD = r"\b(?:\d[ -]?){12,18}\d\b"
@@ -84,7 +84,7 @@ def luhn_cards(spark, sf):
     from agentguard.functions.regex import re2
 
     cards = docs.filter(F.col("text").rlike("[0-9]{2}")).select("doc_id", F.explode(tx.all_matches(F.col("text"), re2(_CARD))).alias("card"))
-    return cards.withColumn("valid", validators.luhn(F.col("card")))
+    return cards.withColumn("valid", validators.validate("luhn", F.col("card")))
 
 
 @register("pii_first_match", f"""
@@ -223,4 +223,4 @@ def blob_findings(spark, sf):
     blobs = blobs.withColumn("d", malscan.decoded(F.col("blob"))).filter("d IS NOT NULL")
     return blobs.select(
         "msg_id", "blob", F.substr(F.hex("d"), F.lit(1), F.lit(8)).alias("head"),
-        malscan.magic_name(F.col("d")).alias("magic"), F.octet_length("d").alias("size"))
+        F.expr(malscan.magic_sql("d")).alias("magic"), F.octet_length("d").alias("size"))

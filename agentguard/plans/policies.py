@@ -437,7 +437,7 @@ def _sql_dlp(source: str, text: str) -> str:
 
 @register("dlp_scrub", f"SELECT msg_id, s AS scrubbed, len(labels)::INT AS redactions, array_to_string(labels, ', ') AS labels FROM ({_sql_dlp(inputs.SQL_MESSAGES, 'text')})")
 def dlp_scrub(spark, sf):
-    out = inputs.messages(spark, sf).select("msg_id", perm.dlp_scrub(F.col("text"), DLP).alias("d"))
+    out = inputs.messages(spark, sf).select("msg_id", perm.dlp_scrub("text", DLP).alias("d"))
     return out.select("msg_id", F.col("d.text").alias("scrubbed"), F.size("d.labels").alias("redactions"), F.array_join("d.labels", ", ").alias("labels"))
 
 
@@ -483,7 +483,7 @@ _SQL_DLP_DEFAULT = _sql_dlp("(SELECT *, " + _SQL_PLATFORMS + f" AS platforms, {_
 def permission_pipeline(spark, sf):
     perms = perm.Permissions(
         corporate_email_domains=DLP.corporate_email_domains, dlp_custom=DLP.dlp_custom, max_response_bytes=1200)
-    msgs = inputs.messages(spark, sf).withColumn("answer", perm.dlp_scrub(F.col("text"), perms)["text"])
+    msgs = inputs.messages(spark, sf).withColumn("answer", perm.dlp_scrub("text", perms)["text"])
     out = perm.permission_pipeline(msgs, perms, response="answer")
     return out.select(F.explode("audit").alias("a")).groupBy("a.action", "a.result").agg(F.count("*").alias("rows"))
 
@@ -495,5 +495,5 @@ def conversation_scrub(spark, sf):
     from agentguard.sources.readers import conversation_user_text
 
     msgs = inputs.messages(spark, sf).filter("role = 'user'")
-    scrubbed = msgs.withColumn("text", perm.dlp_scrub(F.col("text"), DLP)["text"])
+    scrubbed = msgs.withColumn("text", perm.dlp_scrub("text", DLP)["text"])
     return conversation_user_text(scrubbed)
