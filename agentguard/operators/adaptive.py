@@ -1,7 +1,7 @@
 """Threat scores and adaptive overrides over security events.
 
-Both are ordered folds. A fold step only depends on a small state, so each (node, time
-chunk) is summarised on its own as a table "state on entry -> state on exit"; the tables are
+Both are ordered folds. A fold step only depends on a small state, so each (node, run of
+time slices) is summarised on its own as a table "state on entry -> state on exit"; the tables are
 chained per node, a row per chunk; and every chunk is then worked through from its known
 entry state. A node with a third of all events is spread over as many tasks as it has chunks.
 """
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentguard.functions.labels import SEVERITY_WEIGHTS, severity_weight
@@ -31,7 +31,8 @@ ACTION_EVENTS = {
     "add_temp_firewall_rule": "temp_rule_added",
 }
 SENSITIVITY_LEVELS = {1: "low", 2: "medium", 3: "high"}
-CHUNK_SECONDS = 3600
+SLICE_SECONDS = 3600
+CHUNK_ROWS = 20_000
 NEVER = -(2**62)
 
 
@@ -112,6 +113,20 @@ def _pieces(batches):
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def _cut(rows: DataFrame, slice_us: int) -> DataFrame:
+    """Number the chunks of each key: whole time slices, packed up to a number of rows.
+
+    Quiet keys become one chunk, busy ones as many as their rows need. Only counts per
+    (key, slice) go through the window.
+    """
+    sliced = rows.withColumn("__slice", F.floor(F.col("us") / slice_us))
+    counts = sliced.groupBy("chain_key", "__slice").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("chain_key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    packed = counts.select(
+        "chain_key", "__slice", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / CHUNK_ROWS).alias("chunk"))
+    return sliced.join(packed, ["chain_key", "__slice"]).drop("__slice")
+
+
 def _map_chunks(df: DataFrame, order, fn, schema: str, per_output: int = 500) -> DataFrame:
     """Apply `fn` to each (chain_key, chunk), sorted by `order`; many small groups share a batch."""
 
@@ -146,19 +161,15 @@ def greedy_chain(df: DataFrame, key: str, us: str, ties, reach_us: str, max_reac
     """Rows that start a link: the first row of a key, then each first row at (`strict`: after)
     the previous link's reach. `ties` order rows of the same time; one row per time can win.
 
-    Chunks are at least as long as the longest reach, so a chain enters a chunk within one
-    reach of its start.
+    A chain enters a chunk within one reach of its first row, which bounds the entry table.
     """
-    chunk_us = max(CHUNK_SECONDS, max_reach_seconds) * SECOND
     first = df.groupBy(key, us).agg(F.min(F.struct(*ties, *[c for c in df.columns if c not in (key, us, *ties)])).alias("__r"))
     rows = first.select(F.col(key).alias("chain_key"), F.col(us).alias("us"), F.col("__r")[reach_us].alias("reach"), "__r")
-    rows = rows.withColumn("chunk", F.floor(F.col("us") / chunk_us))
-    slim = rows.select("chain_key", "chunk", "us", "reach")
+    slim = _cut(rows.select("chain_key", "us", "reach"), max(SLICE_SECONDS, max_reach_seconds) * SECOND)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         times, reach = pdf["us"].to_numpy(), pdf["reach"].to_numpy()
-        start = int(pdf["chunk"].iloc[0]) * chunk_us
-        entries = min(len(times), int(np.searchsorted(times, start + max_reach_seconds * SECOND, side="right")) + 1)
+        entries = min(len(times), int(np.searchsorted(times, times[0] + max_reach_seconds * SECOND, side="right")) + 1)
         return pd.DataFrame({
             "chain_key": [pdf["chain_key"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]],
             "entries": [times[:entries]], "exits": [_exit_tables(times, reach, entries, strict)],
@@ -251,16 +262,15 @@ def _scores(times, weights, last, score):
     return out
 
 
-def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "event_id", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "event_id", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Score after every event: severity weights add up to 100 at most; when over 30 s have
     passed since the last decay, a point is lost for each full 30 s. A node starts at its
     first event. Events of the same time are taken in order of id.
     """
-    chunk_us = chunk_seconds * SECOND
-    rows = events.select(
+    rows = _cut(events.select(
         F.col(node).alias("chain_key"), F.col(event_id).alias("event"), micros(F.col("ts")).alias("us"),
         severity_weight(F.col("severity")).cast("bigint").alias("weight"),
-    ).withColumn("chunk", F.floor(F.col("us") / chunk_us))
+    ), slice_seconds * SECOND)
     key_type = rows.schema["chain_key"].dataType.simpleString()
     id_type = rows.schema["event"].dataType.simpleString()
 

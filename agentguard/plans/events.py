@@ -241,5 +241,5 @@ def new_processes(spark, sf):
 def block_intervals(spark, sf):
     seconds = F.when(F.col("event_id") % 3 == 0, 600).when(F.col("event_id") % 3 == 1, 3600).otherwise(7200)
     blocks = table(spark, sf, "events").filter("event_type = 'error'").select(
-        (F.col("user_id") % 10).alias("ip"), ordered.micros(F.col("ts")).alias("s"), (ordered.micros(F.col("ts")) + seconds * F.lit(1_000_000)).alias("e"))
+        (F.col("user_id") % 10).alias("ip"), ordered.micros(F.col("ts")).alias("s"), (ordered.micros(F.col("ts")) + seconds.cast("bigint") * 1_000_000).alias("e"))
     return ordered.merge_intervals(blocks, ["ip"], "s", "e", 7200 * 1_000_000)
