@@ -248,12 +248,12 @@ def log_values(spark, sf):
     return inputs.messages(spark, sf).select("msg_id", tx.sanitize_for_log(F.col("text")).alias("clean"))
 
 
-@register("deny_events", f"""
-    SELECT event_type, severity, count(*) AS events FROM (SELECT CASE stage WHEN 'injection_scan' THEN 'injection_blocked' WHEN 'malware_scan' THEN 'malware_blocked' WHEN 'vuln_scan' THEN 'vuln_blocked'
-        WHEN 'arg_filter' THEN 'arg_filter_match' ELSE 'policy_deny' END AS event_type,
-      CASE stage WHEN 'injection_scan' THEN 'high' WHEN 'malware_scan' THEN 'critical' WHEN 'vuln_scan' THEN 'high' WHEN 'arg_filter' THEN 'medium' ELSE 'low' END AS severity
-      FROM {SQL_DECISIONS} WHERE decision = 'deny') GROUP BY ALL
-""")
+SQL_EVENT_KIND = """CASE stage WHEN 'injection_scan' THEN 'injection_blocked' WHEN 'malware_scan' THEN 'malware_blocked' WHEN 'vuln_scan' THEN 'vuln_blocked'
+    WHEN 'arg_filter' THEN 'arg_filter_match' ELSE 'policy_deny' END AS event_type,
+  CASE stage WHEN 'injection_scan' THEN 'high' WHEN 'malware_scan' THEN 'critical' WHEN 'vuln_scan' THEN 'high' WHEN 'arg_filter' THEN 'medium' ELSE 'low' END AS severity"""
+
+
+@register("deny_events", f"SELECT event_type, severity, count(*) AS events FROM (SELECT {SQL_EVENT_KIND} FROM {SQL_DECISIONS} WHERE decision = 'deny') GROUP BY ALL")
 def deny_events(spark, sf):
     denied = decisions(spark, sf).filter("decision = 'deny'").select(labels.reason_to_event(F.col("reason")).alias("e"))
     return denied.groupBy("e.event_type", "e.severity").agg(F.count("*").alias("events"))

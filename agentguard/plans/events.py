@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agentguard.operators import adaptive as ad, ordered, telemetry as tel
 from agentguard.plans import inputs
-from agentguard.plans.base import q, register, table, values
+from agentguard.plans.base import REGISTRY, q, register, table
 
 SECURITY_EVENTS = """
 SELECT event_id, ts, user_id AS node_id, user_id,
@@ -19,6 +19,11 @@ SQL_EVENTS = "(" + SECURITY_EVENTS.replace("@events@", "events") + ")"
 _SQL_WEIGHT = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END"
 
 
+def sql_of(name: str) -> str:
+    """Reference SQL of a query registered here, for its live twin."""
+    return REGISTRY[name].sql
+
+
 def events(spark, sf):
     return inputs.run_sql(spark, SECURITY_EVENTS, events=table(spark, sf, "events"))
 

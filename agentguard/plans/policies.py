@@ -231,23 +231,38 @@ def sql_fold(source: str, text: str, found: str, rules, tag, active: str) -> str
     return sql
 
 
-def _sql_responses() -> str:
-    view = {"raw": "text", "lower": "lower(text)", "nfkc_lower": "lower(text)"}
-    inj = [f"CASE WHEN regexp_matches(lower(text), {q(r.pattern)}) THEN {q(f'prompt_injection_response: {injection.REASONS[r.rule_id]} (pattern: {r.pattern})')} END" for r in injection.PACK]
-    inj.append(f"CASE WHEN {_sql_imperative('text')} THEN 'prompt_injection_response: high imperative instruction density in tool response' END")
+def sql_injection_reason(col: str) -> str:
+    parts = [
+        f"CASE WHEN regexp_matches(lower({col}), {q(r.pattern)}) THEN {q(f'prompt_injection_response: {injection.REASONS[r.rule_id]} (pattern: {r.pattern})')} END"
+        for r in injection.PACK
+    ]
+    parts.append(f"CASE WHEN {_sql_imperative(col)} THEN 'prompt_injection_response: high imperative instruction density in tool response' END")
+    return f"coalesce({', '.join(parts)})"
+
+
+def sql_malware_reason(col: str) -> str:
+    view = {"raw": col, "lower": f"lower({col})"}
     what = lambda r: f"{r.name} detected" if r.rule_id == "script_detection" else f"signature match — {r.name}"
-    mal = [f"CASE WHEN regexp_matches({view[r.view]}, {q(r.pattern)}) THEN {q('malware_scan: ' + what(r))} END" for r in malware.PACK]
+    parts = [f"CASE WHEN regexp_matches({view[r.view]}, {q(r.pattern)}) THEN {q('malware_scan: ' + what(r))} END" for r in malware.PACK]
+    return f"coalesce({', '.join(parts)})"
+
+
+def sql_malware_blobs(source: str, key: str, col: str) -> str:
+    """(k, blob_reason): the first decoded blob with a finding."""
     magic = " ".join(f"WHEN octet_length(d) >= 4 AND starts_with(hex(d), {q(m)}) THEN {q(f'malware_scan: executable content detected — {n} (magic bytes match)')}" for n, m in malware.MAGICS)
     words = " ".join(f"WHEN contains(lower(try(decode(d))), {q(k)}) THEN {q(f'malware_scan: dangerous keyword detected in decoded content: {k}')}" for k in malware.DANGEROUS_KEYWORDS)
-    blobs = f"""SELECT msg_id, min_by(v, idx) AS blob_reason FROM (SELECT msg_id, idx, CASE {magic} {words} END AS v FROM (
-        SELECT msg_id, idx, try(from_base64(rpad(rtrim(bs[idx], '='), (ceil(strlen(rtrim(bs[idx], '=')) / 4.0) * 4)::INT, '='))) AS d FROM (
-          SELECT msg_id, bs, unnest(range(1, len(bs) + 1)) AS idx FROM (SELECT msg_id, regexp_extract_all(text, {q(injection.BASE64_PATTERN)}) AS bs FROM {inputs.SQL_MESSAGES}))))
-        WHERE v IS NOT NULL GROUP BY msg_id"""
+    return f"""SELECT k, min_by(v, idx) AS blob_reason FROM (SELECT k, idx, CASE {magic} {words} END AS v FROM (
+        SELECT k, idx, try(from_base64(rpad(rtrim(bs[idx], '='), (ceil(strlen(rtrim(bs[idx], '=')) / 4.0) * 4)::INT, '='))) AS d FROM (
+          SELECT k, bs, unnest(range(1, len(bs) + 1)) AS idx FROM (SELECT {key} AS k, regexp_extract_all({col}, {q(injection.BASE64_PATTERN)}) AS bs FROM {source}))))
+        WHERE v IS NOT NULL GROUP BY k"""
+
+
+def _sql_responses() -> str:
     sec = " OR ".join(f"regexp_matches(text, {q(r.pattern)})" for r in secrets.PACK)
     base = f"""(SELECT m.msg_id, trim(m.sent_method) AS method, m.text, m.text AS work,
-        CASE WHEN trim(m.sent_method) <> 'search.query' THEN coalesce({', '.join(inj)}) END AS inj,
-        coalesce({', '.join(mal)}, b.blob_reason) AS mal, ({sec}) AS has_sec
-      FROM {inputs.SQL_MESSAGES} m LEFT JOIN ({blobs}) b ON m.msg_id = b.msg_id)"""
+        CASE WHEN trim(m.sent_method) <> 'search.query' THEN {sql_injection_reason('m.text')} END AS inj,
+        coalesce({sql_malware_reason('m.text')}, b.blob_reason) AS mal, ({sec}) AS has_sec
+      FROM {inputs.SQL_MESSAGES} m LEFT JOIN ({sql_malware_blobs(inputs.SQL_MESSAGES, 'msg_id', 'text')}) b ON m.msg_id = b.k)"""
     after_secrets = sql_fold(base, "work", "sec_found", secrets.PACK, lambda r: secrets.PLACEHOLDER, "has_sec")
     detect = " OR ".join(
         f"(regexp_extract(work, {q(r.pattern)}) <> '' AND {sql_valid(r.validator, f'regexp_extract(work, {q(r.pattern)})')})"
