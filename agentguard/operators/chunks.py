@@ -72,10 +72,11 @@ def _unless_code(finding: Column, code: Column, rule_id: str) -> Column:
 
 
 def scan_chunks(df: DataFrame, policy: Policy, text: str = "text", carry: str = "carry", method: str = "request_method", params: str = "request_params") -> DataFrame:
-    """Verdict on each chunk by itself: block_reason, results, redacted_text, was_redacted.
+    """Verdict on each chunk by itself: block_reason, block_results, soft_results, redacted_text, was_redacted.
 
     The window of carry-over and chunk is scanned; only the new chunk is redacted. A stateless
-    projection, the same in batch and streaming.
+    projection, the same in batch and streaming. The redaction columns do not read the
+    blocking ones, so that each side of `latch` runs its own rules only.
     """
     df = df.withColumn("__code", classify_intent(F.col(method), F.col(params)) == "code_generation")
     window = F.concat(F.coalesce(carry, F.lit("")), F.col(text))
@@ -109,34 +110,38 @@ def scan_chunks(df: DataFrame, policy: Policy, text: str = "text", carry: str =
 
     block = F.coalesce(
         hard["description"], sec["description"] if sec_blocks else F.lit(None), per["description"] if pii_blocks else F.lit(None))
-    soft = F.array_compact(F.array(sec, F.when(sec.isNull() if sec_blocks else F.lit(True), per)))
-    results = F.when(hard.isNotNull(), F.array(hard)).otherwise(soft).cast(f"array<{SCAN_RESULT}>")
-    was = (F.size("__one.found") > 0) | (F.size("__two.found") > 0)
+    none_yet = F.array().cast(f"array<{SCAN_RESULT}>")
+    soft = F.array_compact(F.array(none if sec_blocks else sec, none if pii_blocks else per))
+    blocking = F.coalesce(hard, sec if sec_blocks else none, per if pii_blocks else none)
     df = df.withColumns({
-        "block_reason": block, "results": results, "code_generation": F.col("__code"),
-        "was_redacted": was & block.isNull(), "redacted_text": F.when(block.isNull(), F.col("__two.text")),
+        "block_reason": block, "code_generation": F.col("__code"),
+        "block_results": F.when(blocking.isNotNull(), F.array(blocking)).otherwise(none_yet).cast(f"array<{SCAN_RESULT}>"),
+        "soft_results": soft.cast(f"array<{SCAN_RESULT}>"),
+        "was_redacted": (F.size("__one.found") > 0) | (F.size("__two.found") > 0), "redacted_text": F.col("__two.text"),
     })
     return drop_views(df.drop("__code", "__inj", "__mal", "__hard", "__sec", "__pii", "__one", "__two", "__chunk_fold"))
 
 
 def latch(scanned: DataFrame, stream: str, seq: str) -> DataFrame:
-    """Add decision and reason: after the first blocked chunk, the rest of the stream is denied for its reason.
+    """Add decision, reason and results: from the first blocked chunk on, a stream is denied for its reason.
 
-    The first block per stream is an aggregate (a row per blocked stream), joined back.
+    The first block per stream is an aggregate (a row per blocked stream), joined back. Only
+    that side runs the blocking rules, only the other one runs the redacting rules.
     """
     first = scanned.filter("block_reason IS NOT NULL").groupBy(stream).agg(
-        F.min(F.struct(F.col(seq).alias("at"), F.col("block_reason").alias("why"))).alias("__first"))
-    out = scanned.join(first, stream, "left")
+        F.min_by(F.struct(F.col(seq).alias("at"), F.col("block_reason").alias("why"), "block_results"), F.col(seq)).alias("__first"))
+    out = scanned.drop("block_reason", "block_results").join(first, stream, "left")
     denied = F.coalesce(F.col(seq) >= F.col("__first.at"), F.lit(False))
     late = F.coalesce(F.col(seq) > F.col("__first.at"), F.lit(False))
+    nothing = F.array().cast(f"array<{SCAN_RESULT}>")
     return out.withColumns({
         "decision": F.when(denied, "deny").otherwise("allow"),
         "reason": F.when(denied, F.col("__first.why")).when(F.col("was_redacted"), "chunk redacted").otherwise(""),
         "was_redacted": F.col("was_redacted") & ~denied,
-        "results": F.when(late, F.array().cast(f"array<{SCAN_RESULT}>")).otherwise(F.col("results")),
+        "results": F.when(late, nothing).when(denied, F.col("__first.block_results")).otherwise(F.col("soft_results")),
         "scanned": ~late,
         "redacted_text": F.when(~denied, F.col("redacted_text")),
-    }).drop("__first")
+    }).drop("__first", "soft_results")
 
 
 def finalize(latched: DataFrame, stream: str) -> DataFrame:

@@ -9,8 +9,9 @@ from agentguard.functions import text as tx
 from agentguard.functions.entropy import byte_entropies
 from agentguard.functions.jsonfuncs import flatten_json_strings
 from agentguard.functions.expr import sql_str
-from agentguard.operators.scan import TextViews, coalesce_sql, finding_sql, fires_sql, no_result, rule_stage
+from agentguard.operators.scan import TextViews, coalesce_sql, finding_sql, fires_sql, first_of, no_result
 from agentguard.rules import injection, malware
+from agentguard.rules.model import Rule
 
 BLOBS = "array<string>"
 
@@ -62,15 +63,15 @@ def archive_bomb_sql(data: str) -> str:
     )
 
 
-def _rule_branch(rule, cond: str) -> str:
+def _rule_branch(rule, cond: str) -> tuple:
     what = f"{rule.name} detected" if rule.rule_id == "script_detection" else f"signature match — {rule.name}"
-    return rule_stage(rule, cond, f"malware_scan: {what}", rule.name)
+    return cond, rule, f"malware_scan: {what}", rule.name
 
 
 def text_finding(views: TextViews, checks=malware.CHECKS) -> Column:
     """First script or signature rule that fires on the text itself, or NULL."""
     rules = [r for r in malware.PACK if ("script_detection" if r.rule_id == "script_detection" else "signatures") in checks]
-    return F.expr(coalesce_sql(_rule_branch(r, fires_sql(r, views)) for r in rules)) if rules else no_result()
+    return F.expr(first_of(_rule_branch(r, fires_sql(r, views)) for r in rules)) if rules else no_result()
 
 
 def blob_finding_sql(b: str, checks=malware.CHECKS, threshold: float = malware.ENTROPY_THRESHOLD,
@@ -100,15 +101,16 @@ def blob_finding_sql(b: str, checks=malware.CHECKS, threshold: float = malware.E
         gzip_found = finding_sql("malware", "gzip_bomb", text.format(k="gzip"), "'gzip'")
         stages.append(
             f"transform(array({archive_bomb_sql(data)}), a -> CASE a.rule_id WHEN 'zip_bomb' THEN {zip_found} WHEN 'gzip_bomb' THEN {gzip_found} END)[0]")
-    stages += [
-        f"CASE WHEN contains({b}.low, {sql_str(k)}) THEN "
-        + finding_sql("malware", "dangerous_decoded_content", sql_str(f"malware_scan: dangerous keyword detected in decoded content: {k}"), sql_str(k)) + " END"
+    keyword = Rule("malware", "dangerous_decoded_content", "")
+    fixed = [
+        (f"contains({b}.low, {sql_str(k)})", keyword, f"malware_scan: dangerous keyword detected in decoded content: {k}", k)
         for k in malware.DANGEROUS_KEYWORDS
     ]
     if "script_detection" in checks:
-        stages += [_rule_branch(r, f"rlike({b}.low, {sql_str(r.java_pattern)})") for r in malware.SCRIPTS]
+        fixed += [_rule_branch(r, f"rlike({b}.low, {sql_str(r.java_pattern)})") for r in malware.SCRIPTS]
     if "signatures" in checks:
-        stages += [_rule_branch(r, f"rlike({b}.text, {sql_str(r.java_pattern)})") for r in malware.SIGNATURES]
+        fixed += [_rule_branch(r, f"rlike({b}.text, {sql_str(r.java_pattern)})") for r in malware.SIGNATURES]
+    stages.append(first_of(fixed))
     return f"CASE WHEN {data} IS NOT NULL OR octet_length({b}.blob) > {2 * max_size} THEN {coalesce_sql(stages)} END"
 
 

@@ -8,6 +8,7 @@ Both modes read the text once and need no shuffle:
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -117,15 +118,30 @@ def finding_sql(scanner: str, rule_id: str, description: str, excerpt: str, conf
     )
 
 
-def rule_stage(rule: Rule, cond: str, description: str, excerpt: str) -> str:
-    """CASE branch for a rule with fixed description and excerpt."""
-    return f"CASE WHEN {cond} THEN {finding_sql(rule.scanner, rule.rule_id, sql_str(description), sql_str(excerpt), rule.confidence)} END"
-
-
 def coalesce_sql(stages) -> str:
     return f"coalesce(cast(NULL AS {SCAN_RESULT}), {', '.join(stages)})"
 
 
+def findings_table(rows) -> str:
+    """Fixed findings as one array literal: (scanner, rule_id, description, excerpt, confidence) rows.
+
+    Written as JSON so that the plan holds one constant instead of a dozen nodes per rule.
+    """
+    items = [
+        {"scanner": s, "rule_id": r, "description": d, "match_excerpt": e, "confidence": c, "blocked": True, "metadata": {}}
+        for s, r, d, e, c in rows
+    ]
+    return f"from_json({sql_str(json.dumps(items, ensure_ascii=False))}, 'array<{SCAN_RESULT}>')"
+
+
+def first_of(stages) -> str:
+    """Finding of the first branch (condition, rule, description, excerpt) that holds, or NULL."""
+    stages = list(stages)
+    cases = " ".join(f"WHEN {cond} THEN {i}" for i, (cond, *_) in enumerate(stages, 1))
+    rows = [(rule.scanner, rule.rule_id, text, excerpt, rule.confidence) for _, rule, text, excerpt in stages]
+    return f"element_at({findings_table(rows)}, CASE {cases} END)"
+
+
 def no_result() -> Column:
     return F.lit(None).cast(SCAN_RESULT)
 
@@ -178,8 +194,8 @@ def injection_finding(views: TextViews, direction: str = "request", sensitivity:
     is used for responses at high sensitivity.
     """
     reason = "prompt_injection" if direction == "request" else "prompt_injection_response"
-    patterns = F.expr(coalesce_sql(
-        rule_stage(r, fires_sql(r, views), f"{reason}: {injection.REASONS[r.rule_id]} (pattern: {r.pattern})", _clip(r.pattern))
+    patterns = F.expr(first_of(
+        (fires_sql(r, views), r, f"{reason}: {injection.REASONS[r.rule_id]} (pattern: {r.pattern})", _clip(r.pattern))
         for r in injection.PACK
     ))
     where = "arguments" if direction == "request" else "response"
@@ -206,19 +222,33 @@ def injection_finding(views: TextViews, direction: str = "request", sensitivity:
 REDACTED_EXCERPT = f"IF(octet_length(h) < 8, '{tx.MASK}', concat(left(h, 4), '{tx.MASK}', right(h, 2)))"
 
 
-def _first_hit_stage(rule: Rule, views: TextViews, description: str) -> str:
-    """Finding on the first hit of a rule when that hit is valid; the excerpt hides the value."""
-    hit = f"regexp_extract({views.name(rule.view)}, {sql_str(rule.java_pattern)}, 0)"
-    finding = finding_sql(rule.scanner, rule.rule_id, sql_str(description), REDACTED_EXCERPT, rule.confidence)
-    body = f"CASE WHEN {validator_sql(rule.validator, 'h')} THEN {finding} END"
-    return f"CASE WHEN {fires_sql(rule, views)} THEN transform(array({hit}), h -> {body})[0] END"
+def _first_hit(views: TextViews, rules, describe) -> Column:
+    """Finding of the first rule whose first hit is valid; the excerpt hides the value."""
+    if not rules:
+        return no_result()
+
+    def branch(i: int, rule: Rule) -> str:
+        hit = f"regexp_extract({views.name(rule.view)}, {sql_str(rule.java_pattern)}, 0)"
+        cond = fires_sql(rule, views)
+        if rule.validator:
+            cond += f" AND exists(array({hit}), h -> {validator_sql(rule.validator, 'h')})"
+        return f"WHEN {cond} THEN named_struct('i', {i}, 'h', {hit})"
+
+    table = findings_table((r.scanner, r.rule_id, describe(r), "", r.confidence) for r in rules)
+    found = f"CASE {' '.join(branch(i, r) for i, r in enumerate(rules, 1))} END"
+    fields = ", ".join(
+        f"'{f}', " + (f"transform(array(x.h), h -> {REDACTED_EXCERPT})[0]" if f == "match_excerpt" else f"t.{f}")
+        for f in ("scanner", "rule_id", "description", "match_excerpt", "confidence", "blocked", "metadata")
+    )
+    body = f"transform(array(element_at({table}, x.i)), t -> named_struct({fields}))[0]"
+    return F.expr(f"transform(array({found}), x -> CASE WHEN x IS NOT NULL THEN {body} END)[0]")
 
 
 def pii_finding(views: TextViews, rules) -> Column:
     """First PII rule whose first hit is valid, or NULL. A failed check skips that rule."""
-    return F.expr(coalesce_sql(_first_hit_stage(r, views, f"pii_scan: {r.name} detected ({r.note})") for r in rules)) if rules else no_result()
+    return _first_hit(views, tuple(rules), lambda r: f"pii_scan: {r.name} detected ({r.note})")
 
 
 def secrets_finding(views: TextViews, rules) -> Column:
     """First credential rule that fires, with the value hidden, or NULL."""
-    return F.expr(coalesce_sql(_first_hit_stage(r, views, f"secrets_scan: {r.note} detected") for r in rules)) if rules else no_result()
+    return _first_hit(views, tuple(rules), lambda r: f"secrets_scan: {r.note} detected")

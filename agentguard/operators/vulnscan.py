@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agentguard.operators.scan import TextViews, _clip, coalesce_sql, finding_sql, fires_sql, no_result, rule_stage
+from agentguard.operators.scan import TextViews, _clip, finding_sql, fires_sql, first_of, no_result
 from agentguard.operators.ssrf import first_ssrf
 from agentguard.rules import vuln
 
@@ -29,11 +29,10 @@ def vuln_finding(views: TextViews, rules=()) -> Column:
                 "transform", F.array(first_ssrf(views.raw)), F.expr(f"v -> CASE WHEN v IS NOT NULL THEN {found} END"))[0])
             continue
         branches = [
-            rule_stage(r, fires_sql(r, views), f"vuln_scan: {vuln.REASONS[group]} (pattern: {r.pattern})", _clip(r.pattern))
-            for r in _GROUPS[group]
+            (fires_sql(r, views), r, f"vuln_scan: {vuln.REASONS[group]} (pattern: {r.pattern})", _clip(r.pattern)) for r in _GROUPS[group]
         ]
         if group == "path_traversal":
-            found = finding_sql("vuln", group, "'vuln_scan: path traversal detected — null byte in path'", "'null byte'")
-            branches.append(f"CASE WHEN contains({views.name('raw')}, char(0)) THEN {found} END")
-        stages.append(F.expr(coalesce_sql(branches)))
+            branches.append((
+                f"contains({views.name('raw')}, char(0))", _GROUPS[group][0], "vuln_scan: path traversal detected — null byte in path", "null byte"))
+        stages.append(F.expr(first_of(branches)))
     return F.coalesce(*stages)
