@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentguard.operators.ordered import micros, previous
 from agentguard.sources.readers import METRICS
 
 # Allowed policy transitions, health ranking, defense layers, rollout waves.
@@ -14,6 +15,7 @@ TRANSITIONS = [
 HEALTH_RANK = {"healthy": 0, "unknown": 1, "degraded": 1, "down": 2}
 LAYERS = [(1, "proxy"), (2, "firewall"), (3, "ebpf")]
 WAVES = ("canary", "wave1", "wave2", "full")
+LIFECYCLE_SLICE_US = 30 * 86400 * 1_000_000
 
 
 def overview(agents: DataFrame) -> DataFrame:
@@ -124,14 +126,15 @@ def token_uses(uses: DataFrame) -> DataFrame:
 
 def lifecycle_violations(events: DataFrame) -> DataFrame:
     """Status changes of a policy version that are not allowed. A version starts as a draft."""
-    w = Window.partitionBy("version_id").orderBy("ts", "event_id")
-    steps = events.withColumn("previous", F.coalesce(F.lag("status").over(w), F.lit("draft")))
-    first = F.row_number().over(w) == 1
+    timed = events.withColumn("__us", micros(F.col("ts")))
+    steps = previous(timed, ["version_id"], "__us", ["event_id"], "status", "previous", LIFECYCLE_SLICE_US).drop("__us")
+    first = F.col("previous").isNull()
+    steps = steps.withColumn("__first", first).withColumn("previous", F.coalesce("previous", F.lit("draft")))
     allowed = F.lit(False)
     for a, b in TRANSITIONS:
         allowed = allowed | ((F.col("previous") == a) & (F.col("status") == b))
-    steps = steps.withColumn("__ok", allowed | (first & (F.col("status") == "draft")))
-    return steps.filter(~F.col("__ok")).drop("__ok")
+    steps = steps.withColumn("__ok", allowed | (F.col("__first") & (F.col("status") == "draft")))
+    return steps.filter(~F.col("__ok")).drop("__ok", "__first")
 
 
 def current_versions(events: DataFrame) -> DataFrame:

@@ -50,6 +50,21 @@ def running_sum(df: DataFrame, keys, us: str, ties, value: str, out: str, slice_
     return joined.withColumn(out, F.col("__before") + F.col("__inside")).drop("__slice", "__before", "__inside")
 
 
+def previous(df: DataFrame, keys, us: str, ties, value: str, out: str, slice_us: int) -> DataFrame:
+    """Value of the row before, in order of (`us`, `ties`); NULL for a key's first row.
+
+    Rows look back inside their time slice; the first row of a slice takes the last value of
+    the slice before, found from one row per slice.
+    """
+    cut = df.withColumn("__slice", F.floor(F.col(us) / slice_us))
+    last = cut.groupBy(*keys, "__slice").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(us, *ties)).alias("__l"))
+    over = Window.partitionBy(*keys).orderBy("__slice")
+    last = last.withColumn("__before", F.lag("__l").over(over)).drop("__l")
+    inside = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, "__slice").orderBy(us, *ties))
+    rows = cut.withColumn("__in", inside).join(last, [*keys, "__slice"])
+    return rows.withColumn(out, F.coalesce("__in", "__before")["v"]).drop("__slice", "__in", "__before")
+
+
 def merge_intervals(df: DataFrame, keys, start_us: str, end_us: str, max_length_us: int) -> DataFrame:
     """Overlapping or touching intervals of a key become one: (keys, start_us, end_us, merged).
 

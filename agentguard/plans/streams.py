@@ -121,20 +121,33 @@ def ndjson_lines(spark, sf):
 # --- live twins: the same input read as a stream, until it is used up ---------------------------
 
 
-def run_stream(spark, streamed, key: str):
-    """Run a streaming query to the end of its input and return what it wrote.
+def run_stream(spark, streamed, key: str, timers: bool = False):
+    """Run a streaming query to the end of its input; gives the output path and schema.
 
     Checkpoint and output go to the shared folder of the cluster; where none is set, as on a
-    single machine, to a new temporary folder.
+    single machine, to a new temporary folder. A query with state timers asks for empty
+    batches for ever, so these are switched off for it.
     """
     base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="agentguard-")
-    folder = tempfile.mkdtemp(prefix=f"{key}-", dir=base) if "://" not in base else f"{base.rstrip('/')}/{key}-{os.urandom(6).hex()}"
-    query = (
-        streamed.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(streamed.schema).parquet(f"{folder}/out")
+    folder = f"{base.rstrip('/')}/{key}-{os.urandom(6).hex()}"
+    empty_batches = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty_batches)
+    spark.conf.set(empty_batches, "false" if timers else before)
+    try:
+        query = (
+            streamed.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(empty_batches, before)
+    return f"{folder}/out", streamed.schema
+
+
+def written(spark, streamed, key: str, timers: bool = False):
+    """The rows a streaming query wrote until its input was used up."""
+    path, schema = run_stream(spark, streamed, key, timers)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_stream(spark, sf, name):
@@ -145,19 +158,19 @@ def read_stream(spark, sf, name):
 @register("live_threat_score", events.sql_of("threat_score"))
 def live_threat_score(spark, sf):
     stream = inputs.run_sql(spark, events.SECURITY_EVENTS, events=read_stream(spark, sf, "events"))
-    return run_stream(spark, live.stream_threat_scores(stream), "threat")
+    return written(spark, live.stream_threat_scores(stream), "threat")
 
 
 @register("live_overrides", f"SELECT node_id, action, start_us, end_us, trigger_event_id FROM ({events.sql_of('overrides')})")
 def live_overrides(spark, sf):
     stream = inputs.run_sql(spark, events.SECURITY_EVENTS, events=read_stream(spark, sf, "events"))
-    return run_stream(spark, live.stream_overrides(stream, events.RULES), "overrides")
+    return written(spark, live.stream_overrides(stream, events.RULES), "overrides")
 
 
 @register("live_deny_events", f"SELECT event_type, severity, tool, count(*) AS events FROM (SELECT tool, {auditing.SQL_EVENT_KIND} FROM {auditing.SQL_DECISIONS} WHERE decision = 'deny') GROUP BY ALL")
 def live_deny_events(spark, sf):
     stream = inputs.run_sql(spark, auditing.DECISIONS, events=read_stream(spark, sf, "events"))
-    out = run_stream(spark, live.deny_events(stream), "deny")
+    out = written(spark, live.deny_events(stream), "deny")
     return out.groupBy("event_type", "severity", "tool").agg(F.count("*").alias("events"))
 
 
@@ -167,7 +180,7 @@ def live_deny_events(spark, sf):
 """)
 def live_counters(spark, sf):
     stream = inputs.run_sql(spark, auditing.DECISIONS, events=read_stream(spark, sf, "events"))
-    return run_stream(spark, live.stream_counters(stream, "1 day"), "counters")
+    return written(spark, live.stream_counters(stream, "1 day"), "counters")
 
 
 @register("live_chunk_scan", f"SELECT stream_id, seq, decision, reason, redacted_text, was_redacted FROM ({_sql_scanned()})")
@@ -175,5 +188,6 @@ def live_chunk_scan(spark, sf):
     payloads = inputs.inline(spark, inputs.PAYLOADS, "pid int, shape string, payload string")
     sql = CHUNKS.replace("@explode@", _SPARK_EXPLODE)
     stream = inputs.run_sql(spark, sql, documents=read_stream(spark, sf, "documents"), payloads=payloads).drop("body")
-    return run_stream(spark, live.scan_stream(stream, POLICY), "chunks").select(
-        "stream_id", "seq", "decision", "reason", "redacted_text", "was_redacted")
+    path, schema = run_stream(spark, live.scan_stream(stream, POLICY), "chunks", timers=True)
+    scanned = spark.readStream.schema(schema).parquet(path)
+    return written(spark, live.stream_latch(scanned), "latched", timers=True).select("stream_id", "seq", "decision", "reason", "redacted_text", "was_redacted")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from agentguard.functions.labels import SEVERITY_WEIGHTS, reason_to_event, severity_weight
@@ -17,73 +16,65 @@ WATERMARK = "10 minutes"
 STATE_TTL_MS = 5 * 60 * 1000
 
 
-class _Overlap(StatefulProcessor):
-    """Carry-over of one stream: its last 200 characters, forgotten five minutes after the last chunk."""
+def _keep_alive(state: GroupState) -> None:
+    state.setTimeoutDuration(STATE_TTL_MS)
 
-    def __init__(self, seq: str, text: str):
-        self.seq, self.text = seq, text
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "tail string", STATE_TTL_MS)
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.seq)
-        tail, carries = (self.tail.get()[0] if self.tail.exists() else ""), []
-        for piece in pdf[self.text]:
+def stream_overlap(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text") -> DataFrame:
+    """Add the carry-over to each chunk. The state of a stream is its last 200 characters; it is
+    forgotten five minutes after the last chunk."""
+
+    def carry(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(seq)
+        tail, carries = (state.get[0] if state.exists else ""), []
+        for piece in pdf[text]:
             carries.append(tail)
             tail = (tail + piece)[-OVERLAP:]
-        self.tail.update((tail,))
+        state.update((tail,))
+        _keep_alive(state)
         yield pdf.assign(carry=carries)
 
-    def close(self) -> None:
-        pass
-
+    return chunks.groupBy(stream).applyInPandasWithState(
+        carry, _ddl(chunks) + ", carry string", "tail string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-class _Latch(StatefulProcessor):
-    """Block reason of one stream: once set, every later chunk is denied for it."""
 
-    def __init__(self, stream: str, seq: str):
-        self.stream, self.seq = stream, seq
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.why = handle.getValueState("why", "why string", STATE_TTL_MS)
+def stream_latch(scanned: DataFrame, stream: str = "stream_id", seq: str = "seq") -> DataFrame:
+    """Deny every chunk after the first blocked one. The state of a stream is its block reason."""
+    columns = [stream, seq, "decision", "reason", "was_redacted", "redacted_text"]
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.seq)
-        why, out = (self.why.get()[0] if self.why.exists() else None), []
+    def apply(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(seq)
+        why, out = (state.get[0] if state.exists else None), []
         for r in pdf.itertuples(index=False):
             why = why or r.block_reason or None
             redacted = bool(r.was_redacted) and not why
             reason = why or ("chunk redacted" if redacted else "")
-            out.append((getattr(r, self.stream), getattr(r, self.seq), "deny" if why else "allow", reason, redacted, None if why else r.redacted_text))
+            out.append((getattr(r, stream), getattr(r, seq), "deny" if why else "allow", reason, redacted, None if why else r.redacted_text))
         if why:
-            self.why.update((why,))
-        yield pd.DataFrame(out, columns=[self.stream, self.seq, "decision", "reason", "was_redacted", "redacted_text"])
-
-    def close(self) -> None:
-        pass
+            state.update((why,))
+            _keep_alive(state)
+        yield pd.DataFrame(out, columns=columns)
 
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def stream_overlap(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text") -> DataFrame:
-    """Add the carry-over to each chunk."""
-    return chunks.groupBy(stream).transformWithStateInPandas(
-        _Overlap(seq, text), _ddl(chunks) + ", carry string", "Append", "ProcessingTime")
-
-
-def stream_latch(scanned: DataFrame, stream: str = "stream_id", seq: str = "seq") -> DataFrame:
-    """Deny every chunk after the first blocked one."""
     slim = scanned.select(stream, seq, "block_reason", "was_redacted", "redacted_text")
     schema = _ddl(slim.select(stream, seq)) + ", decision string, reason string, was_redacted boolean, redacted_text string"
-    return slim.groupBy(stream).transformWithStateInPandas(_Latch(stream, seq), schema, "Append", "ProcessingTime")
+    return slim.groupBy(stream).applyInPandasWithState(apply, schema, "why string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def scan_stream(chunks: DataFrame, policy) -> DataFrame:
-    """Live counterpart of overlap, scan and latch (needs the RocksDB state store)."""
-    return stream_latch(scan_chunks(stream_overlap(chunks), policy))
+    """Live overlap and scan. Its output table is the source of `stream_latch`: a query holds
+    one arbitrary state, so the two run as chained queries."""
+    scanned = scan_chunks(stream_overlap(chunks), policy)
+    return scanned.drop("block_results", "soft_results", "carry")
 
 
 def stream_threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "event_id") -> DataFrame:
