@@ -318,7 +318,7 @@ def rule_matches(events: DataFrame, rules, node: str = "node_id") -> DataFrame:
         matched.append(F.when(cond, F.struct(
             F.lit(number).alias("rule_no"), F.lit(r.action).alias("action"), F.lit(r.duration).alias("duration"), F.lit(level).alias("level"))))
     hits = F.array_compact(F.array(*matched))
-    return df.withColumn("__m", F.explode(hits)).select("*", "__m.*").drop("__m", *[f"__recent_{w}" for w in windows])
+    return df.withColumn("__m", F.explode_outer(hits)).filter("__m IS NOT NULL").select("*", "__m.*").drop("__m", *[f"__recent_{w}" for w in windows])
 
 
 def overrides(events: DataFrame, rules, node: str = "node_id", event_id: str = "event_id") -> DataFrame:

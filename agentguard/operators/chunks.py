@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentguard.functions.expr import computed_once
 from agentguard.functions.labels import classify_intent
 from agentguard.operators import malscan, redact, scan
 from agentguard.operators.policy import Policy
@@ -25,7 +26,7 @@ def _sse_data(frame: Column) -> Column:
 def sse_events(df: DataFrame, text: str) -> DataFrame:
     """A row per event with data: adds seq, frame and data. Empty events and the end mark are skipped."""
     frames = df.select("*", F.posexplode(F.split(text, "\n\n")).alias("seq", "frame"))
-    return frames.withColumn("data", _sse_data(F.col("frame"))).filter(~F.col("data").isin("", DONE))
+    return computed_once(frames, "data", _sse_data(F.col("frame"))).filter(~F.col("data").isin("", DONE))
 
 
 def ndjson_lines(df: DataFrame, text: str) -> DataFrame:
@@ -128,8 +129,10 @@ def latch(scanned: DataFrame, stream: str, seq: str) -> DataFrame:
     The first block per stream is an aggregate (a row per blocked stream), joined back. Only
     that side runs the blocking rules, only the other one runs the redacting rules.
     """
-    first = scanned.filter("block_reason IS NOT NULL").groupBy(stream).agg(
-        F.min_by(F.struct(F.col(seq).alias("at"), F.col("block_reason").alias("why"), "block_results"), F.col(seq)).alias("__first"))
+    blocking = computed_once(
+        scanned.select(stream, seq, "block_reason", "block_results"), "__b",
+        F.struct(F.col(seq).alias("at"), F.col("block_reason").alias("why"), F.col("block_results")))
+    first = blocking.filter("__b.why IS NOT NULL").groupBy(stream).agg(F.min_by("__b", seq).alias("__first"))
     out = scanned.drop("block_reason", "block_results").join(first, stream, "left")
     denied = F.coalesce(F.col(seq) >= F.col("__first.at"), F.lit(False))
     late = F.coalesce(F.col(seq) > F.col("__first.at"), F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agentguard.functions import jsonfuncs, net, text as tx
 from agentguard.functions.entropy import window_stats
-from agentguard.functions.expr import let
+from agentguard.functions.expr import computed_once, let
 from agentguard.functions.regex import re2
 from agentguard.operators import malscan, redact, scan
 from agentguard.operators.policy import ALLOW, DENY, Policy
@@ -158,7 +158,7 @@ def evaluate_requests(df: DataFrame, policy: Policy, raw: str = "raw", default_a
     """
     parsed = parse_requests(df, raw)
     parsed, views = with_views(parsed, F.col("args"), _scanned_rules(policy, "request"), normalised=bool(policy.prompt_injection))
-    parsed = parsed.withColumn("__v", request_verdict(policy, views, default_action))
+    parsed = computed_once(parsed, "__v", request_verdict(policy, views, default_action))
     return drop_views(_finish(parsed, "__v"))
 
 
@@ -168,7 +168,8 @@ def shadow_compare(df: DataFrame, live: Policy, candidate: Policy, raw: str = "r
     rules = _scanned_rules(live, "request") + _scanned_rules(candidate, "request")
     normalised = bool(live.prompt_injection or candidate.prompt_injection)
     parsed, views = with_views(parsed, F.col("args"), rules, normalised=normalised)
-    parsed = parsed.withColumn("live", request_verdict(live, views)).withColumn("candidate", request_verdict(candidate, views))
+    parsed = computed_once(parsed, "live", request_verdict(live, views))
+    parsed = computed_once(parsed, "candidate", request_verdict(candidate, views))
     return drop_views(parsed.withColumns({
         "live_decision": F.col("live.decision"), "live_stage": F.col("live.stage"),
         "candidate_decision": F.col("candidate.decision"), "candidate_stage": F.col("candidate.stage"),
@@ -252,7 +253,7 @@ def evaluate_responses(df: DataFrame, policy: Policy, body: str = "body", method
         F.when(was, verdict(ALLOW, F.concat(F.lit("response redacted: "), F.array_join(reasons, "; ")), "response_redaction")),
         verdict(ALLOW, "response clean", "response_clean"),
     ]
-    df = df.withColumn("__v", F.coalesce(*stages))
+    df = computed_once(df, "__v", F.coalesce(*stages))
     denied_early = F.col("__inj").isNotNull() | F.col("__mal").isNotNull()
     soft = F.array_compact(F.array("__sec", "__pii"))
     results = F.when(F.col("__v.stage").isin("injection_scan", "malware_scan"), F.array_compact(F.array("__v.finding"))).otherwise(
@@ -327,5 +328,5 @@ def evaluate_policies(df: DataFrame, policies: dict[str, Policy], raw: str = "ra
     per_policy = F.array(*[
         F.struct(F.lit(name).alias("policy_id"), request_verdict(p, views).alias("v")) for name, p in policies.items()
     ])
-    out = parsed.withColumn("__p", F.explode(per_policy)).select("*", "__p.policy_id", F.col("__p.v").alias("__v")).drop("__p")
+    out = parsed.withColumn("__p", F.explode_outer(per_policy)).select("*", "__p.policy_id", F.col("__p.v").alias("__v")).drop("__p")
     return drop_views(_finish(out, "__v"))

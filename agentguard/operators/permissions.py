@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentguard.functions.expr import let, sql_str
+from agentguard.functions.expr import computed_once, let, sql_str
 from agentguard.functions.labels import CLASS_LEVELS, class_rank
 from agentguard.functions.regex import check_user_pattern
 from agentguard.operators.redact import candidates_sql
@@ -239,7 +239,8 @@ def permission_pipeline(df: DataFrame, perms: Permissions, text: str = "text", a
     """
     out = resolve_agent(df, perms, agent)
     out, views = with_views(out, F.col(text), perms.class_rules, normalised=False)
-    out = out.withColumn("__class", classify(views, perms)).withColumn("__dlp", dlp_scrub(text, perms))
+    out = computed_once(out, "__class", classify(views, perms))
+    out = computed_once(out, "__dlp", dlp_scrub(text, perms))
     level, name = F.col("__class.level"), F.lower(agent)
     present = F.col(text) != ""
     blocked = F.col("__class.blocked")
@@ -260,7 +261,7 @@ def permission_pipeline(df: DataFrame, perms: Permissions, text: str = "text", a
     if response:
         out, answer = with_views(out, F.col(response), prefix="__r", normalised=False)
         bad = sanitize_response(answer, perms, F.col("agent_platforms"))
-        out = out.withColumn("__step", step).withColumn("__bad", F.when(F.col("__step").isNull() & (answer.raw != ""), bad))
+        out = computed_once(out.withColumn("__step", step), "__bad", F.when(F.col("__step").isNull() & (answer.raw != ""), bad))
         rows.append(F.when(F.col("__bad").isNotNull(), _audit("sanitize", "deny", F.col("__bad"))))
         step = F.coalesce("__step", F.when(F.col("__bad").isNotNull(), "sanitize"))
     out = out.withColumns({

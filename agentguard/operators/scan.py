@@ -103,7 +103,8 @@ def scan_all(df: DataFrame, text: str, rules, keep) -> DataFrame:
     normalised = any(r.view.startswith("nfkc") for r in rules)
     df, views = with_views(df.select(*dict.fromkeys([*keep, text])), F.col(text), rules, normalised=normalised)
     hits = F.expr("array_compact(array(" + ", ".join(_rule_hits_sql(r, i, views) for i, r in enumerate(rules)) + "))")
-    out = df.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
+    # Outer: a plain explode would also compute the hits for an inferred "not empty" filter.
+    out = df.select(*keep, F.explode_outer(hits).alias("h")).select(*keep, "h.*")
     return out.filter("n_hits > 0")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agentguard.functions import text as tx, validators
 from agentguard.functions.entropy import window_stats
+from agentguard.functions.expr import computed_once
 from agentguard.operators import malscan, redact, scan, ssrf
 from agentguard.plans import inputs
 from agentguard.plans.base import TEXT_VIEWS, q, register, sql_findings, sql_fires, sql_valid, table
@@ -56,7 +57,7 @@ def _sql_redact(source: str, key: str, rules, tag) -> str:
 
 
 def _redacted(df, key, expr):
-    r = df.select(key, expr.alias("r"))
+    r = computed_once(df, "r", expr)
     return r.filter(F.size("r.found") > 0).select(key, F.col("r.text").alias("redacted"), F.array_join("r.found", "|").alias("found"))
 
 
@@ -83,7 +84,7 @@ def luhn_cards(spark, sf):
     docs = table(spark, sf, "documents", spread=True)
     from agentguard.functions.regex import re2
 
-    cards = docs.filter(F.col("text").rlike("[0-9]{2}")).select("doc_id", F.explode(tx.all_matches(F.col("text"), re2(_CARD))).alias("card"))
+    cards = docs.filter(F.col("text").rlike("[0-9]{2}")).select("doc_id", F.explode_outer(tx.all_matches(F.col("text"), re2(_CARD))).alias("card")).filter("card IS NOT NULL")
     return cards.withColumn("valid", validators.validate("luhn", F.col("card")))
 
 
@@ -99,7 +100,7 @@ def luhn_cards(spark, sf):
 def pii_first_match(spark, sf):
     rules = pii.select(min_confidence="medium")
     df, views = scan.with_views(inputs.messages(spark, sf), F.col("text"), rules, normalised=False)
-    hit = df.select(scan.pii_finding(views, rules).alias("f")).filter("f IS NOT NULL")
+    hit = computed_once(df, "f", scan.pii_finding(views, rules)).filter("f IS NOT NULL")
     return hit.groupBy(F.col("f.rule_id").alias("rule_id")).agg(F.count("*").alias("messages"), F.min("f.match_excerpt").alias("sample"))
 
 
@@ -131,7 +132,7 @@ _B64_KW = " OR ".join(f"contains(d, {q(k)})" for k in injection.BASE64_KEYWORDS)
 """)
 def base64_injection(spark, sf):
     msgs = inputs.messages(spark, sf).select("msg_id", "text")
-    return msgs.select("msg_id", scan.base64_injection(F.col("text")).alias("injected")).filter("injected")
+    return computed_once(msgs, "injected", scan.base64_injection(F.col("text"))).filter("injected").select("msg_id", "injected")
 
 
 @register("window_entropy", """
@@ -145,7 +146,7 @@ def base64_injection(spark, sf):
 """)
 def window_entropy(spark, sf):
     stats = window_stats(injection.ENTROPY_WINDOW, injection.ENTROPY_STEP, injection.ENTROPY_MIN_NONSPACE, injection.ENTROPY_LIMIT)
-    docs = table(spark, sf, "documents", spread=True).select("doc_id", stats(F.col("text")).alias("s"))
+    docs = computed_once(table(spark, sf, "documents", spread=True), "s", stats(F.col("text")))
     return docs.filter("s.windows > 0").select("doc_id", "s.windows", F.round("s.max_entropy", 6).alias("max_entropy"))
 
 
@@ -188,7 +189,7 @@ def sql_urls_indexed(source: str, key: str, column: str) -> str:
     "@source@", sql_urls_indexed(inputs.SQL_MESSAGES, "msg_id", "text")) + ")")
 def ssrf_urls(spark, sf):
     msgs = inputs.messages(spark, sf).select("msg_id", "text")
-    return msgs.select("msg_id", F.explode(ssrf.url_verdicts(F.col("text"))).alias("v")).select(
+    return msgs.select("msg_id", F.explode_outer(ssrf.url_verdicts(F.col("text"))).alias("v")).filter("v IS NOT NULL").select(
         "msg_id", F.col("v.url").alias("url"), F.col("v.verdict.description").alias("verdict"))
 
 
@@ -219,7 +220,7 @@ def page_hosts(spark, sf):
 """)
 def blob_findings(spark, sf):
     msgs = inputs.messages(spark, sf).select("msg_id", "text")
-    blobs = msgs.select("msg_id", F.explode(malscan.base64_blobs(F.col("text"))).alias("blob"))
+    blobs = msgs.select("msg_id", F.explode_outer(malscan.base64_blobs(F.col("text"))).alias("blob"))
     blobs = blobs.withColumn("d", malscan.decoded(F.col("blob"))).filter("d IS NOT NULL")
     return blobs.select(
         "msg_id", "blob", F.substr(F.hex("d"), F.lit(1), F.lit(8)).alias("head"),

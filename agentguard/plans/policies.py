@@ -363,7 +363,7 @@ def intent_labels(spark, sf):
 def egress_urls(spark, sf):
     from agentguard.operators.ssrf import URL_JAVA
 
-    urls = inputs.messages(spark, sf).select("msg_id", F.explode(tx.extract_urls(F.col("text"), URL_JAVA)).alias("url"))
+    urls = inputs.messages(spark, sf).select("msg_id", F.explode_outer(tx.extract_urls(F.col("text"), URL_JAVA)).alias("url")).filter("url IS NOT NULL")
     return urls.withColumn("problem", net.egress_url_problem(F.col("url")))
 
 
@@ -500,7 +500,7 @@ def permission_pipeline(spark, sf):
         corporate_email_domains=DLP.corporate_email_domains, dlp_custom=DLP.dlp_custom, max_response_bytes=1200)
     msgs = inputs.messages(spark, sf).withColumn("answer", perm.dlp_scrub("text", perms)["text"])
     out = perm.permission_pipeline(msgs, perms, response="answer")
-    return out.select(F.explode("audit").alias("a")).groupBy("a.action", "a.result").agg(F.count("*").alias("rows"))
+    return out.select(F.explode_outer("audit").alias("a")).filter("a IS NOT NULL").groupBy("a.action", "a.result").agg(F.count("*").alias("rows"))
 
 
 @register("conversation_scrub", f"""
