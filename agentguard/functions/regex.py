@@ -12,9 +12,12 @@ import re
 WORD = "0-9A-Za-z_"
 _SPACE_IN_CLASS = r"\t\n\f\r "
 _NOT_SPACE_IN_CLASS = r"\x00-\x08\x0B\x0E-\x1F\x21-\x{10FFFF}"
-_GENERIC_BOUNDARY = (
-    f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-)
+# Boundaries are ASCII whatever the flags: with case folding, [A-Za-z] would take in the long s
+# and the Kelvin sign, which are no word characters.
+_GENERIC_BOUNDARY = f"(?-iu:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+_AFTER_WORD = f"(?-iu:(?![{WORD}]))"
+_BEFORE_WORD = f"(?-iu:(?<![{WORD}]))"
+_FOLDS_OUTSIDE_ASCII = "skSK"
 _WORD_CLASS = re.compile(r"\[[A-Za-z0-9_\-]+\]")
 
 
@@ -67,41 +70,41 @@ def _optional(p: str, i: int) -> bool:
     return p[i : i + 1] in ("?", "*") or p[i : i + 2] == "{0"
 
 
-def _starts_with_word(p: str) -> bool:
-    """True when every match of `p` surely begins with a word character."""
+def _starts_with_word(p: str, fold: bool = False) -> bool:
+    """True when every match of `p` surely begins with an ASCII word character."""
     if not p:
         return False
     if p[0].isascii() and (p[0].isalnum() or p[0] == "_"):
-        return not _optional(p, 1)
-    if p.startswith(r"\d") or p.startswith(r"\w"):
+        return not _optional(p, 1) and not (fold and p[0] in _FOLDS_OUTSIDE_ASCII)
+    if p.startswith(r"\d") or (p.startswith(r"\w") and not fold):
         return not _optional(p, 2)
     m = _WORD_CLASS.match(p)
     if m:
-        return not _optional(p, m.end())
+        return not fold and not _optional(p, m.end())
     if p[0] == "(":
         end = _group_end(p, 0)
         body = p[3:end] if p.startswith("(?:") else p[1:end]
         if body.startswith("?") or _optional(p, end + 1):
             return False
-        return all(_starts_with_word(a) for a in _alternatives(body))
+        return all(_starts_with_word(a, fold) for a in _alternatives(body))
     return False
 
 
-def _ends_with_word(p: str) -> bool:
-    """True when every match of `p` surely ends with a word character."""
+def _ends_with_word(p: str, fold: bool = False) -> bool:
+    """True when every match of `p` surely ends with an ASCII word character."""
     if re.search(r"(?:^|[^\\])(?:\\\\)*\\[dw](?:\{[1-9]\d*(?:,\d*)?\}|\+)?$", p):
-        return True
+        return not fold or p.rstrip("+").split("{")[0].endswith(r"\d")
     if re.search(r"\[[A-Za-z0-9_\-]+\](?:\{[1-9]\d*(?:,\d*)?\}|\+)?$", p):
-        return True
+        return not fold
     if p and p[-1].isascii() and (p[-1].isalnum() or p[-1] == "_"):
-        return len(p) < 2 or p[-2] != "\\"
+        return (len(p) < 2 or p[-2] != "\\") and not (fold and p[-1] in _FOLDS_OUTSIDE_ASCII)
     if p.endswith(")") and not p.endswith("\\)"):
         for start in range(len(p) - 1, -1, -1):
             escaped = start and p[start - 1] == "\\"
             if p[start] == "(" and not escaped and _group_end(p, start) == len(p) - 1:
                 body = p[start + 1 : -1]
                 body = body[2:] if body.startswith("?:") else body
-                return not body.startswith("?") and all(_ends_with_word(a) for a in _alternatives(body))
+                return not body.startswith("?") and all(_ends_with_word(a, fold) for a in _alternatives(body))
     return False
 
 
@@ -119,6 +122,7 @@ def re2(pattern: str) -> str:
     """Translate an RE2 pattern to an equivalent java.util.regex pattern."""
     out: list[str] = ["(?d)"]
     i, n, in_class = 0, len(pattern), False
+    fold = "(?i)" in pattern
     while i < n:
         c = pattern[i]
         if c == "\\" and i + 1 < n:
@@ -128,10 +132,10 @@ def re2(pattern: str) -> str:
             elif nxt == "S":
                 out.append(_NOT_SPACE_IN_CLASS if in_class else f"[^{_SPACE_IN_CLASS}]")
             elif nxt == "b" and not in_class:
-                if _starts_with_word(pattern[i + 2 :]):
-                    out.append(f"{_peek(pattern[i + 2 :])}(?<![{WORD}])")
-                elif _ends_with_word(pattern[:i]):
-                    out.append(f"(?![{WORD}])")
+                if _starts_with_word(pattern[i + 2 :], fold):
+                    out.append(_peek(pattern[i + 2 :]) + _BEFORE_WORD)
+                elif _ends_with_word(pattern[:i], fold):
+                    out.append(_AFTER_WORD)
                 else:
                     out.append(_GENERIC_BOUNDARY)
             elif nxt == "x" and pattern[i + 2 : i + 3] == "{":
