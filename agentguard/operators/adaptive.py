@@ -97,20 +97,25 @@ def _exit_tables(times, reach, entries, strict):
 
 
 def _pieces(batches):
-    """Whole (chain_key, chunk) groups from batches that are sorted by group; memory is one group."""
-    held: list[pd.DataFrame] = []
+    """Columns of each whole (chain_key, chunk) from batches sorted by group; memory is one group."""
+    held: list[dict] = []
+
+    def joined():
+        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
     for pdf in batches:
         if pdf.empty:
             continue
-        keys, chunks = pdf["chain_key"].to_numpy(), pdf["chunk"].to_numpy()
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        keys, chunks = cols["chain_key"], cols["chunk"]
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1), len(pdf)]
         for a, b in zip(cuts, cuts[1:]):
-            if held and (held[0]["chain_key"].iloc[0] != keys[a] or held[0]["chunk"].iloc[0] != chunks[a]):
-                yield pd.concat(held) if len(held) > 1 else held[0]
+            if held and (held[0]["chain_key"][0] != keys[a] or held[0]["chunk"][0] != chunks[a]):
+                yield joined()
                 held = []
-            held.append(pdf.iloc[a:b])
+            held.append({c: v[a:b] for c, v in cols.items()})
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield joined()
 
 
 def _cut(rows: DataFrame, slice_us: int) -> DataFrame:
@@ -127,18 +132,19 @@ def _cut(rows: DataFrame, slice_us: int) -> DataFrame:
     return sliced.join(packed, ["chain_key", "__slice"]).drop("__slice")
 
 
-def _map_chunks(df: DataFrame, order, fn, schema: str, per_output: int = 500) -> DataFrame:
-    """Apply `fn` to each (chain_key, chunk), sorted by `order`; many small groups share a batch."""
+def _map_chunks(df: DataFrame, order, fn, schema: str, rows_per_batch: int = 20_000) -> DataFrame:
+    """Apply `fn` (columns to lists of columns) to each (chain_key, chunk) in `order`; small groups share a batch."""
 
     def run(batches):
-        out: list[pd.DataFrame] = []
+        out: dict = {}
         for piece in _pieces(batches):
-            out.append(fn(piece))
-            if len(out) >= per_output:
-                yield pd.concat(out)
-                out = []
+            for name, values in fn(piece).items():
+                out.setdefault(name, []).extend(values)
+            if len(out["chain_key"]) >= rows_per_batch:
+                yield pd.DataFrame(out)
+                out = {}
         if out:
-            yield pd.concat(out)
+            yield pd.DataFrame(out)
 
     spread = df.repartition("chain_key", "chunk").sortWithinPartitions("chain_key", "chunk", *order)
     return spread.mapInPandas(run, schema)
@@ -167,13 +173,13 @@ def greedy_chain(df: DataFrame, key: str, us: str, ties, reach_us: str, max_reac
     rows = first.select(F.col(key).alias("chain_key"), F.col(us).alias("us"), F.col("__r")[reach_us].alias("reach"), "__r")
     slim = _cut(rows.select("chain_key", "us", "reach"), max(SLICE_SECONDS, max_reach_seconds) * SECOND)
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, reach = pdf["us"].to_numpy(), pdf["reach"].to_numpy()
+    def summarise(piece: dict) -> dict:
+        times, reach = piece["us"], piece["reach"]
         entries = min(len(times), int(np.searchsorted(times, times[0] + max_reach_seconds * SECOND, side="right")) + 1)
-        return pd.DataFrame({
-            "chain_key": [pdf["chain_key"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]],
+        return {
+            "chain_key": piece["chain_key"][:1], "chunk": piece["chunk"][:1],
             "entries": [times[:entries]], "exits": [_exit_tables(times, reach, entries, strict)],
-        })
+        }
 
     def advance(state, row):
         i = int(_follow(np.asarray(row.entries), np.array([state[0]]), strict)[0])
@@ -184,14 +190,13 @@ def greedy_chain(df: DataFrame, key: str, us: str, ties, reach_us: str, max_reac
     states = tables.repartition("chain_key").sortWithinPartitions("chain_key", "chunk").mapInPandas(
         lambda it: _carry_state(it, (NEVER,), advance, ["chain_key", "chunk", "entry"]), f"chain_key {key_type}, chunk bigint, entry bigint")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, reach = pdf["us"].to_numpy(), pdf["reach"].to_numpy()
-        side = "right" if strict else "left"
-        i, links = int(np.searchsorted(times, int(pdf["entry"].iloc[0]), side=side)), []
+    def pick(piece: dict) -> dict:
+        times, nxt = piece["us"], _follow(piece["us"], piece["reach"], strict)
+        i, links = int(_follow(times, piece["entry"][:1], strict)[0]), []
         while i < len(times):
             links.append(i)
-            i = int(np.searchsorted(times, reach[i], side=side))
-        return pdf.iloc[links][["chain_key", "us"]]
+            i = int(nxt[i])
+        return {"chain_key": piece["chain_key"][links], "us": times[links]}
 
     links = _map_chunks(slim.join(states, ["chain_key", "chunk"]), ["us"], pick, f"chain_key {key_type}, us bigint")
     chosen = rows.join(links, ["chain_key", "us"])
@@ -274,11 +279,11 @@ def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "eve
     key_type = rows.schema["chain_key"].dataType.simpleString()
     id_type = rows.schema["event"].dataType.simpleString()
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries, gain, last, b, lo, hi, total = _score_table(pdf["us"].to_numpy(), pdf["weight"].to_numpy())
-        return pd.DataFrame({
-            "chain_key": [pdf["chain_key"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "entries": [entries], "gain": [gain],
-            "last": [last], "b": [b], "lo": [lo], "hi": [hi], "total": [total]})
+    def summarise(piece: dict) -> dict:
+        entries, gain, last, b, lo, hi, total = _score_table(piece["us"], piece["weight"])
+        return {
+            "chain_key": piece["chain_key"][:1], "chunk": piece["chunk"][:1], "entries": [entries], "gain": [gain],
+            "last": [last], "b": [b], "lo": [lo], "hi": [hi], "total": [total]}
 
     arrays = ", ".join(f"{c} array<bigint>" for c in ("entries", "gain", "last", "b", "lo", "hi"))
     tables = _map_chunks(rows, ["us", "event"], summarise, f"chain_key {key_type}, chunk bigint, {arrays}, total bigint")
@@ -286,9 +291,9 @@ def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "eve
         lambda it: _carry_state(it, (NEVER, 0), _advance_score, ["chain_key", "chunk", "last", "score"]),
         f"chain_key {key_type}, chunk bigint, last bigint, score bigint")
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _scores(pdf["us"].to_numpy(), pdf["weight"].to_numpy(), int(pdf["last"].iloc[0]), int(pdf["score"].iloc[0]))
-        return pdf[["chain_key", "event"]].assign(score=out)
+    def score(piece: dict) -> dict:
+        out = _scores(piece["us"], piece["weight"], int(piece["last"][0]), int(piece["score"][0]))
+        return {"chain_key": piece["chain_key"], "event": piece["event"], "score": out}
 
     scored = _map_chunks(rows.join(states, ["chain_key", "chunk"]), ["us", "event"], score, f"chain_key {key_type}, event {id_type}, score bigint")
     return scored.select(F.col("chain_key").alias(node), F.col("event").alias(event_id), F.col("score").alias("threat_score"))
