@@ -369,7 +369,18 @@ def egress_urls(spark, sf):
 
 # --- policy difference and case table --------------------------------------------------------
 
-@register("policy_diff")
+_SQL_DIFF = [
+    ("default_action", "deny", "allow", "changed"), ("prompt_injection", "enabled", "disabled", "changed"), ("malware_scan", "enabled", "disabled", "changed"),
+    ("siem.enabled", "false", "true", "changed"), ("allowlist", "6 entries: chat.send, chat.stream, code.generate, search.query, tools.invoke, web.get", None, "removed"),
+    ("denylist", "1 entries: file.write", None, "removed"), ("denylist", None, "+1 entries: tools.invoke", "added"),
+    ("domain_allowlist", "2 entries: *.example.org, api.example.com", None, "removed"),
+]
+
+
+@register("policy_diff", f"""
+    SELECT d.*, coalesce(h.n, 0) AS decided_messages FROM {values(_SQL_DIFF, ["field", "old_value", "new_value", "change_type"])} d
+    LEFT JOIN (SELECT stage, count(*) AS n FROM ({SQL_REQUEST_DECISIONS}) GROUP BY stage) h ON d.field = h.stage
+""")
 def policy_diff(spark, sf):
     """Differences of the two policies, each with the messages the changed field decided."""
     diff = diff_policies(spark, LIVE, CANDIDATE)

@@ -28,23 +28,28 @@ KERNEL = {
 }
 
 
+SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
 def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
     """Parquet table. `spread` redistributes an input too small to occupy the cores.
 
     Pattern matching is bound by CPU, so one row group on one core is the bottleneck of a
-    small input. Inputs with at least as many splits as cores are left as they are.
+    small input. Inputs of at least 32 MB per core are left as they are.
     """
     df = spark.read.parquet(path)
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if _row_groups_below(df, cores):
-            return df.repartition(cores)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and _size_in_bytes(df) < cores * SPREAD_BYTES_PER_CORE:
+        return df.repartition(cores)
     return df
 
 
-def _row_groups_below(df: DataFrame, cores: int) -> bool:
-    """Fewer files than cores: file listing is already in the plan, no data is read."""
-    return len(df.inputFiles()) < cores
+def _size_in_bytes(df: DataFrame) -> float:
+    """Size of the files by the optimiser's statistics; no data is read and no file list is fetched."""
+    try:
+        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return float("inf")
 
 
 def read_messages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
