@@ -53,7 +53,7 @@ def with_overlap(df: DataFrame, stream: str, seq: str, text: str, out: str = "ca
     text offsets, so that a frame never holds more than 200 characters.
     """
     late = F.pmod(F.col(seq), F.lit(SLICE_CHUNKS)) >= SLICE_CHUNKS - OVERLAP
-    # Empty chunks add nothing to the carry-over; the repeated stretch counts filled ones only when none is empty.
+    # Chunks are not empty: framing drops empty events and blank lines.
     cut = df.withColumn("__own", F.floor(F.col(seq) / SLICE_CHUNKS)).withColumn(
         "__slice", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
     piece = Window.partitionBy(stream, "__slice")

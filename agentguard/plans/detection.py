@@ -96,7 +96,7 @@ def luhn_cards(spark, sf):
           f"CASE WHEN {sql_valid(r.validator, f'h{i}')} AND h{i} <> '' THEN CASE WHEN strlen(h{i}) < 8 THEN '****' ELSE left(h{i}, 4) || '****' || right(h{i}, 2) END END" for i, r in enumerate(pii.select(min_confidence='medium')))}) AS excerpt
       FROM (SELECT {", ".join(f"regexp_extract(text, {q(r.pattern)}) AS h{i}" for i, r in enumerate(pii.select(min_confidence='medium')))} FROM {inputs.SQL_MESSAGES}))
     WHERE rule_id IS NOT NULL GROUP BY rule_id
-""".replace("split_part(h", "split_part(h"))
+""")
 def pii_first_match(spark, sf):
     rules = pii.select(min_confidence="medium")
     df, views = scan.with_views(inputs.messages(spark, sf), F.col("text"), rules, normalised=False)
@@ -171,13 +171,6 @@ SQL_URL_VERDICT = f"""
 """
 
 
-def sql_urls(source: str, key: str, column: str) -> str:
-    return (
-        f"(SELECT k, u, generate_subscripts(us, 1) AS idx FROM (SELECT {key} AS k, us, unnest(us) AS u "
-        f"FROM (SELECT {key}, regexp_extract_all({column}, {q(tx.URL_PATTERN)}) AS us FROM {source})))"
-    )
-
-
 def sql_urls_indexed(source: str, key: str, column: str) -> str:
     return (
         f"(SELECT k, us[idx] AS u, idx FROM (SELECT {key} AS k, us, unnest(range(1, len(us) + 1)) AS idx "
