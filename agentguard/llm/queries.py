@@ -64,3 +64,31 @@ def chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_ADDED).alias("text"))
     return conversation_digest(format_conversations(given.unionByName(added)))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op4_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@register("op9_token_files")
+def token_files(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.token_files import write_and_read
+
+    return write_and_read(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@register("op10_token_counts")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
