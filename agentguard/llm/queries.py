@@ -92,3 +92,42 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from agentguard.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
+@register("op3_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.language_id import identify
+
+    return identify(table(spark, sf, "documents"))
+
+
+@register("op6_source_mix")
+def source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.mixing import plan_mixture, taken_words
+
+    sizes, mixture = plan_mixture(table(spark, sf, "documents"))
+    return taken_words(sizes, mixture).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@register("op7_warc", sql="""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f""")
+def warc(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf, "pages"))
+
+
+@register("op8_top_k", sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10""")
+def top_k(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.topk import search
+
+    return search(table(spark, sf, "embeddings"), every=100, k=10)
