@@ -164,8 +164,8 @@ def decode_ids(ids, path: str) -> str:
     return " ".join(tokens[i] for i in ids if tokens[i])
 
 
-def _digests(texts: list[str], path: str) -> tuple[list[int], list[str], list[str]]:
-    """Per text: number of ids, digest of the ids, digest of the decoded text."""
+def _digests(texts: list[str], path: str) -> tuple[list[int], list[str], list[str], np.ndarray]:
+    """Per text: number of ids, digest of the ids, digest of the decoded text; and all ids in turn."""
     bpe = word_bpe(path)
     spans, per_text = distinct_words(texts, path)
     ids, start, count = bpe.cache.resolve(spans, bpe.encode_words)
@@ -185,7 +185,7 @@ def _digests(texts: list[str], path: str) -> tuple[list[int], list[str], list[st
         at += words
         id_digests.append(hashlib.sha256(" ".join([as_ids[k] for k in which]).encode()).hexdigest())
         text_digests.append(hashlib.sha256(" ".join([as_text[k] for k in which]).encode("utf-8", "surrogatepass")).hexdigest())
-    return n, id_digests, text_digests
+    return n, id_digests, text_digests, gather(ids, start[spans.which], count[spans.which])
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,23 +210,27 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256 and decoded_sha256, as `encode` and `decode_ids` give them.
 
     Digests are of the decimal ids joined by a space and of the decoded text in UTF-8; a null or
-    empty text has no ids and decodes to an empty text. Repeated rows stay.
+    empty text has no ids and decodes to an empty text. `with_ids` adds the ids. Repeated rows stay.
     """
-    schema = T.StructType([
-        docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-        T.StructField("decoded_sha256", T.StringType())])
+    fields = [docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+              T.StructField("decoded_sha256", T.StringType())]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
+    schema = T.StructType(fields)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in byte_batches(batches, text_col):
-            n, ids, decoded = _digests([x or "" for x in batch.column(text_col).to_pylist()], path)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=schema.names)
+            n, digests, decoded, ids = _digests([x or "" for x in batch.column(text_col).to_pylist()], path)
+            columns = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

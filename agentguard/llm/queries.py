@@ -131,3 +131,10 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
     from agentguard.llm.topk import search
 
     return search(table(spark, sf, "embeddings"), every=100, k=10)
+
+
+@register("op5_ngram_join")
+def ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.ngram_join import similar_components
+
+    return similar_components(table(spark, sf, "documents"), words=3, percent=90)
