@@ -187,7 +187,10 @@ def taken_words(sizes: DataFrame, mixture: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mixture, each as often as it is taken, with their columns."""
-    keyed = stage(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    _, mixture = plan_mixture(keyed, row_col="_mix_row", **how)
-    chosen = mixture.select("row")
-    return keyed.join(chosen, keyed["_mix_row"] == chosen["row"]).drop("_mix_row", "row")
+    name = "_mix_row"
+    while name in docs.columns:
+        name += "_"
+    keyed = stage(docs.withColumn(name, F.monotonically_increasing_id()), "mix-documents")
+    _, mixture = plan_mixture(keyed, row_col=name, **how)
+    chosen = mixture.select(F.col("row").alias(name + "_taken"))
+    return keyed.join(chosen, keyed[name] == chosen[name + "_taken"]).drop(name, name + "_taken")
