@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,9 +30,7 @@ def _reject(_):
 
 
 @F.pandas_udf(T.StringType())
-def json_status(raw: pd.Series) -> pd.Series:
-    """`ok`, `duplicate` (a repeated key at any depth) or `invalid`; NULL counts as invalid."""
-
+def _json_status(raw: pd.Series) -> pd.Series:
     def status(text):
         if text is None:
             return "invalid"
@@ -42,7 +41,8 @@ def json_status(raw: pd.Series) -> pd.Series:
             dup = dup or len({k for k, _ in pairs}) != len(pairs)
 
         try:
-            json.loads(text, object_pairs_hook=hook, parse_constant=_reject)
+            # Numbers stay text: their size is no reason to refuse a message.
+            json.loads(text, object_pairs_hook=hook, parse_constant=_reject, parse_int=str, parse_float=str)
         except (ValueError, RecursionError):
             return "invalid"
         return "duplicate" if dup else "ok"
@@ -50,6 +50,18 @@ def json_status(raw: pd.Series) -> pd.Series:
     return raw.map(status, na_action=None)
 
 
+def json_status(raw: Column) -> Column:
+    """`ok`, `duplicate` (a repeated key at any depth) or `invalid`; NULL counts as invalid.
+
+    The JVM's strict parser, which refuses repeated keys, passes what is one value and nothing
+    else. Only the texts it refuses go to Python, to tell repeated keys from other faults.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    strict = F.coalesce(one & F.try_parse_json(F.concat(F.lit('{"w":'), raw, F.lit("}"))).isNotNull(), F.lit(False))
+    return F.when(strict, F.lit("ok")).otherwise(_json_status(F.when(~strict, raw)))
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc_batch(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -85,18 +97,49 @@ def _hide(value):
     return value
 
 
+def _number(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError("out of range")
+    return value
+
+
+def _number_text(value: float) -> str:
+    """Shortest decimal form; exponents only below 1e-6 and from 1e21 on."""
+    if value and not 1e-6 <= abs(value) < 1e21:
+        head, _, exponent = repr(value).partition("e")
+        return head.removesuffix(".0") + "e" + exponent[0] + exponent[1:].lstrip("0") if exponent else head
+    text = format(Decimal(repr(value)), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
+#: Signs that are written as escapes inside strings.
+_ESCAPES = str.maketrans({c: f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"})
+
+
+def canonical_json(value) -> str:
+    """Compact JSON with sorted keys, numbers as doubles in their shortest form, and <, >, & escaped."""
+    if isinstance(value, dict):
+        return "{" + ",".join(canonical_json(k) + ":" + canonical_json(v) for k, v in sorted(value.items())) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical_json, value)) + "]"
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False).translate(_ESCAPES)
+    if isinstance(value, float):
+        return _number_text(value)
+    return json.dumps(value)
+
+
 @F.pandas_udf(T.StringType())
 def redact_json(args: pd.Series) -> pd.Series:
     """Nested arguments with sensitive values hidden, keys sorted; NULL when not a JSON object."""
 
     def one(text):
         try:
-            value = json.loads(text)
+            value = json.loads(text, parse_int=_number, parse_float=_number, parse_constant=_reject)
+            return canonical_json(_hide(value)) if isinstance(value, dict) else None
         except (ValueError, TypeError, RecursionError):
             return None
-        if not isinstance(value, dict):
-            return None
-        return json.dumps(_hide(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
     return args.map(one, na_action="ignore")
 

@@ -54,6 +54,39 @@ def ipv4_to_long(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4_PATTERN), value)
 
 
+def ipv6_groups(ip: Column) -> Column:
+    """The eight numbers of an IPv6 address in any of its spellings; NULL for anything else."""
+    low = F.lower(ip)
+    dotted = F.regexp_extract(low, r":(\d+\.\d+\.\d+\.\d+)\z", 1)
+    number = ipv4_to_long(dotted)
+    tail = F.concat(F.lower(F.hex(F.shiftrightunsigned(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(0xFFFF))))
+    plain = F.when(dotted == "", low).otherwise(F.concat(F.left(low, F.length(low) - F.length(dotted)), tail))
+
+    def groups(text: Column) -> Column:
+        parts = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+        cut = F.instr(text, F.lit("::"))
+        head, rest = parts(F.substring(text, F.lit(1), cut - 1)), parts(F.substring(text, cut + 2, F.length(text)))
+        room = F.lit(8) - F.size(head) - F.size(rest)
+        filled = F.when(room >= 1, F.concat(head, F.array_repeat(F.lit("0"), room), rest))
+        listed = F.when(cut > 0, filled).otherwise(F.split(text, ":"))
+        fits = (F.size(listed) == 8) & F.forall(listed, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z")) & ~text.rlike("::.*::|:::")
+        return F.when(fits, F.transform(listed, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    return F.when(F.contains(ip, F.lit(":")), let(plain, groups))
+
+
+def ipv4_mapped(groups: Column) -> Column:
+    """The IPv4 address number inside an IPv4-mapped IPv6 address, or NULL."""
+    mapped = F.forall(F.slice(groups, 1, 5), lambda g: g == 0) & (groups[5] == 0xFFFF)
+    return F.when(mapped, groups[6] * 65536 + groups[7])
+
+
+def internal_ipv6(groups: Column) -> Column:
+    """Loopback, unique-local and link-local addresses."""
+    loopback = F.forall(F.slice(groups, 1, 7), lambda g: g == 0) & (groups[7] == 1)
+    return loopback | (groups[0].bitwiseAND(0xFE00) == 0xFC00) | (groups[0].bitwiseAND(0xFFC0) == 0xFE80)
+
+
 def long_le_to_ipv4(addr: Column) -> Column:
     """Dotted address of a little-endian 32-bit number, as kernel events carry it."""
     return F.concat_ws(".", *[F.shiftright(addr, 8 * i).bitwiseAND(255).cast("string") for i in range(4)])

@@ -118,19 +118,77 @@ def _peek(p: str) -> str:
     return f"(?={m.group()})" if m else ""
 
 
+# Named ASCII classes of the RE2 dialect.
+_POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
+    "graph": r"!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z",
+    "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+_LINE_START, _LINE_END = r"(?:\A|(?<=\n))", r"(?:\z|(?=\n))"
+_NOT_BOUNDARY = f"(?-iu:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
+_FLAGS = re.compile(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])")
+_REPEAT = re.compile(r"\{(\d+)(?:,(\d*))?\}")
+_NAMED_GROUP = re.compile(r"\(\?P?<[A-Za-z_][A-Za-z0-9_]*>")
+_MAX_REPEAT = 1000
+
+
+def _property(pattern: str, i: int) -> tuple[str, int]:
+    """A Unicode class at `i` (behind the backslash) for the JVM, and where it ends."""
+    negative, i = pattern[i] == "P", i + 1
+    if pattern[i : i + 1] == "{":
+        end = pattern.index("}", i)
+        name, i = pattern[i + 1 : end], end + 1
+    else:
+        name, i = pattern[i : i + 1], i + 1
+    if name.startswith("^"):
+        negative, name = not negative, name[1:]
+    if not name:
+        raise ValueError(f"no class name in {pattern!r}")
+    if name == "Any":
+        return (r"[^\x00-\x{10FFFF}]" if negative else r"[\x00-\x{10FFFF}]"), i
+    return "\\" + ("P" if negative else "p") + "{" + (name if len(name) <= 2 else "Is" + name) + "}", i
+
+
+def _posix(pattern: str, i: int) -> tuple[str, int] | None:
+    """A named class at `i` inside brackets, and where it ends."""
+    m = re.compile(r"\[:(\^?)([a-z]+):\]").match(pattern, i)
+    if not m:
+        return None
+    if m[2] not in _POSIX:
+        raise ValueError(f"unknown class {m[0]} in {pattern!r}")
+    return (f"[^{_POSIX[m[2]]}]" if m[1] else _POSIX[m[2]]), m.end()
+
+
 def re2(pattern: str) -> str:
-    """Translate an RE2 pattern to an equivalent java.util.regex pattern."""
+    """Translate an RE2 pattern to an equivalent java.util.regex pattern.
+
+    Raises ValueError for what RE2 does not know (look-around, back references, repetitions over
+    1000) and for ungreedy mode, which is not translated.
+    """
     out: list[str] = ["(?d)"]
     i, n, in_class = 0, len(pattern), False
-    fold = "(?i)" in pattern
+    fold, lines = False, False
+    outer: list[tuple[bool, bool]] = []
     while i < n:
         c = pattern[i]
         if c == "\\" and i + 1 < n:
             nxt = pattern[i + 1]
+            if nxt in "pP":
+                text, i = _property(pattern, i + 1)
+                out.append(text)
+                continue
+            if nxt == "Q":
+                end = pattern.find("\\E", i)
+                body = pattern[i + 2 :] if end < 0 else pattern[i + 2 : end]
+                out.append("".join("\\" + x if x.isascii() and not x.isalnum() else x for x in body))
+                i = n if end < 0 else end + 2
+                continue
             if nxt == "s":
                 out.append(_SPACE_IN_CLASS if in_class else f"[{_SPACE_IN_CLASS}]")
             elif nxt == "S":
                 out.append(_NOT_SPACE_IN_CLASS if in_class else f"[^{_SPACE_IN_CLASS}]")
+            elif nxt == "v":
+                out.append(r"\x0B")
             elif nxt == "b" and not in_class:
                 if _starts_with_word(pattern[i + 2 :], fold):
                     out.append(_peek(pattern[i + 2 :]) + _BEFORE_WORD)
@@ -138,16 +196,25 @@ def re2(pattern: str) -> str:
                     out.append(_AFTER_WORD)
                 else:
                     out.append(_GENERIC_BOUNDARY)
+            elif nxt == "B" and not in_class:
+                out.append(_NOT_BOUNDARY)
             elif nxt == "x" and pattern[i + 2 : i + 3] == "{":
                 end = pattern.index("}", i)
                 out.append(pattern[i : end + 1])
                 i = end + 1
                 continue
+            elif nxt in "123456789" or nxt.isalpha() and nxt not in "adDwWftnrxAz":
+                raise ValueError(f"\\{nxt} is not known in {pattern!r}")
             else:
                 out.append(c + nxt)
             i += 2
             continue
         if in_class:
+            named = _posix(pattern, i) if c == "[" else None
+            if named:
+                out.append(named[0])
+                i = named[1]
+                continue
             if c == "]":
                 in_class = False
                 out.append(c)
@@ -168,31 +235,80 @@ def re2(pattern: str) -> str:
                 out.append("\\]")
                 i += 1
             continue
-        if c == "$":
-            out.append("\\z")
-        elif pattern.startswith("(?i)", i):
-            out.append("(?iu)")
-            i += 4
-            continue
+        if c == "(":
+            if flags := _FLAGS.match(pattern, i):
+                on, off, end = flags[1], flags[2] or "", flags[3]
+                if "U" in on or not (on or off or end == ":"):
+                    raise ValueError(f"flags {flags[0]!r} are not supported in {pattern!r}")
+                if end == ":":
+                    outer.append((fold, lines))
+                fold, lines = (fold or "i" in on) and "i" not in off, (lines or "m" in on) and "m" not in off
+                plus = ("iu" if "i" in on else "") + ("s" if "s" in on else "")
+                minus = ("i" if "i" in off else "") + ("s" if "s" in off else "")
+                text = plus + ("-" + minus if minus else "")
+                out.append(f"(?{text}{end}" if text or end == ":" else "")
+                i = flags.end()
+                continue
+            outer.append((fold, lines))
+            if named := _NAMED_GROUP.match(pattern, i):
+                out.append("(")  # names differ between the dialects; numbers do not
+                i = named.end()
+                continue
+            if pattern.startswith("(?", i):
+                raise ValueError(f"{pattern[i : i + 4]!r} is not known in {pattern!r}")
+            out.append(c)
+        elif c == ")":
+            if not outer:
+                raise ValueError(f"unbalanced group in {pattern!r}")
+            fold, lines = outer.pop()
+            out.append(c)
+        elif c == "$":
+            out.append(_LINE_END if lines else "\\z")
+        elif c == "^" and lines:
+            out.append(_LINE_START)
+        elif c == "{":
+            repeat = _REPEAT.match(pattern, i)
+            if repeat and max(int(repeat[1]), int(repeat[2] or 0)) > _MAX_REPEAT:
+                raise ValueError(f"more than {_MAX_REPEAT} repetitions in {pattern!r}")
+            out.append(c if repeat else "\\{")
         else:
             out.append(c)
         i += 1
+    if in_class or outer:
+        raise ValueError(f"unbalanced brackets or groups in {pattern!r}")
     return "".join(out)
 
 
 _NESTED_LOOP = re.compile(r"\((?:\?:)?[^()\[\]]*(?:\||[*+])[^()\[\]]*\)[*+](?!\+)")
+_ONE_SIGN = r"(?:\\[dDwWsS]|\\[^A-Za-z0-9\s]|[^\\\[\](){}|*+?.^$\s])"
+_SIGN_CHOICE = re.compile(rf"\((?:\?:)({_ONE_SIGN}(?:\|{_ONE_SIGN})+)\)(?=[*+])")
+
+
+def _as_class(m: re.Match) -> str:
+    """A choice between single signs as a class, which loops without recursion."""
+    signs = re.findall(_ONE_SIGN, m[1])
+    return "[" + "".join(x if x.startswith("\\") or x.isalnum() else "\\" + x for x in signs) + "]"
 
 
 def check_user_pattern(pattern: str) -> str:
-    """Reject patterns that do not compile, or that can overflow the JVM matcher's stack.
+    """The pattern in a form that is safe on the JVM; ValueError where there is none.
 
-    An alternation or loop inside an unbounded group recurses once per repetition on
-    the JVM; such a rule has to be rewritten with a possessive quantifier first.
+    An alternation or loop inside an unbounded group recurses once per repetition on the JVM. Choices
+    between single signs become classes; any other such rule has to be rewritten with a possessive
+    quantifier. The translation is compiled by Spark where a session is at hand.
     """
-    try:
-        re.compile(re.sub(r"\\x\{[0-9A-Fa-f]+\}", ".", pattern))
-    except re.error as err:
-        raise ValueError(f"invalid pattern {pattern!r}: {err}") from err
+    pattern = _SIGN_CHOICE.sub(_as_class, pattern)
+    java = re2(pattern)
     if _NESTED_LOOP.search(pattern):
         raise ValueError(f"pattern {pattern!r} repeats an alternation or a loop without bound")
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session.range(1).select(F.lit("").rlike(java)).collect()
+        except PySparkException as err:
+            raise ValueError(f"invalid pattern {pattern!r}: {err}") from err
     return pattern

@@ -108,11 +108,11 @@ def text_search(decisions: DataFrame, text: str, decision: str | None = None, sc
 
 
 def recent(decisions: DataFrame, since=None, source: str | None = None, limit: int = 100) -> DataFrame:
-    """The newest rows (1000 at most), with empty text in place of NULL."""
+    """The newest `limit` rows, with empty text in place of NULL."""
     out = decisions if since is None else decisions.filter(F.col("timestamp") >= F.lit(since).cast("timestamp"))
     out = out.filter(F.col("source") == source) if source else out
     texts = [f.name for f in out.schema.fields if f.dataType.simpleString() == "string"]
-    newest = out.orderBy(F.col("timestamp").desc(), F.col("decision_id").desc()).limit(min(limit, 1000))
+    newest = out.orderBy(F.col("timestamp").desc(), F.col("decision_id").desc()).limit(limit)
     return newest.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 
 

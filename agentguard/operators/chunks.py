@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentguard.functions.expr import computed_once
+from agentguard.functions.expr import computed_once, let
 from agentguard.functions.labels import classify_intent
 from agentguard.operators import malscan, redact, scan
 from agentguard.operators.policy import Policy
@@ -24,15 +24,16 @@ def _sse_data(frame: Column) -> Column:
 
 
 def sse_events(df: DataFrame, text: str) -> DataFrame:
-    """A row per event with data: adds seq, frame and data. Empty events and the end mark are skipped."""
-    frames = df.select("*", F.posexplode(F.split(text, "\n\n")).alias("seq", "frame"))
-    return computed_once(frames, "data", _sse_data(F.col("frame"))).filter(~F.col("data").isin("", DONE))
+    """A row per event with data: adds seq, frame and data. Empty events and the end mark are skipped and not numbered."""
+    frames = F.transform(F.split(text, "\n\n"), lambda f: F.struct(f.alias("frame"), _sse_data(f).alias("data")))
+    kept = F.filter(frames, lambda f: ~f["data"].isin("", DONE))
+    return df.select("*", F.posexplode(kept).alias("seq", "__f")).select("*", "__f.frame", "__f.data").drop("__f")
 
 
 def ndjson_lines(df: DataFrame, text: str) -> DataFrame:
     """A row per non-blank line, trimmed: adds seq and data."""
-    lines = df.select("*", F.posexplode(F.split(text, "\n")).alias("seq", "line"))
-    return lines.withColumn("data", F.regexp_replace("line", r"^\s+|\s+\z", "")).filter("data <> ''").drop("line")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
+    return df.select("*", F.posexplode(F.filter(lines, lambda x: x != "")).alias("seq", "data"))
 
 
 def sse_rebuild(frame: Column, data: Column) -> Column:
@@ -45,12 +46,23 @@ def sse_rebuild(frame: Column, data: Column) -> Column:
     return F.array_join(F.array_compact(marked), "")
 
 
+def last_bytes(text: Column, most: int = OVERLAP) -> Column:
+    """The longest end of a text that has at most so many bytes in UTF-8, in whole characters."""
+
+    def cut(tail: Column) -> Column:
+        # Bytes 80 to BF continue a character: a tail that begins with some has lost its beginning.
+        broken = F.regexp_extract(F.hex(F.substring(tail, 1, 3)), "^(?:[89AB][0-9A-F]){0,3}", 0)
+        return F.decode(F.substring(tail, (F.length(broken) / 2).cast("int") + 1, F.octet_length(tail)), "UTF-8")
+
+    return F.when(F.octet_length(text) <= most, text).otherwise(let(F.substring(F.encode(text, "UTF-8"), F.lit(-most), F.lit(most)), cut))
+
+
 def with_overlap(df: DataFrame, stream: str, seq: str, text: str, out: str = "carry") -> DataFrame:
-    """Add the last 200 characters of the stream before each chunk.
+    """Add the last 200 bytes of the stream before each chunk, in whole characters.
 
-    `seq` counts the chunks of a stream without gaps. Long streams are cut by `seq`; a cut
-    repeats the 200 chunks before it, which are enough to fill the carry-over. Frames follow
-    text offsets, so that a frame never holds more than 200 characters.
+    `seq` counts the chunks of a stream without gaps, as framing numbers them. Long streams are
+    cut by `seq`; a cut repeats the 200 chunks before it, which are enough to fill the
+    carry-over. Frames follow byte offsets, so that a frame never holds more than 200 bytes.
     """
     late = F.pmod(F.col(seq), F.lit(SLICE_CHUNKS)) >= SLICE_CHUNKS - OVERLAP
     # Chunks are not empty: framing drops empty events and blank lines.
@@ -58,12 +70,12 @@ def with_overlap(df: DataFrame, stream: str, seq: str, text: str, out: str = "ca
         "__slice", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
     piece = Window.partitionBy(stream, "__slice")
     before = piece.orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("__start", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)))
+    cut = cut.withColumn("__start", F.coalesce(F.sum(F.octet_length(text)).over(before), F.lit(0)))
     near = piece.orderBy("__start").rangeBetween(-OVERLAP, -1)
     far = piece.orderBy("__start").rangeBetween(Window.unboundedPreceding, -OVERLAP - 1)
     tail = F.right(F.col(text), F.lit(OVERLAP))
     cut = cut.withColumns({"__near": F.array_join(F.collect_list(text).over(near), ""), "__far": F.last(tail).over(far)})
-    carry = F.right(F.concat(F.coalesce("__far", F.lit("")), F.col("__near")), F.lit(OVERLAP))
+    carry = last_bytes(F.concat(F.coalesce("__far", F.lit("")), F.col("__near")))
     return cut.withColumn(out, carry).filter("__own = __slice").drop("__own", "__slice", "__start", "__near", "__far")
 
 

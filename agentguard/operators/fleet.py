@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentguard.operators.ordered import micros, previous
 from agentguard.sources.readers import METRICS
 
 # Allowed policy transitions, health ranking, defense layers, rollout waves.
@@ -15,7 +17,6 @@ TRANSITIONS = [
 HEALTH_RANK = {"healthy": 0, "unknown": 1, "degraded": 1, "down": 2}
 LAYERS = [(1, "proxy"), (2, "firewall"), (3, "ebpf")]
 WAVES = ("canary", "wave1", "wave2", "full")
-LIFECYCLE_SLICE_US = 30 * 86400 * 1_000_000
 
 
 def overview(agents: DataFrame) -> DataFrame:
@@ -125,16 +126,38 @@ def token_uses(uses: DataFrame) -> DataFrame:
 
 
 def lifecycle_violations(events: DataFrame) -> DataFrame:
-    """Status changes of a policy version that are not allowed. A version starts as a draft."""
-    timed = events.withColumn("__us", micros(F.col("ts")))
-    steps = previous(timed, ["version_id"], "__us", ["event_id"], "status", "previous", LIFECYCLE_SLICE_US).drop("__us")
-    first = F.col("previous").isNull()
-    steps = steps.withColumn("__first", first).withColumn("previous", F.coalesce("previous", F.lit("draft")))
-    allowed = F.lit(False)
-    for a, b in TRANSITIONS:
-        allowed = allowed | ((F.col("previous") == a) & (F.col("status") == b))
-    steps = steps.withColumn("__ok", allowed | (F.col("__first") & (F.col("status") == "draft")))
-    return steps.filter(~F.col("__ok")).drop("__ok", "__first")
+    """Status changes of a policy version that are not allowed, with the status they met. A version starts as a draft.
+
+    A refused change leaves the status as it is. Statuses only move forward, so a version has no
+    more accepted changes than the longest path of TRANSITIONS; each is the first event after the
+    one before that its status allows, found by an aggregate, so a version with very many events
+    costs no more memory than others.
+    """
+    def allowed(before: Column, after: Column) -> Column:
+        return functools.reduce(operator.or_, [(before == x) & (after == y) for x, y in TRANSITIONS])
+
+    key = F.struct("ts", "event_id")
+    first = events.groupBy("version_id").agg(F.min(key).alias("__first"))
+    state = first.select("version_id", "__first", F.lit("draft").alias("__s0"), F.lit(None).cast(events.select(key.alias("k")).schema["k"].dataType).alias("__k0"))
+    for k in range(_longest_path()):
+        meets = events.join(state.select("version_id", f"__s{k}", f"__k{k}"), "version_id").where(
+            (F.col(f"__k{k}").isNull() if k == 0 else key > F.col(f"__k{k}")) & allowed(F.col(f"__s{k}"), F.col("status")))
+        found = meets.groupBy("version_id").agg(F.min(F.struct("ts", "event_id", "status")).alias("__m")).select(
+            "version_id", F.struct("__m.ts", "__m.event_id").alias(f"__k{k + 1}"), F.col("__m.status").alias(f"__s{k + 1}"))
+        state = state.join(found, "version_id", "left")
+    steps = events.join(state, "version_id")
+    previous_status, accepted = F.col("__s0"), F.lit(False)
+    for k in range(1, _longest_path() + 1):
+        at = F.col(f"__k{k}")
+        previous_status = F.when(at.isNotNull() & (key > at), F.col(f"__s{k}")).otherwise(previous_status)
+        accepted = accepted | F.coalesce(key == at, F.lit(False))
+    opening = (key == F.col("__first")) & (F.col("status") == "draft")
+    refused = steps.withColumn("previous", previous_status).where(~(accepted | opening))
+    return refused.select(*events.columns, "previous")
+
+
+def _longest_path(status: str = "draft") -> int:
+    return max((1 + _longest_path(b) for a, b in TRANSITIONS if a == status), default=0)
 
 
 def current_versions(events: DataFrame) -> DataFrame:
@@ -198,13 +221,18 @@ def wave_failure_rates(tasks: DataFrame, max_rate: float) -> DataFrame:
     return counts.withColumn("failure_rate", rate).withColumn("halt", F.col("failure_rate") > max_rate)
 
 
-def health_rollup(reports: DataFrame) -> DataFrame:
-    """(host, overall, missing_layers): the worst layer counts; a missing or unknown one degrades."""
+def health_rollup(reports: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, overall, missing_layers) of every host: the worst layer counts; a missing or unknown one degrades.
+
+    Only reports of the known layers count, the last of each by time and report_id.
+    """
     rank = F.lit(1)
     for status, r in HEALTH_RANK.items():
         rank = F.when(F.col("status") == status, r).otherwise(rank)
-    last = reports.groupBy("host", "layer").agg(F.max_by("status", "ts").alias("status"))
-    per = last.groupBy("host").agg(F.max(rank).alias("worst"), F.count("*").alias("layers"))
+    known = reports.filter(F.col("layer").isin(*[k for k, _ in LAYERS]))
+    last = known.groupBy("host", "layer").agg(F.max_by("status", F.struct("ts", "report_id")).alias("status"))
+    found = last.groupBy("host").agg(F.max(rank).alias("worst"), F.count("*").alias("layers"))
+    per = hosts.select("host").join(found, "host", "left").select("host", F.coalesce("worst", F.lit(0)).alias("worst"), F.coalesce("layers", F.lit(0)).alias("layers"))
     worst = F.greatest("worst", F.when(F.col("layers") < len(LAYERS), 1).otherwise(0))
     overall = F.when(worst == 2, "down").when(worst == 1, "degraded").otherwise("healthy")
     return per.select("host", overall.alias("overall"), (F.lit(len(LAYERS)) - F.col("layers")).alias("missing_layers"))

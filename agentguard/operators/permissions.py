@@ -15,16 +15,14 @@ from agentguard.operators.redact import candidates_sql
 from agentguard.operators.scan import TextViews, drop_views, fires_sql, with_views
 from agentguard.rules import permissions as defaults
 from agentguard.rules.model import Rule
+from agentguard.sources.readers import local_table
 
 OFF, REDACT, BLOCK = "OFF", "REDACT", "BLOCK"
-MAX_LOOKUP_ROWS = 100_000
 
 
 def lookup(spark: SparkSession, rows, schema: str) -> DataFrame:
-    """A rule table; it is broadcast only while its row count is known to be small."""
-    rows = list(rows)
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= MAX_LOOKUP_ROWS else df
+    """A rule table; the optimiser broadcasts it by its size."""
+    return local_table(spark, rows, schema)
 
 
 @dataclass(frozen=True)

@@ -84,13 +84,8 @@ class Policy:
     def __post_init__(self):
         if self.default_action not in (ALLOW, DENY):
             raise ValueError(f"invalid default_action {self.default_action!r}: must be 'allow' or 'deny'")
+        self.effective_arg_filters()
 
     def effective_arg_filters(self) -> dict[str, str]:
-        """One regex per tool: a later filter replaces an earlier one, an invalid one is skipped."""
-        out: dict[str, str] = {}
-        for tool, regex in self.arg_filters:
-            try:
-                out[tool] = check_user_pattern(regex)
-            except ValueError:
-                continue
-        return out
+        """One regex per tool: a later filter replaces an earlier one. An invalid one is an error: skipping it would allow what it denies."""
+        return {tool: check_user_pattern(regex) for tool, regex in self.arg_filters}

@@ -23,12 +23,9 @@ def url_verdict(url: Column) -> Column:
 
     def by_host(host: Column) -> Column:
         low = F.lower(host)
-        mapped = F.regexp_replace(low, r"^::ffff:(?=\d+\.)", "")
-        private = (
-            F.coalesce(net.in_any_cidr(net.ipv4_to_long(mapped), vuln.PRIVATE_CIDRS_V4), F.lit(False))
-            | low.rlike(vuln.PRIVATE_V6_PATTERN)
-            | low.rlike(r"^[0:]*:0*1\z")
-        )
+        inside = let(net.ipv6_groups(host), lambda g: F.coalesce(net.internal_ipv6(g), F.lit(False)) | F.coalesce(
+            net.in_any_cidr(F.coalesce(net.ipv4_mapped(g), net.ipv4_to_long(host)), vuln.PRIVATE_CIDRS_V4), F.lit(False)))
+        private = F.coalesce(inside, F.lit(False))
         return (
             F.when(host == "", F.lit(None))
             .when(host.isin(*vuln.METADATA_HOSTS), _verdict(F.lit(PREFIX + "cloud metadata endpoint"), host))

@@ -89,12 +89,12 @@ def audit_latest(spark, sf):
     return audit.query(decisions(spark, sf), limit=100).select("decision_id", "timestamp", "tool", "decision")
 
 
-@register("audit_recent", f"SELECT decision_id, timestamp, coalesce(NULL, '') AS correlation_id, source FROM {SQL_DECISIONS} WHERE timestamp >= TIMESTAMP '2024-01-10' ORDER BY timestamp DESC, decision_id DESC LIMIT 1000")
+@register("audit_recent", f"SELECT decision_id, timestamp, coalesce(NULL, '') AS correlation_id, source FROM {SQL_DECISIONS} WHERE timestamp >= TIMESTAMP '2024-01-10' ORDER BY timestamp DESC, decision_id DESC LIMIT 5000")
 def audit_recent(spark, sf):
     return audit.recent(decisions(spark, sf), since="2024-01-10", source="bridge", limit=5000).select("decision_id", "timestamp", "correlation_id", "source")
 
 
-_CALLS = "SELECT event_id AS decision_id, CAST(ts AS TIMESTAMP) AS created_at, props AS request_json, CASE WHEN event_id % 3 = 0 THEN concat('{\"v\":', CAST(user_id AS STRING), '}') END AS response_json FROM @events@ WHERE value > 100"
+_CALLS = "SELECT event_id AS decision_id, CAST(ts AS TIMESTAMP) AS created_at, props AS request_json, CASE WHEN event_id % 3 = 0 THEN concat('{\"v\":', CAST(user_id AS STRING), '}') END AS response_json FROM @events@"
 
 
 @register("decisions_with_calls", f"""
@@ -296,7 +296,7 @@ def record_checks(spark, sf):
 
 @register("canary_leaks", f"""
     WITH c AS (SELECT decision_id, tool, '__canary_' || left(sha256(user_id::VARCHAR), 16) || '__' AS token FROM {SQL_DECISIONS} WHERE stage = 'default_action'),
-    r AS (SELECT decision_id, tool, 'result for __canary_' || left(sha256(user_id::VARCHAR), 16) || '__ and more' AS body FROM {SQL_DECISIONS} WHERE stage = 'response_clean' AND decision_id % 3 = 0)
+    r AS (SELECT decision_id, tool, 'result for __canary_' || left(sha256(user_id::VARCHAR), 16) || '__ and more' AS body FROM {SQL_DECISIONS} WHERE stage = 'response_clean')
     SELECT r.tool AS leaked_by, c.tool AS issued_to, count(*) AS leaks
     FROM (SELECT tool, regexp_extract(body, '__canary_[0-9a-f]{{16}}__') AS token FROM r) r JOIN c ON r.token = c.token WHERE r.tool <> c.tool GROUP BY ALL
 """)
@@ -305,7 +305,7 @@ def canary_leaks(spark, sf):
     token = F.concat(F.lit("__canary_"), F.left(F.sha2(F.col("user_id").cast("string"), 256), F.lit(16)), F.lit("__"))
     issued = rows.filter("stage = 'default_action'").groupBy(token.alias("token"), "tool").agg(F.count("*").alias("n"))
     body = F.concat(F.lit("result for "), token, F.lit(" and more"))
-    responses = rows.filter("stage = 'response_clean' AND decision_id % 3 = 0").select("tool", body.alias("body"))
+    responses = rows.filter("stage = 'response_clean'").select("tool", body.alias("body"))
     found = responses.select("tool", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("__canary_[0-9a-f]{16}__"), F.lit(0)))).alias("token"))
     # Both sides are counted per token first: a hot token costs one row per tool, not all pairs.
     leaks = found.groupBy("token", F.col("tool").alias("leaked_by")).agg(F.count("*").alias("m")).join(

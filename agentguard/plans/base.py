@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agentguard.sources.readers import read_table
+from agentguard.sources.readers import local_table, read_table
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,14 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet", spread)
+#: Number of partitions into which tables for pattern matching are dealt; unset, they stay as their files are.
+PARTITIONS = "spark.agentguard.textPartitions"
+
+
+def table(spark: SparkSession, sf: str, name: str, texts: bool = False) -> DataFrame:
+    """A given table; `texts` marks those whose columns are matched against patterns."""
+    partitions = spark.conf.get(PARTITIONS, None) if texts else None
+    return read_table(spark, f"{sf}/{name}.parquet", int(partitions) if partitions else None)
 
 
 def q(text: str) -> str:
@@ -52,8 +58,8 @@ def values(rows, columns) -> str:
 
 
 def inline(spark: SparkSession, rows, schema: str) -> DataFrame:
-    """The same inline table for Spark."""
-    return spark.createDataFrame(rows, schema)
+    """The same inline table for Spark; its size is known to the optimiser."""
+    return local_table(spark, rows, schema)
 
 
 # --- SQL text of rules for the checking engine ---------------------------------------------

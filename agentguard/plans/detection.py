@@ -25,7 +25,7 @@ def _register_pack(name, source, key, column, rules, payload=False):
 
     @register(name, sql_findings(sql_source, key, views, rules))
     def run(spark, sf):
-        df = inputs.messages(spark, sf) if payload else table(spark, sf, source, spread=True)
+        df = inputs.messages(spark, sf) if payload else table(spark, sf, source, texts=True)
         return _summary(scan.scan_all(df, column, rules, [key]))
 
 
@@ -63,13 +63,13 @@ def _redacted(df, key, expr):
 
 @register("pii_redacted", _sql_redact("documents", "doc_id", pii.PACK, pii.placeholder))
 def pii_redacted(spark, sf):
-    docs = table(spark, sf, "documents", spread=True).select("doc_id", "text").withColumn("fold", tx.folded(F.col("text")))
+    docs = table(spark, sf, "documents", texts=True).select("doc_id", "text").withColumn("fold", tx.folded(F.col("text")))
     return _redacted(docs, "doc_id", redact.redact_pii("text", "fold"))
 
 
 @register("secrets_redacted", _sql_redact("documents", "doc_id", secrets.PACK, lambda r: secrets.PLACEHOLDER))
 def secrets_redacted(spark, sf):
-    docs = table(spark, sf, "documents", spread=True).select("doc_id", "text").withColumn("fold", tx.folded(F.col("text")))
+    docs = table(spark, sf, "documents", texts=True).select("doc_id", "text").withColumn("fold", tx.folded(F.col("text")))
     return _redacted(docs, "doc_id", redact.redact_secrets("text", "fold"))
 
 
@@ -81,7 +81,7 @@ _CARD = r"\b(?:\d[ -]?){12,18}\d\b"
       SELECT doc_id, unnest(regexp_extract_all(text, {q(_CARD)})) AS card FROM documents)
 """)
 def luhn_cards(spark, sf):
-    docs = table(spark, sf, "documents", spread=True)
+    docs = table(spark, sf, "documents", texts=True)
     from agentguard.functions.regex import re2
 
     cards = docs.filter(F.col("text").rlike("[0-9]{2}")).select("doc_id", F.explode_outer(tx.all_matches(F.col("text"), re2(_CARD))).alias("card")).filter("card IS NOT NULL")
@@ -114,7 +114,7 @@ _IMPERATIVE = "|".join(injection.IMPERATIVE_STARTS)
       FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '[.!\\n]'), lambda s: s <> '') AS segs FROM documents))
 """)
 def imperative_density(spark, sf):
-    docs = table(spark, sf, "documents", spread=True)
+    docs = table(spark, sf, "documents", texts=True)
     stats = docs.select("doc_id", "text", scan.imperative_stats(F.col("text")).alias("s"))
     return stats.select(
         "doc_id", F.col("s.segments").cast("long").alias("segments"), F.col("s.imperative").cast("long").alias("imperative"),
@@ -146,7 +146,7 @@ def base64_injection(spark, sf):
 """)
 def window_entropy(spark, sf):
     stats = window_stats(injection.ENTROPY_WINDOW, injection.ENTROPY_STEP, injection.ENTROPY_MIN_NONSPACE, injection.ENTROPY_LIMIT)
-    docs = computed_once(table(spark, sf, "documents", spread=True), "s", stats(F.col("text")))
+    docs = computed_once(table(spark, sf, "documents", texts=True), "s", stats(F.col("text")))
     return docs.filter("s.windows > 0").select("doc_id", "s.windows", F.round("s.max_entropy", 6).alias("max_entropy"))
 
 
@@ -195,7 +195,7 @@ def ssrf_urls(spark, sf):
 def page_hosts(spark, sf):
     from agentguard.functions.net import url_host
 
-    pages = table(spark, sf, "pages", spread=True)
+    pages = table(spark, sf, "pages", texts=True)
     urls = pages.select("page_id", F.explode(F.concat(tx.extract_urls(F.col("html"), ssrf.URL_JAVA), F.array("url"))).alias("u"))
     # Two-step distinct: a hot host is reduced on every task before it meets one reducer.
     per_page = urls.groupBy(F.lower(url_host(F.col("u"))).alias("host"), "page_id").agg(F.count("*").alias("n"))

@@ -14,8 +14,8 @@ SELECT c_custkey AS agent_id, c_nationkey AS policy_group_id, concat('1.', CAST(
   CASE WHEN c_acctbal < 0 THEN 'unhealthy' WHEN c_custkey % 10 = 0 THEN 'stale' ELSE 'healthy' END AS status, lower(c_mktsegment) AS tag
 FROM @customer@
 """
-GROUPS = "SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_regionkey END AS current_version_id FROM @nation@ WHERE n_nationkey > 0"
-VERSIONS = "SELECT r_regionkey AS version_id, concat('h', CAST(r_regionkey AS STRING)) AS policy_hash FROM @region@ WHERE r_regionkey < 4"
+GROUPS = "SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 6 = 5 OR n_nationkey = 0 THEN NULL ELSE n_regionkey END AS current_version_id FROM @nation@"
+VERSIONS = "SELECT r_regionkey AS version_id, CASE WHEN r_regionkey < 4 THEN concat('h', CAST(r_regionkey AS STRING)) END AS policy_hash FROM @region@"
 CHECKINS = """
 SELECT o_orderkey AS checkin_id, o_custkey AS agent_id, o_orderdate AS timestamp, CASE o_orderstatus WHEN 'F' THEN 'unhealthy' ELSE 'healthy' END AS health_status,
   CASE WHEN o_orderkey % 17 = 0 THEN '{broken' ELSE concat('{"decisions_total":', CAST(CAST(o_totalprice AS BIGINT) AS STRING), ',"decisions_denied":', CAST(o_orderkey % 50 AS STRING),
@@ -28,7 +28,7 @@ LIFECYCLE = """SELECT o_orderkey AS event_id, o_custkey AS version_id, o_custkey
 TASKS = """SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS task_id, l_partkey AS agent_id, l_suppkey AS rollout_id,
   concat('2.', CAST(l_suppkey % 4 AS STRING)) AS target_version, CASE l_linenumber % 4 WHEN 0 THEN 'canary' WHEN 1 THEN 'wave1' WHEN 2 THEN 'wave2' ELSE 'full' END AS wave,
   CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'pending' END AS status, l_shipdate AS scheduled_at FROM @lineitem@"""
-REPORTS = "SELECT user_id AS host, 1 + event_id % 4 AS layer, ts, CASE event_type WHEN 'error' THEN 'down' WHEN 'click' THEN 'degraded' WHEN 'view' THEN 'unknown' ELSE 'healthy' END AS status FROM @events@ WHERE event_id % 4 < 3"
+REPORTS = "SELECT user_id AS host, 1 + event_id % 4 AS layer, ts, CASE event_type WHEN 'error' THEN 'down' WHEN 'click' THEN 'degraded' WHEN 'view' THEN 'unknown' ELSE 'healthy' END AS status, event_id AS report_id FROM @events@"
 USES = "SELECT event_id AS use_id, ts, concat('t', CAST(user_id AS STRING)) AS token FROM @events@"
 
 
@@ -143,10 +143,16 @@ def token_first_use(spark, sf):
     return fleet.token_uses(_df(spark, sf, USES)).select("use_id", "token", "accepted")
 
 
+_SQL_VALID = "(previous || '>' || status) IN ('draft>approved', 'draft>rejected', 'approved>published', 'approved>rejected', 'published>superseded')"
+
+
 @register("lifecycle_violations", f"""
-    SELECT version_id, event_id, previous, status FROM (
-      SELECT *, coalesce(lag(status) OVER w, 'draft') AS previous, row_number() OVER w AS rn FROM {_sql(LIFECYCLE)} WINDOW w AS (PARTITION BY version_id ORDER BY ts, event_id))
-    WHERE NOT ((previous || '>' || status) IN ('draft>approved', 'draft>rejected', 'approved>published', 'approved>rejected', 'published>superseded') OR (rn = 1 AND status = 'draft'))
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY ts, event_id) AS rn FROM {_sql(LIFECYCLE)}),
+    walk AS (
+      SELECT version_id, event_id, rn, status, 'draft' AS previous FROM e WHERE rn = 1
+      UNION ALL SELECT e.version_id, e.event_id, e.rn, e.status, CASE WHEN {_SQL_VALID.replace("status)", "w.status)").replace("previous ||", "w.previous ||")} THEN w.status ELSE w.previous END
+      FROM walk w JOIN e ON e.version_id = w.version_id AND e.rn = w.rn + 1)
+    SELECT version_id, event_id, previous, status FROM walk WHERE NOT ({_SQL_VALID} OR (rn = 1 AND status = 'draft'))
 """)
 def lifecycle_violations(spark, sf):
     return fleet.lifecycle_violations(_df(spark, sf, LIFECYCLE)).select("version_id", "event_id", "previous", "status")
@@ -186,11 +192,13 @@ def wave_failure_rates(spark, sf):
 
 
 @register("health_rollup", f"""
-    SELECT host, CASE greatest(max(r), CASE WHEN count(*) < 3 THEN 1 ELSE 0 END) WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS overall, (3 - count(*))::BIGINT AS missing_layers
-    FROM (SELECT host, layer, CASE arg_max(status, ts) WHEN 'healthy' THEN 0 WHEN 'down' THEN 2 ELSE 1 END AS r FROM {_sql(REPORTS)} GROUP BY ALL) GROUP BY host
+    SELECT host, CASE greatest(max(r), CASE WHEN count(l) < 3 THEN 1 ELSE 0 END) WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS overall, (3 - count(l))::BIGINT AS missing_layers
+    FROM (SELECT c_custkey AS host, layer AS l, CASE status WHEN 'healthy' THEN 0 WHEN 'down' THEN 2 ELSE 1 END AS r
+      FROM customer LEFT JOIN (SELECT host, layer, arg_max(status, (ts, report_id)) AS status FROM {_sql(REPORTS)} WHERE layer <= 3 GROUP BY ALL) h ON c_custkey = host) GROUP BY host
 """)
 def health_rollup(spark, sf):
-    return fleet.health_rollup(_df(spark, sf, REPORTS))
+    hosts = table(spark, sf, "customer").select(F.col("c_custkey").alias("host"))
+    return fleet.health_rollup(_df(spark, sf, REPORTS), hosts)
 
 
 @register("integrity_check", """

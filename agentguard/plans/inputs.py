@@ -109,4 +109,4 @@ def run_sql(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as JSON-RPC messages with seeded payloads."""
     lists = {name: inline(spark, rows, schema) for name, (rows, schema) in _LISTS.items()}
-    return run_sql(spark, MESSAGES, conversations=table(spark, sf, "conversations", spread=True), **lists)
+    return run_sql(spark, MESSAGES, conversations=table(spark, sf, "conversations", texts=True), **lists)

@@ -411,7 +411,7 @@ def classify_messages(spark, sf):
 def classify_documents(spark, sf):
     from agentguard.plans.base import table
 
-    df, views = with_views(table(spark, sf, "documents", spread=True).select("text"), F.col("text"), PERMS.class_rules, normalised=False)
+    df, views = with_views(table(spark, sf, "documents", texts=True).select("text"), F.col("text"), PERMS.class_rules, normalised=False)
     out = df.select(perm.classify(views, PERMS).alias("c"))
     return out.groupBy("c.level").agg(F.count("*").alias("documents"), F.sum(F.size("c.labels")).alias("labels"))
 

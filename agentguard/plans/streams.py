@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from agentguard.plans import auditing, events, inputs
 from agentguard.plans.base import q, register, sql_valid, table
 from agentguard.plans.policies import sql_fold, sql_injection_reason, sql_malware_blobs, sql_malware_reason
 from agentguard.rules import pii, secrets
-from agentguard.session import checkpoint_dir
+from agentguard.session import shared_dir
 from agentguard.streaming import processors as live
 
 PIECE = 400
@@ -37,13 +36,18 @@ SQL_CHUNKS = "(" + CHUNKS.replace("@explode@", _SQL_EXPLODE).replace("@documents
 def chunks(spark, sf):
     payloads = inputs.inline(spark, inputs.PAYLOADS, "pid int, shape string, payload string")
     sql = CHUNKS.replace("@explode@", _SPARK_EXPLODE)
-    return inputs.run_sql(spark, sql, documents=table(spark, sf, "documents", spread=True), payloads=payloads).drop("body")
+    return inputs.run_sql(spark, sql, documents=table(spark, sf, "documents", texts=True), payloads=payloads).drop("body")
+
+
+#: End of a text in at most 200 bytes and whole characters, for the checking engine.
+_SQL_TAIL = "substr({x}, list_min(list_filter(range(1, 202), lambda k: octet_length(encode(substr({x}, k))) <= 200)))"
+_SQL_CARRY = "CASE WHEN seq = 0 THEN '' ELSE " + _SQL_TAIL.replace("{x}", f"substr(body, greatest(seq * {PIECE} - 199, 1), least(200, seq * {PIECE}))") + " END"
 
 
 def _sql_scanned() -> str:
     """Latched chunks for the checking engine; the carry-over is cut from the whole text."""
     code = "request_method = 'code.generate'"
-    base = f"""(SELECT *, CASE WHEN seq = 0 THEN '' ELSE substr(body, greatest(seq * {PIECE} - 199, 1), least(200, seq * {PIECE})) END || text AS w, text AS work,
+    base = f"""(SELECT *, {_SQL_CARRY} || text AS w, text AS work,
         stream_id * 1000000 + seq AS cid FROM {SQL_CHUNKS})"""
     sec = " OR ".join(f"regexp_matches(w, {q(r.pattern)})" for r in secrets.PACK)
     detect = " OR ".join(
@@ -79,7 +83,7 @@ def chunk_scan(spark, sf):
 
 
 @register("chunk_overlap", f"""
-    SELECT stream_id, seq, CASE WHEN seq = 0 THEN '' ELSE substr(body, greatest(seq * {PIECE} - 199, 1), least(200, seq * {PIECE})) END AS carry FROM {SQL_CHUNKS}
+    SELECT stream_id, seq, {_SQL_CARRY} AS carry FROM {SQL_CHUNKS}
 """)
 def chunk_overlap(spark, sf):
     return ch.with_overlap(chunks(spark, sf), "stream_id", "seq", "text").select("stream_id", "seq", "carry")
@@ -102,7 +106,7 @@ _SSE = """SELECT msg_id, concat('event: message', chr(10), 'data: ', replace(tex
 
 @register("sse_frames", f"""
     SELECT msg_id, 0 AS seq, text AS data, concat('event: message', chr(10), 'data: X', chr(10)) AS rebuilt FROM {inputs.SQL_MESSAGES}
-    UNION ALL SELECT msg_id, 3, 'second', concat('data: X', chr(10), 'retry: 5', chr(10)) FROM {inputs.SQL_MESSAGES}
+    UNION ALL SELECT msg_id, 1, 'second', concat('data: X', chr(10), 'retry: 5', chr(10)) FROM {inputs.SQL_MESSAGES}
 """)
 def sse_frames(spark, sf):
     bodies = inputs.run_sql(spark, _SSE, messages=inputs.messages(spark, sf))
@@ -124,12 +128,10 @@ def ndjson_lines(spark, sf):
 def run_stream(spark, streamed, key: str, timers: bool = False):
     """Run a streaming query to the end of its input; gives the output path and schema.
 
-    Checkpoint and output go to the shared folder of the cluster; where none is set, as on a
-    single machine, to a new temporary folder. A query with state timers asks for empty
+    Checkpoint and output go to the shared folder of the cluster. A query with state timers asks for empty
     batches for ever, so these are switched off for it.
     """
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="agentguard-")
-    folder = f"{base.rstrip('/')}/{key}-{os.urandom(6).hex()}"
+    folder = f"{shared_dir(spark)}/{key}-{os.urandom(6).hex()}"
     empty_batches = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(empty_batches)
     spark.conf.set(empty_batches, "false" if timers else before)
@@ -152,7 +154,8 @@ def written(spark, streamed, key: str, timers: bool = False):
 
 def read_stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
+    # The brackets make it a pattern that only this table's name fits.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 @register("live_threat_score", events.sql_of("threat_score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results (time zone) or keep plans healthy at any size.
@@ -27,6 +29,15 @@ def build_session(app: str = "agentguard", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder named by the cluster; `fallback` is used only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`, shared by driver and executors.
+
+    Where it is unset, a temporary folder is used only if Spark runs in one process; on a cluster that is
+    an error, as executors would write to their own disks.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.gettempdir().rstrip("/") + "/agentguard-shared"

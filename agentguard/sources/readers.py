@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from agentguard.functions.net import long_le_to_ipv4
 
-MAX_EVENT_BYTES = 64 * 1024
-
 SECURITY_EVENT = (
     "event_type string, severity string, source string, timestamp string, session_id string, pid int, "
     "tool string, reason string, details map<string,string>, reaction string"
@@ -28,28 +26,26 @@ KERNEL = {
 }
 
 
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A table from the driver's own rows, as a local relation: the optimiser knows its size and broadcasts it if small."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T.StructType.fromDDL(schema)
+    rows = [tuple(r) for r in rows]
+    columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(to_arrow_schema(fields))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=to_arrow_schema(fields)), fields)
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Parquet table. `spread` redistributes an input too small to occupy the cores.
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Parquet table, in the partitions of its files or dealt into a given number of them.
 
-    Pattern matching is bound by CPU, so one row group on one core is the bottleneck of a
-    small input. Inputs of at least 32 MB per core are left as they are.
+    Pattern matching is bound by CPU: a table that is one row group is worth dealing out, which
+    only the caller can know.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and _size_in_bytes(df) < cores * SPREAD_BYTES_PER_CORE:
-        return df.repartition(cores)
-    return df
-
-
-def _size_in_bytes(df: DataFrame) -> float:
-    """Size of the files by the optimiser's statistics; no data is read and no file list is fetched."""
-    try:
-        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return float("inf")
+    return df.repartition(partitions) if partitions else df
 
 
 def read_messages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -86,13 +82,32 @@ def conversation_user_text(turns: DataFrame, conv: str = "conv_id", turn: str =
     return grouped.select(conv, F.concat(F.array_join(F.transform("t", lambda s: s["x"]), " "), F.lit(" ")).alias("user_text"))
 
 
-def read_security_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """NDJSON security events; longer lines are dropped, a missing time becomes now."""
+def event_problem(line: Column, event_type: Column, max_bytes: int | None = None) -> Column:
+    """Why a line is no security event: `too_long`, `no_event_type`, or NULL."""
+    long = F.octet_length(line) > max_bytes if max_bytes else F.lit(False)
+    return F.when(long, "too_long").when(event_type.isNull(), "no_event_type")
+
+
+def read_security_event_lines(spark: SparkSession, path: str, streaming: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """Every NDJSON line with its fields and `problem`, which is NULL for a security event."""
     reader = spark.readStream if streaming else spark.read
-    lines = reader.text(path).filter(F.octet_length("value") <= MAX_EVENT_BYTES)
-    parsed = lines.select(F.from_json("value", SECURITY_EVENT).alias("e")).select("e.*").filter("event_type IS NOT NULL")
+    parsed = reader.text(path).select(F.col("value").alias("line"), F.from_json("value", SECURITY_EVENT).alias("e")).select("line", "e.*")
     ts = F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp())
-    return parsed.withColumn("ts", ts).drop("timestamp")
+    return parsed.withColumns({"ts": ts, "problem": event_problem(F.col("line"), F.col("event_type"), max_bytes)}).drop("timestamp")
+
+
+def read_security_events(spark: SparkSession, path: str, streaming: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """Security events; a missing time becomes now.
+
+    Lines that are none, or longer than `max_bytes` if that is given, are those that
+    `rejected_events` counts and `read_security_event_lines` holds for a quarantine.
+    """
+    return read_security_event_lines(spark, path, streaming, max_bytes).filter("problem IS NULL").drop("problem", "line")
+
+
+def rejected_events(lines: DataFrame) -> DataFrame:
+    """(problem, lines) over the lines that are no security events."""
+    return lines.filter("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("lines"))
 
 
 def read_checkins(spark: SparkSession, path: str) -> DataFrame:

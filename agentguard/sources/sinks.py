@@ -80,7 +80,7 @@ def rotate_audit(decisions: DataFrame, export_path: str, keep_path: str, now: Co
     """
     cutoff = now - F.make_dt_interval(F.lit(retention_days))
     old = F.col("timestamp") < cutoff
-    decisions.filter(old).drop("decision_details").write.mode("append").option("compression", "gzip").json(export_path)
+    decisions.filter(old).write.mode("append").option("compression", "gzip").json(export_path)
     kept = decisions.filter(~old).withColumn("date", F.to_date("timestamp"))
     kept.write.mode("overwrite").partitionBy("date").parquet(keep_path)
 

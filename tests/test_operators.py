@@ -48,7 +48,9 @@ def test_default_action_override_column(spark):
 def test_policy_checks():
     with pytest.raises(ValueError):
         Policy(default_action="maybe")
-    assert Policy(arg_filters=(("t", "a"), ("t", "b"), ("u", "("))).effective_arg_filters() == {"t": "b"}
+    assert Policy(arg_filters=(("t", "a"), ("t", "b"))).effective_arg_filters() == {"t": "b"}
+    with pytest.raises(ValueError):
+        Policy(arg_filters=(("u", "("),))
 
 
 def test_response_redacts_secrets_then_pii(spark):

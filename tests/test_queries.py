@@ -5,12 +5,11 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from agentguard.plans import REGISTRY
 from tests.check import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-# The slower ones are left to `python -m tests.check`, which runs all of them.
-SLOW = {"live_chunk_scan", "stream_summary", "policy_matrix", "meta_events", "override_interval_join", "shadow_compare"}
 
 
 @needs_data
@@ -23,7 +22,7 @@ def test_reference_sql_has_a_query():
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(n for n, query in REGISTRY.items() if query.sql))
 def test_query_matches_reference(spark, name):
     got, want, diff = compare(queries()[name](spark, SF), oracle_connection(SF), oracle_sql()[name])
     assert not diff, (got, want, diff[:3])
