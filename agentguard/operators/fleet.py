@@ -119,10 +119,13 @@ def key_counts(keys: DataFrame, now: Column) -> DataFrame:
     return keys.groupBy("status").agg(F.count("*").alias("keys"), overdue.alias("overdue"))
 
 
-def token_uses(uses: DataFrame) -> DataFrame:
-    """Add accepted: a token's first use wins. The winner is an aggregate, so a token tried very often stays cheap."""
+def token_uses(uses: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Add accepted: the first use of a token that was issued. The winner is an aggregate, so a token tried very often stays cheap."""
     first = uses.groupBy("token").agg(F.min(F.struct("ts", "use_id")).alias("__f")).select("token", F.col("__f.use_id").alias("__winner"))
-    return uses.join(first, "token").withColumn("accepted", F.col("use_id") == F.col("__winner")).drop("__winner")
+    issued = tokens.select("token").distinct().withColumn("__issued", F.lit(True))
+    known = first.join(issued, "token", "left")
+    accepted = F.coalesce("__issued", F.lit(False)) & (F.col("use_id") == F.col("__winner"))
+    return uses.join(known, "token").withColumn("accepted", accepted).drop("__winner", "__issued")
 
 
 def lifecycle_violations(events: DataFrame) -> DataFrame:
@@ -133,6 +136,28 @@ def lifecycle_violations(events: DataFrame) -> DataFrame:
     one before that its status allows, found by an aggregate, so a version with very many events
     costs no more memory than others.
     """
+    key = F.struct("ts", "event_id")
+    state = _accepted_changes(events)
+    steps = events.join(state, "version_id")
+    previous_status, accepted = F.col("__s0"), F.lit(False)
+    for k in range(1, _longest_path() + 1):
+        at = F.col(f"__k{k}")
+        previous_status = F.when(at.isNotNull() & (key > at), F.col(f"__s{k}")).otherwise(previous_status)
+        accepted = accepted | F.coalesce(key == at, F.lit(False))
+    opening = (key == F.col("__first")) & (F.col("status") == "draft")
+    refused = steps.withColumn("previous", previous_status).where(~(accepted | opening))
+    return refused.select(*events.columns, "previous")
+
+
+def version_states(events: DataFrame) -> DataFrame:
+    """(version_id, status) after all changes that were accepted."""
+    last = F.coalesce(*[F.col(f"__s{k}") for k in range(_longest_path(), -1, -1)])
+    return _accepted_changes(events).select("version_id", last.alias("status"))
+
+
+def _accepted_changes(events: DataFrame) -> DataFrame:
+    """Per version its first event and, for each accepted change k, its key __k<k> and status __s<k>."""
+
     def allowed(before: Column, after: Column) -> Column:
         return functools.reduce(operator.or_, [(before == x) & (after == y) for x, y in TRANSITIONS])
 
@@ -145,15 +170,7 @@ def lifecycle_violations(events: DataFrame) -> DataFrame:
         found = meets.groupBy("version_id").agg(F.min(F.struct("ts", "event_id", "status")).alias("__m")).select(
             "version_id", F.struct("__m.ts", "__m.event_id").alias(f"__k{k + 1}"), F.col("__m.status").alias(f"__s{k + 1}"))
         state = state.join(found, "version_id", "left")
-    steps = events.join(state, "version_id")
-    previous_status, accepted = F.col("__s0"), F.lit(False)
-    for k in range(1, _longest_path() + 1):
-        at = F.col(f"__k{k}")
-        previous_status = F.when(at.isNotNull() & (key > at), F.col(f"__s{k}")).otherwise(previous_status)
-        accepted = accepted | F.coalesce(key == at, F.lit(False))
-    opening = (key == F.col("__first")) & (F.col("status") == "draft")
-    refused = steps.withColumn("previous", previous_status).where(~(accepted | opening))
-    return refused.select(*events.columns, "previous")
+    return state
 
 
 def _longest_path(status: str = "draft") -> int:
@@ -187,12 +204,20 @@ def rollout_waves(agents: DataFrame, order: str, canary_percent: int, wave1_perc
 
 
 def number_rows(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """Add position (from 1) by a unique order column, from counts per bucket of that column."""
-    bounds = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.greatest((F.col("__hi") - F.col("__lo")) / buckets, F.lit(1e-9))
-    cut = df.join(F.broadcast(bounds)).withColumn("__b", F.floor((F.col(order) - F.col("__lo")) / width)).drop("__lo", "__hi")
+    """Add position (from 1) by a unique order column of any sortable type, from counts per bucket.
+
+    Buckets lie between quantiles of a sample of about 16 values per bucket, drawn by hash, so ids that are
+    clustered are spread as evenly as others.
+    """
+    total = df.agg(F.count(order)).first()[0]
+    share = min(1.0, 16 * buckets / max(1, total))
+    drawn = F.pmod(F.xxhash64(order), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = sorted(r[0] for r in df.where(F.col(order).isNotNull() & drawn).select(order).collect())
+    cuts = sorted(set(sample[:: max(1, len(sample) // buckets)]))
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(None))
+    cut = df.withColumn("__b", F.size(F.filter(bounds, lambda c: c <= F.col(order))))
     sizes = cut.groupBy("__b").agg(F.count("*").alias("__c"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` + 1 rows
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most a row per bucket
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(order))
     return cut.withColumn("__i", inside).join(offsets, "__b").withColumn("position", F.col("__before") + F.col("__i")).drop("__b", "__i", "__before")

@@ -79,6 +79,11 @@ def merge_intervals(df: DataFrame, keys, start_us: str, end_us: str, max_length_
         F.min("__s").alias("start_us"), F.max("__e").alias("end_us"), F.sum("__n").alias("merged")).drop("__island")
 
 
+def active_at(intervals: DataFrame, at_us: int, start_us: str = "start_us", end_us: str = "end_us") -> DataFrame:
+    """The intervals [start, end) that hold a moment; a filter that reaches the scan."""
+    return intervals.filter((F.col(start_us) <= at_us) & (F.col(end_us) > at_us))
+
+
 def _previous_end(rows: DataFrame, keys, max_length_us: int) -> DataFrame:
     """Furthest end among the earlier starts that can still reach; starts are unique per key."""
     length = max_length_us * SLICES_PER_WINDOW

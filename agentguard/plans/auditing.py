@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentguard.functions import jsonfuncs, labels, text as tx
-from agentguard.operators import audit, metrics, siem
+from agentguard.operators import audit, listing, metrics, siem
 from agentguard.operators.scan import NO_METADATA
 from agentguard.plans import inputs
 from agentguard.plans.base import q, register, table
@@ -106,6 +106,14 @@ def decisions_with_calls(spark, sf):
     return audit.query(decisions(spark, sf), calls, decision="deny").select("decision_id", "decision", "request_json", "response_json")
 
 
+@register("audit_sessions", f"""
+    SELECT session_id, min(timestamp) AS first_at, max(timestamp) AS last_at, count(*) AS decisions, count_if(decision = 'deny') AS denied
+    FROM {SQL_DECISIONS} WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-20' GROUP BY session_id
+""")
+def audit_sessions(spark, sf):
+    return listing.sessions(decisions(spark, sf), "2024-01-05", "2024-01-20")
+
+
 @register("audit_search", f"SELECT decision_id, tool, reason FROM {SQL_DECISIONS} WHERE (tool ILIKE '%SQL%' OR reason ILIKE '%SQL%') AND decision = 'deny'")
 def audit_search(spark, sf):
     return audit.text_search(decisions(spark, sf), "sql", decision="deny").select("decision_id", "tool", "reason")

@@ -155,6 +155,16 @@ _SQL_V4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d
 _SQL_PRIVATE = " OR ".join([
     f"starts_with(m, {q(p)})" for p in ("10.", "192.168.", "127.", "169.254.", "0.")
 ] + ["(starts_with(m, '172.') AND split_part(m, '.', 2)::INT BETWEEN 16 AND 31)"])
+_SQL_PARTS = lambda x: f"list_filter(string_split({x}, ':'), lambda g: g <> '')"
+_SQL_BYTE = lambda k: f"try_cast('0x' || substr(v6, {25 + 2 * k}, 2) AS INT)"
+#: A host's IPv6 address as 32 hex digits (empty if it is none), with a dotted end and `::` written out.
+_SQL_FULL = f"""SELECT * EXCLUDE (hx, left_part, right_part), CASE WHEN contains(host, ':') THEN array_to_string(list_transform(
+      CASE WHEN contains(hx, '::') THEN list_concat({_SQL_PARTS('left_part')}, list_transform(range(0, 8 - len({_SQL_PARTS('left_part')}) - len({_SQL_PARTS('right_part')})), lambda k: '0'), {_SQL_PARTS('right_part')})
+      ELSE string_split(hx, ':') END, lambda g: lpad(g, 4, '0')), '') ELSE '' END AS v6
+    FROM (SELECT *, split_part(hx, '::', 1) AS left_part, split_part(hx, '::', 2) AS right_part FROM (
+      SELECT *, CASE WHEN regexp_matches(host, ':[0-9]+(\\.[0-9]+){{3}}$') THEN regexp_extract(lower(host), '^(.*:)[0-9.]+$', 1) || (
+        WITH o AS (SELECT list_transform(string_split(regexp_extract(host, '[0-9.]+$'), '.'), lambda x: try_cast(x AS BIGINT)) AS b)
+        SELECT printf('%x:%x', b[1] * 256 + b[2], b[3] * 256 + b[4]) FROM o) ELSE lower(host) END AS hx FROM @hosts@))"""
 #: Verdict on each URL, as SQL: input rows (k, idx, u) of `source`.
 SQL_URL_VERDICT = f"""
   SELECT *, CASE
@@ -162,12 +172,14 @@ SQL_URL_VERDICT = f"""
     WHEN host = '' THEN NULL
     WHEN host IN ('169.254.169.254', 'metadata.google.internal') THEN {q(ssrf.PREFIX + 'cloud metadata endpoint')}
     WHEN lower(host) IN ({", ".join(q(h) for h in vuln.LOOPBACK_V6)}) THEN {q(ssrf.PREFIX)} || 'IPv6 localhost/loopback ' || host
-    WHEN (regexp_matches(m, {q(_SQL_V4)}) AND ({_SQL_PRIVATE})) OR regexp_matches(lower(host), {q(vuln.PRIVATE_V6_PATTERN)})
+    WHEN (regexp_matches(m, {q(_SQL_V4)}) AND ({_SQL_PRIVATE})) OR regexp_matches(v6, '^(?:0{{31}}1|f[cd]|fe[89ab])')
       THEN {q(ssrf.PREFIX)} || 'private/internal IP ' || host
     WHEN regexp_matches(host, '^[0-9]{{6,}}$') THEN {q(ssrf.PREFIX + 'decimal IP encoding')}
     WHEN starts_with(lower(host), '0x') THEN {q(ssrf.PREFIX + 'hex IP encoding')}
   END AS verdict
-  FROM (SELECT *, lower(regexp_extract(u, '(?i)^([a-z][a-z0-9+.\\-]*):', 1)) AS scheme, host AS m FROM (SELECT *, {_SQL_HOST} AS host FROM @source@))
+  FROM (SELECT *, lower(regexp_extract(u, '(?i)^([a-z][a-z0-9+.\\-]*):', 1)) AS scheme,
+      CASE WHEN starts_with(v6, '00000000000000000000ffff') THEN concat_ws('.', {", ".join(_SQL_BYTE(k) for k in range(4))}) ELSE host END AS m
+    FROM ({_SQL_FULL.replace("@hosts@", f"(SELECT *, {_SQL_HOST} AS host FROM @source@)")}))
 """
 
 

@@ -244,7 +244,25 @@ def new_processes(spark, sf):
     SELECT ip, min(s) AS start_us, max(e) AS end_us, count(*) AS merged FROM g GROUP BY ip, island
 """)
 def block_intervals(spark, sf):
+    return ordered.merge_intervals(_blocks(spark, sf), ["ip"], "s", "e", 7200 * 1_000_000)
+
+
+def _blocks(spark, sf):
     seconds = F.when(F.col("event_id") % 3 == 0, 600).when(F.col("event_id") % 3 == 1, 3600).otherwise(7200)
     blocks = table(spark, sf, "events").filter("event_type = 'error'").select(
         (F.col("user_id") % 10).alias("ip"), ordered.micros(F.col("ts")).alias("s"), (ordered.micros(F.col("ts")) + seconds.cast("bigint") * 1_000_000).alias("e"))
-    return ordered.merge_intervals(blocks, ["ip"], "s", "e", 7200 * 1_000_000)
+    return blocks
+
+
+#: The middle of the event table's month.
+_AT_US = 1_705_320_000_000_000
+
+
+@register("active_blocks", f"""
+    SELECT ip, max(e) AS until_us, count(*) AS rules FROM (
+      SELECT user_id % 10 AS ip, epoch_us(ts) AS s, epoch_us(ts) + CASE event_id % 3 WHEN 0 THEN 600 WHEN 1 THEN 3600 ELSE 7200 END * 1000000::BIGINT AS e FROM events WHERE event_type = 'error')
+    WHERE s <= {_AT_US} AND e > {_AT_US} GROUP BY ip
+""")
+def active_blocks(spark, sf):
+    held = ordered.active_at(_blocks(spark, sf), _AT_US, "s", "e")
+    return held.groupBy("ip").agg(F.max("e").alias("until_us"), F.count("*").alias("rules"))

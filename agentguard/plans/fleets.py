@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agentguard.operators import fleet
+from agentguard.operators import fleet, listing
 from agentguard.plans import inputs
 from agentguard.plans.base import register, table
 
@@ -138,9 +138,47 @@ def key_status_counts(spark, sf):
     return fleet.key_counts(_keys(spark, sf), F.lit("1998-01-01").cast("timestamp"))
 
 
-@register("token_first_use", f"SELECT use_id, token, row_number() OVER (PARTITION BY token ORDER BY ts, use_id) = 1 AS accepted FROM {_sql(USES)}")
+@register("token_first_use", f"SELECT use_id, token, row_number() OVER (PARTITION BY token ORDER BY ts, use_id) = 1 AND token IN (SELECT 't' || c_custkey FROM customer WHERE c_custkey % 3 <> 0) AS accepted FROM {_sql(USES)}")
 def token_first_use(spark, sf):
-    return fleet.token_uses(_df(spark, sf, USES)).select("use_id", "token", "accepted")
+    issued = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token"))
+    return fleet.token_uses(_df(spark, sf, USES), issued).select("use_id", "token", "accepted")
+
+
+@register("waves_by_name", f"""
+    SELECT agent_id, position FROM (SELECT c_name AS agent_id, row_number() OVER (ORDER BY c_name) AS position FROM customer)
+""")
+def waves_by_name(spark, sf):
+    agents = table(spark, sf, "customer").select(F.col("c_name").alias("agent_id"))
+    return fleet.number_rows(agents, "agent_id").select("agent_id", "position")
+
+
+@register("version_status_counts", f"""
+    SELECT status, count(*) AS versions FROM (
+      WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY version_id) AS n FROM {_sql(LIFECYCLE)}),
+      walk AS (
+        SELECT version_id, rn, n, CASE WHEN 'draft>' || status IN ('draft>approved', 'draft>rejected') THEN status ELSE 'draft' END AS state FROM e WHERE rn = 1
+        UNION ALL SELECT e.version_id, e.rn, e.n, CASE WHEN (w.state || '>' || e.status) IN ('draft>approved', 'draft>rejected', 'approved>published', 'approved>rejected', 'published>superseded') THEN e.status ELSE w.state END
+        FROM walk w JOIN e ON e.version_id = w.version_id AND e.rn = w.rn + 1)
+      SELECT version_id, state AS status FROM walk WHERE rn = n) GROUP BY status
+""")
+def version_status_counts(spark, sf):
+    return fleet.version_states(_df(spark, sf, LIFECYCLE)).groupBy("status").agg(F.count("*").alias("versions"))
+
+
+@register("policy_changes", f"SELECT event_id, version_id, status, ts FROM {_sql(LIFECYCLE)} WHERE ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1996-01-01' ORDER BY ts DESC, event_id DESC LIMIT 50")
+def policy_changes(spark, sf):
+    rows = listing.newest(_df(spark, sf, LIFECYCLE), "ts", "event_id", "1995-01-01", "1996-01-01", 50)
+    return rows.select("event_id", "version_id", "status", "ts")
+
+
+@register("group_agents", f"SELECT agent_id, version, status FROM {_sql(AGENTS)} WHERE policy_group_id = 7 AND status = 'healthy'")
+def group_agents(spark, sf):
+    return listing.of_group(_df(spark, sf, AGENTS), policy_group_id=7, status="healthy").select("agent_id", "version", "status")
+
+
+@register("group_keys", f"SELECT key_id, status, created_at FROM {_SQL_KEYS} WHERE group_id = 3")
+def group_keys(spark, sf):
+    return listing.of_group(_keys(spark, sf), group_id=3).select("key_id", "status", "created_at")
 
 
 _SQL_VALID = "(previous || '>' || status) IN ('draft>approved', 'draft>rejected', 'approved>published', 'approved>rejected', 'published>superseded')"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,7 +28,26 @@ def build_session(app: str = "agentguard", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they can import it from anywhere."""
+    key = spark.conf.get("spark.app.id", "")
+    if key in _shipped:
+        return
+    _shipped.add(key)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="agentguard-")) / "agentguard.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.addArtifacts(str(archive), pyfile=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
