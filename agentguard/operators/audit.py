@@ -16,6 +16,7 @@ DECISION_COLUMNS = (
 #: Values of the record checks.
 DECISIONS = ("allow", "deny", "redacted")
 STAGES = (
+    "message_size",
     "denylist", "allowlist", "arg_filter", "domain_allowlist", "vuln_scan", "injection_scan", "secrets_scan", "pii_scan",
     "malware_scan", "default_action", "timeout", "parse_error", "duplicate_keys", "response_clean", "response_injection",
     "response_malware", "response_secrets", "response_pii",
@@ -73,8 +74,8 @@ def policy_version(policy_text: Column) -> Column:
 
 
 def query(decisions: DataFrame, tool_calls: DataFrame | None = None, since=None, until=None, decision=None, tool=None,
-          hash_prefix=None, scanner=None, rule_id=None, limit: int | None = None) -> DataFrame:
-    """Audit search, newest first. Filters reach the scan; a limit becomes a top-k."""
+          hash_prefix=None, scanner=None, rule_id=None, limit: int | None = None, ordered: bool = True) -> DataFrame:
+    """Audit search, newest first if `ordered` or limited. Filters reach the scan; a limit becomes a top-k."""
     out = decisions
     if since is not None:
         out = out.filter(F.col("timestamp") >= F.lit(since).cast("timestamp"))
@@ -95,7 +96,8 @@ def query(decisions: DataFrame, tool_calls: DataFrame | None = None, since=None,
     out = out.orderBy(*newest).limit(limit) if limit else out
     if tool_calls is not None:
         out = out.join(tool_calls.select("decision_id", "request_json", "response_json"), "decision_id", "left")
-    return out.orderBy(*newest) if tool_calls is not None or not limit else out
+    sort = limit and tool_calls is not None or ordered and not limit
+    return out.orderBy(*newest) if sort else out
 
 
 def text_search(decisions: DataFrame, text: str, decision: str | None = None, scanner: str | None = None) -> DataFrame:

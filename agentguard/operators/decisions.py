@@ -14,6 +14,7 @@ from agentguard.operators.policy import ALLOW, DENY, Policy
 from agentguard.operators.scan import SCAN_RESULT, drop_views, with_views
 from agentguard.operators.vulnscan import vuln_finding
 from agentguard.rules import injection, malware, pii, secrets, vuln
+from agentguard.sources.readers import over_size
 
 VERDICT = f"struct<decision:string,reason:string,stage:string,finding:{SCAN_RESULT}>"
 
@@ -103,12 +104,13 @@ def _scanned_rules(policy: Policy, direction: str) -> tuple:
     return rules
 
 
-def request_verdict(policy: Policy, views, default_action: Column | None = None) -> Column:
+def request_verdict(policy: Policy, views, default_action: Column | None = None, raw: str = "raw") -> Column:
     """The first stage that decides, evaluated lazily in order of cost."""
     default = default_action if default_action is not None else F.lit(policy.default_action)
     allowed = _in_list(F.col("method"), policy.allowlist)
     missing = F.coalesce(F.col("method"), F.lit("")) == ""
     stages = [
+        F.when(over_size(F.col(raw), policy.max_message_bytes), verdict(DENY, "message too large", "message_size")),
         F.when(F.col("json_status") == "duplicate", verdict(DENY, "duplicate JSON keys detected", "duplicate_keys")),
         F.when(F.col("json_status") == "invalid", verdict(DENY, "invalid JSON-RPC format", "parse_error")),
         F.when(missing, verdict(DENY, "missing method field in JSON-RPC", "parse_error")),
@@ -158,7 +160,7 @@ def evaluate_requests(df: DataFrame, policy: Policy, raw: str = "raw", default_a
     """
     parsed = parse_requests(df, raw)
     parsed, views = with_views(parsed, F.col("args"), _scanned_rules(policy, "request"), normalised=bool(policy.prompt_injection))
-    parsed = computed_once(parsed, "__v", request_verdict(policy, views, default_action))
+    parsed = computed_once(parsed, "__v", request_verdict(policy, views, default_action, raw))
     return drop_views(_finish(parsed, "__v"))
 
 
@@ -168,8 +170,8 @@ def shadow_compare(df: DataFrame, live: Policy, candidate: Policy, raw: str = "r
     rules = _scanned_rules(live, "request") + _scanned_rules(candidate, "request")
     normalised = bool(live.prompt_injection or candidate.prompt_injection)
     parsed, views = with_views(parsed, F.col("args"), rules, normalised=normalised)
-    parsed = computed_once(parsed, "live", request_verdict(live, views))
-    parsed = computed_once(parsed, "candidate", request_verdict(candidate, views))
+    parsed = computed_once(parsed, "live", request_verdict(live, views, raw=raw))
+    parsed = computed_once(parsed, "candidate", request_verdict(candidate, views, raw=raw))
     return drop_views(parsed.withColumns({
         "live_decision": F.col("live.decision"), "live_stage": F.col("live.stage"),
         "candidate_decision": F.col("candidate.decision"), "candidate_stage": F.col("candidate.stage"),

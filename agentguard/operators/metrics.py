@@ -71,23 +71,41 @@ def rule_rollup(decisions: DataFrame) -> DataFrame:
 
 
 def collect_metrics(decisions: DataFrame, latency_ms: Column) -> DataFrame:
-    """Every counter as (metric, labels, value), ready for exposition or storage."""
-    def labelled(df, metric, value, *names):
-        pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in names])
-        return df.select(F.lit(metric).alias("metric"), F.map_from_entries(pairs).alias("labels"), F.col(value).cast("double").alias("value"))
-
-    one = totals(decisions)
-    named = {"requests_total": "requests", "decisions_allowed_total": "allowed", "decisions_denied_total": "denied",
-             "decisions_redacted_total": "redacted", "evaluation_timeouts_total": "timeouts",
-             "responses_scanned_total": "responses", "responses_blocked_total": "responses_blocked"}
-    flat = one.select(F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in named.items()
-    ])).alias("r")).select("r.metric", F.create_map().cast("map<string,string>").alias("labels"), "r.value")
-    hist = latency_histogram(decisions, latency_ms)
-    out = flat.unionByName(labelled(hist, "evaluation_duration_seconds_bucket", "cumulative", "le"))
-    out = out.unionByName(labelled(detections(decisions), "scanner_detections_total", "detections", "scanner", "action"))
-    out = out.unionByName(labelled(denied_by_tool(decisions), "denied_by_tool_total", "denied", "tool"))
-    return out.unionByName(labelled(denied_by_reason(decisions), "denied_by_reason_total", "denied", "reason"))
+    """Every counter as (metric, labels, value), ready for exposition or storage.
+
+    One scan: rows are counted per kind of decision first, then each kind gives its share of every counter.
+    """
+    reason, stage, denied = F.col("reason"), F.col("stage"), F.col("decision") == "deny"
+    us = F.floor(latency_ms * 1000)
+    scanners = F.transform("scan_results", lambda r: r["scanner"])
+    kinds = decisions.groupBy(
+        "decision", F.coalesce("tool", F.lit("")).alias("tool"), F.when(denied & (reason != ""), normalize_reason(reason)).alias("label"),
+        F.array_sort(F.coalesce(scanners, F.array().cast("array<string>"))).alias("scanners"),
+    ).agg(
+        F.count("*").alias("n"), F.count_if(F.startswith(reason, F.lit("response redacted"))).alias("redacted"),
+        F.count_if(F.contains(reason, F.lit("timeout"))).alias("timeouts"), F.count_if(F.startswith(stage, F.lit("response"))).alias("responses"),
+        *[F.count_if(us < b * 1000).alias(f"c{k}") for k, b in enumerate(LATENCY_BOUNDS_MS)])
+
+    def part(metric: str, value, *pairs) -> Column:
+        labels = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in pairs]) if pairs else F.array().cast("array<struct<k:string,v:string>>")
+        return F.struct(F.lit(metric).alias("metric"), labels.alias("pairs"), F.coalesce(value, F.lit(0)).cast("bigint").alias("value"))
+
+    n, zero = F.col("n"), F.lit(0)
+    fixed = [
+        part("requests_total", n), part("decisions_allowed_total", F.when(F.col("decision") == "allow", n)),
+        part("decisions_denied_total", F.when(denied, n)), part("decisions_redacted_total", F.col("redacted")),
+        part("evaluation_timeouts_total", F.col("timeouts")), part("responses_scanned_total", F.col("responses")),
+        part("responses_blocked_total", F.when(denied, F.col("responses")).otherwise(zero)),
+        *[part("evaluation_duration_seconds_bucket", F.col(f"c{k}"), ("le", F.lit(f"{b / 1000:.3f}"))) for k, b in enumerate(LATENCY_BOUNDS_MS)],
+        part("evaluation_duration_seconds_bucket", n, ("le", F.lit("+Inf"))),
+        F.when(denied & (F.col("tool") != ""), part("denied_by_tool_total", n, ("tool", F.col("tool")))),
+        F.when(F.col("label").isNotNull(), part("denied_by_reason_total", n, ("reason", F.col("label")))),
+    ]
+    action = F.when(denied, F.lit("blocked")).otherwise(F.lit("redacted"))
+    found = F.transform("scanners", lambda x: part("scanner_detections_total", n, ("scanner", x), ("action", action)))
+    rows = kinds.select(F.explode(F.concat(F.array_compact(F.array(*fixed)), found)).alias("r")).select("r.*")
+    summed = rows.groupBy("metric", "pairs").agg(F.sum("value").alias("value"))
+    return summed.select("metric", F.map_from_entries("pairs").alias("labels"), F.col("value").cast("double").alias("value"))
 
 
 def to_prometheus(metrics: DataFrame) -> DataFrame:

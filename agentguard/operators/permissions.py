@@ -29,9 +29,9 @@ def lookup(spark: SparkSession, rows, schema: str) -> DataFrame:
 class Permissions:
     """Rule tables of the permission layer."""
 
-    agents: tuple = tuple(defaults.AGENTS)
-    aliases: tuple = tuple(defaults.ALIASES)
-    grants: tuple = tuple(defaults.GRANTS)
+    agents: tuple[tuple[str, bool, str], ...] = ()  # name, enabled, ceiling; `default` serves unknown agents
+    aliases: tuple[tuple[str, str], ...] = ()  # alias, name
+    grants: tuple[tuple[str, str, str], ...] = ()  # name, platform, permission
     class_rules: tuple[Rule, ...] = defaults.CLASS_RULES
     block_levels: tuple[str, ...] = defaults.BLOCK_LEVELS
     dlp_mode: str = REDACT

@@ -30,17 +30,24 @@ def candidates_sql(text: str, fold: str, rules) -> str:
 
 
 def _step(rule, tag: str) -> str:
-    """State `s` (text, found) after one rule: each accepted hit replaces its first occurrence."""
+    """State `s` (text, found) after one rule: each accepted hit replaces its first occurrence.
+
+    The text is split at the pattern once and put together with the tags. That is the same unless a hit
+    also occurs before its own place, outside a match; only then are the hits replaced one by one.
+    """
     pattern = sql_str(rule.java_pattern)
-    hits = f"regexp_extract_all(s.text, {pattern}, 0)"
-    if rule.validator:
-        hits = f"filter({hits}, h -> {validator_sql(rule.validator, 'h')})"
-    replaced = (
+    every = f"regexp_extract_all(s.text, {pattern}, 0)"
+    valid = f"filter(es, h -> {validator_sql(rule.validator, 'h')})" if rule.validator else "es"
+    tagged = f"IF({validator_sql(rule.validator, 'es[i - 1]')}, {sql_str(tag)}, es[i - 1])" if rule.validator else sql_str(tag)
+    joined = f"array_join(transform(split(s.text, {pattern}, -1), (p, i) -> IF(i = 0, p, concat({tagged}, p))), '')"
+    one_by_one = (
         "aggregate(hs, s.text, (t, h) -> IF(instr(t, h) = 0, t, "
         f"concat(substr(t, 1, instr(t, h) - 1), {sql_str(tag)}, substr(t, instr(t, h) + length(h)))))"
     )
+    replaced = f"transform(array({joined}), j -> IF(exists(array_distinct(hs), h -> contains(j, h)), {one_by_one}, j))[0]"
     after = f"named_struct('text', {replaced}, 'found', array_append(s.found, {sql_str(rule.name)}))"
-    return f"IF(rlike(s.text, {pattern}), transform(array({hits}), hs -> IF(size(hs) = 0, s, {after}))[0], s)"
+    picked = f"transform(array({valid}), hs -> IF(size(hs) = 0, s, {after}))[0]"
+    return f"IF(rlike(s.text, {pattern}), transform(array({every}), es -> {picked})[0], s)"
 
 
 def redact(text: str, fold: str, rules, tag_of) -> Column:

@@ -80,7 +80,7 @@ def args_hash_flat(spark, sf):
     WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp <= TIMESTAMP '2024-01-20' AND decision = 'deny' AND tool ILIKE '%file%' AND scanner_type = 'vuln'
 """)
 def audit_query(spark, sf):
-    rows = audit.query(decisions(spark, sf), since="2024-01-05", until="2024-01-20", decision="deny", tool="FILE", scanner="vuln", rule_id="sqli")
+    rows = audit.query(decisions(spark, sf), since="2024-01-05", until="2024-01-20", decision="deny", tool="FILE", scanner="vuln", rule_id="sqli", ordered=False)
     return rows.select("decision_id", "timestamp", "session_id", "tool", "decision", "reason")
 
 
@@ -103,7 +103,7 @@ _CALLS = "SELECT event_id AS decision_id, CAST(ts AS TIMESTAMP) AS created_at, p
 """)
 def decisions_with_calls(spark, sf):
     calls = inputs.run_sql(spark, _CALLS, events=table(spark, sf, "events"))
-    return audit.query(decisions(spark, sf), calls, decision="deny").select("decision_id", "decision", "request_json", "response_json")
+    return audit.query(decisions(spark, sf), calls, decision="deny", ordered=False).select("decision_id", "decision", "request_json", "response_json")
 
 
 @register("audit_sessions", f"""

@@ -48,7 +48,20 @@ URLS = [
     (0, "https://api.example.com/v1"), (1, "https://cdn.example.org/x?q=1"), (2, "http://evil.test/"),
     (3, "http://user:pw@api.example.com/"), (4, "api.example.com/path"), (5, ""), (6, "https://example.org"),
 ]
-AGENTS = [(0, "friday"), (1, "Nimbus"), (2, "sentinel"), (3, "pepper"), (4, "coda"), (5, "stranger"), (6, "anvil")]
+AGENTS = [(0, "scribe"), (1, "Ledger"), (2, "warden"), (3, "concierge"), (4, "scout"), (5, "stranger"), (6, "builder")]
+#: Sample permission tables of these agents: (name, enabled, ceiling), (alias, name), (name, platform, permission).
+PROFILES = (
+    ("builder", True, "CONFIDENTIAL"), ("accountant", True, "INTERNAL"), ("auditor", False, "RESTRICTED"),
+    ("helper", True, "INTERNAL"), ("reader", True, "PUBLIC"), ("default", True, "PUBLIC"),
+)
+ALIASES = (("scribe", "builder"), ("ledger", "accountant"), ("warden", "auditor"), ("concierge", "helper"), ("scout", "reader"))
+GRANTS = (
+    ("builder", "github", "READ"), ("builder", "github", "WRITE"), ("builder", "jira", "READ"), ("builder", "gateway", "WRITE"),
+    ("accountant", "microsoft", "READ"), ("accountant", "google", "WRITE"), ("accountant", "gateway", "READ"),
+    ("auditor", "gitlab", "READ"), ("auditor", "jsm", "READ"), ("auditor", "confluence", "READ"),
+    ("helper", "slack", "READ"), ("helper", "slack", "WRITE"), ("helper", "jsm", "WRITE"), ("helper", "gateway", "READ"),
+    ("reader", "confluence", "READ"), ("reader", "google", "READ"), ("default", "gateway", "READ"),
+)
 CHANNELS = [(0, "direct"), (1, "slack"), (2, "telegram")]
 
 _ESC = "replace(replace(replace(replace(replace({x}, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n')), chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't'))"

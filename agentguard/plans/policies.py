@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from agentguard.functions import jsonfuncs, labels, net, text as tx
@@ -31,7 +33,7 @@ LIVE = Policy(
     malware_scan=MalwareScan(),
     secrets_scan=SecretsScan(action="redact"),
     pii_scan=PiiScan(action="redact", exclude_tools=("search.query",)),
-    agent_allowlist=("friday", "nimbus", "pepper", "anvil"),
+    agent_allowlist=("scribe", "ledger", "concierge", "builder"),
     channels={
         "slack": ChannelPolicy(blocked_tools=("web.get", "tools.invoke")),
         "telegram": ChannelPolicy(allowed_tools=("chat.send", "search.query"), blocked_tools=("file.read",)),
@@ -75,6 +77,7 @@ def sql_request_stages(policy: Policy) -> str:
     """First deciding stage as `stage#reason`, over the columns made by `sql_requests`."""
     low = lambda names: "(" + ", ".join(q(n.lower()) for n in names) + ")"
     s = [
+        _stage("message_size", f"strlen(raw) > {policy.max_message_bytes}", q("message too large")),
         _stage("duplicate_keys", "status = 'duplicate'", q("duplicate JSON keys detected")),
         _stage("parse_error", "status = 'invalid'", q("invalid JSON-RPC format")),
         _stage("parse_error", "coalesce(method, '') = ''", q("missing method field in JSON-RPC")),
@@ -191,6 +194,15 @@ def policy_matrix(spark, sf):
     return rows.groupBy("policy_id", "stage", "decision").agg(F.count("*").alias("messages"))
 
 
+SMALL = dataclasses.replace(CANDIDATE, max_message_bytes=1500)
+
+
+@register("message_size", f"SELECT msg_id, decision, reason FROM (SELECT msg_id, {sql_decided(SMALL)} FROM (SELECT *, {sql_request_stages(SMALL)} AS v FROM {SQL_REQUESTS})) WHERE stage = 'message_size'")
+def message_size(spark, sf):
+    rows = dec.evaluate_requests(inputs.messages(spark, sf), SMALL)
+    return rows.where("stage = 'message_size'").select("msg_id", "decision", "reason")
+
+
 @register("json_checks", f"""
     SELECT msg_id, status AS json_status, method, CASE WHEN status = 'ok' AND shape IN ('ok') THEN args END AS args,
       strlen(raw) > 1500 AS over_size FROM {SQL_REQUESTS}
@@ -313,7 +325,7 @@ def channel_policy(spark, sf):
     return dec.channel_verdict(msgs, rules).select("msg_id", "channel_decision", "channel_reason")
 
 
-_SCOPES = {"friday": ["jira", "confluence"], "Nimbus": ["google"], "pepper": ["slack", "jira"], "coda": []}
+_SCOPES = {"scribe": ["jira", "confluence"], "Ledger": ["google"], "concierge": ["slack", "jira"], "scout": []}
 
 
 def _scopes_col(agent):
@@ -390,7 +402,8 @@ def policy_diff(spark, sf):
 
 # --- permissions ------------------------------------------------------------------------------
 
-PERMS = perm.Permissions()
+_SAMPLE = {"agents": inputs.PROFILES, "aliases": inputs.ALIASES, "grants": inputs.GRANTS}
+PERMS = perm.Permissions(**_SAMPLE)
 _CLASS_HITS = ", ".join(f"CASE WHEN regexp_matches(text, {q(r.pattern)}) THEN {q(f'{r.name}({r.category})')} END" for r in prules.CLASS_RULES)
 _RANK = "CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in labels.CLASS_LEVELS.items()) + " END"
 SQL_CLASSIFIED = f"""(
@@ -416,8 +429,8 @@ def classify_documents(spark, sf):
     return out.groupBy("c.level").agg(F.count("*").alias("documents"), F.sum(F.size("c.labels")).alias("labels"))
 
 
-_SQL_AGENT = f"""CASE lower(agent) {" ".join(f"WHEN '{a}' THEN '{n}'" for a, n in prules.ALIASES)} {" ".join(f"WHEN '{a[0]}' THEN '{a[0]}'" for a in prules.AGENTS)} ELSE 'default' END"""
-_SQL_CEILING = f"""CASE {_SQL_AGENT} {" ".join(f"WHEN '{n}' THEN {labels.CLASS_LEVELS[c]}" for n, _, c in prules.AGENTS)} END"""
+_SQL_AGENT = f"""CASE lower(agent) {" ".join(f"WHEN '{a}' THEN '{n}'" for a, n in inputs.ALIASES)} {" ".join(f"WHEN '{a[0]}' THEN '{a[0]}'" for a in inputs.PROFILES)} ELSE 'default' END"""
+_SQL_CEILING = f"""CASE {_SQL_AGENT} {" ".join(f"WHEN '{n}' THEN {labels.CLASS_LEVELS[c]}" for n, _, c in inputs.PROFILES)} END"""
 
 
 @register("ceiling_check", f"SELECT msg_id, {_SQL_AGENT} AS agent, level, {_RANK.format(c='level')} <= {_SQL_CEILING} AS within FROM {SQL_CLASSIFIED.replace('@source@', inputs.SQL_MESSAGES)}")
@@ -432,9 +445,10 @@ _TRIES = [("READ", 0), ("WRITE", 1)]
 
 
 @register("scope_check", f"""
-    WITH g AS {values(prules.GRANTS, ["agent", "platform", "perm"])}
+    WITH g AS {values(inputs.GRANTS, ["agent", "platform", "perm"])}
     SELECT msg_id, platform, permission,
-      CASE WHEN NOT EXISTS (SELECT 1 FROM g WHERE g.agent = a AND g.platform = m.platform) THEN 'agent "' || a || '" has no access to platform "' || platform || '"'
+      CASE WHEN a IN ({", ".join(q(n) for n, enabled, _ in inputs.PROFILES if not enabled)}) THEN 'agent "' || a || '" is disabled'
+        WHEN NOT EXISTS (SELECT 1 FROM g WHERE g.agent = a AND g.platform = m.platform) THEN 'agent "' || a || '" has no access to platform "' || platform || '"'
         WHEN NOT EXISTS (SELECT 1 FROM g WHERE g.agent = a AND g.platform = m.platform AND g.perm = m.permission) THEN 'agent "' || a || '" lacks ' || permission || ' permission on "' || platform || '"'
         ELSE 'scope allowed' END AS scope_reason
     FROM (SELECT msg_id, {_SQL_AGENT} AS a, CASE conv_id % 4 WHEN 0 THEN 'jira' WHEN 1 THEN 'google' WHEN 2 THEN 'slack' ELSE 'gateway' END AS platform,
@@ -447,7 +461,7 @@ def scope_check(spark, sf):
     return perm.check_scope(msgs, PERMS).select("msg_id", "platform", "permission", "scope_reason")
 
 
-DLP = perm.Permissions(corporate_email_domains=("example.com", "acme.test"), dlp_custom=((r"CVE-\d{4}-\d+", "cve", "[CVE]"),))
+DLP = perm.Permissions(**_SAMPLE, corporate_email_domains=("example.com", "acme.test"), dlp_custom=((r"CVE-\d{4}-\d+", "cve", "[CVE]"),))
 
 
 def _sql_dlp(source: str, text: str) -> str:
@@ -467,7 +481,7 @@ def dlp_scrub(spark, sf):
     return out.select("msg_id", F.col("d.text").alias("scrubbed"), F.size("d.labels").alias("redactions"), F.array_join("d.labels", ", ").alias("labels"))
 
 
-_PLATFORMS = {a: sorted({p for n, p, _ in prules.GRANTS if n == a}) for a, _, _ in prules.AGENTS}
+_PLATFORMS = {a: sorted({p for n, p, _ in inputs.GRANTS if n == a}) for a, _, _ in inputs.PROFILES}
 
 
 def _sql_sanitize(col: str) -> str:
@@ -483,7 +497,7 @@ def _sql_sanitize(col: str) -> str:
 
 
 _SQL_PLATFORMS = f"CASE {_SQL_AGENT} {' '.join(f'WHEN {q(a)} THEN {p}' for a, p in _PLATFORMS.items())} END"
-SANITIZE = perm.Permissions(max_response_bytes=1200)
+SANITIZE = perm.Permissions(**_SAMPLE, max_response_bytes=1200)
 
 
 @register("sanitize_responses", f"SELECT msg_id, {_sql_sanitize('text')} AS problem FROM (SELECT *, {_SQL_PLATFORMS} AS platforms FROM {inputs.SQL_MESSAGES})")
@@ -508,6 +522,7 @@ _SQL_DLP_DEFAULT = _sql_dlp("(SELECT *, " + _SQL_PLATFORMS + f" AS platforms, {_
 """)
 def permission_pipeline(spark, sf):
     perms = perm.Permissions(
+        **_SAMPLE,
         corporate_email_domains=DLP.corporate_email_domains, dlp_custom=DLP.dlp_custom, max_response_bytes=1200)
     msgs = inputs.messages(spark, sf).withColumn("answer", perm.dlp_scrub("text", perms)["text"])
     out = perm.permission_pipeline(msgs, perms, response="answer")

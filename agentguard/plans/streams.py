@@ -125,33 +125,45 @@ def ndjson_lines(spark, sf):
 # --- live twins: the same input read as a stream, until it is used up ---------------------------
 
 
-def run_stream(spark, streamed, key: str, timers: bool = False):
+def run_stream(spark, streamed, key: str):
     """Run a streaming query to the end of its input; gives the output path and schema.
 
-    Checkpoint and output go to the shared folder of the cluster. A query with state timers asks for empty
-    batches for ever, so these are switched off for it.
+    Checkpoint and output go to the shared folder of the cluster.
     """
     folder = f"{shared_dir(spark)}/{key}-{os.urandom(6).hex()}"
-    empty_batches = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(empty_batches)
-    spark.conf.set(empty_batches, "false" if timers else before)
-    try:
-        query = (
-            streamed.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-            .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(empty_batches, before)
+    query = (
+        streamed.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").start()
+    )
+    query.awaitTermination()
     return f"{folder}/out", streamed.schema
 
 
-def written(spark, streamed, key: str, timers: bool = False):
+def written(spark, streamed, key: str):
     """The rows a streaming query wrote until its input was used up."""
-    path, schema = run_stream(spark, streamed, key, timers)
+    path, schema = run_stream(spark, streamed, key)
     return spark.read.schema(schema).parquet(path)
 
 
+def latest(spark, streamed, key: str, keys, value: str):
+    """The last value of each key that an updating query gave until its input was used up.
+
+    Each batch goes to a folder of its own number, so a batch that is repeated replaces itself.
+    """
+    folder = f"{shared_dir(spark)}/{key}-{os.urandom(6).hex()}"
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = (
+        streamed.writeStream.outputMode("update").trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def read_stream(spark, sf, name):
     schema = table(spark, sf, name).schema
     # The brackets make it a pattern that only this table's name fits.
@@ -177,13 +189,16 @@ def live_deny_events(spark, sf):
     return out.groupBy("event_type", "severity", "tool").agg(F.count("*").alias("events"))
 
 
-@register("live_counters", f"""
-    SELECT w AS window_start, decision, scanner_type, count(*) AS decisions FROM (SELECT *, date_trunc('day', timestamp)::TIMESTAMP AS w FROM {auditing.SQL_DECISIONS})
-    WHERE w < (SELECT date_trunc('day', max(timestamp) - INTERVAL 10 MINUTE) FROM {auditing.SQL_DECISIONS}) GROUP BY ALL
-""")
+@register("live_counters", f"SELECT date_trunc('day', timestamp)::TIMESTAMP AS window_start, decision, scanner_type, count(*) AS decisions FROM {auditing.SQL_DECISIONS} GROUP BY ALL")
 def live_counters(spark, sf):
     stream = inputs.run_sql(spark, auditing.DECISIONS, events=read_stream(spark, sf, "events"))
-    return written(spark, live.stream_counters(stream, "1 day"), "counters")
+    return latest(spark, live.stream_counters(stream, "1 day"), "counters", ["window_start", "decision", "scanner_type"], "decisions")
+
+
+@register("live_source_activity", f"SELECT time_bucket(INTERVAL 5 MINUTE, ts)::TIMESTAMP AS window_start, source, count(*) AS events FROM {events.SQL_EVENTS} GROUP BY ALL")
+def live_source_activity(spark, sf):
+    stream = inputs.run_sql(spark, events.SECURITY_EVENTS, events=read_stream(spark, sf, "events"))
+    return latest(spark, live.stream_source_activity(stream), "activity", ["window_start", "source"], "events")
 
 
 @register("live_chunk_scan", f"SELECT stream_id, seq, decision, reason, redacted_text, was_redacted FROM ({_sql_scanned()})")
@@ -191,6 +206,6 @@ def live_chunk_scan(spark, sf):
     payloads = inputs.inline(spark, inputs.PAYLOADS, "pid int, shape string, payload string")
     sql = CHUNKS.replace("@explode@", _SPARK_EXPLODE)
     stream = inputs.run_sql(spark, sql, documents=read_stream(spark, sf, "documents"), payloads=payloads).drop("body")
-    path, schema = run_stream(spark, live.scan_stream(stream, POLICY), "chunks", timers=True)
+    path, schema = run_stream(spark, live.scan_stream(stream, POLICY), "chunks")
     scanned = spark.readStream.schema(schema).parquet(path)
-    return written(spark, live.stream_latch(scanned), "latched", timers=True).select("stream_id", "seq", "decision", "reason", "redacted_text", "was_redacted")
+    return written(spark, live.stream_latch(scanned), "latched").select("stream_id", "seq", "decision", "reason", "redacted_text", "was_redacted")

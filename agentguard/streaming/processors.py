@@ -13,46 +13,51 @@ from agentguard.operators.chunks import OVERLAP, scan_chunks
 from agentguard.operators.ordered import micros
 
 WATERMARK = "10 minutes"
-STATE_TTL_MS = 5 * 60 * 1000
-
-
-def _keep_alive(state: GroupState) -> None:
-    state.setTimeoutDuration(STATE_TTL_MS)
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def stream_overlap(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text") -> DataFrame:
-    """Add the carry-over to each chunk. The state of a stream is its last 200 characters; it is
-    forgotten five minutes after the last chunk."""
+def _tail(text: str) -> str:
+    """The longest end of a text of at most OVERLAP bytes, in whole characters."""
+    raw = text.encode("utf-8", "surrogatepass")[-OVERLAP:]
+    while raw and 0x80 <= raw[0] < 0xC0:
+        raw = raw[1:]
+    return raw.decode("utf-8", "surrogatepass")
+
+
+def stream_overlap(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text", last: str | None = None) -> DataFrame:
+    """Add the carry-over to each chunk. The state of a stream is its last 200 bytes.
+
+    It is kept until a chunk with a true `last` column ends the stream; a pause does not end it.
+    """
 
     def carry(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(batches)).sort_values(seq)
         tail, carries = (state.get[0] if state.exists else ""), []
         for piece in pdf[text]:
             carries.append(tail)
-            tail = (tail + piece)[-OVERLAP:]
-        state.update((tail,))
-        _keep_alive(state)
+            tail = _tail(tail + piece)
+        if last and bool(pdf[last].any()):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((tail,))
         yield pdf.assign(carry=carries)
 
     return chunks.groupBy(stream).applyInPandasWithState(
-        carry, _ddl(chunks) + ", carry string", "tail string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        carry, _ddl(chunks) + ", carry string", "tail string", "append", GroupStateTimeout.NoTimeout)
+
 
+def stream_latch(scanned: DataFrame, stream: str = "stream_id", seq: str = "seq", last: str | None = None) -> DataFrame:
+    """Deny every chunk after the first blocked one. The state of a stream is its block reason.
 
-def stream_latch(scanned: DataFrame, stream: str = "stream_id", seq: str = "seq") -> DataFrame:
-    """Deny every chunk after the first blocked one. The state of a stream is its block reason."""
+    A block holds until a chunk with a true `last` column ends the stream, however long it pauses.
+    """
     columns = [stream, seq, "decision", "reason", "was_redacted", "redacted_text"]
 
     def apply(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(batches)).sort_values(seq)
         why, out = (state.get[0] if state.exists else None), []
         for r in pdf.itertuples(index=False):
@@ -60,14 +65,16 @@ def stream_latch(scanned: DataFrame, stream: str = "stream_id", seq: str = "seq"
             redacted = bool(r.was_redacted) and not why
             reason = why or ("chunk redacted" if redacted else "")
             out.append((getattr(r, stream), getattr(r, seq), "deny" if why else "allow", reason, redacted, None if why else r.redacted_text))
-        if why:
+        if last and bool(pdf[last].any()):
+            if state.exists:
+                state.remove()
+        elif why:
             state.update((why,))
-            _keep_alive(state)
         yield pd.DataFrame(out, columns=columns)
 
-    slim = scanned.select(stream, seq, "block_reason", "was_redacted", "redacted_text")
+    slim = scanned.select(stream, seq, "block_reason", "was_redacted", "redacted_text", *([last] if last else []))
     schema = _ddl(slim.select(stream, seq)) + ", decision string, reason string, was_redacted boolean, redacted_text string"
-    return slim.groupBy(stream).applyInPandasWithState(apply, schema, "why string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy(stream).applyInPandasWithState(apply, schema, "why string", "append", GroupStateTimeout.NoTimeout)
 
 
 def scan_stream(chunks: DataFrame, policy) -> DataFrame:
@@ -102,11 +109,16 @@ def stream_threat_scores(events: DataFrame, node: str = "node_id", event_id: str
 
 
 def stream_overrides(events: DataFrame, rules, node: str = "node_id", event_id: str = "event_id") -> DataFrame:
-    """Overrides as they fire; the state of a node holds expiries and the recent times of counted kinds."""
+    """Overrides as they fire; the state of a node holds expiries and the recent times of counted kinds.
+
+    Expired overrides and times that no rule looks back to are dropped with every batch, and a node's
+    state goes once the watermark has passed all of them; neither changes a result.
+    """
     rules = tuple(rules)
     longest = max([r.window_seconds or DEFAULT_WINDOW for r in rules if r.min_count] or [DEFAULT_WINDOW]) * SECOND
     counted = {(r.source, r.type) for r in rules if r.min_count}
-    rows = events.select(node, event_id, micros(F.col("ts")).alias("us"), "source", "event_type", "severity")
+    timed = events.withColumn("__ts", F.col("ts").cast("timestamp")).withWatermark("__ts", WATERMARK)
+    rows = timed.select(node, event_id, "__ts", micros(F.col("ts")).alias("us"), "source", "event_type", "severity")
 
     def fires(rule, event, recent) -> bool:
         if rule.source and event.source != rule.source or rule.type and event.event_type != rule.type:
@@ -119,6 +131,9 @@ def stream_overrides(events: DataFrame, rules, node: str = "node_id", event_id:
         return True
 
     def apply(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values(["us", event_id])
         actions, ends, kinds, times = state.get if state.exists else ([], [], [], [])
         active = dict(zip(actions, ends))
@@ -134,21 +149,42 @@ def stream_overrides(events: DataFrame, rules, node: str = "node_id", event_id:
                 if fires(rule, e, recent) and e.us >= active.get(rule.action, e.us):
                     active[rule.action] = int(e.us) + rule.duration * SECOND
                     out.append((getattr(e, node), rule.action, int(e.us), active[rule.action], getattr(e, event_id)))
-        flat = [("\x1f".join(kind), t) for kind, ts in recent.items() for t in ts]
+        now = int(pdf["us"].iloc[-1])
+        active = {action: end for action, end in active.items() if end > now}
+        flat = [("\x1f".join(kind), t) for kind, ts in recent.items() for t in ts if t > now - longest]
         state.update((list(active), list(active.values()), [k for k, _ in flat], [t for _, t in flat]))
+        idle = max([now + 1, *active.values(), *(t + longest for _, t in flat)]) // 1000 + 1
+        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[node, "action", "start_us", "end_us", "trigger_event_id"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"`{node}` {types[node]}, action string, start_us bigint, end_us bigint, trigger_event_id {types[event_id]}"
     state_schema = "actions array<string>, ends array<bigint>, kinds array<string>, times array<bigint>"
-    return rows.groupBy(node).applyInPandasWithState(apply, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(node).applyInPandasWithState(apply, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_counters(decisions: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Decision counters per event-time window; rows later than the watermark are dropped."""
-    timed = decisions.withColumn("ts", F.col("timestamp").cast("timestamp")).withWatermark("ts", WATERMARK)
-    grouped = timed.groupBy(F.window("ts", window).alias("w"), "decision", "scanner_type").agg(F.count("*").alias("decisions"))
-    return grouped.select(F.col("w.start").alias("window_start"), "decision", "scanner_type", "decisions")
+    """Decision counters per event-time window, for update mode: a window's row is written anew as it grows.
+
+    Rows later than the watermark are not counted; `late_rows` says how many there were.
+    """
+    return _windowed(decisions, "timestamp", window, ["decision", "scanner_type"], "decisions")
+
+
+def stream_source_activity(events: DataFrame, window: str = "5 minutes") -> DataFrame:
+    """Events per source and event-time window, for update mode."""
+    return _windowed(events, "ts", window, ["source"], "events")
+
+
+def _windowed(df: DataFrame, time: str, window: str, keys, out: str) -> DataFrame:
+    timed = df.withColumn("__ts", F.col(time).cast("timestamp")).withWatermark("__ts", WATERMARK)
+    grouped = timed.groupBy(F.window("__ts", window).alias("w"), *keys).agg(F.count("*").alias(out))
+    return grouped.select(F.col("w.start").alias("window_start"), *keys, out)
+
+
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators refused so far because they came behind the watermark."""
+    return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
 
 
 def deny_events(decisions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.types import IntegerType
 from agentguard.operators import adaptive as ad, audit, chunks as ch, decisions as dec, fleet, ordered, permissions as perm, telemetry
 from agentguard.operators.policy import InjectionScan, MalwareScan, PiiScan, Policy, SecretsScan, VulnScan
 from agentguard.operators.policydiff import check_cases, diff_policies
+from agentguard.plans import inputs
 from agentguard.sources import readers, sinks
 from agentguard.streaming import processors as live
 
@@ -84,13 +85,16 @@ def test_scrub_user_turns(spark):
     assert [x.content for x in out] == ["[JIRA-KEY]", "ABC-2"]
 
 
+SAMPLE = perm.Permissions(agents=inputs.PROFILES, aliases=inputs.ALIASES, grants=inputs.GRANTS)
+
+
 def test_scope_and_pipeline(spark):
-    df = spark.createDataFrame([("Friday", "jira", "write", "hello"), ("nobody", "jira", "READ", "mail a@b.io")], "agent string, platform string, permission string, text string")
-    rows = perm.check_scope(df, perm.Permissions()).orderBy("agent").collect()
+    df = spark.createDataFrame([("Scribe", "github", "write", "hello"), ("nobody", "jira", "READ", "mail a@b.io")], "agent string, platform string, permission string, text string")
+    rows = perm.check_scope(df, SAMPLE).orderBy("agent").collect()
     assert rows[0].scope_reason == "scope allowed"
     assert rows[1].scope_reason == 'agent "default" has no access to platform "jira"'
-    out = {r.agent: r.blocked_by for r in perm.permission_pipeline(df, perm.Permissions()).collect()}
-    assert out == {"Friday": None, "nobody": "ceiling"}
+    out = {r.agent: r.blocked_by for r in perm.permission_pipeline(df, SAMPLE).collect()}
+    assert out == {"Scribe": None, "nobody": "ceiling"}
 
 
 def _carry(parts):
@@ -287,8 +291,10 @@ def test_readers(spark, tmp_path):
 
 
 def test_fleet_edges(spark):
-    reports = spark.createDataFrame([("h", 1, "healthy", 1), ("h", 2, "healthy", 1), ("h", 3, "healthy", 1), ("g", 1, "down", 1), ("g", 1, "healthy", 2)], "host string, layer int, status string, ts int")
-    assert {r.host: r.overall for r in fleet.health_rollup(reports).collect()} == {"h": "healthy", "g": "degraded"}
+    reports = spark.createDataFrame([("h", 1, "healthy", 1, 1), ("h", 2, "healthy", 1, 2), ("h", 3, "healthy", 1, 3), ("h", 9, "down", 1, 4), ("g", 1, "down", 1, 5), ("g", 1, "healthy", 1, 6)], "host string, layer int, status string, ts int, report_id int")
+    hosts = spark.createDataFrame([("h",), ("g",), ("silent",)], "host string")
+    got = {r.host: (r.overall, r.missing_layers) for r in fleet.health_rollup(reports, hosts).collect()}
+    assert got == {"h": ("healthy", 0), "g": ("degraded", 2), "silent": ("degraded", 3)}
     agents = spark.range(1, 8).withColumnRenamed("id", "agent_id")
     waves = {r.agent_id: r.wave for r in fleet.rollout_waves(agents, "agent_id", 5).collect()}
     assert waves[1] == "canary" and waves[7] == "full"
