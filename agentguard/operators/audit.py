@@ -130,23 +130,30 @@ def decrypt(value: Column, key: Column) -> Column:
     return F.when(marked, F.try_aes_decrypt(body, key, F.lit("GCM"))).otherwise(value)
 
 
-def row_digest(columns) -> Column:
-    """SHA-256 of a row's values in column order."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+def row_digest(columns, key: str = "") -> Column:
+    """SHA-256 of a row's values in column order, behind a secret key if one is given.
+
+    Each value is written with its length, and NULL differently from any value, so no two rows look alike.
+    """
+    def part(c: str) -> Column:
+        value = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.sha2(F.concat(F.lit(key), *[part(c) for c in columns]), 256)
 
 
-def table_digest(df: DataFrame, partition, columns) -> DataFrame:
+def table_digest(df: DataFrame, partition, columns, key: str = "") -> DataFrame:
     """(partition, rows, digest): independent of row order, with partial sums before the shuffle.
 
-    A row's SHA-256 is cut into four numbers, and these are added up per partition; the sums
-    and the row count are hashed. No group is ever collected.
+    A row's SHA-256 is cut into eight numbers, all of its bits, and these are added up per partition; the
+    sums and the row count are hashed. No group is ever collected. Sums of plain hashes can be forged with
+    effort: give a `key` where the digest must prove that nobody tampered.
     """
     h = F.col("__h")
-    parts = [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = df.select(*partition, row_digest(columns).alias("__h")).groupBy(*partition).agg(
+    parts = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = df.select(*partition, row_digest(columns, key).alias("__h")).groupBy(*partition).agg(
         F.count("*").alias("rows"), *[F.sum(p).alias(f"__s{i}") for i, p in enumerate(parts)])
-    text = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"__s{i}").cast("string") for i in range(4)])
+    text = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"__s{i}").cast("string") for i in range(8)])
     return sums.select(*partition, "rows", F.sha2(text, 256).alias("digest"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agentguard.functions import jsonfuncs, labels, text as tx
 from agentguard.operators import audit, listing, metrics, siem
+from agentguard.operators.ordered import micros
 from agentguard.operators.scan import NO_METADATA
 from agentguard.plans import inputs
 from agentguard.plans.base import q, register, table
@@ -267,19 +268,29 @@ def deny_events(spark, sf):
     return denied.groupBy("e.event_type", "e.severity").agg(F.count("*").alias("events"))
 
 
-_DIGEST_COLS = ("decision_id", "session_id", "tool", "decision", "reason", "policy_version")
-_SQL_ROW_HASH = "sha256(concat_ws(chr(31), decision_id::VARCHAR, session_id, tool, decision, reason, policy_version))"
+_DIGEST_COLS = (
+    "decision_id", "at_us", "user_id", "session_id", "tool", "params", "decision", "reason", "stage", "finding_scanner", "finding_rule",
+    "agent_name", "source", "policy_version", "scanner_type",
+)
+_DIGEST_KEY = "demonstration key"
 
 
 def _sql_digest(source: str) -> str:
-    sums = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::HUGEINT AS s{i}" for i in range(4))
-    return f"""SELECT day, rows, sha256(concat_ws(':', rows::VARCHAR, s0::VARCHAR, s1::VARCHAR, s2::VARCHAR, s3::VARCHAR)) AS digest FROM (
-        SELECT timestamp::DATE AS day, count(*) AS rows, {sums} FROM (SELECT *, {_SQL_ROW_HASH} AS h FROM {source}) GROUP BY ALL)"""
+    cell = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    row_hash = f"sha256({q(_DIGEST_KEY)} || " + " || ".join(cell(c) for c in _DIGEST_COLS) + ")"
+    sums = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::HUGEINT AS s{i}" for i in range(8))
+    listed = ", ".join(f"s{i}::VARCHAR" for i in range(8))
+    return f"""SELECT day, rows, sha256(concat_ws(':', rows::VARCHAR, {listed})) AS digest FROM (
+        SELECT timestamp::DATE AS day, count(*) AS rows, {sums} FROM (SELECT *, {row_hash} AS h FROM (SELECT *, epoch_us(timestamp) AS at_us FROM {source})) GROUP BY ALL)"""
+
+
+def _digest_input(spark, sf):
+    return decisions(spark, sf).withColumn("day", F.to_date("timestamp")).withColumn("at_us", micros(F.col("timestamp")))
 
 
 @register("audit_digest", _sql_digest(SQL_DECISIONS))
 def audit_digest(spark, sf):
-    return audit.table_digest(decisions(spark, sf).withColumn("day", F.to_date("timestamp")), ["day"], _DIGEST_COLS)
+    return audit.table_digest(_digest_input(spark, sf), ["day"], _DIGEST_COLS, _DIGEST_KEY)
 
 
 _TAMPERED = f"(SELECT * REPLACE (CASE WHEN decision_id % 1000 = 7 THEN 'allow' ELSE decision END AS decision) FROM {SQL_DECISIONS})"
@@ -287,9 +298,9 @@ _TAMPERED = f"(SELECT * REPLACE (CASE WHEN decision_id % 1000 = 7 THEN 'allow' E
 
 @register("digest_verify", f"SELECT a.day, 'changed' AS status FROM ({_sql_digest(SQL_DECISIONS)}) a JOIN ({_sql_digest(_TAMPERED)}) b ON a.day = b.day WHERE a.digest <> b.digest")
 def digest_verify(spark, sf):
-    rows = decisions(spark, sf).withColumn("day", F.to_date("timestamp"))
+    rows = _digest_input(spark, sf)
     changed = rows.withColumn("decision", F.when(F.col("decision_id") % 1000 == 7, "allow").otherwise(F.col("decision")))
-    stored, current = (audit.table_digest(r, ["day"], _DIGEST_COLS) for r in (rows, changed))
+    stored, current = (audit.table_digest(r, ["day"], _DIGEST_COLS, _DIGEST_KEY) for r in (rows, changed))
     return audit.verify_digests(stored, current, ["day"]).select("day", "status")
 
 

@@ -9,7 +9,8 @@ from agentguard.functions.entropy import window_stats
 from agentguard.functions.expr import computed_once
 from agentguard.operators import malscan, redact, scan, ssrf
 from agentguard.plans import inputs
-from agentguard.plans.base import TEXT_VIEWS, q, register, sql_findings, sql_fires, sql_valid, table
+from agentguard.plans.base import TEXT_VIEWS, q, register, sql_findings, sql_fires, sql_valid, table, values
+from agentguard.plans.samples import SAMPLES
 from agentguard.rules import injection, malware, pii, secrets, vuln
 
 
@@ -39,6 +40,28 @@ _register_pack("secrets_messages", "conversations", "msg_id", "text", secrets.PA
 _register_pack("xss_pages", "pages", "page_id", "html", vuln.XSS)
 
 
+ALL_RULES = (*injection.PACK, *vuln.PACK, *malware.PACK, *secrets.PACK, *pii.PACK)
+_SAMPLED = "SELECT d.doc_id, concat(left(d.text, 120), ' ', s.sample, ' end') AS text FROM @documents@ d JOIN @samples@ s ON d.doc_id % {n} = s.pid".format(n=len(SAMPLES))
+SQL_SAMPLED = "(" + _SAMPLED.replace("@documents@", "documents").replace("@samples@", values(list(enumerate(SAMPLES)), ["pid", "sample"])) + ")"
+
+
+#: What NFKC does to the signs that occur in these texts: spaces of other widths become plain ones.
+_SQL_NFKC = r"lower(regexp_replace(text, '[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'))"
+
+
+@register("rule_samples", sql_findings(SQL_SAMPLED, "doc_id", TEXT_VIEWS | {"nfkc_lower": _SQL_NFKC}, ALL_RULES))
+def rule_samples(spark, sf):
+    """All rules over documents that each carry a text one of them finds."""
+    samples = inputs.inline(spark, list(enumerate(SAMPLES)), "pid int, sample string")
+    docs = inputs.run_sql(spark, _SAMPLED, documents=table(spark, sf, "documents", texts=True), samples=samples)
+    return _summary(scan.scan_all(docs, "text", ALL_RULES, ["doc_id"]))
+
+
+@register("excerpts", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS excerpt FROM documents")
+def excerpts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.truncate_excerpt(F.col("text")).alias("excerpt"))
+
+
 def _sql_redact(source: str, key: str, rules, tag) -> str:
     """The same fold, one subquery per rule, for the checking engine."""
     sql = f"SELECT {key}, text AS t, []::VARCHAR[] AS found FROM {source}"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agentguard.operators import adaptive as ad, ordered, telemetry as tel
+from agentguard.operators import adaptive as ad, decisions as dec, ordered, telemetry as tel
+from agentguard.operators.policy import Policy
 from agentguard.plans import inputs
 from agentguard.plans.base import REGISTRY, q, register, table
 
@@ -123,6 +124,27 @@ def meta_events(spark, sf):
     return ad.meta_events(ad.overrides(events(spark, sf), RULES)).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
+_LENIENT = Policy(default_action="allow", denylist=("file.read",))
+
+
+@register("override_decisions", f"""
+    WITH o AS MATERIALIZED ({_sql_overrides()}),
+    m AS (SELECT event_id, user_id AS node_id, epoch_us(ts) AS us, CASE event_id % 3 WHEN 0 THEN 'file.read' ELSE 'chat.send' END AS tool FROM events WHERE event_type IN ('view', 'click')),
+    d AS (SELECT m.event_id, m.tool, bool_or(coalesce(o.action = 'elevate_default_deny', false)) AS denied FROM m LEFT JOIN o ON m.node_id = o.node_id AND m.us >= o.start_us AND m.us < o.end_us GROUP BY ALL)
+    SELECT event_id, CASE WHEN tool = 'file.read' OR denied THEN 'deny' ELSE 'allow' END AS decision,
+      CASE WHEN tool = 'file.read' THEN 'tool explicitly denied by denylist' WHEN denied THEN 'default denied' ELSE 'default allowed' END AS reason FROM d
+""")
+def override_decisions(spark, sf):
+    """Requests decided by a policy whose default action an override may have changed at the time."""
+    fired = ad.overrides(events(spark, sf), RULES)
+    tool = F.when(F.col("event_id") % 3 == 0, "file.read").otherwise("chat.send")
+    msgs = table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
+        "event_id", F.col("user_id").alias("node_id"), "ts", F.concat(F.lit('{"method":"'), tool, F.lit('","params":{"q":"x"}}')).alias("raw"))
+    held = ad.active_overrides(msgs, fired, ["node_id"], "event_id", 3600)
+    default = F.coalesce("default_action_override", F.lit(_LENIENT.default_action))
+    return dec.evaluate_requests(held, _LENIENT, default_action=default).select("event_id", "decision", "reason")
+
+
 @register("override_interval_join", f"""
     WITH o AS MATERIALIZED ({_sql_overrides()}),
     m AS (SELECT event_id, user_id AS node_id, epoch_us(ts) AS us FROM events WHERE event_type IN ('view', 'click'))

@@ -42,7 +42,7 @@ NON_ASCII = r"[^\x00-\x7F]"
 
 def custom_rule(scanner: str, name: str, pattern: str, description: str = "", **kw) -> Rule:
     """A user-supplied rule; its pattern is checked when the rule is loaded."""
-    check_user_pattern(pattern)
+    pattern = check_user_pattern(pattern)
     return Rule(scanner, snake_case(name), pattern, name=name, note=description or name, **kw)
 
 
