@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 # Enumerations and keyword lists.
 SEVERITY_WEIGHTS = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 CLASS_LEVELS = {"PUBLIC": 0, "INTERNAL": 1, "CONFIDENTIAL": 2, "RESTRICTED": 3}
-EVENT_TYPES = (
-    "injection_blocked", "malware_blocked", "vuln_blocked", "policy_deny", "arg_filter_match",
-    "exec_suspicious", "port_scan", "file_access", "privesc", "firewall_block",
-    "sensitivity_elevated", "default_deny_activated", "session_blocked", "temp_rule_added",
-)
-EVENT_SOURCES = ("proxy", "firewall", "ebpf", "adaptive")
 SUSPICIOUS_METHOD = ("ignore", "override", "system", "prompt", "inject", "bypass")
 CODE_METHOD = (
     "code", "generate", "write_code", "create_file", "edit_file",

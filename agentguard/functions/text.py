@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Excerpt limits and masks.
+# Excerpt limit and mask.
 EXCERPT_RUNES = 100
 MASK = "****"
 
@@ -33,11 +33,6 @@ def contains_any(text: Column, needles) -> Column:
     return cond
 
 
-def first_match(text: Column, java_pattern: str) -> Column:
-    """First hit of a regex, or NULL."""
-    return F.nullif(F.regexp_extract(text, java_pattern, 0), F.lit(""))
-
-
 def all_matches(text: Column, java_pattern: str) -> Column:
     """All hits of a regex, in order."""
     return F.regexp_extract_all(text, F.lit(java_pattern), F.lit(0))
@@ -48,13 +43,6 @@ def truncate_excerpt(text: Column) -> Column:
     return F.when(F.length(text) > EXCERPT_RUNES, F.concat(F.left(text, F.lit(EXCERPT_RUNES)), F.lit("..."))).otherwise(text)
 
 
-def redact_excerpt(text: Column) -> Column:
-    """First four and last two characters around a mask; short values are hidden whole."""
-    return F.when(byte_len(text) < 8, F.lit(MASK)).otherwise(
-        F.concat(F.left(text, F.lit(4)), F.lit(MASK), F.right(text, F.lit(2)))
-    )
-
-
 def canonical_method(method: Column) -> Column:
     """Trimmed method name with inner whitespace collapsed."""
     return F.trim(F.regexp_replace(method, r"[\s\x{85}\x{A0}]+", " "))
@@ -67,14 +55,6 @@ def extract_urls(text: Column, java_url: str) -> Column:
     )
 
 
-def replace_first(text: Column, hit: Column, tag: Column) -> Column:
-    """Replace the first occurrence of `hit`; unchanged when it does not occur."""
-    pos = F.instr(text, hit)
-    return F.when(pos == 0, text).otherwise(
-        F.concat(F.substr(text, F.lit(1), pos - 1), tag, F.substr(text, pos + F.length(hit)))
-    )
-
-
 def sanitize_for_log(text: Column, limit: int = 200) -> Column:
     """Control characters become underscores; longer values are cut."""
     clean = F.regexp_replace(text, r"[\x00-\x1F\x7F]", "_")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agentguard.operators import fleet, listing
+from agentguard.operators import fleet, listing, policytable
 from agentguard.plans import inputs
 from agentguard.plans.base import register, table
 
@@ -255,3 +255,49 @@ def integrity_check(spark, sf):
 def health_status_counts(spark, sf):
     rows = _df(spark, sf, CHECKINS).groupBy("health_status", "agent_id").agg(F.count("*").alias("n"))
     return rows.groupBy("health_status").agg(F.sum("n").alias("checkins"), F.count("*").alias("agents"))
+
+
+# A policy per customer with a version per order: two scalars, and a denylist of its items' ship modes.
+POLICY_ROWS = """
+SELECT o_custkey AS policy_id, o_orderkey AS version, 'scalar' AS kind, 'default_action' AS field, CASE o_orderstatus WHEN 'F' THEN 'deny' ELSE 'allow' END AS value FROM @orders@
+UNION ALL SELECT o_custkey, o_orderkey, 'scalar', 'max_message_bytes', CASE WHEN o_orderkey % 4 = 0 THEN '400' ELSE '1000000' END FROM @orders@
+UNION ALL SELECT o_custkey, o_orderkey, 'list', CASE WHEN l_partkey % 5 = 0 THEN 'allowlist' ELSE 'denylist' END,
+  CASE l_linenumber % 6 WHEN 0 THEN 'chat.send' WHEN 1 THEN 'shell.exec' WHEN 2 THEN 'web.get' WHEN 3 THEN 'file.read' WHEN 4 THEN 'notes.write' ELSE 'search.query' END
+  FROM @orders@ JOIN @lineitem@ ON l_orderkey = o_orderkey
+"""
+
+
+@register("policy_version_changes", f"""
+    WITH r AS {_sql(POLICY_ROWS)},
+    s AS (SELECT policy_id, version, lag(version) OVER (PARTITION BY policy_id ORDER BY version) AS old FROM (SELECT DISTINCT policy_id, version FROM r)),
+    n AS (SELECT s.policy_id, s.version, kind, field, value FROM s JOIN r USING (policy_id, version) WHERE old IS NOT NULL),
+    o AS (SELECT s.policy_id, s.version, kind, field, value FROM s JOIN r ON r.policy_id = s.policy_id AND r.version = s.old),
+    a AS (SELECT DISTINCT * FROM n EXCEPT SELECT DISTINCT * FROM o), d AS (SELECT DISTINCT * FROM o EXCEPT SELECT DISTINCT * FROM n)
+    SELECT policy_id, version, field, 'changed' AS change_type, d.value AS old_value, a.value AS new_value FROM a JOIN d USING (policy_id, version, kind, field) WHERE kind = 'scalar'
+    UNION ALL SELECT policy_id, version, field, 'added', NULL, value FROM a WHERE kind = 'list'
+    UNION ALL SELECT policy_id, version, field, 'removed', value, NULL FROM d WHERE kind = 'list'
+""")
+def policy_version_changes(spark, sf):
+    return policytable.version_changes(_df(spark, sf, POLICY_ROWS))
+
+
+_SQL_METHOD = "lower(trim(regexp_replace(sent_method, '\\s+', ' ', 'g')))"
+
+
+@register("policy_table_decisions", f"""
+    WITH r AS (SELECT * FROM {_sql(POLICY_ROWS)} WHERE version IN (SELECT max(o_orderkey) FROM orders GROUP BY o_custkey)),
+    p AS (SELECT policy_id, list(value) FILTER (field = 'denylist') AS deny, list(value) FILTER (field = 'allowlist') AS allow,
+      max(value) FILTER (field = 'default_action') AS act, max(value) FILTER (field = 'max_message_bytes')::BIGINT AS most FROM r GROUP BY policy_id),
+    m AS (SELECT msg_id, conv_id % 200 AS policy_id, raw, {_SQL_METHOD} AS tool FROM {inputs.SQL_MESSAGES})
+    SELECT msg_id, CASE WHEN p.policy_id IS NULL OR strlen(raw) > most OR list_contains(deny, tool) THEN 'deny'
+        WHEN allow IS NOT NULL THEN CASE WHEN list_contains(allow, tool) THEN 'allow' ELSE 'deny' END ELSE act END AS decision,
+      CASE WHEN p.policy_id IS NULL THEN 'unknown policy' WHEN strlen(raw) > most THEN 'message too large' WHEN list_contains(deny, tool) THEN 'tool explicitly denied by denylist'
+        WHEN allow IS NOT NULL THEN CASE WHEN list_contains(allow, tool) THEN 'tool in allowlist, scans passed' ELSE 'tool not in allowlist' END
+        WHEN act = 'allow' THEN 'default allowed' ELSE 'default denied' END AS reason
+    FROM m LEFT JOIN p ON m.policy_id = p.policy_id
+""")
+def policy_table_decisions(spark, sf):
+    rows = _df(spark, sf, POLICY_ROWS)
+    current = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("policy_id")).agg(F.max("o_orderkey").alias("version"))
+    msgs = inputs.messages(spark, sf).select("msg_id", (F.col("conv_id") % 200).alias("policy_id"), "raw", F.col("sent_method").alias("method"))
+    return policytable.evaluate_by_table(msgs, rows.join(current, ["policy_id", "version"])).select("msg_id", "decision", "reason")

@@ -19,6 +19,7 @@ _ROLE_OVERRIDE = [
     (r"(?i)take\s+on\s+the\s+role\s+of", ("take",)),
     (r"(?i)from\s+now\s+on,?\s+you\s+(are|will|shall|must)", ("from",)),
 ]
+# Instruction injection: pattern (RE2), needed literals.
 _INSTRUCTION = [
     (r"(?i)do\s+not\s+follow\s+(the|your|any)\s+(previous|original|above)", ("follow",)),
     (r"(?i)disregard\s+(all|any|the|previous|your)\s+\w*\s*(instructions?|rules?|prompts?)", ("disregard",)),
@@ -29,14 +30,15 @@ _INSTRUCTION = [
     (r"(?i)secret\s+instructions?\s*:\s", ("instruction",)),
     (r"(?i)hidden\s+instructions?\s*:\s", ("instruction",)),
 ]
-# The exotic-space class can never hit: NFKC folds those characters to a plain space.
+# Encoding attacks: pattern (RE2), needed literals. The exotic-space class can never hit: NFKC
+# folds those characters to a plain space.
 _ENCODING = [
     (r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ()),
     (r"[\x{E0001}-\x{E007F}]", ()),
     (r"[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", ()),
 ]
-# The second pattern asks for a literal backslash in the version number, so it misses real
-# frames; `fake_jsonrpc_strict` below is the form that hits them.
+# Delimiter injection: pattern (RE2), needed literals. The second pattern asks for a literal
+# backslash in the version number, so it misses real frames; a rule of one's own can look for them.
 _DELIMITER = [
     (r"(?i)`{3,}\s*(tool_output|tool_result|function_result|assistant|system)", ("```",)),
     (r"""(?i)\{\"jsonrpc\"\s*:\s*\"2\\.0\"\s*,\s*\"result\"""", ('{"jsonrpc"',)),
@@ -83,10 +85,6 @@ PACK = (
     *_rules("encoding_attack", _ENCODING),
     *_rules("delimiter_injection", _DELIMITER),
 )
-DELIMITER_STRICT = Rule(
-    "injection", "fake_jsonrpc_strict", r"""(?i)\{"jsonrpc"\s*:\s*"2\.0"\s*,\s*"result\"""",
-    needs=('{"jsonrpc"',), view="nfkc_lower",
-)
 #: Reason prefix of each rule group.
 REASONS = {
     "role_override": "role override attempt detected",

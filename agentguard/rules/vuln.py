@@ -18,6 +18,7 @@ _SQLI = [
     (r"(?i)/\*!\d*.*\*/", ("/*!",)),
     (r"(?i)/\*.*\*/.*(?:select|union|insert|update|delete|drop)", ("*/",)),
 ]
+# Path traversal: patterns (RE2) with their needed literals.
 _PATH = [
     (r"\.\.(/|\\)", ("..",)),
     (r"(?i)(%2e%2e|%2e%2e%2f|%2e%2e/|\.\.%2f|%2e%2e%5c|\.\.%5c)", ("%2e", "..%")),
@@ -28,6 +29,7 @@ _PATH = [
     (r"\.%00", ("%00",)),
     (r"(?i)^\\\\[a-z0-9]", ("\\\\",)),
 ]
+# Command injection: patterns (RE2) with their needed literals.
 _COMMAND = [
     (r"[;&|`]\s*(cat|ls|id|whoami|uname|curl|wget|nc|ncat|bash|sh|python|perl|ruby|php)\b", (";", "&", "|", "`")),
     (r"\$\([^)]+\)", ("$(",)),
@@ -37,6 +39,7 @@ _COMMAND = [
     (r";\s*(rm|dd|mkfs|chmod|chown|kill|reboot|shutdown|halt)\b", (";",)),
     (r"(&&|\|\|)\s*(rm|dd|mkfs|chmod|chown|curl|wget|nc|bash|sh)\b", ("&&", "||")),
 ]
+# Cross-site scripting: patterns (RE2) with their needed literals.
 _XSS = [
     (r"(?i)<\s*script[\s>]", ("script",)),
     (r"(?i)<\s*/\s*script\s*>", ("script",)),
@@ -56,8 +59,6 @@ LOOPBACK_V6 = ("::1", "::ffff:127.0.0.1", "0:0:0:0:0:0:0:1", "::ffff:0:0", "::ff
 PRIVATE_CIDRS_V4 = (
     "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8",
 )
-#: Unique-local and link-local addresses by their first group.
-PRIVATE_V6_PATTERN = r"^(?:f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):[0-9a-f:.]+$"
 DECIMAL_IP_MIN_DIGITS = 6
 
 

@@ -10,24 +10,31 @@ CALL_COLUMNS = ("request_json", "response_json")
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def write_audit(decisions: DataFrame, tool_calls: DataFrame | None, path: str, mode: str = "append") -> None:
-    """Decisions and their calls as date-partitioned Parquet, one folder each."""
-    decisions.withColumn("date", F.to_date("timestamp")).write.mode(mode).partitionBy("date").parquet(f"{path}/decisions")
-    if tool_calls is not None:
-        tool_calls.withColumn("date", F.to_date("created_at")).write.mode(mode).partitionBy("date").parquet(f"{path}/tool_calls")
+def write_audit(decisions: DataFrame, tool_calls: DataFrame | None, path: str, batch: str) -> None:
+    """Decisions and their calls as Parquet in folders `decisions` and `tool_calls`, by batch and date.
+
+    A batch that is written again under its name replaces itself.
+    """
+    for rows, time, name in ((decisions, "timestamp", "decisions"), (tool_calls, "created_at", "tool_calls")):
+        if rows is not None:
+            rows.withColumn("date", F.to_date(time)).write.mode("overwrite").partitionBy("date").parquet(f"{path}/{name}/batch={batch}")
 
 
-def audit_batch_writer(path: str):
-    """`foreachBatch` function that writes each batch to its own folder, so a retried batch replaces itself."""
+def audit_batch_writer(path: str, split=None):
+    """`foreachBatch` function in the same layout. `split(frame)` gives (decisions, tool calls or None) of a batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("date", F.to_date("timestamp")).write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch_id}")
+        decisions, calls = split(batch) if split else (batch, None)
+        write_audit(decisions, calls, path, str(batch_id))
 
     return write
 
 
 def quarantine(df: DataFrame, valid: Column, path: str) -> DataFrame:
-    """Write rows that fail the condition (or leave it unknown) as JSON lines; return the others."""
+    """Write rows that fail the condition (or leave it unknown) as JSON lines; return the others.
+
+    The frame is read twice, once for each side: give one that is a table, not a long computation.
+    """
     ok = F.coalesce(valid, F.lit(False))
     df.filter(~ok).write.mode("append").json(path)
     return df.filter(ok)
@@ -73,16 +80,16 @@ def export_text(logs: DataFrame, path: str, with_calls: bool = False) -> None:
     logs.select(human_text(with_calls).alias("value")).write.mode("overwrite").text(path)
 
 
-def rotate_audit(decisions: DataFrame, export_path: str, keep_path: str, now: Column, retention_days: int = 90) -> None:
-    """Rows past retention go to compressed JSON lines; the rest is written to a new table.
+def rotate_audit(decisions: DataFrame, export_path: str, now: Column, retention_days: int = 90) -> DataFrame:
+    """Rows of days past retention go to compressed JSON lines, one folder a day; gives those days (date, rows).
 
-    The old table is left for the caller to drop once both writes are verified.
+    Nothing that stays is written anew: the table is partitioned by date, so the caller drops the
+    partitions of the days given once the export is verified.
     """
-    cutoff = now - F.make_dt_interval(F.lit(retention_days))
-    old = F.col("timestamp") < cutoff
-    decisions.filter(old).write.mode("append").option("compression", "gzip").json(export_path)
-    kept = decisions.filter(~old).withColumn("date", F.to_date("timestamp"))
-    kept.write.mode("overwrite").partitionBy("date").parquet(keep_path)
+    day = F.to_date("timestamp")
+    old = decisions.filter(day < F.date_sub(F.to_date(now), retention_days)).withColumn("date", day)
+    old.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("date").json(export_path)
+    return decisions.sparkSession.read.json(export_path).groupBy("date").agg(F.count("*").alias("rows"))
 
 
 def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from agentguard.functions import text as tx
 from agentguard.operators import adaptive as ad, audit, chunks as ch, decisions as dec, fleet, ordered, permissions as perm, telemetry
 from agentguard.operators.policy import InjectionScan, MalwareScan, PiiScan, Policy, SecretsScan, VulnScan
 from agentguard.operators.policydiff import check_cases, diff_policies
@@ -240,15 +241,26 @@ def test_audit_rows_queries_and_encryption(spark, tmp_path):
     assert all(r.x == r.reason for r in box.select(audit.decrypt(F.col("b"), key).cast("string").alias("x"), "reason").collect())
     wrong = F.lit(b"x" * 32)
     assert all(r.x is None for r in box.select(audit.decrypt(F.col("b"), wrong).alias("x")).collect())
-    sinks.write_audit(rows, None, str(tmp_path / "a"))
-    assert spark.read.parquet(str(tmp_path / "a/decisions")).count() == 2
+    for _ in range(2):  # a repeated batch replaces itself
+        sinks.write_audit(rows, None, str(tmp_path / "a"), "7")
+    sinks.audit_batch_writer(str(tmp_path / "a"))(rows, 8)
+    assert spark.read.parquet(str(tmp_path / "a/decisions")).count() == 4
     sinks.export_csv(rows, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == list(sinks.CSV_COLUMNS)
     sinks.export_text(rows, str(tmp_path / "txt"))
     good = sinks.quarantine(rows, F.col("decision") == "allow", str(tmp_path / "bad"))
     assert good.count() == 1 and spark.read.json(str(tmp_path / "bad")).count() == 1
-    sinks.rotate_audit(rows, str(tmp_path / "old"), str(tmp_path / "new"), F.current_timestamp() + F.expr("INTERVAL 100 DAYS"), 90)
-    assert spark.read.json(str(tmp_path / "old")).count() == 2
+    later = F.current_timestamp() + F.expr("INTERVAL 100 DAYS")
+    assert sum(r.rows for r in sinks.rotate_audit(rows, str(tmp_path / "old"), later, 90).collect()) == 2
+    assert "decision_details" in spark.read.json(str(tmp_path / "old")).columns
+    assert sinks.rotate_audit(rows, str(tmp_path / "none"), F.current_timestamp(), 90).count() == 0
+    sent = []
+    sinks.siem_batch_writer(lambda frame, n: sent.append((n, frame.count())), 1)(rows, 3)
+    assert sent == [(3, 2)]
+    sinks.write_lines(rows.select(F.col("reason").alias("line")), str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).count() == 2
+    kinds = {t: spark.range(1).select(tx.is_streaming_content_type(F.lit(t)).alias("s")).first().s for t in ("Text/Event-Stream; charset=x", "text/html")}
+    assert kinds == {"Text/Event-Stream; charset=x": True, "text/html": False}
 
 
 def test_canaries(spark):
