@@ -13,7 +13,7 @@ from agentguard.plans import auditing, events, inputs
 from agentguard.plans.base import q, register, sql_valid, table
 from agentguard.plans.policies import sql_fold, sql_injection_reason, sql_malware_blobs, sql_malware_reason
 from agentguard.rules import pii, secrets
-from agentguard.session import shared_dir
+from agentguard.session import shared_dir, staged
 from agentguard.streaming import processors as live
 
 PIECE = 400
@@ -75,11 +75,16 @@ def sql_is_script() -> str:
     return "mal IN (" + ", ".join(q(f"malware_scan: {r.name} detected") for r in malware.SCRIPTS) + ")"
 
 
+def _latched(spark, sf):
+    """Scanned chunks with the block latch. The scan is written once, as the latch reads it twice."""
+    carried = ch.with_overlap(chunks(spark, sf), "stream_id", "seq", "text")
+    kept = ("stream_id", "seq", "block_reason", "block_results", "soft_results", "redacted_text", "was_redacted", "code_generation")
+    return ch.latch(staged(ch.scan_chunks(carried, POLICY).select(*kept), "chunk-scan"), "stream_id", "seq")
+
+
 @register("chunk_scan", f"SELECT stream_id, seq, decision, reason, redacted_text, was_redacted FROM ({_sql_scanned()})")
 def chunk_scan(spark, sf):
-    carried = ch.with_overlap(chunks(spark, sf), "stream_id", "seq", "text")
-    out = ch.latch(ch.scan_chunks(carried, POLICY), "stream_id", "seq")
-    return out.select("stream_id", "seq", "decision", "reason", "redacted_text", "was_redacted")
+    return _latched(spark, sf).select("stream_id", "seq", "decision", "reason", "redacted_text", "was_redacted")
 
 
 @register("chunk_overlap", f"""
@@ -95,8 +100,7 @@ def chunk_overlap(spark, sf):
         count_if(first_at IS NULL OR seq <= first_at) AS chunks FROM ({_sql_scanned()}) GROUP BY stream_id) GROUP BY stage
 """)
 def stream_summary(spark, sf):
-    carried = ch.with_overlap(chunks(spark, sf), "stream_id", "seq", "text")
-    out = ch.finalize(ch.latch(ch.scan_chunks(carried, POLICY), "stream_id", "seq"), "stream_id")
+    out = ch.finalize(_latched(spark, sf), "stream_id")
     return out.groupBy("stage").agg(F.count("*").alias("streams"), F.sum("chunks").alias("chunks"))
 
 

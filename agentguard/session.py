@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results (time zone) or keep plans healthy at any size.
 SESSION_CONF = {
@@ -50,6 +51,13 @@ def ship_package(spark: SparkSession) -> None:
     spark.addArtifacts(str(archive), pyfile=True)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder once and read it back: what is used twice is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`, shared by driver and executors.
 
