@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from agentguard.functions.labels import SEVERITY_WEIGHTS, severity_weight
 from agentguard.operators.ordered import interval_join, micros, trailing
+from agentguard.session import staged
 
 SECOND = 1_000_000
 # Score cap, decay period, default window and override duration (seconds).
@@ -33,6 +34,7 @@ ACTION_EVENTS = {
 SENSITIVITY_LEVELS = {1: "low", 2: "medium", 3: "high"}
 SLICE_SECONDS = 3600
 CHUNK_ROWS = 20_000
+CUTS = 256  # parts of a time slice that has more rows than a chunk
 NEVER = -(2**62)
 
 
@@ -96,6 +98,12 @@ def _exit_tables(times, reach, entries, strict):
         cur = np.where(go, step, cur)
 
 
+def _distinct_exits(entries, exits):
+    """The last entry of each run with one exit: chains merge soon, so few are left, and each stands for its run."""
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return entries[keep], exits[keep]
+
+
 def _pieces(batches):
     """Columns of each whole (chain_key, chunk) from batches sorted by group; memory is one group."""
     held: list[dict] = []
@@ -119,17 +127,27 @@ def _pieces(batches):
 
 
 def _cut(rows: DataFrame, slice_us: int) -> DataFrame:
-    """Number the chunks of each key: whole time slices, packed up to a number of rows.
+    """Number the chunks of each key: time slices, packed up to a number of rows.
 
-    Quiet keys become one chunk, busy ones as many as their rows need. Only counts per
-    (key, slice) go through the window.
+    Quiet keys become one chunk, busy ones as many as their rows need. A slice with more rows than a chunk
+    is cut at quantiles of its times, so that all rows of a second still make many chunks. Only counts per
+    (key, slice) go through the window. `rows` is read several times: give a table.
     """
-    sliced = rows.withColumn("__slice", F.floor(F.col("us") / slice_us))
-    counts = sliced.groupBy("chain_key", "__slice").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("chain_key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = rows.withColumn("__slice", F.floor(F.col("us") / slice_us)).withColumn("__sub", F.lit(0))
+    counts = staged(sliced.groupBy("chain_key", "__slice", "__sub").agg(F.count("*").alias("__n")), "chain-counts")
+    busy = counts.where(F.col("__n") > CHUNK_ROWS).select("chain_key", "__slice")
+    if not busy.isEmpty():
+        at = [k / CUTS for k in range(1, CUTS)]
+        cuts = staged(sliced.join(busy, ["chain_key", "__slice"]).groupBy("chain_key", "__slice").agg(
+            F.percentile_approx("us", at, 10 * CUTS).alias("__cuts")), "chain-cuts")
+        inside = F.size(F.filter("__cuts", lambda c: c < F.col("us")))
+        sliced = sliced.join(cuts, ["chain_key", "__slice"], "left").withColumn(
+            "__sub", F.when(F.col("__cuts").isNull(), 0).otherwise(inside)).drop("__cuts")
+        counts = sliced.groupBy("chain_key", "__slice", "__sub").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("chain_key").orderBy("__slice", "__sub").rowsBetween(Window.unboundedPreceding, -1)
     packed = counts.select(
-        "chain_key", "__slice", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / CHUNK_ROWS).alias("chunk"))
-    return sliced.join(packed, ["chain_key", "__slice"]).drop("__slice")
+        "chain_key", "__slice", "__sub", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / CHUNK_ROWS).alias("chunk"))
+    return sliced.join(packed, ["chain_key", "__slice", "__sub"]).drop("__slice", "__sub")
 
 
 def _map_chunks(df: DataFrame, order, fn, schema: str, rows_per_batch: int = 20_000) -> DataFrame:
@@ -170,16 +188,15 @@ def greedy_chain(df: DataFrame, key: str, us: str, ties, reach_us: str, max_reac
     A chain enters a chunk within one reach of its first row, which bounds the entry table.
     """
     first = df.groupBy(key, us).agg(F.min(F.struct(*ties, *[c for c in df.columns if c not in (key, us, *ties)])).alias("__r"))
-    rows = first.select(F.col(key).alias("chain_key"), F.col(us).alias("us"), F.col("__r")[reach_us].alias("reach"), "__r")
-    slim = _cut(rows.select("chain_key", "us", "reach"), max(SLICE_SECONDS, max_reach_seconds) * SECOND)
+    rows = staged(first.select(
+        F.col(key).alias("chain_key"), F.col(us).alias("us"), F.col("__r")[reach_us].alias("reach"), "__r"), "chain-rows")
+    slim = staged(_cut(rows.select("chain_key", "us", "reach"), max(SLICE_SECONDS, max_reach_seconds) * SECOND), "chain-chunks")
 
     def summarise(piece: dict) -> dict:
         times, reach = piece["us"], piece["reach"]
         entries = min(len(times), int(np.searchsorted(times, times[0] + max_reach_seconds * SECOND, side="right")) + 1)
-        return {
-            "chain_key": piece["chain_key"][:1], "chunk": piece["chunk"][:1],
-            "entries": [times[:entries]], "exits": [_exit_tables(times, reach, entries, strict)],
-        }
+        starts, exits = _distinct_exits(times[:entries], _exit_tables(times, reach, entries, strict))
+        return {"chain_key": piece["chain_key"][:1], "chunk": piece["chunk"][:1], "entries": [starts], "exits": [exits]}
 
     def advance(state, row):
         i = int(_follow(np.asarray(row.entries), np.array([state[0]]), strict)[0])
@@ -272,10 +289,11 @@ def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "eve
     passed since the last decay, a point is lost for each full 30 s. A node starts at its
     first event. Events of the same time are taken in order of id.
     """
-    rows = _cut(events.select(
+    timed = staged(events.select(
         F.col(node).alias("chain_key"), F.col(event_id).alias("event"), micros(F.col("ts")).alias("us"),
         severity_weight(F.col("severity")).cast("bigint").alias("weight"),
-    ), slice_seconds * SECOND)
+    ), "score-rows")
+    rows = staged(_cut(timed, slice_seconds * SECOND), "score-chunks")
     key_type = rows.schema["chain_key"].dataType.simpleString()
     id_type = rows.schema["event"].dataType.simpleString()
 

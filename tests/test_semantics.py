@@ -171,3 +171,17 @@ def test_shared_folder_is_needed_on_a_cluster():
     assert shared_dir(Session(**{"spark.checkpoint.dir": "hdfs://x/y/", "spark.master": "yarn"})) == "hdfs://x/y"
     with pytest.raises(ValueError):
         shared_dir(Session(**{"spark.master": "local-cluster[2,1,1024]"}))
+
+
+def test_a_busy_second_makes_many_chunks(spark, monkeypatch):
+    from agentguard.operators import adaptive as ad
+
+    monkeypatch.setattr(ad, "CHUNK_ROWS", 100)
+    rows = spark.range(5000).select(F.lit("hot").alias("chain_key"), (F.lit(10**9) + F.col("id") * 200).alias("us"))
+    sizes = [r["count"] for r in ad._cut(rows, 3600 * 10**6).groupBy("chunk").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 200 and len(sizes) >= 25
+    import numpy as np
+
+    times = np.arange(1000) * 1000
+    entries, exits = ad._distinct_exits(times, ad._exit_tables(times, times + 50_000, 1000, False))
+    assert len(entries) <= 60 and exits[-1] == times[-1] + 50_000
