@@ -99,7 +99,7 @@ def _exit_tables(times, reach, entries, strict):
 
 
 def _distinct_exits(entries, exits):
-    """The last entry of each run with one exit: chains merge soon, so few are left, and each stands for its run."""
+    """The last entry of each run with one exit, which stands for the run. Chains of uneven times merge soon and leave few; of even times, all stay."""
     keep = np.append(exits[1:] != exits[:-1], True)
     return entries[keep], exits[keep]
 

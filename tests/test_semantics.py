@@ -182,6 +182,9 @@ def test_a_busy_second_makes_many_chunks(spark, monkeypatch):
     assert sum(sizes) == 5000 and max(sizes) <= 200 and len(sizes) >= 25
     import numpy as np
 
-    times = np.arange(1000) * 1000
-    entries, exits = ad._distinct_exits(times, ad._exit_tables(times, times + 50_000, 1000, False))
-    assert len(entries) <= 60 and exits[-1] == times[-1] + 50_000
+    times = np.sort(np.random.default_rng(1).integers(0, 10**6, 3000))
+    every = ad._exit_tables(times, times + 30_000, 3000, False)
+    entries, exits = ad._distinct_exits(times, every)
+    assert len(entries) < 300 and exits[-1] == every[-1]
+    for t in range(0, int(times[-1]), 9973):
+        assert exits[np.searchsorted(entries, t)] == every[np.searchsorted(times, t)]
