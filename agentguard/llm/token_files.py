@@ -35,6 +35,7 @@ LANES = 1024
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 16 << 20
+READ_BLOCKS = 8  # blocks per reading task
 END_ID = 1
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -360,7 +361,8 @@ def read_files(manifest: DataFrame, folder: str, table: bytes, id_col: str = "do
                     [pa.array(block.doc_ids, pa.int64()), pa.array(row["start"] + ends - block.lengths, pa.int64()),
                      pa.array(block.lengths, pa.int64()), pa.array(crcs, pa.int64())], names=schema.names)
 
-    return blocks.repartition(max(cores(spark), 2), "file", "offset").mapInArrow(read, schema)
+    tasks = max(cores(spark), manifest.count() // READ_BLOCKS)
+    return blocks.repartition(tasks, "file", "offset").mapInArrow(read, schema)
 
 
 def write_and_read(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
