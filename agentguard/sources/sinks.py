@@ -89,7 +89,7 @@ def rotate_audit(decisions: DataFrame, export_path: str, now: Column, retention_
     day = F.to_date("timestamp")
     old = decisions.filter(day < F.date_sub(F.to_date(now), retention_days)).withColumn("date", day)
     old.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("date").json(export_path)
-    return decisions.sparkSession.read.json(export_path).groupBy("date").agg(F.count("*").alias("rows"))
+    return old.groupBy("date").agg(F.count("*").alias("rows"))
 
 
 def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
