@@ -94,21 +94,23 @@ def security_events(execs: DataFrame, conns: DataFrame, files: DataFrame, setuid
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def egress_report(conns: DataFrame, allowed_ips=(), allowed_cidrs=(), domain_ips: DataFrame | None = None) -> DataFrame:
+def egress_report(conns: DataFrame, allowed_ips=(), allowed_cidrs=(), domain_ips: DataFrame | None = None, resolvers=()) -> DataFrame:
     """(dest_ip, verdict, connections): what a default-drop firewall with these lists would do.
 
-    `domain_ips` has (ip) rows resolved from allowed domains; it is joined after counting,
-    one row per destination.
+    `domain_ips` has (ip) rows resolved from allowed domains; it is joined after counting, a row
+    per destination. `resolvers` are allowed on port 53 only; such a destination may have both verdicts.
     """
-    counted = conns.groupBy(net.long_le_to_ipv4(F.col("daddr")).alias("dest_ip")).agg(F.count("*").alias("connections"))
-    allowed = net.in_any_cidr(net.ipv4_to_long(F.col("dest_ip")), (*ALWAYS_ALLOWED, *allowed_cidrs))
+    dns = net.long_le_to_ipv4(F.col("daddr")).isin(*resolvers) & (F.col("dport") == 53) if resolvers else F.lit(False)
+    counted = conns.groupBy(net.long_le_to_ipv4(F.col("daddr")).alias("dest_ip"), dns.alias("__dns")).agg(F.count("*").alias("connections"))
+    allowed = F.col("__dns") | net.in_any_cidr(net.ipv4_to_long(F.col("dest_ip")), (*ALWAYS_ALLOWED, *allowed_cidrs))
     if allowed_ips:
         allowed = allowed | F.col("dest_ip").isin(*allowed_ips)
     if domain_ips is not None:
         listed = domain_ips.select(F.col("ip").alias("dest_ip")).distinct().withColumn("__listed", F.lit(True))
         counted = counted.join(listed, "dest_ip", "left")
         allowed = allowed | F.coalesce("__listed", F.lit(False))
-    return counted.withColumn("verdict", F.when(allowed, "allowed").otherwise("would_block")).select("dest_ip", "verdict", "connections")
+    verdict = F.when(allowed, "allowed").otherwise("would_block")
+    return counted.groupBy("dest_ip", verdict.alias("verdict")).agg(F.sum("connections").alias("connections"))
 
 
 def dns_drift(resolved: DataFrame) -> DataFrame:
@@ -121,8 +123,8 @@ def dns_drift(resolved: DataFrame) -> DataFrame:
 
 def new_processes(snapshots: DataFrame, day: str = "day") -> DataFrame:
     """Processes in a snapshot that the one before did not have; the first snapshot is the baseline."""
-    before = snapshots.select(F.date_add(day, 1).alias(day), "pid")
-    first = snapshots.agg(F.min(day).alias("__first"))
-    fresh = snapshots.join(before, [day, "pid"], "left_anti")
-    # One row: the time of the baseline.
-    return fresh.join(F.broadcast(first), F.col(day) > F.col("__first")).drop("__first")
+    # One row per snapshot: the time of the one before.
+    steps = snapshots.select(day).distinct().withColumn("__before", F.lag(day).over(Window.orderBy(day)))
+    steps = steps.where("__before IS NOT NULL")
+    held = snapshots.withColumnRenamed(day, "__before").join(steps, "__before").select(day, "pid")
+    return snapshots.join(steps.select(day), day, "left_semi").join(held, [day, "pid"], "left_anti")

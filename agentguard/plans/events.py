@@ -228,11 +228,11 @@ ALLOWED_IPS = ["8.8.8.8"]
 
 
 @register("egress_report", f"""
-    SELECT dest_ip, CASE WHEN dest_ip LIKE '127.%' OR regexp_matches(dest_ip, '^172\\.(1[6-9]|2\\d|3[01])\\.') OR dest_ip = '8.8.8.8' OR regexp_matches(dest_ip, '^140\\.82\\.1(1[2-9]|2[0-7])\\.') THEN 'allowed' ELSE 'would_block' END AS verdict, count(*) AS connections
-    FROM (SELECT {_SQL_DEST} AS dest_ip FROM {SQL_CONN}) GROUP BY ALL
+    SELECT dest_ip, CASE WHEN dest_ip LIKE '127.%' OR regexp_matches(dest_ip, '^172\\.(1[6-9]|2\\d|3[01])\\.') OR dest_ip = '8.8.8.8' OR regexp_matches(dest_ip, '^140\\.82\\.1(1[2-9]|2[0-7])\\.') OR (dest_ip = '1.5.1.1' AND dport = 53) THEN 'allowed' ELSE 'would_block' END AS verdict, count(*) AS connections
+    FROM (SELECT {_SQL_DEST} AS dest_ip, dport FROM {SQL_CONN}) GROUP BY ALL
 """)
 def egress_report(spark, sf):
-    return tel.egress_report(conns(spark, sf), allowed_ips=ALLOWED_IPS)
+    return tel.egress_report(conns(spark, sf), allowed_ips=ALLOWED_IPS, resolvers=["1.5.1.1"])
 
 
 DNS = "SELECT user_id % 20 AS domain_no, CAST(ts AS DATE) AS snapshot, event_id % 7 AS octet FROM @events@ WHERE event_type = 'click'"
@@ -252,7 +252,7 @@ def dns_drift(spark, sf):
 
 @register("new_processes", f"""
     SELECT day, pid FROM (SELECT DISTINCT ts::DATE AS day, pid FROM {SQL_EXEC}) a
-    WHERE day > (SELECT min(ts::DATE) FROM {SQL_EXEC}) AND NOT EXISTS (SELECT 1 FROM {SQL_EXEC} b WHERE b.pid = a.pid AND b.ts::DATE = a.day - 1)
+    WHERE day > (SELECT min(ts::DATE) FROM {SQL_EXEC}) AND NOT EXISTS (SELECT 1 FROM {SQL_EXEC} b WHERE b.pid = a.pid AND b.ts::DATE = (SELECT max(c.ts::DATE) FROM {SQL_EXEC} c WHERE c.ts::DATE < a.day))
 """)
 def new_processes(spark, sf):
     snaps = execs(spark, sf).select(F.to_date("ts").alias("day"), "pid").distinct()
