@@ -224,15 +224,15 @@ def telemetry_events(spark, sf):
 
 
 _SQL_DEST = "concat(daddr & 255, '.', (daddr >> 8) & 255, '.', (daddr >> 16) & 255, '.', (daddr >> 24) & 255)"
-ALLOWED_IPS = ["8.8.8.8"]
+ALLOWED_IPS = ["1.1.5.1"]
 
 
 @register("egress_report", f"""
-    SELECT dest_ip, CASE WHEN dest_ip LIKE '127.%' OR regexp_matches(dest_ip, '^172\\.(1[6-9]|2\\d|3[01])\\.') OR dest_ip = '8.8.8.8' OR regexp_matches(dest_ip, '^140\\.82\\.1(1[2-9]|2[0-7])\\.') OR (dest_ip = '1.5.1.1' AND dport = 53) THEN 'allowed' ELSE 'would_block' END AS verdict, count(*) AS connections
+    SELECT dest_ip, CASE WHEN dest_ip LIKE '127.%' OR regexp_matches(dest_ip, '^172\\.(1[6-9]|2\\d|3[01])\\.') OR dest_ip = '1.1.5.1' OR regexp_matches(dest_ip, '^140\\.82\\.1(1[2-9]|2[0-7])\\.') OR (dest_ip = '8.8.8.8' AND dport = 53) THEN 'allowed' ELSE 'would_block' END AS verdict, count(*) AS connections
     FROM (SELECT {_SQL_DEST} AS dest_ip, dport FROM {SQL_CONN}) GROUP BY ALL
 """)
 def egress_report(spark, sf):
-    return tel.egress_report(conns(spark, sf), allowed_ips=ALLOWED_IPS, resolvers=["1.5.1.1"])
+    return tel.egress_report(conns(spark, sf), allowed_ips=ALLOWED_IPS, resolvers=["8.8.8.8"])
 
 
 DNS = "SELECT user_id % 20 AS domain_no, CAST(ts AS DATE) AS snapshot, event_id % 7 AS octet FROM @events@ WHERE event_type = 'click'"
