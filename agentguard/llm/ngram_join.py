@@ -7,14 +7,16 @@ differ by no more than R in all, where R follows from the sizes.
 Routing. Groups are gathered into R + 1 blocks per size class. Points that differ by at most R agree
 on at least one whole block, so similar documents meet at the key of a block; a document is also sent to the
 next size class if a partner may be there. Where a block holds fewer than RICH shingles its key says little:
-its documents bring their count vectors, and an R-tree per key tells who may be similar. (In size classes
-with so many blocks that a similar pair agrees on a richer block but for a chance below 1e-12, such
-poor blocks are not needed and are left out.) Meeting links documents into clusters; only clusters are looked at again.
+its documents bring their count vectors, and an R-tree per key tells who may be similar. Where poor blocks
+are many, up to ROUNDS groupings with hashes of their own take their place if a similar pair then agrees on a
+richer block but for a chance below 1e-12, which compares to that of equal 64-bit hashes. Meeting links
+documents into clusters; only clusters are looked at again.
 
 Verification. The documents of a cluster form an R-tree, its nodes bounded by the largest counts
 below them. A document visits the nodes whose bound reaches the overlap it needs, and the pairs that
 remain are compared by their sets of shingles. Pairs that are linked already through others are passed
-over. Large clusters are cut into tiles, and every two tiles meet in one task.
+over. Larger clusters are cut into tiles, and every two tiles meet in one task; tiles grow with the root of
+the cluster, so that neither one task nor the number of times a document is sent grows in proportion to it.
 
 Documents with the same set of shingles form a class and take part once. Shingles are told apart by
 64-bit hashes.
@@ -27,7 +29,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +37,11 @@ from agentguard.llm.components import components
 from agentguard.llm.flat import SHORT, byte_batches, mix, short_hashes
 from agentguard.llm.shared import stage
 
-RICH = 2
+RICH = 3
 SURE = 28.0  # expected rich blocks that a similar pair shares, at which poor ones are left out: exp(-28) < 1e-12
-TILE_CLASSES = 2048
+ROUNDS = 8
+FULL = 5.0  # shingles per block from which poor blocks are rare
+LEAST_TILE, MOST_TILE = 128, 2048
 TILE_SHINGLES = 4_000_000
 SEEN_CLASSES = 200_000
 LEAF = 8
@@ -113,20 +117,27 @@ class Routing:
         self.bounds = np.array(bounds)
         most = 2 * (self.bounds[1:] - 1)
         self.differ = most * (100 - percent) // (100 + percent)
-        self.sure = np.array([self._expected(k) >= SURE for k in range(len(self.differ))])
-
-    def _expected(self, k: int) -> float:
+        found = [self._expected(k) for k in range(len(self.differ))]
+        rounds = np.array([math.ceil(SURE / e) if e else ROUNDS + 1 for e, _ in found])
+        full = np.array([mean >= FULL for _, mean in found])
+        #: Groupings per size class, and whether poor blocks are left out.
+        self.sure = (rounds == 1) | (rounds <= ROUNDS) & ~full
+        self.rounds = np.where(self.sure, rounds, 1)
+
+    def _expected(self, k: int) -> tuple[float, float]:
+        """Rich blocks that the least similar pair of a class is expected to share, and shared shingles per block."""
         blocks = float(self.differ[k] + 1)
         if blocks < 2:
-            return 0.0
-        low = math.inf
+            return 0.0, 0.0
+        low, thin = math.inf, math.inf
         for b in (int(self.bounds[k]), int(self.bounds[k + 1]) - 1):
             a = -(-self.percent * b // 100)
             shared = needed(a, b, self.percent)
             mean = shared / blocks
             poor = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(RICH))
             low = min(low, blocks * (1 - 1 / blocks) ** (a + b - 2 * shared) * (1 - poor))
-        return low
+            thin = min(thin, mean)
+        return low, thin
 
     def classes(self, n: int) -> list[int]:
         """Size classes in which a set of n shingles may meet another that is not the same."""
@@ -136,25 +147,24 @@ class Routing:
 
     def keys(self, sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per set: keys of its rich blocks, keys of its poor ones."""
-        plan = [(i, c) for i, s in enumerate(sets) if len(s) for c in self.classes(len(s))]
+        plan = [(i, c, t) for i, s in enumerate(sets) if len(s) for c in self.classes(len(s)) for t in range(self.rounds[c])]
         rich: list[list[np.ndarray]] = [[] for _ in sets]
         poor: list[list[np.ndarray]] = [[] for _ in sets]
         if plan:
-            blocks = np.array([self.differ[c] + 1 for _, c in plan])
+            blocks = np.array([self.differ[c] + 1 for _, c, _ in plan])
             base = np.cumsum(blocks) - blocks
-            sizes = np.array([len(sets[i]) for i, _ in plan])
-            flat = np.concatenate([sets[i] for i, _ in plan])
-            salt = np.repeat(np.array([c for _, c in plan], dtype=np.uint64) * _K2, sizes)
-            spread = mix(flat ^ salt)
+            sizes = np.array([len(sets[i]) for i, _, _ in plan])
+            flat = np.concatenate([sets[i] for i, _, _ in plan])
+            grouping = mix(np.array([c * (ROUNDS + 1) + t for _, c, t in plan], dtype=np.uint64) * _K2)
+            spread = mix(flat ^ np.repeat(grouping, sizes))
             at = np.repeat(base, sizes) + (spread % np.repeat(blocks, sizes).astype(np.uint64)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             total, count = np.zeros(int(blocks.sum()), dtype=np.uint64), np.bincount(at, minlength=int(blocks.sum()))
             firsts = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
             total[at[order][firsts]] = np.add.reduceat(mix(spread * _K1 + np.uint64(7))[order], firsts)
             number = (np.arange(len(total)) - np.repeat(base, blocks)).astype(np.uint64)
-            level = np.repeat(np.array([c for _, c in plan], dtype=np.uint64), blocks)
-            keys = mix(mix(total + number * _K1) + level * _K2).view(np.int64)
-            for (i, c), b, m in zip(plan, base.tolist(), blocks.tolist(), strict=True):
+            keys = mix(mix(total + number * _K1) + np.repeat(grouping, blocks)).view(np.int64)
+            for (i, c, _), b, m in zip(plan, base.tolist(), blocks.tolist(), strict=True):
                 own, full = keys[b:b + m], count[b:b + m] >= RICH
                 rich[i].append(own[full])
                 if not self.sure[c]:
@@ -318,33 +328,45 @@ def _possible_links(described: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for group in groups_of(batches, 1):
-            if group.num_rows < 2:
-                continue
-            cls = group.column("cls").to_numpy()
-            cls, first = np.unique(cls, return_index=True)
+        for group in groups_of(batches, 3):
+            cls, first = np.unique(group.column("cls").to_numpy(), return_index=True)
             if len(cls) < 2:
                 continue
+            cross = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+            tile = group.column("tile").to_numpy()[first] if cross else np.zeros(len(cls), dtype=int)
             sizes = group.column("n").to_numpy()[first]
             raw = group.column("vector").to_pylist()
             full = np.stack([np.frombuffer(raw[k], dtype="<u2") for k in first]).astype(np.int32)
             groups = min(full.shape[1], width(int(sizes.max())))
             vectors = full.reshape(len(full), -1, groups).sum(axis=1)
-            links = spanning_links(vectors, sizes, percent, np.zeros(len(sizes), dtype=int))
+            links = spanning_links(vectors, sizes, percent, tile)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls[[i for i, _ in links]], pa.int64()), pa.array(cls[[j for _, j in links]], pa.int64())], names=["a", "b"]
-            ) if links else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+                [pa.array([int(cls[i]) for i, _ in links], pa.int64()), pa.array([int(cls[j]) for _, j in links], pa.int64())], names=["a", "b"])
 
     poor = described.where(F.size("poor") > 0).select(F.explode("poor").alias("key"), "cls", "n", "vector")
-    near = poor.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    sized = stage(poor.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", _tiles(F.col("m"), F.lit(0)).alias("tiles")), "join-poor-keys")
+    placed = poor.join(sized, "key").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    near = _every_two_tiles(placed, "key", "n", "vector").mapInArrow(run, "a long, b long").distinct()
     return met.unionByName(near)
 
 
+def _tiles(members: Column, shingles: Column) -> Column:
+    """Number of tiles of a group with so many members and shingles in all."""
+    tile = F.greatest(F.lit(LEAST_TILE), F.least(F.lit(MOST_TILE), 3 * F.sqrt(members)))
+    return F.greatest(F.ceil(members / tile), F.ceil(shingles / TILE_SHINGLES)).cast("int")
+
+
+def _every_two_tiles(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Rows (group, cls, tile, tiles) at each pair of tiles (low, high) of their group, sorted by pair."""
+    both = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        group, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "cls", "tile", *columns)
+    return both.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+
+
 def _verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) of classes with similar sets, as a forest of each cluster. `members`: cluster, cls, id, n."""
     sized = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    tiles = F.greatest(F.ceil(F.col("m") / TILE_CLASSES), F.ceil(F.col("w") / TILE_SHINGLES)).cast("int")
-    sized = stage(sized.select("cluster", tiles.alias("tiles")), "join-tiles")
+    sized = stage(sized.select("cluster", _tiles(F.col("m"), F.col("w")).alias("tiles")), "join-tiles")
     wanted = members.join(sized, "cluster").select("cluster", "cls", "id", "tiles", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int").alias("tile"))
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id"))).select(
         "w.cluster", "w.cls", "w.tiles", "w.tile", "d.text")
@@ -382,10 +404,7 @@ def _verified_links(docs: DataFrame, members: DataFrame, words: int, percent: in
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(cls[i]) for i, _ in links], pa.int64()), pa.array([int(cls[j]) for _, j in links], pa.int64())], names=["a", "b"])
 
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    placed = texts.mapInArrow(sets, schema).withColumn("other", other).select(
-        "cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "cls", "tile", "shingles")
-    met = placed.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    met = _every_two_tiles(texts.mapInArrow(sets, schema), "cluster", "shingles")
     return stage(met.mapInArrow(verify, "a long, b long"), "join-links")
 
 

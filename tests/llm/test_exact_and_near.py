@@ -109,7 +109,8 @@ def test_near_on_odd_rows_and_empty(odd, none):
 
 def test_near_in_tiles(spark, monkeypatch):
     """A cluster larger than a tile: every two tiles meet."""
-    monkeypatch.setattr(ng, "TILE_CLASSES", 3)
+    monkeypatch.setattr(ng, "LEAST_TILE", 3)
+    monkeypatch.setattr(ng, "MOST_TILE", 3)
     base = [f"w{k}" for k in range(100)]
     rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1:]])) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
