@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from agentguard.llm.flat import Spans, byte_batches
+from agentguard.llm.shared import bounded_batches
 from agentguard.llm.words import IdCache, gather, splitter
 
 _NONE = np.int64(1 << 40)
@@ -207,7 +208,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 [batch.column(id_col), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))],
                 names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -233,4 +234,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, schema)

@@ -93,7 +93,7 @@ class Spans:
         return self.flat[self.starts[i]:self.ends[i]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def byte_batches(batches, column: str, most: int = 4 << 20):
+def byte_batches(batches, column: str, most: int = 2 << 20):
     """Record batches cut so that each holds about `most` bytes of text, or one row."""
     for batch in batches:
         at = 0

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from agentguard.llm.shared import bounded_batches
+
 DIM = 2048
 MAX_SAMPLE = 4000
 PER_LANGUAGE = 400
@@ -182,7 +184,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 pa.array([langs[k] for k in keep], pa.string()), pa.array([draws[k] for k in keep], pa.float64()),
                 pa.array([features(texts[k]).astype(np.float16).tobytes() for k in keep], pa.binary())], names=["lang", "draw", "x"])
 
-    rows = sorted(chosen.mapInArrow(run, "lang string, draw double, x binary").collect(), key=lambda r: (r["lang"], r["draw"], r["x"]))
+    rows = sorted(bounded_batches(chosen).mapInArrow(run, "lang string, draw double, x binary").collect(), key=lambda r: (r["lang"], r["draw"], r["x"]))
     taken: dict[str, int] = {}
     langs, xs = [], []
     for r in rows:

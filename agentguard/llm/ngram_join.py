@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from agentguard.llm.components import components
 from agentguard.llm.flat import SHORT, byte_batches, mix, short_hashes
-from agentguard.llm.shared import stage
+from agentguard.llm.shared import bounded_batches, stage
 
 RICH = 3
 SURE = 28.0  # expected rich blocks that a similar pair shares, at which poor ones are left out: exp(-28) < 1e-12
@@ -316,7 +316,7 @@ def _describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
                 lists(rich), lists(poor), pa.array(vectors, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def _possible_links(described: DataFrame, percent: int) -> DataFrame:

@@ -31,5 +31,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of texts between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, with its session's batches to Python bounded in bytes, whatever the length of texts; a smaller bound stays."""
+    conf = df.sparkSession.conf
+    held = conf.get(_BATCH, None) or ""
+    bound = int("".join(filter(str.isdigit, held)) or 0) if held.rstrip("bB").isdigit() else 0
+    if not 0 < bound <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agentguard.llm.flat import Spans, byte_batches, codes
-from agentguard.llm.shared import stage
+from agentguard.llm.shared import bounded_batches, stage
 
 #: Entries of the broadcast table: 9 bytes each.
 HOT = 1_000_000
@@ -113,7 +113,7 @@ def _distinct(docs: DataFrame, path: str) -> DataFrame:
                 [pa.array(span_keys(spans), pa.int64()), pa.array([spans.text(k) for k in range(len(spans.first))], pa.string())],
                 names=["key", "token"])
 
-    rows = docs.select("text").mapInArrow(run, "key long, token string")
+    rows = bounded_batches(docs).select("text").mapInArrow(run, "key long, token string")
     return rows.groupBy("key", "token").agg(F.count(F.lit(1)).alias("batches"))
 
 

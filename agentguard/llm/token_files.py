@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from agentguard.llm.bpe import encode_texts
 from agentguard.llm.flat import byte_batches
-from agentguard.llm.shared import cores, new_folder, stage
+from agentguard.llm.shared import bounded_batches, cores, new_folder, stage
 from agentguard.llm.words import IdCache, library, specials
 
 SCALE = 20
@@ -105,6 +105,8 @@ class Coder:
             x = self.freq[s] * (x >> _SHIFT) + slot - self.start[s]
             low = np.flatnonzero(x < _LOW)
             if len(low):
+                if at + len(low) > len(words):
+                    raise ValueError("a block of token ids ends early and can't match its checksum")
                 x[low] = (x[low] << _WORD) | words[at:at + len(low)]
                 at += len(low)
             state[:live] = x
@@ -232,7 +234,7 @@ def token_ids(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), packed], names=schema.names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, schema)
+    return bounded_batches(slim).mapInArrow(run, schema)
 
 
 def frequencies(ids: DataFrame, size: int) -> np.ndarray:
@@ -249,7 +251,7 @@ def frequencies(ids: DataFrame, size: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = bounded_batches(ids).select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
         out[r["id"]] = r["n"]

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentguard.llm.shared import bounded_batches
+
 SEGMENTS = 6
 BLOCK = 4096
 QUERY_CHUNK = 8192
@@ -122,7 +124,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     tables give empty results.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col)
+    rows = bounded_batches(usable(vectors, id_col, vec_col))
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.max("vec").alias("vec"))
     chunks = max(1, -(-asked.count() // QUERY_CHUNK))
     schema = "query_id long, vec_id long, score long"

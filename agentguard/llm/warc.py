@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from agentguard.llm.shared import new_folder, stage
+from agentguard.llm.shared import bounded_batches, new_folder, stage
 
 ROLL = 256 << 20
 SPLIT = 16 << 20
@@ -302,7 +302,7 @@ def as_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def write_warc(records: DataFrame, folder: str) -> None:
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(folder)
+    bounded_batches(records).write.format("warc").mode("append").save(folder)
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

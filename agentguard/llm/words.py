@@ -149,7 +149,7 @@ def splitter(path: str) -> Splitter:
 class IdCache:
     """Ids of words by hash, kept between batches of a worker; emptied when it holds `most` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self._clear()
 
