@@ -4,7 +4,7 @@ Each task cuts its vectors into blocks and orders a block's postings (vector, di
 quantised impact, the size of the value, into segments. All queries of a batch process the segments
 by descending impact and add up scores. After each segment a bound on what is left, from the norms
 of the query and of the vector's unprocessed part, says which vectors may still reach a query's k-th best
-score; processing stops early only when few are possible, and those are scored exactly from their whole
+score, counted over distinct ids; processing stops early only when few are possible, and those are scored exactly from their whole
 vectors. A vector leaves only on that proof, so the result is exact.
 
 Queries are broadcast in chunks of fixed size; every chunk meets all vectors, block by block.
@@ -34,9 +34,17 @@ def quantise(rows: list[np.ndarray], width: int, scale: int = 1024) -> np.ndarra
 
 
 class ImpactIndex:
-    """Postings of a block in segments of falling impact, and the norm of what each vector has left after each."""
+    """Postings of a block in segments of falling impact, and the norm of what each vector has left after each.
+
+    Where ids repeat, the rows of an id lie together and `starts` has the first of each; else it is None.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0)) if len(ids) else np.zeros(0, dtype=int)
+        self.starts = starts if len(starts) < len(ids) else None
+        if self.starts is not None:
+            ids, x = ids[order], x[order]
         self.ids, self.x = ids, x
         size = np.abs(x)
         cuts = np.quantile(size, np.linspace(1, 0, SEGMENTS + 1)[1:-1]) if x.size else np.zeros(SEGMENTS - 1)
@@ -61,11 +69,11 @@ class TopK:
         self.least = np.full(len(queries), -np.inf)
 
     def search(self, index: ImpactIndex) -> None:
-        q, n = self.queries, len(index.ids)
+        q, n = self.queries, len(index.ids) if index.starts is None else len(index.starts)
         own = np.searchsorted(self.query_ids, index.ids)
         own[own == len(self.query_ids)] = 0
         same = np.flatnonzero(self.query_ids[own] == index.ids)
-        partial = np.zeros((len(q), n))
+        partial = np.zeros((len(q), len(index.ids)))
         least = self.least
         for step, (part, left) in enumerate(index.segments):
             partial += q @ part.T
@@ -76,6 +84,8 @@ class TopK:
             slack = 0.0 if last else 1.0 + self.norms[:, None] * left[None, :]
             if n > self.k:
                 low = partial - slack
+                if index.starts is not None:
+                    low = np.maximum.reduceat(low, index.starts, axis=1)
                 least = np.maximum(least, np.partition(low, n - self.k, axis=1)[:, n - self.k])
             possible = partial + slack >= least[:, None]
             if last or possible.sum() <= 4 * self.k * len(q):

@@ -176,6 +176,17 @@ def test_search_on_odd_rows(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_search_with_an_id_that_repeats_more_than_k_times(spark, block, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 1.0])] + [(7, [60.0, 40.0])] * 11 + [(i, [float(i), float(i % 3)]) for i in range(20, 50)]
+    rows += [(i, [float(x) for x in rng.normal(size=2)]) for i in (8, 9) for _ in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted(map(tuple, topk.search(df, 100, 10).collect()))
+    assert got == brute(rows, 100, 10) and len(got) == 10
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline
     from agentguard.llm.shared import stage
