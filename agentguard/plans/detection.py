@@ -57,6 +57,23 @@ def rule_samples(spark, sf):
     return _summary(scan.scan_all(docs, "text", ALL_RULES, ["doc_id"]))
 
 
+# The whole text of every document; a null id counts as 0 and remainders are never negative, in both engines.
+_WHOLE = "SELECT d.doc_id, concat(coalesce(d.text, ''), ' ', s.sample, ' end') AS text FROM @documents@ d JOIN @samples@ s ON (coalesce(d.doc_id, 0) % {n} + {n}) % {n} = s.pid".format(n=len(SAMPLES))
+SQL_WHOLE = "(" + _WHOLE.replace("@documents@", "documents").replace("@samples@", values(list(enumerate(SAMPLES)), ["pid", "sample"])) + ")"
+
+
+def whole_findings(docs, samples):
+    """Counts of all rules over the whole texts of all rows, each followed by a text that one rule finds."""
+    texts = inputs.run_sql(docs.sparkSession, _WHOLE, documents=docs, samples=samples)
+    return _summary(scan.scan_all(texts, "text", ALL_RULES, ["doc_id"]))
+
+
+@register("rule_documents", sql_findings(SQL_WHOLE, "doc_id", TEXT_VIEWS | {"nfkc_lower": _SQL_NFKC}, ALL_RULES))
+def rule_documents(spark, sf):
+    """All rules over whole documents; `rule_samples` reads the first 120 characters of each."""
+    return whole_findings(table(spark, sf, "documents", texts=True), inputs.inline(spark, list(enumerate(SAMPLES)), "pid int, sample string"))
+
+
 @register("excerpts", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS excerpt FROM documents")
 def excerpts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.truncate_excerpt(F.col("text")).alias("excerpt"))

