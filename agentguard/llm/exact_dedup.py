@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentguard.llm.shared import stage
+from agentguard.llm.shared import rows_that_stay, stage, with_order
 
 KEY_BITS = 60
 MAX_DEPTH = 40
@@ -130,6 +130,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose row stays, with all their columns."""
-    verdicts = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(verdicts, docs[id_col].eqNullSafe(verdicts["_kept_id"]), "left_semi")
+    """One row of each group of equal texts, with all its columns: the smallest id, null ids last; of rows that repeat it any one."""
+    rows, order = with_order(docs, id_col, "dedup-documents")
+    return rows_that_stay(rows, order, exact_dedup(rows, order, text_col).where("kept").select(order))

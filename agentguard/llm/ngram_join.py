@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from agentguard.llm.components import components
 from agentguard.llm.flat import SHORT, byte_batches, mix, short_hashes
-from agentguard.llm.shared import bounded_batches, stage
+from agentguard.llm.shared import bounded_batches, rows_that_stay, stage, with_order
 
 RICH = 3
 SURE = 28.0  # expected rich blocks that a similar pair shares, at which poor ones are left out: exp(-28) < 1e-12
@@ -435,7 +435,10 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that have the smallest id of their component, with all their columns."""
-    found = similar_components(docs, words, percent, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+    """One row of each component, with all its columns: the smallest id, null ids last; of rows that repeat it any one.
+
+    Rows without words are alike to none, so each stays.
+    """
+    rows, order = with_order(docs, id_col, "join-documents")
+    found = similar_components(rows, words, percent, order, text_col)
+    return rows_that_stay(rows, order, found.where(F.col(order) == F.col("component_id")).select(order))

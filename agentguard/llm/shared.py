@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_order(docs: DataFrame, id_col: str, label: str) -> tuple[DataFrame, str]:
+    """The documents, staged, with a value of its own for each row that sorts by id, null ids last; and that column's name."""
+    name = "_row_order"
+    while name in docs.columns:
+        name += "_"
+    numbered = stage(docs.withColumn(name, F.monotonically_increasing_id()), label)
+    return numbered.withColumn(name, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(name).alias("row"))), name
+
+
+def rows_that_stay(docs: DataFrame, order: str, stay: DataFrame) -> DataFrame:
+    """The rows of `with_order` whose value is in the only column of `stay`, without that value."""
+    chosen = stay.select(F.col(stay.columns[0])["row"].alias(order + "stays"))
+    return docs.join(chosen, docs[order]["row"] == chosen[order + "stays"], "left_semi").drop(order)
+
+
 #: Bytes of a batch of texts between Spark and its Python workers.
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -117,6 +117,20 @@ def test_near_in_tiles(spark, monkeypatch):
     assert near_rows(ng.similar_components(df, 3, 80)) == plain_components(rows, 3, 80)
 
 
+TWICE = [
+    (1, "a b c d e f g h"), (3, "another text of seven words it is"), (3, "a b c d e f g h"), (3, "a b c d e f g h"),
+    (None, "a text without any id at all"), (None, "a text without any id at all"), (None, "one more text that has no id"),
+    (None, "a b c d e f g h"), (5, "given twice and with the same id"), (5, "given twice and with the same id"), (6, None), (7, None)]
+
+
+@pytest.mark.parametrize("keep", [ex.drop_duplicates, ng.keep_one_of_each])
+def test_each_row_is_judged_by_itself(spark, keep):
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(TWICE)], "doc_id long, text string, id int")
+    found = [(r.doc_id, r.text) for r in keep(df).collect()]
+    want = {(1, TWICE[0][1]), TWICE[1], TWICE[4], TWICE[6], TWICE[8], (6, None)} | ({(7, None)} if keep is ng.keep_one_of_each else set())
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_tree_never_loses_a_point():
     rng = np.random.default_rng(1)
     vectors, percent = rng.poisson(2, (300, 16)).astype(np.int32), 60
