@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentguard.llm.shared import stage
+from agentguard.llm.shared import discard, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node under the smallest node it knows of; the rounds grow with the logarithm of the
     number of nodes. Minima are aggregated before they are joined, so a node with very many links is
-    split by the join, and each round is written to the shared folder.
+    split by the join. Each round is written to the shared folder, and what only it needed is removed.
     """
     edges = stage(_smaller(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "links")
     while True:
@@ -24,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(down, "u")
         small = stage(_smaller(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             joined.select("u", F.col("m").alias("v")))), "links-small")
+        discard(edges, least, large, down)
         if _stars(small):
             break
         edges = small

@@ -29,16 +29,55 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def with_order(docs: DataFrame, id_col: str, label: str) -> tuple[DataFrame, str]:
-    """The documents, staged, with a value of its own for each row that sorts by id, null ids last; and that column's name."""
-    name = "_row_order"
-    while name in docs.columns:
+def discard(*staged: DataFrame) -> None:
+    """Remove tables of `stage` that nothing reads any more: whatever was made from them is itself staged."""
+    for df in staged:
+        spark, path = df.sparkSession, df._staged_at
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many lines after it as it takes to differ from the columns of `df`."""
+    while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
-    numbered = stage(docs.withColumn(name, F.monotonically_increasing_id()), label)
-    return numbered.withColumn(name, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(name).alias("row"))), name
+    return name
+
+
+def with_address(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The documents with a column that tells each row from all others, whenever it is read, and that column's name.
+
+    It is the place of the row in the Parquet files: 128 bits of the file's name and the row's number in it.
+    A table that is more than columns and filters of such files is staged first.
+    """
+    name = free_name(docs, "_row_address")
+    files = docs if _only_files(docs) else stage(docs, label)
+    return files.withColumn(name, _place(files)), name
+
+
+def _only_files(docs: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet file, and the same rows come whenever it is read."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.deterministic() and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.deterministic() and node.nodeName() == "LogicalRelation" and node.toString().split()[-1] == "parquet"
+
+
+def _place(files: DataFrame):
+    at = files.metadataColumn("_metadata")
+    file = at["file_path"]
+    return F.struct(F.xxhash64(file).alias("file"), F.xxhash64(F.lit("file"), file).alias("more"), at["row_index"].alias("row"))
+
+
+def with_order(docs: DataFrame, id_col: str, label: str) -> tuple[DataFrame, str]:
+    """The documents with a value of its own for each row that sorts by id, null ids last; and that column's name."""
+    placed, name = with_address(docs, label)
+    return placed.withColumn(name, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(name).alias("row"))), name
 
 
 def rows_that_stay(docs: DataFrame, order: str, stay: DataFrame) -> DataFrame:
