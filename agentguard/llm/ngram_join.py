@@ -29,13 +29,13 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agentguard.llm.components import components
 from agentguard.llm.flat import SHORT, byte_batches, mix, short_hashes
-from agentguard.llm.shared import bounded_batches, rows_that_stay, stage, with_order
+from agentguard.llm.shared import bounded_batches, discard, rows_that_stay, stage, with_order
 
 RICH = 3
 SURE = 28.0  # expected rich blocks that a similar pair shares, at which poor ones are left out: exp(-28) < 1e-12
@@ -322,8 +322,8 @@ def _describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _possible_links(described: DataFrame, percent: int) -> DataFrame:
     """(a, b) of classes that meet: at a rich key all with its smallest class, at a poor key what its R-tree lets pass."""
     rich = described.where(F.size("rich") > 0).select("cls", F.explode("rich").alias("key"))
-    least = F.min("cls").over(Window.partitionBy("key"))
-    met = rich.select("cls", least.alias("lead")).where("cls > lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    shared = rich.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("top")).where("lead < top").drop("top")
+    met = rich.join(shared, "key").where("cls > lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
 
     def run(batches):
         import pyarrow as pa
@@ -426,6 +426,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     members = stage(classes.join(in_cluster, "cls"), "join-members")
     roots = components(_verified_links(slim, members, words, percent))
     roots = stage(roots.select(F.col("node").alias("cls"), "root"), "join-roots")
+    discard(in_cluster, classes, members)
     labelled = stage(described.select("id", "n", "cls").join(roots, "cls", "left").select(
         "id", "n", F.coalesce("root", "cls").alias("root")), "join-labelled")
     least = stage(labelled.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "join-least")
