@@ -15,16 +15,18 @@ never documents. All draws come from `seed`, so a run can be repeated.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentguard.llm.shared import stage
+from agentguard.llm.shared import free_name, stage, with_address
 
 BLOCK_DOCS = 64
-MAX_BLOCKS = 4096
+CUTS = 4096
+FILL_DOCS = 4096
 UNITS_PER_SHARD = 256
 MOST_REPEATS = 3
 _WS = r"[\x20\x09-\x0D]"
@@ -80,6 +82,31 @@ def split_tree(units: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _small_boundary(last: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The part of each source's last block in which its words run out, small enough for one task, and the rows before it.
+
+    A block of many documents is cut again by the hash of its ids, and where these are equal, as for null ids, by that of the row
+    numbers. Its first cuts are taken whole, until the next would be too much: so a block may grow with the data, and only
+    sums per cut meet in one task.
+    """
+    whole: list[DataFrame] = []
+    depth = 0
+    last = stage(last, "mix-boundary")
+    while (last.groupBy("source").count().agg(F.max("count")).first()[0] or 0) > FILL_DOCS:
+        by = F.xxhash64("place", F.lit(depth)) if depth % 2 == 0 else F.xxhash64("row", F.lit(depth))
+        cut = last.withColumn("cut", F.pmod(by, F.lit(CUTS)))
+        order = Window.partitionBy("source").orderBy("cut")
+        sums = cut.groupBy("source", "cut").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = stage(sums.withColumn("before", before).where(F.col("before") < F.col("left")).select(
+            "source", "cut", (F.col("before") + F.col("words") <= F.col("left")).alias("fits"), (F.col("left") - F.col("before")).alias("rest")), "mix-cuts")
+        met = stage(cut.join(sums, [cut["source"].eqNullSafe(sums["source"]), cut["cut"] == sums["cut"]]).select(
+            cut["source"], "row", "place", "size", F.col("rest").alias("left"), "fits"), "mix-boundary")
+        whole.append(met.where("fits").select("row"))
+        last, depth = met.where("NOT fits").drop("fits"), depth + 1
+    return last, whole
+
+
 def _fill(left_col: str):
     """Documents of a source's last block: in the order of the permutation, each that still fits."""
 
@@ -106,7 +133,8 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sizes: a row per document with row, id, size (words), source, source_size, target. mixture: a row per
     reading of a document with row, copy (from 0), shard, position (in the shard, from 1), size.
-    `row` tells apart rows that repeat an id: `row_col` if given, else a number of its own. `share` is the part of all words that the mixture holds.
+    `row`, a number of its own, tells apart rows that repeat an id; where `row_col` is given, its value comes with every reading
+    as `address`. `share` is the part of all words that the mixture holds.
 
     Null texts have size 0 and are taken as often as their block; a null source is a source of its own, the last. A
     null id is a value like others. Empty tables give empty results. A document is taken at most
@@ -115,7 +143,7 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     slim = stage(
         docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"),
-                    (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
+                    F.monotonically_increasing_id().alias("row"), *([F.col(row_col).alias("address")] if row_col else []))
         .withColumn("place", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52))),
         "mix-sizes")
     stats = {r["source"]: (r["size"], r["n"]) for r in slim.groupBy("source").agg(
@@ -126,7 +154,7 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for s, (size, n) in stats.items():
         whole = min(MOST_REPEATS, int(math.floor(goal[s] / size + 1e-12))) if size else 1
         rest = max(0.0, goal[s] - whole * size) if size and whole < MOST_REPEATS else 0.0
-        rows.append((s, int(size or 0), float(goal[s]), whole, rest, int(min(MAX_BLOCKS, max(1, n // BLOCK_DOCS)))))
+        rows.append((s, int(size or 0), float(goal[s]), whole, rest, int(min(CUTS, max(1, n // BLOCK_DOCS)))))
     plan = stage(spark.createDataFrame(
         rows, "source string, source_size long, target double, whole int, rest double, blocks int").coalesce(1), "mix-plan")
     same = slim["source"].eqNullSafe(plan["source"])
@@ -142,13 +170,13 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("left", F.col("rest") - F.col("before"))
         .select("source", "block", "whole", "blocks", "extra", "left"), "mix-blocks")
     key = [placed["source"].eqNullSafe(blocks["source"]), placed["block"] == blocks["block"]]
-    last = (
-        placed.join(blocks.where("extra = 2"), key).select(placed["source"], "row", "place", "size", "left")
-        .groupBy("source").applyInPandas(_fill("left"), "row long, extra int"))
-    filled = stage(last.where("extra = 1"), "mix-filled")
+    last = placed.join(blocks.where("extra = 2"), key).select(placed["source"], "row", "place", "size", "left")
+    last, whole_cuts = _small_boundary(last)
+    last = last.groupBy("source").applyInPandas(_fill("left"), "row long, extra int").where("extra = 1").select("row")
+    filled = stage(functools.reduce(DataFrame.unionByName, whole_cuts, last), "mix-filled")
     copies = (
         placed.join(blocks.select("source", "block", "extra"), key).select(
-            "row", "place", "size", placed["source"], placed["block"], "blocks", "whole", F.col("extra").alias("mode"))
+            "row", "place", "size", *(["address"] if row_col else []), placed["source"], placed["block"], "blocks", "whole", F.col("extra").alias("mode"))
         .join(filled.select("row", F.lit(1).alias("chosen")), "row", "left")
         .withColumn("copies", F.col("whole") + F.when(F.col("mode") == 1, 1).when(F.col("mode") == 2, F.coalesce("chosen", F.lit(0))).otherwise(0)))
     mixture = _deal(copies, blocks, seed)
@@ -175,22 +203,22 @@ def _deal(copies: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
         "unit", F.col("copy").cast("long") * F.col("blocks") + F.col("block"))
     joined = readings.join(table, [readings["source"].eqNullSafe(table["source"]), readings["unit"] == table["unit"]])
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("place", "copy", F.lit(seed + 1)), "row", "copy")
-    return joined.select("row", "copy", "shard", F.row_number().over(shuffled).alias("position"), "size")
+    return joined.select("row", "copy", "shard", F.row_number().over(shuffled).alias("position"), "size", *(["address"] if "address" in copies.columns else []))
 
 
 def taken_words(sizes: DataFrame, mixture: DataFrame) -> DataFrame:
-    """Per document: id, size, source_size, target, taken (words the mixture takes, repeats counted)."""
-    per_row = mixture.groupBy("row").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("copies"))
+    """Per document: id, size, source_size, target, taken (words the mixture takes, repeats counted), copies, shards of its readings."""
+    per_row = mixture.groupBy("row").agg(
+        F.sum("size").alias("taken"), F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list("shard")).alias("shards"))
     return sizes.join(per_row, "row", "left").drop("row").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).withColumn(
-        "copies", F.coalesce("copies", F.lit(0).cast("long")))
+        "copies", F.coalesce("copies", F.lit(0).cast("long"))).withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mixture, each as often as it is taken, with their columns."""
-    name = "_mix_row"
-    while name in docs.columns:
-        name += "_"
-    keyed = stage(docs.withColumn(name, F.monotonically_increasing_id()), "mix-documents")
-    _, mixture = plan_mixture(keyed, row_col=name, **how)
-    chosen = mixture.select(F.col("row").alias(name + "_taken"))
-    return keyed.join(chosen, keyed[name] == chosen[name + "_taken"]).drop(name, name + "_taken")
+    """The documents of the mixture, each as often as it is taken, with their columns: by shard, and in its order within a shard."""
+    placed, name = with_address(docs, "mix-documents")
+    _, mixture = plan_mixture(placed, row_col=name, **how)
+    shard, position = free_name(placed, "_mix_shard"), free_name(placed, "_mix_position")
+    chosen = mixture.select(F.col("address").alias(name + "_taken"), F.col("shard").alias(shard), F.col("position").alias(position))
+    taken = placed.join(chosen, placed[name] == chosen[name + "_taken"]).drop(name, name + "_taken")
+    return taken.repartitionByRange(shard, position).sortWithinPartitions(shard, position).drop(shard, position)

@@ -106,7 +106,7 @@ def source_mix(spark: SparkSession, sf: str) -> DataFrame:
     from agentguard.llm.mixing import plan_mixture, taken_words
 
     sizes, mixture = plan_mixture(table(spark, sf, "documents"))
-    return taken_words(sizes, mixture).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return taken_words(sizes, mixture).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")
 
 
 @register("op7_warc", sql="""
