@@ -138,3 +138,55 @@ def ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     from agentguard.llm.ngram_join import similar_components
 
     return similar_components(table(spark, sf, "documents"), words=3, percent=90)
+
+
+@register("op11_line_dedup", sql=r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+g AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+d AS (SELECT k.*, coalesce(keeper <> doc_id, false) AS dropped FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '')) AS kept_sha256
+FROM d GROUP BY doc_id""")
+def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.line_dedup import drop_repeated_lines
+
+    return drop_repeated_lines(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.periodic_runs import find_runs, run_digest, with_repeated_ends
+
+    return run_digest(find_runs(with_repeated_ends(table(spark, sf, "documents"))))
+
+
+#: Unsigned crc32 of the decimal conv_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
+
+
+@register("op12_prefix_trie", sql=f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+w AS (SELECT role, text, octet_length(encode(text)) AS bytes, row_number() OVER (ORDER BY role, text) AS code FROM (SELECT DISTINCT role, text FROM t)),
+o AS (SELECT conv_id, list(code ORDER BY turn NULLS FIRST, role, text) AS s FROM t JOIN w USING (role, text) GROUP BY conv_id),
+c AS (SELECT conv_id, s, coalesce({_CRC} % 9, 0) AS h FROM o),
+b AS (SELECT c.conv_id, coalesce(o.s[1:h], []) || c.s[h + 1:] AS s FROM c LEFT JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM b),
+n AS (
+  SELECT depth, s[1:depth] AS k, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2),
+k AS (SELECT depth - 1 AS depth, k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(bytes, 0) AS own FROM n LEFT JOIN k USING (depth, k) LEFT JOIN w ON code = n.k[n.depth]),
+a AS (SELECT k, own, n_children, unnest(range(0, depth + 1)) AS top FROM x),
+s AS (SELECT top AS depth, k[1:top] AS k, sum(own)::BIGINT AS saved_tokens, count_if(n_children = 0)::BIGINT AS n_leaves FROM a GROUP BY 1, 2)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM x JOIN s USING (depth, k) LEFT JOIN n u ON u.depth = x.depth - 1 AND u.k = x.k[1:x.depth - 1]""")
+def prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    from agentguard.llm.prefix_trie import encode_turns, trie_digest, with_common_starts
+
+    return trie_digest(with_common_starts(encode_turns(table(spark, sf, "conversations"))))

@@ -13,11 +13,12 @@ COLUMNS = {
     "op6": ["doc_id", "size", "source_size", "target", "taken"],
     "op9": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
