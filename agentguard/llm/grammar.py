@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-MOST_LEVELS = 120
+from agentguard.llm.flat import mix
 
 
 def _block_parents(symbols: np.ndarray) -> np.ndarray:
@@ -26,8 +26,7 @@ def _block_parents(symbols: np.ndarray) -> np.ndarray:
 
 def _pair_parents(symbols: np.ndarray, level: int) -> np.ndarray:
     """As above: a symbol of the left half shares its parent with a symbol of the right half after it."""
-    spread = (symbols.astype(np.uint64) + np.uint64(level * 1_000_003 + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    left = (spread >> np.uint64(47)) & np.uint64(1) == 0
+    left = mix(symbols.astype(np.uint64) + np.uint64((level + 1) << 40)) >> np.uint64(63) == 0
     new = np.ones(len(symbols), dtype=bool)
     new[1:] = ~(left[:-1] & ~left[1:])
     return np.cumsum(new) - 1
@@ -40,7 +39,7 @@ def recompress(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]
     """
     levels, parents = [symbols.astype(np.int64)], []
     fresh = int(symbols.max()) + 1 if len(symbols) else 0
-    while len(levels[-1]) > 2 and len(levels) < MOST_LEVELS:
+    while len(levels[-1]) > 2:
         below = levels[-1]
         by_blocks = len(parents) % 2 == 0
         up = _block_parents(below) if by_blocks else _pair_parents(below, len(parents))
@@ -83,7 +82,7 @@ class Extensions:
             if not len(at):
                 break
             if k == len(self.parents):
-                raise AssertionError("equal symbols at the top level")
+                raise ValueError("the sequence must begin and end in symbols that occur once")
             for _ in range(1 if k % 2 == 0 else 2):
                 within = ~(self.first[k][u] & self.first[k][v])
                 if not within.any():

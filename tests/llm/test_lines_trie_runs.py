@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from agentguard.llm import line_dedup as ld
 from agentguard.llm import periodic_runs as pr
 from agentguard.llm import prefix_trie as pt
-from agentguard.llm.grammar import both_ways
+from agentguard.llm.grammar import both_ways, recompress
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -249,3 +249,13 @@ def test_extensions_against_comparison():
         assert right.right(x, y).tolist() == [reach(i, j, 1) for i, j in zip(x, y, strict=True)]
         last = len(symbols) - 1
         assert left.right(last - x, last - y).tolist() == [reach(i, j, -1) for i, j in zip(x, y, strict=True)]
+
+
+def test_grammar_stays_shallow():
+    """Whatever the numbers of neighbouring symbols are, some level soon tells them apart."""
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        a, b = rng.integers(0, 2_000_000, 2)
+        symbols = np.concatenate([[3_000_000], np.tile([a, b, b + 1], 300), [3_000_001]])
+        levels, _ = recompress(symbols)
+        assert len(levels[-1]) <= 2 and len(levels) < 110
