@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentguard.functions.labels import SEVERITY_WEIGHTS, severity_weight
-from agentguard.operators.ordered import interval_join, micros, trailing
+from agentguard.operators.ordered import interval_join, micros, trailing_count
 from agentguard.session import staged
 
 SECOND = 1_000_000
@@ -75,7 +75,7 @@ def event_filter(types=(), sources=(), min_severity: str = ""):
 def trailing_counts(events: DataFrame, keys, window_seconds: int = DEFAULT_WINDOW, out: str = "recent") -> DataFrame:
     """Events of the same keys in the last seconds, the current one included."""
     df = events.withColumn("__us", micros(F.col("ts")))
-    return trailing(df, keys, "__us", window_seconds * SECOND, {out: F.count(F.lit(1))}).drop("__us")
+    return trailing_count(df, keys, "__us", window_seconds * SECOND, out).drop("__us")
 
 
 # --- greedy chains --------------------------------------------------------------------------
@@ -369,11 +369,11 @@ def meta_events(fired: DataFrame, node: str = "node_id") -> DataFrame:
         F.lit("adaptive").alias("source"), reason.alias("reason"))
 
 
-def active_overrides(messages: DataFrame, fired: DataFrame, keys, message_id: str, slice_seconds: int = DEFAULT_DURATION) -> DataFrame:
+def active_overrides(messages: DataFrame, fired: DataFrame, keys, message_id: str) -> DataFrame:
     """Add active_overrides (names) and default_action_override to messages by interval join."""
     points = messages.withColumn("__us", micros(F.col("ts")))
     kept = fired.filter(F.col("action").isin("elevate_sensitivity", "elevate_default_deny"))
-    joined = interval_join(points, kept.select(*keys, "action", "level", "start_us", "end_us"), keys, "__us", "start_us", "end_us", slice_seconds * SECOND, "inner")
+    joined = interval_join(points, kept.select(*keys, "action", "level", "start_us", "end_us"), keys, "__us", "start_us", "end_us", "inner")
     name = F.when(F.col("action") == "elevate_sensitivity", F.concat(F.lit("sensitivity_override:"), F.coalesce("level", F.lit("high")))).otherwise("default_action_override:deny")
     # At most one override per action holds at a time, so a message has at most two rows here.
     per = joined.groupBy(message_id).agg(

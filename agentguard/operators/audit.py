@@ -206,10 +206,3 @@ def inject_canary(params: Column, token: Column, key: str = "_canary") -> Column
     is_object = params.rlike(r"^\s*\{")
     empty = params.rlike(r"^\s*\{\s*\}\s*\z")
     return F.when(is_object & empty, flat).when(is_object, nested).otherwise(params)
-
-
-def canary_leaks(issued: DataFrame, responses: DataFrame, token_pattern: str, body: str = "body") -> DataFrame:
-    """Responses that contain a token issued to another tool: an equi-join on the extracted token."""
-    found = responses.select("*", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(token_pattern), F.lit(0)))).alias("token"))
-    marked = issued.select("token", F.col("tool").alias("issued_to"))
-    return found.join(marked, "token").filter(F.col("tool") != F.col("issued_to"))

@@ -178,9 +178,12 @@ def _longest_path(status: str = "draft") -> int:
 
 
 def current_versions(events: DataFrame) -> DataFrame:
-    """The version published last in each group."""
+    """The version published last in each group; a publication that was refused moves nothing."""
+    state = _accepted_changes(events)
+    accepted = F.array(*[F.struct(F.col(f"__k{k}").alias("key"), F.col(f"__s{k}").alias("status")) for k in range(1, _longest_path() + 1)])
+    published = state.select("version_id", F.explode(accepted).alias("__c")).where("__c.status = 'published'").select("version_id", "__c.key.event_id")
     pick = F.max_by("version_id", F.struct("ts", "event_id"))
-    return events.filter("status = 'published'").groupBy("group_id").agg(pick.alias("current_version_id"))
+    return events.join(published, ["version_id", "event_id"], "left_semi").groupBy("group_id").agg(pick.alias("current_version_id"))
 
 
 def rollout_waves(agents: DataFrame, order: str, canary_percent: int, wave1_percent: int = 25, wave2_percent: int = 50) -> DataFrame:

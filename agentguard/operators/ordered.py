@@ -1,7 +1,8 @@
 """Ordered operators that stay parallel when one key holds much of the data.
 
-A plain window sends all rows of a key to one task. Here rows are also cut by time, each
-piece is worked on alone, and what has to cross a cut is carried in a few extra rows.
+A plain window sends all rows of a key to one task. Here the rows of all keys are sorted by range into pieces of about
+PIECE_ROWS rows, wherever a key begins or ends. Each piece is worked on alone, and what has to cross into the
+next is carried in one row per piece, or per key and piece.
 """
 
 from __future__ import annotations
@@ -9,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentguard.session import staged
+
 SLICES_PER_WINDOW = 16
+PIECE_ROWS = 100_000
+#: Cells of intervals: 2**UNIT_BITS microseconds at level 0, four times as long at each further level.
+UNIT_BITS, LEVELS = 20, 22
 
 
 def micros(ts: Column) -> Column:
@@ -34,20 +40,59 @@ def trailing(df: DataFrame, keys, us: str, window_us: int, aggs: dict[str, Colum
     return out.filter("__own = __slice").drop("__own", "__slice")
 
 
-def running_sum(df: DataFrame, keys, us: str, ties, value: str, out: str, slice_us: int) -> DataFrame:
-    """Sum of `value` up to and including each row, in order of (`us`, `ties`).
+def in_pieces(df: DataFrame, order, label: str) -> DataFrame:
+    """The rows with `__piece`, numbers of ranges of `order` that ascend with it. Rows that are equal in `order` share a piece."""
+    rows = staged(df, label)
+    pieces = -(-rows.count() // PIECE_ROWS)
+    if pieces <= 1:
+        return rows.withColumn("__piece", F.lit(0))
+    return staged(rows.repartitionByRange(pieces, *order).withColumn("__piece", F.spark_partition_id()), label + "-pieces")
+
+
+def _carried(pieces: DataFrame, keys, order, value: str, total, strict: bool) -> DataFrame:
+    """Add `__inside` (aggregate of the key's earlier rows in the piece; with `strict` without the row itself) and `__carry` (that of its earlier pieces)."""
+    to = -1 if strict else 0
+    inside = Window.partitionBy("__piece", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, to)
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = pieces.groupBy("__piece", *keys).agg(total(value).alias("__end")).withColumn("__carry", total("__end").over(before)).drop("__end")
+    ends = ends.withColumnsRenamed({k: f"__k_{k}" for k in ["__piece", *keys]})
+    same = [pieces[k].eqNullSafe(ends[f"__k_{k}"]) for k in ["__piece", *keys]]
+    return pieces.withColumn("__inside", total(value).over(inside)).join(ends, same).drop(*[f"__k_{k}" for k in ["__piece", *keys]])
+
+
+def running_total(pieces: DataFrame, order, value: str, out: str) -> DataFrame:
+    """Sum of `value` over all rows of all keys up to and including each row of `in_pieces`."""
+    inside = Window.partitionBy("__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = pieces.groupBy("__piece").agg(F.sum(value).alias("__end")).withColumn(
+        "__carry", F.coalesce(F.sum("__end").over(before), F.lit(0))).drop("__end")
+    return pieces.withColumn(out, F.sum(value).over(inside)).join(ends, "__piece").withColumn(out, F.col(out) + F.col("__carry")).drop("__carry")
 
-    Sums per time slice are added up first (a row per slice); rows then only need the
-    running sum inside their own slice.
+
+def trailing_count(df: DataFrame, keys, us: str, window_us: int, out: str, strict: bool = True) -> DataFrame:
+    """Number of rows of the same key in the last `window_us`, the row and its peers included, by two prefix ranks.
+
+    The rank of a moment is the number of rows up to it. Each distinct time of a key asks for its own rank and for that of the
+    moment where its window begins; rows and questions are sorted together, and the difference of the two ranks is the
+    count. `strict` leaves out a row exactly `window_us` old. Rows without a time get NULL.
     """
-    cut = df.withColumn("__slice", F.floor(F.col(us) / slice_us))
-    totals = cut.groupBy(*keys, "__slice").agg(F.sum(value).alias("__total"))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
-    inside = Window.partitionBy(*keys, "__slice").orderBy(us, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut.withColumn("__inside", F.sum(value).over(inside))
-    joined = rows.join(totals, [*keys, "__slice"])
-    return joined.withColumn(out, F.col("__before") + F.col("__inside")).drop("__slice", "__before", "__inside")
+    times = staged(df.where(F.col(us).isNotNull()).groupBy(*keys, F.col(us).alias("__t")).agg(F.count(F.lit(1)).alias("__n")), "times")
+    own = times.select(*keys, "__t", F.lit(0).alias("__kind"), "__n", F.col("__t").alias("__of"))
+    asked = times.select(*keys, (F.col("__t") - window_us).alias("__t"), F.lit(1 if strict else -1).alias("__kind"), F.lit(0).cast("bigint").alias("__n"), F.col("__t").alias("__of"))
+    order = [*keys, "__t", "__kind"]
+    ranked = running_total(in_pieces(own.unionByName(asked), order, "ranks"), order, "__n", "__rank")
+    counts = ranked.groupBy(*keys, "__of").agg(
+        (F.max(F.when(F.col("__kind") == 0, F.col("__rank"))) - F.max(F.when(F.col("__kind") != 0, F.col("__rank")))).alias(out))
+    counts = counts.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [df[k].eqNullSafe(counts[f"__k_{k}"]) for k in keys]
+    return df.join(counts, [*same, df[us] == counts["__of"]], "left").drop("__of", *[f"__k_{k}" for k in keys])
+
+
+def running_sum(df: DataFrame, keys, us: str, ties, value: str, out: str) -> DataFrame:
+    """Sum of `value` over a key up to and including each row, in order of (`us`, `ties`), which tell its rows apart."""
+    order = [us, *ties]
+    rows = _carried(in_pieces(df, [*keys, *order], "sums"), keys, order, value, F.sum, strict=False)
+    return rows.withColumn(out, F.coalesce("__carry", F.lit(0)) + F.col("__inside")).drop("__piece", "__inside", "__carry")
 
 
 def previous(df: DataFrame, keys, us: str, ties, value: str, out: str, slice_us: int) -> DataFrame:
@@ -65,16 +110,18 @@ def previous(df: DataFrame, keys, us: str, ties, value: str, out: str, slice_us:
     return rows.withColumn(out, F.coalesce("__in", "__before")["v"]).drop("__slice", "__in", "__before")
 
 
-def merge_intervals(df: DataFrame, keys, start_us: str, end_us: str, max_length_us: int) -> DataFrame:
+def merge_intervals(df: DataFrame, keys, start_us: str, end_us: str) -> DataFrame:
     """Overlapping or touching intervals of a key become one: (keys, start_us, end_us, merged).
 
-    `max_length_us` bounds the length of an input interval, so only that much has to be
-    looked back to see whether an interval is still covered.
+    An interval begins a new one where no earlier start of its key reaches it. The furthest end so far is a running maximum:
+    inside a piece, and over the maxima of the pieces before. Intervals may have any length.
     """
     rows = df.select(*keys, F.col(start_us).alias("__s"), F.col(end_us).alias("__e")).groupBy(*keys, "__s").agg(
         F.max("__e").alias("__e"), F.count("*").alias("__n"))
-    flagged = _previous_end(rows, keys, max_length_us).withColumn("__new", F.when(F.col("__prev_end") >= F.col("__s"), 0).otherwise(1))
-    islands = running_sum(flagged, keys, "__s", [], "__new", "__island", max_length_us * SLICES_PER_WINDOW)
+    reach = _carried(in_pieces(rows, [*keys, "__s"], "intervals"), keys, ["__s"], "__e", F.max, strict=True)
+    begins = F.when(F.greatest("__inside", "__carry") >= F.col("__s"), 0).otherwise(1)
+    flagged = staged(reach.withColumn("__new", begins).drop("__inside", "__carry"), "intervals-flagged")
+    islands = running_total(flagged, [*keys, "__s"], "__new", "__island")
     return islands.groupBy(*keys, "__island").agg(
         F.min("__s").alias("start_us"), F.max("__e").alias("end_us"), F.sum("__n").alias("merged")).drop("__island")
 
@@ -84,23 +131,43 @@ def active_at(intervals: DataFrame, at_us: int, start_us: str = "start_us", end_
     return intervals.filter((F.col(start_us) <= at_us) & (F.col(end_us) > at_us))
 
 
-def _previous_end(rows: DataFrame, keys, max_length_us: int) -> DataFrame:
-    """Furthest end among the earlier starts that can still reach; starts are unique per key."""
-    length = max_length_us * SLICES_PER_WINDOW
-    own = F.floor(F.col("__s") / length)
-    late = F.pmod(F.col("__s"), F.lit(length)) >= length - max_length_us
-    cut = rows.withColumn("__own", own).withColumn(
-        "__slice", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
-    w = Window.partitionBy(*keys, "__slice").orderBy("__s").rangeBetween(-max_length_us, -1)
-    return cut.withColumn("__prev_end", F.max("__e").over(w)).filter("__own = __slice").drop("__own", "__slice")
-
-
-def interval_join(points: DataFrame, intervals: DataFrame, keys, us: str, start_us: str, end_us: str, slice_us: int, how: str = "left") -> DataFrame:
-    """Points joined to the intervals [start, end) that hold them, by key and time slice."""
-    left = points.withColumn("__slice", F.floor(F.col(us) / slice_us))
-    first, last = F.floor(F.col(start_us) / slice_us), F.floor((F.col(end_us) - 1) / slice_us)
-    right = intervals.withColumn("__slice", F.explode(F.sequence(first, last))).withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumnRenamed("__slice", "__r_slice")
-    cond = (F.col("__slice") == F.col("__r_slice")) & (F.col(us) >= F.col(start_us)) & (F.col(us) < F.col(end_us))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__r_{k}"))
-    return left.join(right, cond, how).drop("__slice", "__r_slice", *[f"__r_{k}" for k in keys])
+def cells_of(start: Column, end: Column) -> Column:
+    """Disjoint aligned cells (level, cell) that cover [start, end) in microseconds: at most six a level, 78 for a year."""
+
+    def step(acc: Column, level: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        up, down = F.shiftleft(F.shiftright(low + 3, 2), 2), F.shiftleft(F.shiftright(high, 2), 2)
+        last = (up >= down) | (level == LEVELS - 1)
+        candidates = lambda first: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: first + i)
+        head = F.filter(candidates(low), lambda c: c < F.when(last, high).otherwise(up))
+        tail = F.filter(candidates(down), lambda c: ~last & (c < high))
+        cell = lambda c: F.struct(level.cast("int").alias("level"), c.alias("cell"))
+        return F.struct(
+            F.when(last, high).otherwise(F.shiftright(up, 2)).alias("low"), F.when(last, high).otherwise(F.shiftright(down, 2)).alias("high"),
+            F.concat(acc["cells"], F.transform(F.concat(head, tail), cell)).alias("cells"))
+
+    first, past = F.shiftright(start, UNIT_BITS), F.shiftright(end - 1, UNIT_BITS) + 1
+    begin = F.struct(first.alias("low"), past.alias("high"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), begin, step, lambda acc: acc["cells"])
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys, us: str, start_us: str, end_us: str, how: str = "left") -> DataFrame:
+    """Points joined to the intervals [start, end) that hold them, by key and cell; `how` is left or inner.
+
+    An interval becomes at most six cells a level, however long it is, and a point one cell for each level
+    that occurs: exactly one of an interval's cells can hold it. The times themselves decide at the ends.
+    """
+    cells = intervals.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn("__c", F.explode(cells_of(F.col(start_us), F.col(end_us))))
+    cells = staged(cells.select("*", F.col("__c.level").alias("__r_level"), F.col("__c.cell").alias("__r_cell")).drop("__c"), "interval-cells")
+    levels = sorted(r[0] for r in cells.select("__r_level").distinct().collect())
+    at = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(us, UNIT_BITS + 2 * k).alias("cell")) for k in levels])
+    cut = points.withColumn("__c", F.explode(at.cast("array<struct<level:int,cell:bigint>>"))).select(
+        "*", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")).drop("__c")
+    same = [F.col(k) == F.col(f"__r_{k}") for k in keys]
+    held = [F.col("__level") == F.col("__r_level"), F.col("__cell") == F.col("__r_cell"), F.col(us) >= F.col(start_us), F.col(us) < F.col(end_us)]
+    met = cut.join(cells, [*same, *held]).drop("__level", "__cell", "__r_level", "__r_cell", *[f"__r_{k}" for k in keys])
+    if how == "inner":
+        return met
+    found = met.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col(us).alias("__r_us")).distinct()
+    alone = points.join(found, [*same, F.col(us) == F.col("__r_us")], "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)

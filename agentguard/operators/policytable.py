@@ -1,14 +1,24 @@
 """Policies as a table: (policy_id, version, kind, field, value), kind `scalar` or `list`.
 
-The number of policies does not enter the plan: requests are joined to their policy's row.
+The number of policies does not enter the plan: requests are joined to their policy's row. Entries that say something of a
+part of the requests also have a `subject` and, where the last one counts, a `position`:
+
+| field | subject | value |
+|---|---|---|
+| denylist, allowlist, agent_allowlist, domain_allowlist | | tool, agent or domain pattern |
+| arg_filter | tool | RE2 pattern |
+| channel_blocked, channel_allowed | channel | tool |
+| default_action, max_message_bytes | | scalar |
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentguard.functions import text as tx
+from agentguard.functions import net, text as tx
+from agentguard.operators.domaintable import with_matched_domain
+from agentguard.operators.patterntable import pattern_hits, pattern_table
 from agentguard.operators.policy import ALLOW, DENY, MAX_MESSAGE_BYTES
 
 
@@ -59,3 +69,72 @@ def evaluate_by_table(requests: DataFrame, rows: DataFrame, key: str = "policy_i
         .when(F.coalesce("__default", deny) == ALLOW, verdict(allow, "default allowed"))
         .otherwise(verdict(deny, "default denied")))
     return out.withColumn("__v", judged).select("*", "__v.*").drop("__v", "__deny", "__allow", "__default", "__most")
+
+
+def _verdict(decision, reason) -> Column:
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(text(decision).alias("decision"), text(reason).alias("reason"))
+
+
+def evaluate_rows(requests: DataFrame, rows: DataFrame, key: str = "policy_id", request_id: str = "msg_id", raw: str = "raw", method: str = "method",
+                  args: str = "args", url: str = "url", agent: str = "agent", channel: str = "channel") -> DataFrame:
+    """Add decision, reason, agent_allowed, channel_decision and channel_reason to requests by the policy that each names.
+
+    All entries of a policy count: size, denylist, allowlist, argument filters, domains of web tools, default action, agents and
+    channels. `rows` holds one version per policy; `request_id` tells requests apart. A request whose policy is unknown is denied, as is
+    one whose tool has a filter that is no RE2 pattern. Of several filters for a tool the one with the greatest `position` counts.
+    """
+    listed = lambda f: F.collect_set(F.when(F.col("field") == f, F.lower("value")))
+    scalar = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    policies = rows.groupBy(key).agg(
+        listed("denylist").alias("__deny"), listed("allowlist").alias("__allow"), listed("agent_allowlist").alias("__agents"),
+        F.count_if(F.col("field") == "domain_allowlist").alias("__domains"), scalar("default_action").alias("__default"),
+        scalar("max_message_bytes").cast("long").alias("__most"))
+    out = requests.join(policies, key, "left").withColumn("__tool", tx.canonical_method(F.col(method)))
+
+    filters = rows.where("field = 'arg_filter'").groupBy(key, F.col("subject").alias("__tool")).agg(F.max_by("value", "position").alias("pattern"))
+    patterns = pattern_table(filters, [key, "__tool"])
+    hits = pattern_hits(out.select(request_id, key, "__tool", args), patterns, [key, "__tool"], request_id, args).select(request_id).distinct()
+    out = out.join(hits.withColumn("__hit", F.lit(True)), request_id, "left")
+    out = out.join(patterns.where("problem IS NOT NULL").select(key, "__tool", F.col("problem").alias("__problem")), [key, "__tool"], "left")
+
+    domains = rows.where("field = 'domain_allowlist'").select(key, F.col("value").alias("pattern"))
+    web = F.startswith("__tool", F.lit("web."))
+    out = out.withColumn("__host", F.when(web, net.extract_domain(F.col(url))))
+    out = with_matched_domain(out, domains, [key], "__host", "pattern", "__domain")
+
+    channels = rows.where("field IN ('channel_blocked', 'channel_allowed')").select(
+        key, F.col("subject").alias("__channel"), F.substring("field", 9, 7).alias("rule"), F.col("value").alias("tool"))
+    per_channel = channels.groupBy(key, "__channel").agg(
+        F.collect_set(F.when(F.col("rule") == "blocked", F.col("tool"))).alias("__blocked"),
+        F.collect_set(F.when(F.col("rule") == "allowed", F.col("tool"))).alias("__listed"))
+    out = out.withColumn("__channel", F.col(channel)).join(per_channel, [key, "__channel"], "left")
+
+    name = F.lower("__tool")
+    problem, has = net.url_problem(F.col(url)), F.size("__allow") > 0
+    checked = web & (F.col("__domains") > 0)
+    judged = (
+        F.when(F.col("__deny").isNull(), _verdict(DENY, "unknown policy"))
+        .when(F.octet_length(raw) > F.coalesce("__most", F.lit(MAX_MESSAGE_BYTES)), _verdict(DENY, "message too large"))
+        .when(F.array_contains("__deny", name), _verdict(DENY, "tool explicitly denied by denylist"))
+        .when(has & ~F.array_contains("__allow", name), _verdict(DENY, "tool not in allowlist"))
+        .when(F.col("__problem").isNotNull(), _verdict(DENY, F.concat(F.lit("invalid argument filter: "), "__problem")))
+        .when(F.col("__hit"), _verdict(DENY, "sensitive data detected in arguments"))
+        .when(checked & (F.coalesce(F.col(url), F.lit("")) == ""), _verdict(DENY, "cannot extract URL from web request for domain validation"))
+        .when(checked & problem.isNotNull(), _verdict(DENY, F.concat(F.lit("unsafe URL rejected: "), problem)))
+        .when(checked & (F.col("__host") == ""), _verdict(DENY, "cannot parse domain from URL"))
+        .when(checked & F.col("__domain").isNull(), _verdict(DENY, "domain not in allowlist"))
+        .when(has, _verdict(ALLOW, "tool in allowlist, scans passed"))
+        .when(F.coalesce("__default", F.lit(DENY)) == ALLOW, _verdict(ALLOW, "default allowed"))
+        .otherwise(_verdict(DENY, "default denied")))
+    tool, where = F.col("__tool"), F.col(channel)
+    said = (
+        F.when(F.col("__blocked").isNull(), _verdict(ALLOW, "no policy for channel"))
+        .when(F.array_contains("__blocked", tool), _verdict(DENY, F.format_string('tool "%s" blocked for channel "%s"', tool, where)))
+        .when((F.size("__listed") > 0) & F.array_contains("__listed", tool), _verdict(ALLOW, "tool allowed for channel"))
+        .when(F.size("__listed") > 0, _verdict(DENY, F.format_string('tool "%s" not in allowed list for channel "%s"', tool, where)))
+        .otherwise(_verdict(ALLOW, "tool not restricted for channel")))
+    allowed = F.coalesce((F.size("__agents") == 0) | F.array_contains("__agents", F.lower(F.col(agent))), F.lit(False))
+    out = out.withColumns({"__v": judged, "__c": said, "agent_allowed": allowed})
+    return out.select(*requests.columns, "__v.decision", "__v.reason", "agent_allowed",
+                      F.col("__c.decision").alias("channel_decision"), F.col("__c.reason").alias("channel_reason"))

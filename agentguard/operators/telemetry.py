@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from agentguard.functions import net
 from agentguard.functions.regex import re2
-from agentguard.operators.ordered import micros, running_sum, trailing
+from agentguard.operators.ordered import micros, running_sum, trailing_count
 
 SECOND = 1_000_000
 # Thresholds, allowed process paths, suspicious commands, files and ports.
@@ -36,22 +36,22 @@ def is_allowed_process(filename: Column) -> Column:
 def fork_bombs(execs: DataFrame, window_seconds: int = FORK_BOMB_WINDOW, threshold: int = FORK_BOMB_THRESHOLD) -> DataFrame:
     """Executions whose parent started more than `threshold` processes in the window."""
     rows = execs.filter(~is_allowed_process(F.col("filename"))).withColumn("__us", micros(F.col("ts")))
-    counted = trailing(rows, ["ppid"], "__us", window_seconds * SECOND, {"execs": F.count(F.lit(1))})
+    counted = trailing_count(rows, ["ppid"], "__us", window_seconds * SECOND, "execs")
     return counted.filter(F.col("execs") > threshold).drop("__us")
 
 
-def port_scans(conns: DataFrame, threshold: int = PORT_SCAN_THRESHOLD, slice_seconds: int = 3600) -> DataFrame:
+def port_scans(conns: DataFrame, threshold: int = PORT_SCAN_THRESHOLD) -> DataFrame:
     """Connections of a process that has used more than `threshold` ports so far.
 
     The first use of each port counts one; a running sum over these and all connections
-    gives the number of ports, cut by time so that a busy process is spread out.
+    gives the number of ports, in pieces so that a busy process is spread out.
     """
     rows = conns.withColumn("__us", micros(F.col("ts")))
     first = rows.groupBy("pid", "dport").agg(F.min(F.struct("__us", "event_id")).alias("f"))
     news = first.select("pid", F.col("f.__us").alias("__us"), F.col("f.event_id").alias("event_id"), F.lit(1).alias("__new"), F.lit(0).alias("__seen"))
     both = rows.select("pid", "__us", "event_id", F.lit(0).alias("__new"), F.lit(1).alias("__seen")).unionByName(news)
     # A first use sorts before the connection that made it.
-    summed = running_sum(both, ["pid"], "__us", ["event_id", "__seen"], "__new", "ports", slice_seconds * SECOND)
+    summed = running_sum(both, ["pid"], "__us", ["event_id", "__seen"], "__new", "ports")
     hits = summed.filter((F.col("__seen") == 1) & (F.col("ports") > threshold))
     return hits.select("event_id", "pid", F.timestamp_micros("__us").alias("ts"), "ports")
 

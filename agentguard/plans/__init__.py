@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from agentguard.plans import auditing, detection, events, fleets, policies, streams  # noqa: F401
+from agentguard.plans import auditing, detection, events, fleets, policies, streams, tables  # noqa: F401
 from agentguard.plans.base import REGISTRY
 from agentguard.session import SESSION_CONF, ship_package
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentguard.functions import jsonfuncs, labels, text as tx
-from agentguard.operators import audit, listing, metrics, siem
+from agentguard.operators import audit, leaks, listing, metrics, siem
 from agentguard.operators.ordered import micros
 from agentguard.operators.scan import NO_METADATA
 from agentguard.plans import inputs
@@ -304,32 +304,51 @@ def digest_verify(spark, sf):
     return audit.verify_digests(stored, current, ["day"]).select("day", "status")
 
 
-@register("record_checks", f"""
-    SELECT unnest([{{'constraint': 'missing_timestamp', 'violations': count_if(timestamp IS NULL)}}, {{'constraint': 'missing_tool', 'violations': 0}}, {{'constraint': 'missing_policy', 'violations': 0}},
-      {{'constraint': 'bad_decision', 'violations': 0}}, {{'constraint': 'bad_stage', 'violations': count_if(stage = 'response_redaction')}}, {{'constraint': 'negative_duration', 'violations': count_if(eval_ms < 0)}},
-      {{'constraint': 'bad_scanner', 'violations': 0}}, {{'constraint': 'bad_confidence', 'violations': 0}}, {{'constraint': 'long_excerpt', 'violations': 0}}], recursive := true) FROM {SQL_DECISIONS}
-""")
+#: Each constraint is broken in the decisions whose id leaves its number; (constraint, what else breaks it).
+_BROKEN = [
+    ("missing_timestamp", "false"), ("missing_tool", "false"), ("missing_policy", "false"), ("bad_decision", "false"), ("bad_stage", "stage = 'response_redaction'"),
+    ("negative_duration", "eval_ms < 0"), ("bad_scanner", "false"), ("bad_confidence", "false"), ("long_excerpt", "false"),
+]
+_SQL_BROKEN = ", ".join(f"{{'constraint': {q(name)}, 'violations': count_if(decision_id % 101 = {k} OR {other})}}" for k, (name, other) in enumerate(_BROKEN))
+
+
+@register("record_checks", f"SELECT unnest([{_SQL_BROKEN}], recursive := true) FROM {SQL_DECISIONS}")
 def record_checks(spark, sf):
-    return audit.violation_counts(audit.record_checks(decisions(spark, sf)))
+    rows = decisions(spark, sf)
+    broken = lambda k: F.col("decision_id") % 101 == k
+    finding = F.struct(*[
+        F.when(broken(k), value).otherwise(other).cast("string").alias(name) for k, name, value, other in (
+            (6, "scanner", F.lit("nobody"), F.lit(None)), (7, "confidence", F.lit("sure"), F.lit(None)), (8, "match_excerpt", F.repeat(F.lit("x"), F.lit(300)), F.lit("")))])
+    kind = rows.schema["decision_details"].dataType["scan_results"].dataType.elementType
+    added = F.struct(*[(finding[f.name] if f.name in ("scanner", "confidence", "match_excerpt") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+    results = F.concat(F.col("decision_details.scan_results"), F.array(added))
+    details = F.col("decision_details").withField("scan_results", results).withField(
+        "pipeline_stage", F.when(broken(4), "nowhere").otherwise(F.col("decision_details.pipeline_stage"))).withField(
+        "eval_duration_ms", F.when(broken(5), -1).otherwise(F.col("decision_details.eval_duration_ms")))
+    spoiled = rows.withColumns({
+        "timestamp": F.when(~broken(0), F.col("timestamp")), "tool": F.when(broken(1), "").otherwise(F.col("tool")),
+        "policy_version": F.when(~broken(2), F.col("policy_version")), "decision": F.when(broken(3), "maybe").otherwise(F.col("decision")), "decision_details": details})
+    return audit.violation_counts(audit.record_checks(spoiled))
+
+
+# Tokens of two shapes: a marked one, and digits that stand inside a longer number.
+_CANARY = "CASE WHEN user_id % 2 = 0 THEN '__canary_' || left(sha256(user_id::VARCHAR), 16) || '__' ELSE (7919 * user_id + 10000000)::VARCHAR END"
 
 
 @register("canary_leaks", f"""
-    WITH c AS (SELECT decision_id, tool, '__canary_' || left(sha256(user_id::VARCHAR), 16) || '__' AS token FROM {SQL_DECISIONS} WHERE stage = 'default_action'),
-    r AS (SELECT decision_id, tool, 'result for __canary_' || left(sha256(user_id::VARCHAR), 16) || '__ and more' AS body FROM {SQL_DECISIONS} WHERE stage = 'response_clean')
-    SELECT r.tool AS leaked_by, c.tool AS issued_to, count(*) AS leaks
-    FROM (SELECT tool, regexp_extract(body, '__canary_[0-9a-f]{{16}}__') AS token FROM r) r JOIN c ON r.token = c.token WHERE r.tool <> c.tool GROUP BY ALL
+    WITH c AS (SELECT decision_id, tool, {_CANARY} AS token FROM {SQL_DECISIONS} WHERE stage = 'default_action'),
+    r AS (SELECT decision_id, tool, 'result for 5' || {_CANARY} || '5 and more' AS body FROM {SQL_DECISIONS} WHERE stage = 'response_clean')
+    SELECT r.tool AS leaked_by, c.tool AS issued_to, sum(r.k * c.n)::BIGINT AS leaks
+    FROM (SELECT tool, body, count(*) AS k FROM r GROUP BY ALL) r JOIN (SELECT tool, token, count(*) AS n FROM c GROUP BY ALL) c ON contains(r.body, c.token) WHERE r.tool <> c.tool GROUP BY ALL
 """)
 def canary_leaks(spark, sf):
     rows = decisions(spark, sf)
-    token = F.concat(F.lit("__canary_"), F.left(F.sha2(F.col("user_id").cast("string"), 256), F.lit(16)), F.lit("__"))
-    issued = rows.filter("stage = 'default_action'").groupBy(token.alias("token"), "tool").agg(F.count("*").alias("n"))
-    body = F.concat(F.lit("result for "), token, F.lit(" and more"))
-    responses = rows.filter("stage = 'response_clean'").select("tool", body.alias("body"))
-    found = responses.select("tool", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("__canary_[0-9a-f]{16}__"), F.lit(0)))).alias("token"))
-    # Both sides are counted per token first: a hot token costs one row per tool, not all pairs.
-    leaks = found.groupBy("token", F.col("tool").alias("leaked_by")).agg(F.count("*").alias("m")).join(
-        issued.withColumnRenamed("tool", "issued_to"), "token").filter("leaked_by <> issued_to")
-    return leaks.groupBy("leaked_by", "issued_to").agg(F.sum(F.col("m") * F.col("n")).alias("leaks"))
+    user = F.col("user_id").cast("string")
+    marked = F.concat(F.lit("__canary_"), F.left(F.sha2(user, 256), F.lit(16)), F.lit("__"))
+    token = F.when(F.col("user_id") % 2 == 0, marked).otherwise((F.lit(7919) * F.col("user_id") + 10_000_000).cast("string"))
+    issued = rows.filter("stage = 'default_action'").select(token.alias("token"), "tool")
+    body = F.concat(F.lit("result for 5"), token, F.lit("5 and more"))
+    return leaks.canary_leaks(issued, rows.filter("stage = 'response_clean'").select("tool", body.alias("body")))
 
 
 @register("canary_seeded", f"""

@@ -41,22 +41,11 @@ _register_pack("xss_pages", "pages", "page_id", "html", vuln.XSS)
 
 
 ALL_RULES = (*injection.PACK, *vuln.PACK, *malware.PACK, *secrets.PACK, *pii.PACK)
-_SAMPLED = "SELECT d.doc_id, concat(left(d.text, 120), ' ', s.sample, ' end') AS text FROM @documents@ d JOIN @samples@ s ON d.doc_id % {n} = s.pid".format(n=len(SAMPLES))
-SQL_SAMPLED = "(" + _SAMPLED.replace("@documents@", "documents").replace("@samples@", values(list(enumerate(SAMPLES)), ["pid", "sample"])) + ")"
-
 
 #: What NFKC does to the signs that occur in these texts: spaces of other widths become plain ones.
 _SQL_NFKC = r"lower(regexp_replace(text, '[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'))"
 
 
-@register("rule_samples", sql_findings(SQL_SAMPLED, "doc_id", TEXT_VIEWS | {"nfkc_lower": _SQL_NFKC}, ALL_RULES))
-def rule_samples(spark, sf):
-    """All rules over documents that each carry a text one of them finds."""
-    samples = inputs.inline(spark, list(enumerate(SAMPLES)), "pid int, sample string")
-    docs = inputs.run_sql(spark, _SAMPLED, documents=table(spark, sf, "documents", texts=True), samples=samples)
-    return _summary(scan.scan_all(docs, "text", ALL_RULES, ["doc_id"]))
-
-
 # The whole text of every document; a null id counts as 0 and remainders are never negative, in both engines.
 _WHOLE = "SELECT d.doc_id, concat(coalesce(d.text, ''), ' ', s.sample, ' end') AS text FROM @documents@ d JOIN @samples@ s ON (coalesce(d.doc_id, 0) % {n} + {n}) % {n} = s.pid".format(n=len(SAMPLES))
 SQL_WHOLE = "(" + _WHOLE.replace("@documents@", "documents").replace("@samples@", values(list(enumerate(SAMPLES)), ["pid", "sample"])) + ")"
@@ -70,7 +59,7 @@ def whole_findings(docs, samples):
 
 @register("rule_documents", sql_findings(SQL_WHOLE, "doc_id", TEXT_VIEWS | {"nfkc_lower": _SQL_NFKC}, ALL_RULES))
 def rule_documents(spark, sf):
-    """All rules over whole documents; `rule_samples` reads the first 120 characters of each."""
+    """All rules over whole documents, each followed by a text that one rule finds."""
     return whole_findings(table(spark, sf, "documents", texts=True), inputs.inline(spark, list(enumerate(SAMPLES)), "pid int, sample string"))
 
 

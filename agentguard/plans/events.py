@@ -140,7 +140,7 @@ def override_decisions(spark, sf):
     tool = F.when(F.col("event_id") % 3 == 0, "file.read").otherwise("chat.send")
     msgs = table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
         "event_id", F.col("user_id").alias("node_id"), "ts", F.concat(F.lit('{"method":"'), tool, F.lit('","params":{"q":"x"}}')).alias("raw"))
-    held = ad.active_overrides(msgs, fired, ["node_id"], "event_id", 3600)
+    held = ad.active_overrides(msgs, fired, ["node_id"], "event_id")
     default = F.coalesce("default_action_override", F.lit(_LENIENT.default_action))
     return dec.evaluate_requests(held, _LENIENT, default_action=default).select("event_id", "decision", "reason")
 
@@ -156,7 +156,7 @@ def override_decisions(spark, sf):
 def override_interval_join(spark, sf):
     fired = ad.overrides(events(spark, sf), RULES)
     msgs = table(spark, sf, "events").filter("event_type IN ('view', 'click')").select("event_id", F.col("user_id").alias("node_id"), "ts")
-    out = ad.active_overrides(msgs, fired, ["node_id"], "event_id", 3600)
+    out = ad.active_overrides(msgs, fired, ["node_id"], "event_id")
     return out.select("event_id", "active_overrides", F.coalesce("default_action_override", F.lit("allow")).alias("effective_default"))
 
 
@@ -266,7 +266,7 @@ def new_processes(spark, sf):
     SELECT ip, min(s) AS start_us, max(e) AS end_us, count(*) AS merged FROM g GROUP BY ip, island
 """)
 def block_intervals(spark, sf):
-    return ordered.merge_intervals(_blocks(spark, sf), ["ip"], "s", "e", 7200 * 1_000_000)
+    return ordered.merge_intervals(_blocks(spark, sf), ["ip"], "s", "e")
 
 
 def _blocks(spark, sf):
@@ -276,15 +276,15 @@ def _blocks(spark, sf):
     return blocks
 
 
-#: The middle of the event table's month.
-_AT_US = 1_705_320_000_000_000
+_SQL_BLOCKS = "(SELECT user_id % 10 AS ip, epoch_us(ts) AS s, epoch_us(ts) + CASE event_id % 3 WHEN 0 THEN 600 WHEN 1 THEN 3600 ELSE 7200 END * 1000000::BIGINT AS e FROM events WHERE event_type = 'error')"
 
 
 @register("active_blocks", f"""
-    SELECT ip, max(e) AS until_us, count(*) AS rules FROM (
-      SELECT user_id % 10 AS ip, epoch_us(ts) AS s, epoch_us(ts) + CASE event_id % 3 WHEN 0 THEN 600 WHEN 1 THEN 3600 ELSE 7200 END * 1000000::BIGINT AS e FROM events WHERE event_type = 'error')
-    WHERE s <= {_AT_US} AND e > {_AT_US} GROUP BY ip
+    SELECT ip, max(e) AS until_us, count(*) AS rules FROM {_SQL_BLOCKS} WHERE s <= (SELECT median(s)::BIGINT + 1 FROM {_SQL_BLOCKS}) AND e > (SELECT median(s)::BIGINT + 1 FROM {_SQL_BLOCKS}) GROUP BY ip
 """)
 def active_blocks(spark, sf):
-    held = ordered.active_at(_blocks(spark, sf), _AT_US, "s", "e")
+    """Blocks in force just after half of them have begun."""
+    blocks = _blocks(spark, sf)
+    at_us = blocks.agg((F.floor(F.median("s")) + 1).cast("bigint").alias("at")).first()["at"]
+    held = ordered.active_at(blocks, at_us, "s", "e")
     return held.groupBy("ip").agg(F.max("e").alias("until_us"), F.count("*").alias("rules"))

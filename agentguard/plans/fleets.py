@@ -184,19 +184,26 @@ def group_keys(spark, sf):
 _SQL_VALID = "(previous || '>' || status) IN ('draft>approved', 'draft>rejected', 'approved>published', 'approved>rejected', 'published>superseded')"
 
 
-@register("lifecycle_violations", f"""
+#: Every change of a version with the status it met, by a fold over its changes.
+_SQL_WALK = f"""
     WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY ts, event_id) AS rn FROM {_sql(LIFECYCLE)}),
     walk AS (
       SELECT version_id, event_id, rn, status, 'draft' AS previous FROM e WHERE rn = 1
       UNION ALL SELECT e.version_id, e.event_id, e.rn, e.status, CASE WHEN {_SQL_VALID.replace("status)", "w.status)").replace("previous ||", "w.previous ||")} THEN w.status ELSE w.previous END
-      FROM walk w JOIN e ON e.version_id = w.version_id AND e.rn = w.rn + 1)
+      FROM walk w JOIN e ON e.version_id = w.version_id AND e.rn = w.rn + 1)"""
+
+
+@register("lifecycle_violations", f"""{_SQL_WALK}
     SELECT version_id, event_id, previous, status FROM walk WHERE NOT ({_SQL_VALID} OR (rn = 1 AND status = 'draft'))
 """)
 def lifecycle_violations(spark, sf):
     return fleet.lifecycle_violations(_df(spark, sf, LIFECYCLE)).select("version_id", "event_id", "previous", "status")
 
 
-@register("current_versions", f"SELECT group_id, arg_max(version_id, (ts, event_id)) AS current_version_id FROM {_sql(LIFECYCLE)} WHERE status = 'published' GROUP BY group_id")
+@register("current_versions", f"""{_SQL_WALK}
+    SELECT group_id, arg_max(e.version_id, (ts, e.event_id)) AS current_version_id FROM walk w JOIN e ON e.version_id = w.version_id AND e.rn = w.rn
+    WHERE w.status = 'published' AND {_SQL_VALID.replace("status)", "w.status)")} GROUP BY group_id
+""")
 def current_versions(spark, sf):
     return fleet.current_versions(_df(spark, sf, LIFECYCLE))
 

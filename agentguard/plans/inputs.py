@@ -83,11 +83,11 @@ FROM (
       a.name AS agent, h.name AS channel, me.name AS sent_method, u.name AS url, p.shape, p.payload,
       concat(c.text, ' ', p.payload) AS text
     FROM @conversations@ c
-    JOIN @payloads@ p ON (c.conv_id + c.turn * 7) % 31 = p.pid
-    JOIN @methods@ me ON (c.conv_id * 3 + c.turn) % 10 = me.pid
-    JOIN @urls@ u ON (c.conv_id + c.turn) % 7 = u.pid
-    JOIN @agents@ a ON c.conv_id % 7 = a.pid
-    JOIN @channels@ h ON c.conv_id % 3 = h.pid
+    JOIN @payloads@ p ON ((coalesce(c.conv_id + c.turn * 7, 0) % 31) + 31) % 31 = p.pid
+    JOIN @methods@ me ON ((coalesce(c.conv_id * 3 + c.turn, 0) % 10) + 10) % 10 = me.pid
+    JOIN @urls@ u ON ((coalesce(c.conv_id + c.turn, 0) % 7) + 7) % 7 = u.pid
+    JOIN @agents@ a ON ((coalesce(c.conv_id, 0) % 7) + 7) % 7 = a.pid
+    JOIN @channels@ h ON ((coalesce(c.conv_id, 0) % 3) + 3) % 3 = h.pid
   ) m
 ) n
 """.replace("__ESC__", _ESC.replace("{x}", "m.text"))

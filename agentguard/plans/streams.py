@@ -23,20 +23,27 @@ _METHOD = "CASE stream_id % 3 WHEN 0 THEN 'chat.send' WHEN 1 THEN 'code.generate
 # Documents with one payload at a piece border, so that findings span chunks.
 CHUNKS = f"""
 SELECT stream_id, seq, body, substr(body, seq * {PIECE} + 1, {PIECE}) AS text, {_METHOD} AS request_method, 'write text' AS request_params
-FROM (SELECT stream_id, body, @explode@ FROM (
-  SELECT d.doc_id AS stream_id, concat(left(d.text, {PIECE} - 10), ' ', p.payload, ' ', substr(d.text, {PIECE} - 9)) AS body
-  FROM @documents@ d JOIN @payloads@ p ON d.doc_id % 31 = p.pid) x) y
+FROM (SELECT stream_id, body, unnest(range(0, (length(body) + {PIECE - 1}) // {PIECE})) AS seq FROM (@bodies@) x) y
 """
-_SQL_EXPLODE = f"unnest(range(0, (length(body) + {PIECE - 1}) // {PIECE})) AS seq"
-_SPARK_EXPLODE = f"explode(sequence(0L, (length(body) + {PIECE - 1}) div {PIECE} - 1)) AS seq"
-SQL_CHUNKS = "(" + CHUNKS.replace("@explode@", _SQL_EXPLODE).replace("@documents@", "documents").replace(
+_BODIES = f"""
+SELECT d.doc_id AS stream_id, concat(left(d.text, {PIECE} - 10), ' ', p.payload, ' ', substr(d.text, {PIECE} - 9)) AS body
+FROM @documents@ d JOIN @payloads@ p ON ((coalesce(d.doc_id, 0) % 31) + 31) % 31 = p.pid
+"""
+SQL_CHUNKS = "(" + CHUNKS.replace("@bodies@", _BODIES).replace("@documents@", "documents").replace(
     "@payloads@", inputs.values(inputs.PAYLOADS, ["pid", "shape", "payload"])) + ")"
 
 
 def chunks(spark, sf):
+    """The pieces are cut in one pass over a body, which does not go with them."""
     payloads = inputs.inline(spark, inputs.PAYLOADS, "pid int, shape string, payload string")
-    sql = CHUNKS.replace("@explode@", _SPARK_EXPLODE)
-    return inputs.run_sql(spark, sql, documents=table(spark, sf, "documents", texts=True), payloads=payloads).drop("body")
+    bodies = inputs.run_sql(spark, _BODIES, documents=table(spark, sf, "documents", texts=True), payloads=payloads)
+    return _cut(bodies)
+
+
+def _cut(bodies):
+    pieces = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = bodies.select("stream_id", F.posexplode(pieces).alias("seq", "text"))
+    return cut.select("stream_id", F.col("seq").cast("bigint").alias("seq"), "text", F.expr(_METHOD).alias("request_method"), F.lit("write text").alias("request_params"))
 
 
 #: End of a text in at most 200 bytes and whole characters, for the checking engine.
@@ -208,8 +215,7 @@ def live_source_activity(spark, sf):
 @register("live_chunk_scan", f"SELECT stream_id, seq, decision, reason, redacted_text, was_redacted FROM ({_sql_scanned()})")
 def live_chunk_scan(spark, sf):
     payloads = inputs.inline(spark, inputs.PAYLOADS, "pid int, shape string, payload string")
-    sql = CHUNKS.replace("@explode@", _SPARK_EXPLODE)
-    stream = inputs.run_sql(spark, sql, documents=read_stream(spark, sf, "documents"), payloads=payloads).drop("body")
+    stream = _cut(inputs.run_sql(spark, _BODIES, documents=read_stream(spark, sf, "documents"), payloads=payloads))
     path, schema = run_stream(spark, live.scan_stream(stream, POLICY), "chunks")
     scanned = spark.readStream.schema(schema).parquet(path)
     return written(spark, live.stream_latch(scanned), "latched").select("stream_id", "seq", "decision", "reason", "redacted_text", "was_redacted")

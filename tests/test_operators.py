@@ -193,7 +193,7 @@ def test_ordered_operators_match_brute_force(bursts):
         by_node.setdefault(n, []).append((t, i, w))
     trailing = {r.event_id: r.c for r in ordered.trailing(df, ["node_id"], "us", 60_000_000, {"c": F.count(F.lit(1))}).collect()}
     weighted = df.withColumn("w", (F.col("event_id") % 5).cast("bigint"))
-    sums = {r.event_id: r.s for r in ordered.running_sum(weighted, ["node_id"], "us", ["event_id"], "w", "s", 100_000_000).collect()}
+    sums = {r.event_id: r.s for r in ordered.running_sum(weighted, ["node_id"], "us", ["event_id"], "w", "s").collect()}
     before = {r.event_id: r.p for r in ordered.previous(weighted, ["node_id"], "us", ["event_id"], "w", "p", 100_000_000).collect()}
     for node_rows in by_node.values():
         total, prev = 0, None
@@ -267,9 +267,6 @@ def test_canaries(spark):
     df = spark.createDataFrame([('{"a":{"b":1}}',), ("{}",), ("[1]",)], "p string")
     out = [r[0] for r in df.select(audit.inject_canary(F.col("p"), F.lit("T"))).collect()]
     assert out == ['{"_canary":"T","a":{"b":1}}', '{"_canary":"T"}', "[1]"]
-    issued = spark.createDataFrame([("__c_1__", "a"), ("__c_2__", "b")], "token string, tool string")
-    responses = spark.createDataFrame([("b", "x __c_1__ y"), ("b", "__c_2__")], "tool string, body string")
-    assert [r.issued_to for r in audit.canary_leaks(issued, responses, r"__c_\d__").collect()] == ["a"]
 
 
 def test_policy_diff_and_cases(spark):
