@@ -17,6 +17,7 @@ from agentguard.session import shared_dir, staged
 from agentguard.streaming import processors as live
 
 PIECE = 400
+MICRO_BATCH = 256 << 20
 POLICY = Policy(prompt_injection=InjectionScan(), malware_scan=MalwareScan(), secrets_scan=SecretsScan(action="redact"), pii_scan=PiiScan())
 _METHOD = "CASE stream_id % 3 WHEN 0 THEN 'chat.send' WHEN 1 THEN 'code.generate' ELSE 'search.query' END"
 
@@ -136,26 +137,46 @@ def ndjson_lines(spark, sf):
 # --- live twins: the same input read as a stream, until it is used up ---------------------------
 
 
-def run_stream(spark, streamed, key: str):
+def run_stream(spark, streamed, key: str, ends=()):
     """Run a streaming query to the end of its input; gives the output path and schema.
 
-    Checkpoint and output go to the shared folder of the cluster.
+    Checkpoint and output go to the shared folder of the cluster. `ends` are (rows, folder) pairs of `closed`: they are written when all
+    else has been read, and the query goes on from its checkpoint, so that what waits for the watermark is given out.
     """
     folder = f"{shared_dir(spark)}/{key}-{os.urandom(6).hex()}"
-    query = (
-        streamed.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").start()
-    )
-    query.awaitTermination()
+
+    def run():
+        streamed.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option(
+            "checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").start().awaitTermination()
+
+    run()
+    if ends:
+        for rows, at in ends:
+            rows.write.mode("append").parquet(at)
+        run()
     return f"{folder}/out", streamed.schema
 
 
-def written(spark, streamed, key: str):
+def written(spark, streamed, key: str, ends=()):
     """The rows a streaming query wrote until its input was used up."""
-    path, schema = run_stream(spark, streamed, key)
+    path, schema = run_stream(spark, streamed, key, ends)
     return spark.read.schema(schema).parquet(path)
 
 
+#: A closing row of the event table is far behind all others; its own time never comes.
+_CLOSING = "2100-01-01 00:00:00"
+
+
+def closed(spark, sf, name: str, time: str):
+    """(stream, ends): a table as a stream that can be closed. The closing row has a time and nothing else."""
+    stream = read_stream(spark, sf, name)
+    folder = f"{shared_dir(spark)}/closing-{os.urandom(6).hex()}"
+    row = spark.range(1).select(*[
+        (F.lit(_CLOSING) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+    row.limit(0).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)), [(row, folder)]
+
+
 def latest(spark, streamed, key: str, keys, value: str):
     """The last value of each key that an updating query gave until its input was used up.
 
@@ -177,20 +198,30 @@ def latest(spark, streamed, key: str, keys, value: str):
 
 def read_stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    # The brackets make it a pattern that only this table's name fits.
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
+    # The brackets make it a pattern that only this table's name fits. A micro-batch has a bound, whatever the table's size.
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(MICRO_BATCH)).parquet(f"{sf}/{name}[.]parquet")
 
 
 @register("live_threat_score", events.sql_of("threat_score"))
 def live_threat_score(spark, sf):
-    stream = inputs.run_sql(spark, events.SECURITY_EVENTS, events=read_stream(spark, sf, "events"))
-    return written(spark, live.stream_threat_scores(stream), "threat")
+    raw, ends = closed(spark, sf, "events", "ts")
+    return written(spark, live.stream_threat_scores(inputs.run_sql(spark, events.SECURITY_EVENTS, events=raw)), "threat", ends)
 
 
 @register("live_overrides", f"SELECT node_id, action, start_us, end_us, trigger_event_id FROM ({events.sql_of('overrides')})")
 def live_overrides(spark, sf):
-    stream = inputs.run_sql(spark, events.SECURITY_EVENTS, events=read_stream(spark, sf, "events"))
-    return written(spark, live.stream_overrides(stream, events.RULES), "overrides")
+    raw, ends = closed(spark, sf, "events", "ts")
+    return written(spark, live.stream_overrides(inputs.run_sql(spark, events.SECURITY_EVENTS, events=raw), events.RULES), "overrides", ends)
+
+
+@register("live_source_counts", f"""
+    SELECT source, event_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY source ORDER BY epoch_us(ts) RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)
+      - count(*) OVER (PARTITION BY source, ts) + row_number() OVER (PARTITION BY source, ts ORDER BY event_id) AS recent FROM {events.SQL_EVENTS}
+""")
+def live_source_counts(spark, sf):
+    raw, ends = closed(spark, sf, "events", "ts")
+    stream = inputs.run_sql(spark, events.SECURITY_EVENTS, events=raw)
+    return written(spark, live.stream_trailing_counts(stream, ["source"], 300), "recent", ends)
 
 
 @register("live_deny_events", f"SELECT event_type, severity, tool, count(*) AS events FROM (SELECT tool, {auditing.SQL_EVENT_KIND} FROM {auditing.SQL_DECISIONS} WHERE decision = 'deny') GROUP BY ALL")

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from agentguard.functions.labels import SEVERITY_WEIGHTS, reason_to_event, severity_weight
 from agentguard.operators.adaptive import DECAY_SECONDS, DEFAULT_WINDOW, MAX_SCORE, SECOND
 from agentguard.operators.chunks import OVERLAP, scan_chunks
 from agentguard.operators.ordered import micros
+from agentguard.streaming.ordered_state import SequenceFold, TimeFold, with_store
 
 WATERMARK = "10 minutes"
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def _tail(text: str) -> str:
     """The longest end of a text of at most OVERLAP bytes, in whole characters."""
     raw = text.encode("utf-8", "surrogatepass")[-OVERLAP:]
@@ -27,54 +23,55 @@ def _tail(text: str) -> str:
     return raw.decode("utf-8", "surrogatepass")
 
 
+def _as(df: DataFrame, columns) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _types(df: DataFrame, columns) -> list[str]:
+    return [df.schema[c].dataType.simpleString() for c in columns]
+
+
+def _in_sequence(df: DataFrame, key: str, columns, fold: str, step, output: str) -> DataFrame:
+    processor = SequenceFold(columns, _types(df, columns), StructType.fromDDL(output).names, fold, step)
+    return with_store(df).groupBy(key).transformWithState(processor, output, "append", "none")
+
+
 def stream_overlap(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text", last: str | None = None) -> DataFrame:
-    """Add the carry-over to each chunk. The state of a stream is its last 200 bytes.
+    """Add the carry-over to each chunk. The state of a stream is its last 200 bytes, and the chunks that came before their turn.
 
-    It is kept until a chunk with a true `last` column ends the stream; a pause does not end it.
+    It is kept until a chunk with a true `last` column ends the stream; a pause does not end it. `seq` counts the
+    chunks of a stream from 0 without gaps, as framing numbers them.
     """
+    rest = [c for c in chunks.columns if c not in (stream, seq)]
+    rows = chunks.select(stream, F.col(seq).cast("bigint").alias(seq), (F.col(last) if last else F.lit(False)).alias("__last"), *rest)
+    columns = [seq, "__last", *rest]
+    at = columns.index(text)
 
-    def carry(key, batches, state: GroupState):
-        pdf = pd.concat(list(batches)).sort_values(seq)
-        tail, carries = (state.get[0] if state.exists else ""), []
-        for piece in pdf[text]:
-            carries.append(tail)
-            tail = _tail(tail + piece)
-        if last and bool(pdf[last].any()):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((tail,))
-        yield pdf.assign(carry=carries)
+    def carry(state, row):
+        tail = state[0] if state else ""
+        return (_tail(tail + row[at]),), [(row[0], *row[2:], tail)]
 
-    return chunks.groupBy(stream).applyInPandasWithState(
-        carry, _ddl(chunks) + ", carry string", "tail string", "append", GroupStateTimeout.NoTimeout)
+    out = f"{_as(rows, [stream, seq, *rest])}, carry string"
+    return _in_sequence(rows, stream, columns, "tail string", carry, out).select(*chunks.columns, "carry")
 
 
 def stream_latch(scanned: DataFrame, stream: str = "stream_id", seq: str = "seq", last: str | None = None) -> DataFrame:
-    """Deny every chunk after the first blocked one. The state of a stream is its block reason.
+    """Deny every chunk after the first blocked one. The state of a stream is its block reason, and the chunks that came before their turn.
 
     A block holds until a chunk with a true `last` column ends the stream, however long it pauses.
     """
-    columns = [stream, seq, "decision", "reason", "was_redacted", "redacted_text"]
-
-    def apply(key, batches, state: GroupState):
-        pdf = pd.concat(list(batches)).sort_values(seq)
-        why, out = (state.get[0] if state.exists else None), []
-        for r in pdf.itertuples(index=False):
-            why = why or r.block_reason or None
-            redacted = bool(r.was_redacted) and not why
-            reason = why or ("chunk redacted" if redacted else "")
-            out.append((getattr(r, stream), getattr(r, seq), "deny" if why else "allow", reason, redacted, None if why else r.redacted_text))
-        if last and bool(pdf[last].any()):
-            if state.exists:
-                state.remove()
-        elif why:
-            state.update((why,))
-        yield pd.DataFrame(out, columns=columns)
-
-    slim = scanned.select(stream, seq, "block_reason", "was_redacted", "redacted_text", *([last] if last else []))
-    schema = _ddl(slim.select(stream, seq)) + ", decision string, reason string, was_redacted boolean, redacted_text string"
-    return slim.groupBy(stream).applyInPandasWithState(apply, schema, "why string", "append", GroupStateTimeout.NoTimeout)
+    rows = scanned.select(
+        stream, F.col(seq).cast("bigint").alias(seq), (F.col(last) if last else F.lit(False)).alias("__last"), "block_reason", "was_redacted", "redacted_text")
+
+    def latch(state, row):
+        number, _, why_here, was, text = row
+        why = (state[0] if state else "") or why_here or ""
+        redacted = bool(was) and not why
+        reason = why or ("chunk redacted" if redacted else "")
+        return (why,), [(number, "deny" if why else "allow", reason, redacted, None if why else text)]
+
+    out = f"{_as(rows, [stream, seq])}, decision string, reason string, was_redacted boolean, redacted_text string"
+    return _in_sequence(rows, stream, [seq, "__last", "block_reason", "was_redacted", "redacted_text"], "why string", latch, out)
 
 
 def scan_stream(chunks: DataFrame, policy) -> DataFrame:
@@ -84,83 +81,120 @@ def scan_stream(chunks: DataFrame, policy) -> DataFrame:
     return scanned.drop("block_results", "soft_results", "carry")
 
 
+def _by_time(rows: DataFrame, key, columns, fold: str, step, output: str, **how) -> DataFrame:
+    """Fold rows (key, us, id, ...) by time; `ts` is the event time. Rows behind the watermark are taken when they come."""
+    processor = TimeFold(columns, _types(rows, columns), StructType.fromDDL(output).names, fold, step, **how)
+    return with_store(rows).withWatermark("ts", WATERMARK).groupBy(key if isinstance(key, str) else list(key)).transformWithState(processor, output, "append", "EventTime")
+
+
 def stream_threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "event_id") -> DataFrame:
-    """Threat score after every event; the state of a node is (last decay, score)."""
+    """Threat score after every event, once the watermark has passed it.
+
+    The state of a node is (last decay, score). It stays: a node's first event is scored unlike one after a pause, however long.
+    """
     rows = events.select(
-        node, event_id, micros(F.col("ts")).alias("us"), severity_weight(F.col("severity")).cast("bigint").alias("weight"))
+        node, micros(F.col("ts")).alias("us"), F.col(event_id).alias("id"), severity_weight(F.col("severity")).cast("bigint").alias("weight"),
+        F.col("ts").cast("timestamp").alias("ts"))
 
-    def score(key, batches, state: GroupState):
-        pdf = pd.concat(list(batches)).sort_values(["us", event_id])
-        last, value = state.get if state.exists else (None, 0)
-        out = []
-        for us, weight in zip(pdf["us"], pdf["weight"]):
-            value = min(MAX_SCORE, value + int(weight))
-            if last is None:
-                last = int(us)
-            elif us - last > DECAY_SECONDS * SECOND:
-                value, last = max(0, value - int((us - last) // (DECAY_SECONDS * SECOND))), int(us)
-            out.append(value)
-        state.update((last, value))
-        yield pdf[[node, event_id]].assign(threat_score=out)
+    def score(state, row):
+        us, number, weight = row
+        last, value = state or (None, 0)
+        value = min(MAX_SCORE, value + weight)
+        if last is None:
+            last = us
+        elif us - last > DECAY_SECONDS * SECOND:
+            value, last = max(0, value - (us - last) // (DECAY_SECONDS * SECOND)), us
+        return (last, value), [(number, value)]
+
+    output = f"{_as(rows, [node])}, `{event_id}` {rows.schema['id'].dataType.simpleString()}, threat_score bigint"
+    return _by_time(rows, node, ["us", "id", "weight"], "last bigint, score bigint", score, output)
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"`{node}` {types[node]}, `{event_id}` {types[event_id]}, threat_score bigint"
-    return rows.groupBy(node).applyInPandasWithState(score, schema, "last bigint, score bigint", "append", GroupStateTimeout.NoTimeout)
+
+def stream_trailing_counts(events: DataFrame, keys, window_seconds: int = DEFAULT_WINDOW, event_id: str = "event_id", most: int | None = None) -> DataFrame:
+    """(keys, event_id, us, recent): events of the same keys in the last seconds, up to and with each in order of time and id, once the watermark has passed it.
+
+    The state of a key is the times of its window with their counts; with `most`, counts end there and so do the times. It leaves the
+    store when the window has passed.
+    """
+    keys = list(keys)
+    span = window_seconds * SECOND
+    rows = events.select(*keys, micros(F.col("ts")).alias("us"), F.col(event_id).alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+
+    def count(state, row):
+        us, number = row
+        times, counts = (list(c) for c in state or ([], []))
+        if times and times[-1] == us:
+            counts[-1] += 1
+        else:
+            times.append(us)
+            counts.append(1)
+        held = sum(counts)
+        first = 0
+        while times[first] <= us - span or most is not None and held - counts[first] >= most:
+            held -= counts[first]
+            first += 1
+        return (times[first:], counts[first:]), [(number, us, held if most is None else min(most, held))]
+
+    output = f"{_as(rows, keys)}, `{event_id}` {rows.schema['id'].dataType.simpleString()}, us bigint, recent bigint"
+    return _by_time(rows, keys, ["us", "id"], "times array<bigint>, counts array<bigint>", count, output,
+                    keep=lambda state, us: state[0][-1] > us - span, wake=lambda state: state[0][-1] + span)
 
 
 def stream_overrides(events: DataFrame, rules, node: str = "node_id", event_id: str = "event_id") -> DataFrame:
-    """Overrides as they fire; the state of a node holds expiries and the recent times of counted kinds.
+    """Overrides as they fire, once the watermark has passed their events.
 
-    Expired overrides and times that no rule looks back to are dropped with every batch, and a node's
-    state goes once the watermark has passed all of them; neither changes a result.
+    The state of a node holds expiries and, of each counted kind, as many of the newest times as a rule asks for. Expired
+    overrides and times that no rule looks back to leave it with every event, and a node's state goes when all of them have passed.
     """
     rules = tuple(rules)
-    longest = max([r.window_seconds or DEFAULT_WINDOW for r in rules if r.min_count] or [DEFAULT_WINDOW]) * SECOND
-    counted = {(r.source, r.type) for r in rules if r.min_count}
-    timed = events.withColumn("__ts", F.col("ts").cast("timestamp")).withWatermark("__ts", WATERMARK)
-    rows = timed.select(node, event_id, "__ts", micros(F.col("ts")).alias("us"), "source", "event_type", "severity")
+    span = {}
+    most = {}
+    for r in rules:
+        if r.min_count:
+            kind = (r.source, r.type)
+            span[kind] = max(span.get(kind, 0), (r.window_seconds or DEFAULT_WINDOW) * SECOND)
+            most[kind] = max(most.get(kind, 0), r.min_count)
+    rows = events.select(
+        node, micros(F.col("ts")).alias("us"), F.col(event_id).alias("id"), "source", "event_type", "severity", F.col("ts").cast("timestamp").alias("ts"))
 
-    def fires(rule, event, recent) -> bool:
-        if rule.source and event.source != rule.source or rule.type and event.event_type != rule.type:
+    def fires(rule, source, kind, severity, us, recent) -> bool:
+        if rule.source and source != rule.source or rule.type and kind != rule.type:
             return False
-        if rule.min_severity and SEVERITY_WEIGHTS.get(event.severity, 0) < SEVERITY_WEIGHTS[rule.min_severity]:
+        if rule.min_severity and SEVERITY_WEIGHTS.get(severity, 0) < SEVERITY_WEIGHTS[rule.min_severity]:
             return False
         if rule.min_count:
-            cutoff = event.us - (rule.window_seconds or DEFAULT_WINDOW) * SECOND
+            cutoff = us - (rule.window_seconds or DEFAULT_WINDOW) * SECOND
             return sum(t > cutoff for t in recent.get((rule.source, rule.type), ())) >= rule.min_count
         return True
 
-    def apply(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["us", event_id])
-        actions, ends, kinds, times = state.get if state.exists else ([], [], [], [])
-        active = dict(zip(actions, ends))
+    def step(state, row):
+        us, number, source, event_type, severity = row
+        actions, ends, kinds, times = state or ([], [], [], [])
+        active = {a: end for a, end in zip(actions, ends, strict=True) if end > us}
         recent: dict = {}
-        for kind, t in zip(kinds, times):
-            recent.setdefault(tuple(kind.split("\x1f")), []).append(t)
+        for name, t in zip(kinds, times, strict=True):
+            kind = tuple(name.split("\x1f"))
+            if t > us - span.get(kind, 0):
+                recent.setdefault(kind, []).append(t)
+        kind = (source, event_type)
+        if kind in span:
+            recent[kind] = [*recent.get(kind, []), us][-most[kind]:]
         out = []
-        for e in pdf.itertuples(index=False):
-            kind = (e.source, e.event_type)
-            if kind in counted:
-                recent[kind] = [t for t in recent.get(kind, []) if t > e.us - longest] + [int(e.us)]
-            for rule in rules:
-                if fires(rule, e, recent) and e.us >= active.get(rule.action, e.us):
-                    active[rule.action] = int(e.us) + rule.duration * SECOND
-                    out.append((getattr(e, node), rule.action, int(e.us), active[rule.action], getattr(e, event_id)))
-        now = int(pdf["us"].iloc[-1])
-        active = {action: end for action, end in active.items() if end > now}
-        flat = [("\x1f".join(kind), t) for kind, ts in recent.items() for t in ts if t > now - longest]
-        state.update((list(active), list(active.values()), [k for k, _ in flat], [t for _, t in flat]))
-        idle = max([now + 1, *active.values(), *(t + longest for _, t in flat)]) // 1000 + 1
-        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[node, "action", "start_us", "end_us", "trigger_event_id"])
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"`{node}` {types[node]}, action string, start_us bigint, end_us bigint, trigger_event_id {types[event_id]}"
-    state_schema = "actions array<string>, ends array<bigint>, kinds array<string>, times array<bigint>"
-    return rows.groupBy(node).applyInPandasWithState(apply, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+        for rule in rules:
+            if rule.action not in active and fires(rule, source, event_type, severity, us, recent):
+                active[rule.action] = us + rule.duration * SECOND
+                out.append((rule.action, us, active[rule.action], number))
+        flat = [("\x1f".join(k), t) for k, ts in recent.items() for t in ts]
+        return (list(active), list(active.values()), [k for k, _ in flat], [t for _, t in flat]), out
+
+    def end(state) -> int:
+        """When nothing of a state can matter any more."""
+        actions, ends, kinds, times = state
+        return max([0, *ends, *(t + span.get(tuple(k.split("\x1f")), 0) for k, t in zip(kinds, times, strict=True))])
+
+    output = f"{_as(rows, [node])}, action string, start_us bigint, end_us bigint, trigger_event_id {rows.schema['id'].dataType.simpleString()}"
+    return _by_time(rows, node, ["us", "id", "source", "event_type", "severity"], "actions array<string>, ends array<bigint>, kinds array<string>, times array<bigint>",
+                    step, output, keep=lambda state, us: end(state) > us, wake=end)
 
 
 def stream_counters(decisions: DataFrame, window: str = "1 hour") -> DataFrame:

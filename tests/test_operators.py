@@ -4,7 +4,6 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from agentguard.functions import text as tx
 from agentguard.operators import adaptive as ad, audit, chunks as ch, decisions as dec, fleet, ordered, permissions as perm, telemetry
@@ -12,7 +11,6 @@ from agentguard.operators.policy import InjectionScan, MalwareScan, PiiScan, Pol
 from agentguard.operators.policydiff import check_cases, diff_policies
 from agentguard.plans import inputs
 from agentguard.sources import readers, sinks
-from agentguard.streaming import processors as live
 
 FULL = Policy(
     allowlist=("chat.send", "web.get"), denylist=("Shell.Exec",), domain_allowlist=("*.example.com",),
@@ -215,19 +213,6 @@ def test_port_scan_counts_distinct_ports(spark):
     assert got == {i: i // 2 + 1 for i in range(4, 10)}
 
 
-def test_live_and_batch_scores_agree(spark, bursts, tmp_path):
-    rows, df = bursts
-    # Two files in time order, read one per batch.
-    for k, part in enumerate([df.filter("event_id < 1500"), df.filter("event_id >= 1500")]):
-        part.drop("ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/k={k}")
-    stream = spark.readStream.schema(df.drop("ts").schema.add("k", IntegerType())).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("ts", F.timestamp_micros("us"))
-    query = live.stream_threat_scores(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option(
-        "path", f"{tmp_path}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {(r.node_id, r.event_id): r.threat_score for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == _brute_scores(rows)
-
-
 def test_audit_rows_queries_and_encryption(spark, tmp_path):
     msgs = spark.createDataFrame([('{"method":"chat.send","params":{"q":"1 union select x","token":"t"}}', 1), ('{"method":"chat.send","params":{}}', 2)], "raw string, decision_id int")
     rows = audit.decision_rows(dec.evaluate_requests(msgs, FULL), "ab12", tool=F.col("method"))
