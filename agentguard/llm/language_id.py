@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,10 +160,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
           per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit from rows with a language and a text that has a letter; other rows are passed over.
 
-    `per_language` bounds the rows taken of each language. Languages are counted over all rows; one
+    `per_language` bounds the rows taken of each language, drawn by a hash of id and text, so rows without an id, or with one id,
+    are drawn like others; equal rows are drawn together, as often as there is room. Languages are counted over all rows; one
     row per language comes to the driver, and at most MAX_SAMPLE feature rows.
     """
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.zeros((0, DIM + 1)), {}, {})
@@ -171,8 +172,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     rate = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         rate = F.when(F.col(lang_col) == lang, min(1.0, 1.2 * each / n)).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.where(draw < rate).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.where(draw < rate).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+    # Tasks hand on no more than `each` rows of a language, however many copies are drawn at once.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= each).drop("place")
 
     def run(batches):
         import pyarrow as pa

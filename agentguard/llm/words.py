@@ -157,7 +157,7 @@ class IdCache:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.start = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint16)
+        self.ids = np.zeros(0, dtype=np.uint32)  # ids of any vocabulary; 16 bits would cut those from 65,536 on
 
     def resolve(self, spans: Spans, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, count) of the distinct spans; `encode(words)` gives (ids, counts) of new ones."""

@@ -259,3 +259,28 @@ def test_grammar_stays_shallow():
         symbols = np.concatenate([[3_000_000], np.tile([a, b, b + 1], 300), [3_000_001]])
         levels, _ = recompress(symbols)
         assert len(levels[-1]) <= 2 and len(levels) < 110
+
+
+# --- faults of earlier operators ----------------------------------------------------------------
+
+
+def test_ids_above_sixteen_bits_come_back():
+    from agentguard.llm.flat import Spans, codes
+    from agentguard.llm.words import IdCache
+
+    flat = codes("ab cd")
+    spans = Spans(flat, np.array([0, 3]), np.array([2, 5]))
+    cache = IdCache()
+    for _ in range(2):
+        ids, start, count = cache.resolve(spans, lambda words: (np.array([70_000 + len(w) for w in words]), np.ones(len(words), dtype=np.int64)))
+        assert ids[start].tolist() == [70_002, 70_002] and count.tolist() == [1, 1]
+
+
+def test_language_is_learned_from_rows_without_an_id(spark, given):
+    """Neither rows without any id nor many copies of one row keep a language from being learned, and no more than the bound comes back."""
+    from agentguard.llm import language_id
+
+    rows = given.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
+    copies = rows.where("lang = 'en'").limit(1).crossJoin(spark.range(500)).select("doc_id", "text", "lang")
+    model = language_id.train(rows.unionByName(copies), per_language=50)
+    assert {x for own in model.languages.values() for x in own} == {r.lang for r in given.select("lang").where("lang IS NOT NULL").distinct().collect()}
