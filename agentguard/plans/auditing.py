@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from agentguard.functions import jsonfuncs, labels, text as tx
-from agentguard.operators import audit, leaks, listing, metrics, siem
+from agentguard.operators import audit, hashtree, leaks, listing, metrics, siem, tiles
 from agentguard.operators.ordered import micros
 from agentguard.operators.scan import NO_METADATA
 from agentguard.plans import inputs
 from agentguard.plans.base import q, register, table
-from agentguard.sources import sinks
+from agentguard.session import shared_dir
+from agentguard.sources import commits, sinks
 
 # Audit rows as SQL text for both engines; findings are two plain columns here.
 DECISIONS = """
@@ -357,3 +360,63 @@ def canary_leaks(spark, sf):
 def canary_seeded(spark, sf):
     return decisions(spark, sf).select(
         "decision_id", audit.inject_canary(F.col("params"), F.concat(F.lit("c"), F.col("decision_id").cast("string"))).alias("params"))
+
+
+# --- trees, commits and tiles -------------------------------------------------------------------
+
+_WIDTH = 16
+
+
+@register("digest_locate", f"""
+    SELECT decision_id // {_WIDTH} * {_WIDTH} AS low, decision_id // {_WIDTH} * {_WIDTH} + {_WIDTH} AS high, count(*) AS rows_before, count_if(decision_id % 2003 <> 5) AS rows_after
+    FROM {SQL_DECISIONS} GROUP BY ALL HAVING bool_or(decision_id % 1000 = 7 OR decision_id % 2003 = 5)
+""")
+def digest_locate(spark, sf):
+    """A copy of the decisions in which some were changed and some are gone."""
+    rows = _digest_input(spark, sf)
+    changed = rows.where("decision_id % 2003 <> 5").withColumn("decision", F.when(F.col("decision_id") % 1000 == 7, "nobody").otherwise(F.col("decision")))
+    trees = [hashtree.digest_tree(r, "decision_id", _DIGEST_COLS, _WIDTH, _DIGEST_KEY) for r in (rows, changed)]
+    return hashtree.digest_locate(*trees, _WIDTH)
+
+
+@register("audit_log_round_trip", f"""
+    SELECT 'decisions' AS kind, day, count(*) AS rows, sum(decision_id)::BIGINT AS ids, count_if(decision = 'deny') AS denied FROM (SELECT *, timestamp::DATE AS day FROM {SQL_DECISIONS}) WHERE eval_ms >= 5 GROUP BY ALL
+    UNION ALL SELECT 'refused', timestamp::DATE, count(*), sum(decision_id)::BIGINT, count_if(decision = 'deny') FROM {SQL_DECISIONS} WHERE eval_ms < 5 GROUP BY ALL
+    UNION ALL SELECT 'tool_calls', created_at::DATE, count(*), sum(decision_id)::BIGINT, count_if(response_json IS NOT NULL) FROM ({_CALLS.replace('@events@', 'events')}) GROUP BY ALL
+""")
+def audit_log_round_trip(spark, sf):
+    """Two batches, one of them written twice, and read back by their manifests."""
+    folder = f"{shared_dir(spark)}/audit-log-{os.urandom(6).hex()}"
+    kept = decisions(spark, sf).select("decision_id", "timestamp", "tool", "decision", "reason", "eval_ms")
+    calls = inputs.run_sql(spark, _CALLS, events=table(spark, sf, "events"))
+    for batch in (0, 1, 1):
+        part = F.pmod(F.coalesce("decision_id", F.lit(0)), F.lit(2)) == batch
+        commits.write_batch(kept.where(part), calls.where(part), folder, f"b{batch}", valid=F.col("eval_ms") >= 5)
+    day = lambda c: F.to_date(c).alias("day")
+    shown = lambda df, kind, time, flag: df.groupBy(F.lit(kind).alias("kind"), day(time)).agg(
+        F.count("*").alias("rows"), F.sum("decision_id").alias("ids"), F.count_if(flag).alias("denied"))
+    read = lambda kind, like: commits.read_kind(spark, folder, kind, like.schema)
+    denied = F.col("decision") == "deny"
+    return shown(read("decisions", kept), "decisions", "timestamp", denied).unionByName(shown(read("refused", kept), "refused", "timestamp", denied)).unionByName(
+        shown(read("tool_calls", calls), "tool_calls", "created_at", F.col("response_json").isNotNull()))
+
+
+_FLAGS = {"upstream_error": "decision_id % 11 = 0", "layer_received": "decision_id % 7 = 0", "layer_sent": "decision_id % 13 = 0", "adaptive_action": "decision_id % 17 = 0"}
+_FROM, _TO = "2024-01-04 05:17:31", "2024-01-21 22:41:07"
+
+
+@register("window_summary", f"""
+    WITH w AS (SELECT * FROM {SQL_DECISIONS} WHERE timestamp >= TIMESTAMP '{_FROM}' AND timestamp < TIMESTAMP '{_TO}'),
+    c AS (SELECT count(*) AS requests, count_if(decision = 'allow') AS allowed, count_if(decision = 'deny') AS denied, count_if(starts_with(reason, 'response redacted')) AS redacted,
+      count_if(contains(reason, 'timeout')) AS timeouts, count_if(starts_with(stage, 'response')) AS responses, count_if(starts_with(stage, 'response') AND decision = 'deny') AS responses_blocked,
+      count_if(decision_id % 11 = 0) AS upstream_errors, count_if(decision_id % 7 = 0) AS crosslayer_received, count_if(decision_id % 13 = 0) AS crosslayer_sent, count_if(decision_id % 17 = 0) AS adaptive_actions FROM w)
+    UNPIVOT c ON COLUMNS(*) INTO NAME metric VALUE value
+""")
+def window_summary(spark, sf):
+    """A window that begins and ends inside hours, from tiles of two batches; one of them was written twice."""
+    folder = f"{shared_dir(spark)}/tiles-{os.urandom(6).hex()}"
+    rows = decisions(spark, sf).withColumns({k: F.expr(v) for k, v in _FLAGS.items()})
+    for batch in (0, 1, 0):
+        tiles.write_tiles(rows.where(F.pmod(F.coalesce("decision_id", F.lit(0)), F.lit(2)) == batch), folder, batch)
+    start, end = (int(spark.sql(f"SELECT unix_micros(timestamp '{t}') AS t").first().t) for t in (_FROM, _TO))
+    return tiles.summary(tiles.window_counts(tiles.read_tiles(spark, folder), rows, start, end))
