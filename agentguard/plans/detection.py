@@ -8,6 +8,7 @@ from agentguard.functions import text as tx, validators
 from agentguard.functions.entropy import window_stats
 from agentguard.functions.expr import computed_once
 from agentguard.operators import malscan, redact, scan, ssrf
+from agentguard.operators.scan import with_views
 from agentguard.plans import inputs
 from agentguard.plans.base import TEXT_VIEWS, q, register, sql_findings, sql_fires, sql_valid, table, values
 from agentguard.plans.samples import SAMPLES
@@ -259,3 +260,52 @@ def blob_findings(spark, sf):
     return blobs.select(
         "msg_id", "blob", F.substr(F.hex("d"), F.lit(1), F.lit(8)).alias("head"),
         F.expr(malscan.magic_sql("d")).alias("magic"), F.octet_length("d").alias("size"))
+
+
+# --- entropy and archives -------------------------------------------------------------------
+
+#: Ends of documents: two hundred signs of 94, or of 40, or none.
+_SIGNS = "CASE doc_id % 3 WHEN 0 THEN 94 WHEN 1 THEN 40 END"
+_STRANGE_TEXT = f"coalesce(text, '') || coalesce(array_to_string(list_transform(range(0, 200), lambda i: chr((33 + (i * (1 + 2 * (doc_id % 20)) + doc_id) % ({_SIGNS}))::INT)), ''), '')"
+
+
+@register("high_entropy_bodies", f"""
+    WITH d AS (SELECT doc_id, hex({_STRANGE_TEXT}) AS h FROM documents),
+    w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 50)) AS i FROM d WHERE length(h) >= 200)),
+    b AS (SELECT doc_id, i, unnest(regexp_extract_all(x, '..')) AS b FROM w),
+    c AS (SELECT doc_id, i, b, count(*) AS n FROM b GROUP BY ALL),
+    e AS (SELECT doc_id, i, -sum(n / 100.0::DOUBLE * log2(n / 100.0::DOUBLE)) AS ent, sum(n) FILTER (b NOT IN ('20', '09', '0A', '0B', '0C', '0D') AND NOT (b BETWEEN '80' AND 'BF')) AS signs FROM c GROUP BY ALL)
+    SELECT doc_id, count(*)::INT AS high_windows FROM e WHERE ent > {injection.ENTROPY_LIMIT} AND signs >= {injection.ENTROPY_MIN_NONSPACE} GROUP BY doc_id
+""")
+def high_entropy_bodies(spark, sf):
+    """Documents with windows of high entropy, after an end that has one in a third of them."""
+    stats = window_stats(injection.ENTROPY_WINDOW, injection.ENTROPY_STEP, injection.ENTROPY_MIN_NONSPACE, injection.ENTROPY_LIMIT)
+    number = F.col("doc_id")
+    signs = F.when(number % 3 == 0, 94).when(number % 3 == 1, 40)
+    end = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.chr(33 + (i * (1 + 2 * (number % 20)) + number) % signs)), "")
+    docs = table(spark, sf, "documents", texts=True).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.coalesce(end, F.lit(""))).alias("text"))
+    return computed_once(docs, "s", stats(F.col("text"))).filter("s.high > 0").select("doc_id", F.col("s.high").alias("high_windows"))
+
+
+#: Largest decoded size in the query below, in place of ten megabytes.
+_MOST_DECODED = 2000
+
+
+@register("blob_verdicts", """
+    SELECT doc_id, rule_id FROM (SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN CASE WHEN doc_id % 50 + 90 > 100 THEN 'zip_bomb' END WHEN 2 THEN CASE WHEN doc_id % 50 + 80 > 100 THEN 'gzip_bomb' END
+      WHEN 3 THEN 'high_entropy' WHEN 5 THEN 'decoded_size' WHEN 6 THEN 'blob_size' END AS rule_id FROM documents) WHERE rule_id IS NOT NULL
+""")
+def blob_verdicts(spark, sf):
+    """Blobs of seven kinds, a kind by id: plain, archives that promise more or less than they may, high and fair entropy, and two that are too large."""
+    number, kind = F.col("doc_id"), F.col("doc_id") % 7
+    le = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
+    zeros = lambda n: F.lit("00" * n)
+    spread = lambda size, of: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.lpad(F.hex((i * 7 + number) % of), 2, "0")), "")
+    hexes = (
+        F.when(kind == 0, spread(60, 4)).when(kind == 1, F.concat(F.lit("504B0304"), zeros(14), le(F.lit(10)), le(10 * (number % 50 + 90)), zeros(10)))
+        .when(kind == 2, F.concat(F.lit("1F8B0800"), zeros(26), le(34 * (number % 50 + 80)))).when(kind == 3, spread(300, 256)).when(kind == 4, spread(300, 64))
+        .when(kind == 5, zeros(_MOST_DECODED + 1)).otherwise(zeros(3 * _MOST_DECODED)))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.regexp_replace(F.base64(F.unhex(hexes)), r"\s", ""), F.lit(" end")).alias("text"))
+    df, views = with_views(docs, F.col("text"), malware.PACK, normalised=False)
+    found = malscan.with_malware_finding(df, views, "found", max_size=_MOST_DECODED)
+    return found.where("found IS NOT NULL").select("doc_id", "found.rule_id")
