@@ -300,7 +300,8 @@ def blob_verdicts(spark, sf):
     number, kind = F.col("doc_id"), F.col("doc_id") % 7
     le = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
     zeros = lambda n: F.lit("00" * n)
-    spread = lambda size, of: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.lpad(F.hex((i * 7 + number) % of), 2, "0")), "")
+    # Begins with a zero byte, as no executable does.
+    spread = lambda size, of: F.concat(zeros(1), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.lpad(F.hex((i * 7 + number) % of), 2, "0")), ""))
     hexes = (
         F.when(kind == 0, spread(60, 4)).when(kind == 1, F.concat(F.lit("504B0304"), zeros(14), le(F.lit(10)), le(10 * (number % 50 + 90)), zeros(10)))
         .when(kind == 2, F.concat(F.lit("1F8B0800"), zeros(26), le(34 * (number % 50 + 80)))).when(kind == 3, spread(300, 256)).when(kind == 4, spread(300, 64))
