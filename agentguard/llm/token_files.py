@@ -37,6 +37,7 @@ BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 16 << 20
 READ_BLOCKS = 8  # blocks per reading task
 END_ID = 1
+HEAD_BYTES = 64
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _SHIFT = np.uint64(SCALE)
@@ -326,7 +327,8 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
         arrow = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=schema.names)
 
-    ordered = ids.select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # Rows without an id, or with one id, are cut by the head of their ids, which sorts as their bytes do.
+    ordered = ids.select("doc_id", "ids").repartitionByRange(files, "doc_id", F.substring("ids", 1, HEAD_BYTES)).sortWithinPartitions("doc_id", "ids")
     return stage(ordered.mapInArrow(write, schema), "token-manifest"), table
 
 

@@ -284,3 +284,17 @@ def test_language_is_learned_from_rows_without_an_id(spark, given):
     copies = rows.where("lang = 'en'").limit(1).crossJoin(spark.range(500)).select("doc_id", "text", "lang")
     model = language_id.train(rows.unionByName(copies), per_language=50)
     assert {x for own in model.languages.values() for x in own} == {r.lang for r in given.select("lang").where("lang IS NOT NULL").distinct().collect()}
+
+
+def test_token_files_split_rows_without_an_id(spark):
+    """All rows lack an id: they are dealt over several files, in order of the bytes of their ids."""
+    from agentguard.llm import token_files
+    from agentguard.llm.queries import vocabulary
+    from agentguard.llm.shared import new_folder
+
+    df = spark.createDataFrame([(None, f"text number {k} of many") for k in range(400)], "doc_id long, text string")
+    folder = new_folder(spark, "test-token-files")
+    manifest, table = token_files.write_files(df, vocabulary("word_bpe_49k.json"), folder)
+    assert manifest.select("file").distinct().count() > 1
+    rows = sorted(token_files.read_files(manifest, folder, table).collect(), key=lambda r: r.start)
+    assert len(rows) == 400 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
