@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from agentguard.functions import net
 from agentguard.functions.regex import re2
 from agentguard.operators.ordered import micros, running_sum, trailing_count
+from agentguard.operators.rangetable import range_matches
 
 SECOND = 1_000_000
 # Thresholds, allowed process paths, suspicious commands, files and ports.
@@ -94,11 +95,12 @@ def security_events(execs: DataFrame, conns: DataFrame, files: DataFrame, setuid
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def egress_report(conns: DataFrame, allowed_ips=(), allowed_cidrs=(), domain_ips: DataFrame | None = None, resolvers=()) -> DataFrame:
+def egress_report(conns: DataFrame, allowed_ips=(), allowed_cidrs=(), domain_ips: DataFrame | None = None, resolvers=(),
+                  allowed_ranges: DataFrame | None = None) -> DataFrame:
     """(dest_ip, verdict, connections): what a default-drop firewall with these lists would do.
 
     `domain_ips` has (ip) rows resolved from allowed domains; it is joined after counting, a row
-    per destination. `resolvers` are allowed on port 53 only; such a destination may have both verdicts.
+    per destination, and so are `allowed_ranges`, (range) rows of both families in any number. `resolvers` are allowed on port 53 only; such a destination may have both verdicts.
     """
     dns = net.long_le_to_ipv4(F.col("daddr")).isin(*resolvers) & (F.col("dport") == 53) if resolvers else F.lit(False)
     counted = conns.groupBy(net.long_le_to_ipv4(F.col("daddr")).alias("dest_ip"), dns.alias("__dns")).agg(F.count("*").alias("connections"))
@@ -109,6 +111,9 @@ def egress_report(conns: DataFrame, allowed_ips=(), allowed_cidrs=(), domain_ips
         listed = domain_ips.select(F.col("ip").alias("dest_ip")).distinct().withColumn("__listed", F.lit(True))
         counted = counted.join(listed, "dest_ip", "left")
         allowed = allowed | F.coalesce("__listed", F.lit(False))
+    if allowed_ranges is not None:
+        counted = range_matches(counted, allowed_ranges, "dest_ip", "range", out="__range")
+        allowed = allowed | F.col("__range").isNotNull()
     verdict = F.when(allowed, "allowed").otherwise("would_block")
     return counted.groupBy("dest_ip", verdict.alias("verdict")).agg(F.sum("connections").alias("connections"))
 

@@ -235,6 +235,22 @@ def egress_report(spark, sf):
     return tel.egress_report(conns(spark, sf), allowed_ips=ALLOWED_IPS, resolvers=["8.8.8.8"])
 
 
+#: Ranges of the parts: half of them in the spelling that maps them into IPv6.
+_PART_RANGES = """SELECT concat(CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '::ffff:' END, p_partkey % 4, '.', p_partkey % 5, '.', p_partkey % 7, '.0/', len + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 96 END) AS range,
+  (p_partkey % 4) * 16777216 + (p_partkey % 5) * 65536 + (p_partkey % 7) * 256 AS base, len FROM (SELECT p_partkey, 20 + p_size % 13 AS len FROM @part@) x"""
+
+
+@register("egress_by_ranges", f"""
+    WITH r AS (SELECT base - base % (1::BIGINT << (32 - len)) AS low, 1::BIGINT << (32 - len) AS size FROM ({_PART_RANGES.replace('@part@', 'part')})),
+    d AS (SELECT {_SQL_DEST} AS dest_ip, (daddr & 255) * 16777216 + ((daddr >> 8) & 255) * 65536 + ((daddr >> 16) & 255) * 256 + ((daddr >> 24) & 255) AS n FROM {SQL_CONN})
+    SELECT dest_ip, CASE WHEN dest_ip LIKE '127.%' OR regexp_matches(dest_ip, '^172\\.(1[6-9]|2\\d|3[01])\\.') OR regexp_matches(dest_ip, '^140\\.82\\.1(1[2-9]|2[0-7])\\.') OR EXISTS (SELECT 1 FROM r WHERE n >= low AND n < low + size)
+      THEN 'allowed' ELSE 'would_block' END AS verdict, count(*) AS connections FROM d GROUP BY ALL
+""")
+def egress_by_ranges(spark, sf):
+    ranges = inputs.run_sql(spark, _PART_RANGES, part=table(spark, sf, "part")).select("range")
+    return tel.egress_report(conns(spark, sf), allowed_ranges=ranges)
+
+
 DNS = "SELECT user_id % 20 AS domain_no, CAST(ts AS DATE) AS snapshot, event_id % 7 AS octet FROM @events@ WHERE event_type = 'click'"
 
 
