@@ -138,3 +138,38 @@ def evaluate_rows(requests: DataFrame, rows: DataFrame, key: str = "policy_id",
     out = out.withColumns({"__v": judged, "__c": said, "agent_allowed": allowed})
     return out.select(*requests.columns, "__v.decision", "__v.reason", "agent_allowed",
                       F.col("__c.decision").alias("channel_decision"), F.col("__c.reason").alias("channel_reason"))
+
+
+#: Fields of a policy document, by what they must hold.
+_TEXT_LISTS = ("allowlist", "denylist", "domain_allowlist")
+_COUNTS = ("evaluation_timeout_ms", "max_message_bytes")
+_FIELDS = ("version", "default_action", *_TEXT_LISTS, "arg_filters", *_COUNTS)
+RECORD_CHECKS = ("not_an_object", "no_default_action", "bad_default_action", "bad_version", *(f"bad_{f}" for f in _TEXT_LISTS), "bad_arg_filters",
+                 *(f"bad_{f}" for f in _COUNTS), "unknown_field")
+
+
+def policy_record_checks(rows: DataFrame, document: str = "document") -> DataFrame:
+    """The rows with one boolean per constraint of a policy document (JSON); true means violated.
+
+    A text that is no JSON object violates `not_an_object` alone. Whole numbers may be written with a zero fraction.
+    """
+    text = F.col(document)
+    value = F.try_parse_json(text)
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT<")), F.lit(False))
+    part = lambda f, kind="variant": F.try_variant_get("__value", f"$.{f}", kind)
+    kind = lambda f: F.schema_of_variant(part(f))
+    # A field that is there as null has the type VOID; one that is not there has none.
+    wrong = lambda f, ok: F.col("__object") & F.coalesce(~ok, F.lit(False)) & kind(f).isNotNull()
+    filters = F.forall(part("arg_filters", "array<variant>"), lambda x: F.schema_of_variant(x) == "OBJECT<regex: STRING, tool: STRING>")
+    number = lambda f: F.coalesce(kind(f).rlike("^(BIGINT|DECIMAL|DOUBLE)") & (part(f, "double") >= 1) & (part(f, "double") == F.floor(part(f, "double"))), F.lit(False))
+    found = rows.withColumns({"__value": value, "__object": is_object})
+    checks = {
+        "not_an_object": ~F.col("__object"), "no_default_action": F.col("__object") & kind("default_action").isNull(),
+        "bad_default_action": wrong("default_action", (kind("default_action") == "STRING") & part("default_action", "string").isin(ALLOW, DENY)),
+        "bad_version": wrong("version", kind("version") == "STRING"),
+        **{f"bad_{f}": wrong(f, kind(f).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.coalesce(F.forall(part(f, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))) for f in _TEXT_LISTS},
+        "bad_arg_filters": wrong("arg_filters", F.startswith(kind("arg_filters"), F.lit("ARRAY<")) & F.coalesce(filters, F.lit(False))),
+        **{f"bad_{f}": wrong(f, number(f)) for f in _COUNTS},
+        "unknown_field": F.col("__object") & (F.size(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, _FIELDS)))) > 0),
+    }
+    return found.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in checks.items()}).drop("__value", "__object")
