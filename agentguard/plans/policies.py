@@ -11,7 +11,7 @@ from agentguard.operators import decisions as dec, permissions as perm
 from agentguard.operators.policy import (
     ChannelPolicy, InjectionScan, MalwareScan, PiiScan, Policy, SecretsScan, VulnScan,
 )
-from agentguard.operators.policydiff import diff_policies
+from agentguard.operators.policydiff import check_cases, diff_policies
 from agentguard.operators.scan import drop_views, with_views
 from agentguard.plans import inputs
 from agentguard.plans.base import q, register, sql_valid, values
@@ -400,6 +400,20 @@ def policy_diff(spark, sf):
     return diff.join(hits, "field", "left").withColumn("decided_messages", F.coalesce("decided_messages", F.lit(0)))
 
 
+#: What a case expects of a message: tools that write are denied, all others allowed; every ninth message has no decision.
+_CASES = "CASE WHEN lower(trim(sent_method)) IN ('shell.exec', 'file.read', 'notes.write') THEN 'deny' ELSE 'allow' END"
+
+
+@register("policy_case_mismatches", f"""
+    SELECT c.msg_id, c.expected, d.decision AS actual FROM (SELECT msg_id, {_CASES} AS expected FROM {inputs.SQL_MESSAGES}) c
+    LEFT JOIN (SELECT msg_id, decision FROM ({SQL_REQUEST_DECISIONS}) WHERE msg_id % 9 <> 0) d ON c.msg_id = d.msg_id WHERE c.expected IS DISTINCT FROM d.decision
+""")
+def policy_case_mismatches(spark, sf):
+    """A table of cases run against the live policy: the cases whose decision is another one, or missing."""
+    cases = inputs.messages(spark, sf).select("msg_id", F.expr(_CASES).alias("expected"))
+    return check_cases(request_decisions_df(spark, sf).where("msg_id % 9 <> 0"), cases, "msg_id").select("msg_id", "expected", "actual")
+
+
 # --- permissions ------------------------------------------------------------------------------
 
 _SAMPLE = {"agents": inputs.PROFILES, "aliases": inputs.ALIASES, "grants": inputs.GRANTS}
