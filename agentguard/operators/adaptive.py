@@ -151,7 +151,11 @@ def _cut(rows: DataFrame, slice_us: int) -> DataFrame:
 
 
 def _map_chunks(df: DataFrame, order, fn, schema: str, rows_per_batch: int = 20_000) -> DataFrame:
-    """Apply `fn` (columns to lists of columns) to each (chain_key, chunk) in `order`; small groups share a batch."""
+    """Apply `fn` (columns to lists of columns) to each (chain_key, chunk) in `order`; small groups share a batch.
+
+    The rows are dealt by a hash of the group: a shuffle by its columns would be left out where a join has made one, and a join
+    that becomes a broadcast at run time reads its shuffle in other parts, which tear groups apart.
+    """
 
     def run(batches):
         out: dict = {}
@@ -164,7 +168,7 @@ def _map_chunks(df: DataFrame, order, fn, schema: str, rows_per_batch: int = 20_
         if out:
             yield pd.DataFrame(out)
 
-    spread = df.repartition("chain_key", "chunk").sortWithinPartitions("chain_key", "chunk", *order)
+    spread = df.repartition(F.xxhash64("chain_key", "chunk")).sortWithinPartitions("chain_key", "chunk", *order)
     return spread.mapInPandas(run, schema)
 
 
@@ -284,15 +288,18 @@ def _scores(times, weights, last, score):
     return out
 
 
-def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "event_id", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def threat_scores(
+        events: DataFrame, node: str = "node_id", event_id: str = "event_id", slice_seconds: int = SLICE_SECONDS, turn: str | None = None) -> DataFrame:
     """Score after every event: severity weights add up to 100 at most; when over 30 s have
     passed since the last decay, a point is lost for each full 30 s. A node starts at its
-    first event. Events of the same time are taken in order of id.
+    first event. Events of the same time are taken in order of `turn`, where it is given, and id.
     """
+    turns = [F.col(turn).alias("turn")] if turn else []
     timed = staged(events.select(
-        F.col(node).alias("chain_key"), F.col(event_id).alias("event"), micros(F.col("ts")).alias("us"),
+        F.col(node).alias("chain_key"), F.col(event_id).alias("event"), micros(F.col("ts")).alias("us"), *turns,
         severity_weight(F.col("severity")).cast("bigint").alias("weight"),
     ), "score-rows")
+    order = ["us", *(["turn"] if turn else []), "event"]
     rows = staged(_cut(timed, slice_seconds * SECOND), "score-chunks")
     key_type = rows.schema["chain_key"].dataType.simpleString()
     id_type = rows.schema["event"].dataType.simpleString()
@@ -304,7 +311,7 @@ def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "eve
             "last": [last], "b": [b], "lo": [lo], "hi": [hi], "total": [total]}
 
     arrays = ", ".join(f"{c} array<bigint>" for c in ("entries", "gain", "last", "b", "lo", "hi"))
-    tables = _map_chunks(rows, ["us", "event"], summarise, f"chain_key {key_type}, chunk bigint, {arrays}, total bigint")
+    tables = _map_chunks(rows, order, summarise, f"chain_key {key_type}, chunk bigint, {arrays}, total bigint")
     states = tables.repartition("chain_key").sortWithinPartitions("chain_key", "chunk").mapInPandas(
         lambda it: _carry_state(it, (NEVER, 0), _advance_score, ["chain_key", "chunk", "last", "score"]),
         f"chain_key {key_type}, chunk bigint, last bigint, score bigint")
@@ -313,7 +320,7 @@ def threat_scores(events: DataFrame, node: str = "node_id", event_id: str = "eve
         out = _scores(piece["us"], piece["weight"], int(piece["last"][0]), int(piece["score"][0]))
         return {"chain_key": piece["chain_key"], "event": piece["event"], "score": out}
 
-    scored = _map_chunks(rows.join(states, ["chain_key", "chunk"]), ["us", "event"], score, f"chain_key {key_type}, event {id_type}, score bigint")
+    scored = _map_chunks(rows.join(states, ["chain_key", "chunk"]), order, score, f"chain_key {key_type}, event {id_type}, score bigint")
     return scored.select(F.col("chain_key").alias(node), F.col("event").alias(event_id), F.col("score").alias("threat_score"))
 
 
