@@ -1,9 +1,13 @@
 """Faults that show only when tables grow, brought about on small ones."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from agentguard.operators import adaptive as ad
+from agentguard.streaming.ordered_state import TimeFold
+from tests.test_live import _Handle, _Store
 
 SECOND = 1_000_000
 WEIGHTS = {"low": 2, "medium": 3, "critical": 5}
@@ -36,8 +40,8 @@ def fold(rows):
 
 def test_groups_are_dealt_after_a_join_by_the_same_columns(spark, late_broadcasts):
     """Without a shuffle of its own, the fold would read what the join leaves: where that becomes a broadcast, parts of groups."""
-    left = spark.range(100).select((F.col("id") % 5).alias("chain_key"), F.lit(0).alias("chunk"), F.col("id").alias("us"))
-    right = spark.range(5).select(F.col("id").alias("chain_key"), F.lit(0).alias("chunk"))
+    left = spark.range(100).select((F.col("id") % 5).alias("chain_key"), (F.col("id") % 1).alias("chunk"), F.col("id").alias("us"))
+    right = spark.range(5).select(F.col("id").alias("chain_key"), (F.col("id") % 1).alias("chunk"))
     whole = ad._map_chunks(left.join(right, ["chain_key", "chunk"]), ["us"], lambda p: {"chain_key": p["chain_key"][:1]}, "chain_key bigint")
     plan = whole._jdf.queryExecution().executedPlan().toString()
     above = plan[plan.index("MapInPandas"):plan.index("SortMergeJoin")]
@@ -50,3 +54,42 @@ def test_scores_of_one_time_in_the_order_of_their_turn(spark):
     df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "node_id int, event_id long, us long, severity string, own_us long")
     got = {(r.node_id, r.event_id): r.threat_score for r in ad.threat_scores(df.withColumn("ts", F.timestamp_micros("us")), turn="own_us").collect()}
     assert got == fold(rows)
+
+
+class _Counted(_Store):
+    """State that counts its writes and can be cleared."""
+
+    writes = 0
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.writes += 1
+        super().updateValue(k, v)
+
+    def clear(self):
+        dict.clear(self)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("count, shuffled, most", [(40, True, 2), (3000, False, 900), (3000, True, 900)])
+def test_rows_far_apart_wait_in_few_places_and_come_in_order(count, shuffled, most):
+    """A slot and a timer for every row made the folds wait for the store."""
+    handle = _Handle()
+    handle.stores = {name: _Counted() for name in ("rows", "parts", "fold")}
+    fold = TimeFold(["us", "id"], ["bigint", "bigint"], ["key", "id"], "n bigint", lambda s, r: (((s or (0,))[0] + 1,), [(r[1],)]), held_rows=50)
+    fold.init(handle)
+    rows = [{"us": (k - 30) * 600 * SECOND + k % 3, "id": k} for k in range(count)]
+    if shuffled:
+        random.Random(1).shuffle(rows)
+    list(fold.handleInputRows(("k",), rows, None))
+    assert len(handle.timers) == 1
+    got = []
+    for ms in (-5_000_000, 7_205_000, 600_000 * count):
+        clock = _Clock(ms)
+        got += [r.id for r in fold.handleExpiredTimer(("k",), clock, clock)]
+        assert len(got) == sum(r["us"] < ms // 10_000 * 10_000_000 for r in rows)
+    assert got == list(range(count)) and not handle.stores["rows"] and not handle.stores["parts"]
+    assert handle.stores["rows"].writes <= 3 * most
