@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentguard.functions.expr import let
+from agentguard.functions.expr import computed_once, let
 from agentguard.functions.net import ipv4_to_long, ipv6_groups
+from agentguard.session import staged
 
 _MAPPED = 0xFFFF << 32
 
@@ -60,19 +61,22 @@ def range_matches(rows: DataFrame, ranges: DataFrame, ip: str = "ip", cidr: str
 
     Of ranges that are the same bits in different spelling, the first by text stands for all. Addresses are made distinct before they
     meet the ranges, so an address in a third of all rows is looked up once. What is no address, or no range, matches nothing.
-    The prefix lengths that occur, 129 at most, are read before the join.
+    The prefix lengths that occur, 129 at most, are read before the join. Each spelling is parsed once, and the parsed ranges are staged. What is
+    joined may have any size, so the joins do not gather it on the driver.
     """
     keys = list(keys)
-    known = ranges.select(*keys, F.col(cidr).alias("__range"), parse_range(F.col(cidr)).alias("__r")).where("__r IS NOT NULL")
+    spelled = ranges.select(*keys, F.col(cidr).alias("__range")).distinct()
+    known = computed_once(spelled, "__r", parse_range(F.col("__range"))).where("__r IS NOT NULL")
     known = known.groupBy(*keys, "__r").agg(F.min("__range").alias("__range")).select(
         *keys, "__range", F.col("__r.length").alias("__length"), F.col("__r.high").alias("__high"), F.col("__r.low").alias("__low"))
+    known = staged(known, "ranges")
     lengths = sorted(r[0] for r in known.select("__length").distinct().collect())
-    seen = rows.select(*keys, ip).distinct().withColumn("__a", address(F.col(ip))).where("__a IS NOT NULL")
-    prefixes = F.array(*[F.struct(F.lit(n).alias("length"), first_bits(F.col("__a"), F.lit(n)).alias("bits")) for n in lengths])
-    prefixes = prefixes.cast("array<struct<length:int,bits:struct<high:bigint,low:bigint>>>")
+    seen = computed_once(rows.select(*keys, ip).distinct(), "__a", address(F.col(ip))).where("__a IS NOT NULL")
+    each = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    prefixes = F.transform(each, lambda n: F.struct(n.alias("length"), first_bits(F.col("__a"), n).alias("bits")))
     cut = seen.withColumn("__p", F.explode(prefixes)).select(
         *keys, ip, F.col("__p.length").alias("__length"), F.col("__p.bits.high").alias("__high"), F.col("__p.bits.low").alias("__low"))
-    best = cut.join(known, [*keys, "__length", "__high", "__low"]).groupBy(*keys, ip).agg(F.max_by("__range", "__length").alias(out))
+    best = cut.join(known.hint("merge"), [*keys, "__length", "__high", "__low"]).groupBy(*keys, ip).agg(F.max_by("__range", "__length").alias(out))
     best = best.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, ip]})
     same = [rows[k] == best[f"__k_{k}"] for k in [*keys, ip]]
-    return rows.join(best, same, "left").drop(*[f"__k_{k}" for k in [*keys, ip]])
+    return rows.join(best.hint("merge"), same, "left").drop(*[f"__k_{k}" for k in [*keys, ip]])

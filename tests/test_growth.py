@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agentguard.operators import adaptive as ad
+from agentguard.operators.rangetable import range_matches
 from agentguard.streaming.ordered_state import TimeFold
 from tests.test_live import _Handle, _Store
 
@@ -93,3 +94,11 @@ def test_rows_far_apart_wait_in_few_places_and_come_in_order(count, shuffled, mo
         assert len(got) == sum(r["us"] < ms // 10_000 * 10_000_000 for r in rows)
     assert got == list(range(count)) and not handle.stores["rows"] and not handle.stores["parts"]
     assert handle.stores["rows"].writes <= 3 * most
+
+
+def test_ranges_are_not_gathered_on_the_driver(spark):
+    ranges = spark.createDataFrame([("10.0.0.0/8",), ("10.1.0.0/16",), ("10.1.0.0/16",), ("2001:db8::/32",), ("none",)], "range string")
+    rows = spark.createDataFrame([(1, "10.1.2.3"), (2, "10.2.2.3"), (3, "2001:DB8::1"), (4, "11.0.0.1"), (5, "x"), (6, None)], "id int, ip string")
+    out = range_matches(rows, ranges)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.matched for r in out.collect()} == {1: "10.1.0.0/16", 2: "10.0.0.0/8", 3: "2001:db8::/32", 4: None, 5: None, 6: None}
