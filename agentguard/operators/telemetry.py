@@ -103,7 +103,7 @@ def egress_report(conns: DataFrame, allowed_ips=(), allowed_cidrs=(), domain_ips
     per destination, and so are `allowed_ranges`, (range) rows of both families in any number. `resolvers` are allowed on port 53 only; such a destination may have both verdicts.
     """
     dns = net.long_le_to_ipv4(F.col("daddr")).isin(*resolvers) & (F.col("dport") == 53) if resolvers else F.lit(False)
-    counted = conns.groupBy(net.long_le_to_ipv4(F.col("daddr")).alias("dest_ip"), dns.alias("__dns")).agg(F.count("*").alias("connections"))
+    counted = conns.groupBy("daddr", dns.alias("__dns")).agg(F.count("*").alias("connections")).withColumn("dest_ip", net.long_le_to_ipv4(F.col("daddr"))).drop("daddr")
     allowed = F.col("__dns") | net.in_any_cidr(net.ipv4_to_long(F.col("dest_ip")), (*ALWAYS_ALLOWED, *allowed_cidrs))
     if allowed_ips:
         allowed = allowed | F.col("dest_ip").isin(*allowed_ips)
