@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from agentguard.operators import adaptive as ad
+from agentguard.operators import adaptive as ad, patterntable
 from agentguard.operators.rangetable import range_matches
 from agentguard.streaming.ordered_state import TimeFold
 from tests.test_live import _Handle, _Store
@@ -102,3 +102,21 @@ def test_ranges_are_not_gathered_on_the_driver(spark):
     out = range_matches(rows, ranges)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.matched for r in out.collect()} == {1: "10.1.0.0/16", 2: "10.0.0.0/8", 3: "2001:db8::/32", 4: None, 5: None, 6: None}
+
+
+def test_equal_patterns_are_tried_once(spark, monkeypatch):
+    """Many policies share a pattern without a literal; every one of them has its hits."""
+    rows = [(k, k % 2, [r"\d{3}-\d{4}", "(?i)secret word"][k // 2 % 2]) for k in range(80)]
+    known = patterntable.pattern_table(spark.createDataFrame(rows, "pattern_id int, policy_id int, pattern string"), ["policy_id"])
+    most, tried = [], patterntable._tried
+
+    def watched(frame, text_id):
+        most.append(frame.agg(F.max(F.size("__try"))).first()[0])
+        return tried(frame, text_id)
+
+    monkeypatch.setattr(patterntable, "_tried", watched)
+    texts = spark.createDataFrame([(1, 0, "call 555-1234"), (2, 1, "a SECRET word 555-1234"), (3, 0, None), (4, 2, "555-1234")], "doc_id int, policy_id int, text string")
+    hits = patterntable.pattern_hits(texts, known, ["policy_id"], "doc_id", "text").join(known.select("pattern_no", "pattern_id"), "pattern_no")
+    want = {(1, k) for k, p, x in rows if p == 0 and x.startswith(r"\d")} | {(2, k) for k, p, _ in rows if p == 1}
+    assert {(r.doc_id, r.pattern_id) for r in hits.collect()} == want and hits.count() == len(want)
+    assert most == [1, 1]
