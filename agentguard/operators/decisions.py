@@ -89,14 +89,14 @@ def _unless_tool(tools, finding: Column) -> Column:
 
 
 def _scanned_rules(policy: Policy, direction: str) -> tuple:
-    """Rules whose guards a message of this direction can need."""
+    """Rules that a message of this direction is looked through for."""
     rules: tuple = ()
     if policy.prompt_injection:
-        rules += injection.PACK
+        rules += (*injection.PACK, injection.IMPERATIVE_START)
     if policy.vuln_scan and direction == "request":
         rules += vuln.PACK
     if policy.malware_scan and direction == "response":
-        rules += malware.PACK
+        rules += (*malware.PACK, injection.BASE64_RUN)
     if policy.secrets_scan:
         rules += secrets.select(policy.secrets_scan.rules, policy.secrets_scan.custom)
     if policy.pii_scan:
@@ -221,7 +221,8 @@ def evaluate_responses(df: DataFrame, policy: Policy, body: str = "body", method
     redacting = bool(sec_rules) and policy.secrets_scan.action == "redact"
     nothing = F.struct(work.alias("text"), F.array().cast(redact.NOTHING).alias("found"))
     redacted = redact.redact_secrets(views.name("raw"), views.name("fold"), sec_rules) if redacting else nothing
-    df = df.withColumn("__work", F.when(F.col("__sec").isNotNull(), redacted).otherwise(nothing) if redacting else nothing)
+    # Computed once, as the second look for rules would otherwise hold the first one and all of the redaction.
+    df = computed_once(df, "__work", F.when(F.col("__sec").isNotNull(), redacted).otherwise(nothing) if redacting else nothing)
 
     # The second scanner reads the text the first one left.
     pii_found, pii_rules = none, ()
