@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentguard.functions.expr import let
 from agentguard.session import staged
 
 SLICES_PER_WINDOW = 16
@@ -151,13 +152,31 @@ def cells_of(start: Column, end: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), begin, step, lambda acc: acc["cells"])
 
 
+def join_cells_of(start: Column, end: Column) -> Column:
+    """One to four neighbouring cells of one level, the lowest at which so few cover [start, end); none for an empty interval.
+
+    They reach beyond the interval by less than a cell on each side. Intervals of like lengths share a level or two.
+    """
+    bounds = F.struct(start.cast("bigint").alias("s"), (end.cast("bigint") - 1).alias("e"))
+
+    def covered(b: Column) -> Column:
+        at = lambda us, level: F.shiftright(us, UNIT_BITS + 2 * level)
+        cells = lambda level: F.transform(F.sequence(at(b["s"], level), at(b["e"], level)), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
+        out = cells(LEVELS - 1)
+        for level in reversed(range(LEVELS - 1)):
+            out = F.when(at(b["e"], level) - at(b["s"], level) < 4, cells(level)).otherwise(out)
+        return F.when(b["e"] >= b["s"], out)
+
+    return let(bounds, covered)
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, keys, us: str, start_us: str, end_us: str, how: str = "left") -> DataFrame:
     """Points joined to the intervals [start, end) that hold them, by key and cell; `how` is left or inner.
 
-    An interval becomes at most six cells a level, however long it is, and a point one cell for each level
+    An interval becomes at most four cells of one level, however long it is, and a point one cell for each level
     that occurs: exactly one of an interval's cells can hold it. The times themselves decide at the ends.
     """
-    cells = intervals.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn("__c", F.explode(cells_of(F.col(start_us), F.col(end_us))))
+    cells = intervals.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn("__c", F.explode(join_cells_of(F.col(start_us), F.col(end_us))))
     cells = staged(cells.select("*", F.col("__c.level").alias("__r_level"), F.col("__c.cell").alias("__r_cell")).drop("__c"), "interval-cells")
     levels = sorted(r[0] for r in cells.select("__r_level").distinct().collect())
     at = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(us, UNIT_BITS + 2 * k).alias("cell")) for k in levels])
