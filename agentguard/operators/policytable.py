@@ -20,6 +20,7 @@ from agentguard.functions import net, text as tx
 from agentguard.operators.domaintable import with_matched_domain
 from agentguard.operators.patterntable import pattern_hits, pattern_table
 from agentguard.operators.policy import ALLOW, DENY, MAX_MESSAGE_BYTES
+from agentguard.session import staged
 
 
 def version_changes(rows: DataFrame, keys=("policy_id",), version: str = "version") -> DataFrame:
@@ -46,6 +47,16 @@ def version_changes(rows: DataFrame, keys=("policy_id",), version: str = "versio
     return changed.select(*keys, version, "field", "__c.*")
 
 
+def _entries(rows: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """The entries of the policies that requests name, dealt by policy before they are grouped.
+
+    Entries may be many times the table that they are made from, and hardly two of a task fall together: what groups them where
+    they are read sorts all of them in the few tasks of that table.
+    """
+    named = staged(requests.select(key).where(F.col(key).isNotNull()).distinct(), "policies-named")
+    return rows.join(named, key, "left_semi").repartition(key)
+
+
 def evaluate_by_table(requests: DataFrame, rows: DataFrame, key: str = "policy_id", method: str = "method", raw: str = "raw") -> DataFrame:
     """Add decision and reason to requests by the policy that each names: size, denylist, allowlist, default action.
 
@@ -53,7 +64,7 @@ def evaluate_by_table(requests: DataFrame, rows: DataFrame, key: str = "policy_i
     """
     listed = lambda f: F.collect_set(F.when((F.col("kind") == "list") & (F.col("field") == f), F.lower("value")))
     scalar = lambda f: F.max(F.when((F.col("kind") == "scalar") & (F.col("field") == f), F.col("value")))
-    policies = rows.groupBy(key).agg(
+    policies = _entries(rows, requests, key).groupBy(key).agg(
         listed("denylist").alias("__deny"), listed("allowlist").alias("__allow"), scalar("default_action").alias("__default"),
         scalar("max_message_bytes").cast("long").alias("__most"))
     out = requests.join(policies, key, "left")
@@ -86,6 +97,7 @@ def evaluate_rows(requests: DataFrame, rows: DataFrame, key: str = "policy_id",
     """
     listed = lambda f: F.collect_set(F.when(F.col("field") == f, F.lower("value")))
     scalar = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    rows = _entries(rows, requests, key)
     policies = rows.groupBy(key).agg(
         listed("denylist").alias("__deny"), listed("allowlist").alias("__allow"), listed("agent_allowlist").alias("__agents"),
         F.count_if(F.col("field") == "domain_allowlist").alias("__domains"), scalar("default_action").alias("__default"),

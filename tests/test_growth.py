@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from agentguard.operators import adaptive as ad, patterntable
+from agentguard.operators import adaptive as ad, patterntable, policytable
 from agentguard.operators.rangetable import range_matches
 from agentguard.streaming.ordered_state import TimeFold
 from tests.test_live import _Handle, _Store
@@ -120,3 +120,29 @@ def test_equal_patterns_are_tried_once(spark, monkeypatch):
     want = {(1, k) for k, p, x in rows if p == 0 and x.startswith(r"\d")} | {(2, k) for k, p, _ in rows if p == 1}
     assert {(r.doc_id, r.pattern_id) for r in hits.collect()} == want and hits.count() == len(want)
     assert most == [1, 1]
+
+
+def test_entries_of_policies_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """Entries that one task makes of a small table were sorted by that task, those of policies that no request names too."""
+    entries = [(k, "default_action", None, "allow", 0) for k in range(300)] + [(k, "arg_filter", "t", f"word{k % 3}", k % 2) for k in range(300)]
+    rows = spark.createDataFrame(entries, "policy_id int, field string, subject string, value string, position int").coalesce(1)
+    sent = spark.createDataFrame([(1, 7, "a word1"), (2, 7, "a word2"), (3, 900, "x"), (4, None, "x"), (5, 299, None)], "msg_id int, policy_id int, args string").selectExpr(
+        "*", "'t' AS method", "'{}' AS raw", "'' AS url", "'a' AS agent", "'c' AS channel")
+    seen, made = [], policytable.pattern_table
+    monkeypatch.setattr(policytable, "pattern_table", lambda filters, keys: seen.append(filters) or made(filters, keys))
+    got = {r.msg_id: (r.decision, r.reason) for r in policytable.evaluate_rows(sent, rows).collect()}
+    unknown = ("deny", "unknown policy")
+    assert got == {1: ("deny", "sensitive data detected in arguments"), 2: ("allow", "default allowed"), 3: unknown, 4: unknown, 5: ("allow", "default allowed")}
+    assert sorted(r.policy_id for r in seen[0].collect()) == [7, 299]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.rindex("== Initial Plan ==") if "== Initial Plan ==" in plan else 0:]
+    assert plan.rindex("Aggregate(") < plan.index("REPARTITION_BY_COL")
+
+
+def test_policies_of_scalars_and_lists_are_dealt_before_they_are_grouped(spark):
+    rows = spark.createDataFrame([(k, "scalar", "default_action", "allow") for k in range(300)], "policy_id int, kind string, field string, value string").coalesce(1)
+    sent = spark.createDataFrame([(1, 7), (2, 900), (3, None)], "msg_id int, policy_id int").selectExpr("*", "'t' AS method", "'{}' AS raw")
+    out = policytable.evaluate_by_table(sent, rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Aggregate(") < plan.index("REPARTITION_BY_COL")
+    assert {r.msg_id: r.reason for r in out.collect()} == {1: "default allowed", 2: "unknown policy", 3: "unknown policy"}
