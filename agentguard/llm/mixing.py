@@ -159,7 +159,7 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows, "source string, source_size long, target double, whole int, rest double, blocks int").coalesce(1), "mix-plan")
     same = slim["source"].eqNullSafe(plan["source"])
     placed = slim.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, same).drop(plan["source"]).withColumn(
-        "block", F.floor(F.col("place") * F.col("blocks") / float(1 << 52)).cast("int"))
+        "block", F.floor(F.col("place") / float(1 << 52) * F.col("blocks")).cast("int"))  # as fractions: the product of both numbers is no long
     order = Window.partitionBy("source").orderBy("block")
     runs = placed.groupBy("source", "block").agg(
         F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.first("blocks").alias("blocks"))

@@ -101,6 +101,16 @@ def test_mixing_on_odd_rows(odd, none):
     assert mixing.mix_documents(odd).columns == odd.columns
 
 
+def test_mixing_of_a_source_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 1)  # as many blocks as 262,144 documents of a source have
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") < 5000, "a").otherwise("b").alias("source"))
+    _, mixture, rows = mixed(docs)
+    taken = {s: sum(r.taken for r in rows if r.source == s) for s in "ab"}
+    assert len(rows) == 6000 and taken == {"a": 9_000, "b": 9_000}  # 18,000 words by weights 1 and 2, of "b" no more than three times its own
+    assert {r.copies for r in rows if r.source == "b"} == {3} and {r.copies for r in rows if r.source == "a"} == {0, 1}
+    assert mixture.select("shard").distinct().count() > 16 and mixing.mix_documents(docs).count() == 6000
+
+
 PAGES = [
     (1, "http://a/\r\nX: y", "p" * 100), (2, None, "p" * 100), (2, None, "p" * 100), (3, "http://b/%41", "p" * 99), (4, "u", "p" * 99),
     (5, "u", None), (6, "u", ""), (None, "u", "p" * 100), (None, "u", "q" * 200), (None, "u", "q" * 200), (7, "é" * 9000, "é\r\n\r\n" * 40_000),
