@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from agentguard.functions import literals as lit
 from agentguard.operators import adaptive as ad, patterntable, policytable
 from agentguard.operators.rangetable import range_matches
 from agentguard.streaming.ordered_state import TimeFold
@@ -146,3 +147,31 @@ def test_policies_of_scalars_and_lists_are_dealt_before_they_are_grouped(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("Aggregate(") < plan.index("REPARTITION_BY_COL")
     assert {r.msg_id: r.reason for r in out.collect()} == {1: "default allowed", 2: "unknown policy", 3: "unknown policy"}
+
+
+def test_only_what_re2_finds_is_tried_again(spark, monkeypatch):
+    """A text that shares a trigram with a pattern was tried on it: with many of both, on nearly all pairs."""
+    texts = spark.createDataFrame([(k, k % 2, f"abcd bcde tion and tion w{k}x") for k in range(40)] + [(40, 0, "ABCDE 5-12"), (41, None, "abcde"), (None, 0, "abcde"), (42, 0, None)], "id int, owner int, text string")
+    given = [(0, "abcde"), (1, "abcde"), (0, r"(?i)tion\s+tion"), (0, "(?i)abcd(e|f)"), (1, "w1x|w3x"), (0, "bcd.{0,1000}tion"), (None, "abcd"), (0, r"\d-\d")]
+    known = patterntable.pattern_table(spark.createDataFrame([(n, *x) for n, x in enumerate(given)], "no int, owner int, pattern string"), ["owner"])
+    pairs, tried = [], patterntable._tried
+    monkeypatch.setattr(patterntable, "_tried", lambda frame, text_id: pairs.append(frame.agg(F.sum(F.size("__try"))).first()[0]) or tried(frame, text_id))
+    want = sorted([(40, 3), (1, 4), (3, 4), (40, 7)] + [(k, 5) for k in range(0, 40, 2)])
+    for sizes in ((3 << 20, 20_000), (200, 2)):
+        for name, value in zip(("LOT_BYTES", "LOT_PATTERNS"), sizes, strict=True):
+            monkeypatch.setattr(patterntable, name, value)
+        hits = patterntable.pattern_hits(texts, known, ["owner"], "id", "text").join(known.select("pattern_no", "no"), "pattern_no")
+        assert sorted((r.id, r.no) for r in hits.collect()) == want
+    assert pairs == [23, 22, 23, 22]
+    hits = patterntable.pattern_hits(texts, known, [], "id", "text").join(known.select("pattern_no", "no"), "pattern_no")
+    assert {r.id for r in hits.where("no = 1").collect()} == {41} and hits.where("no = 6").count() == 41
+
+
+def test_literals_are_found_in_many_texts_at_once():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcAſK\0é ") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "abc", "xabcabcabcabc"]
+    literals = {lit.fold("".join(rng.choice("abcsk ") for _ in range(rng.choice([3, 3, 4, 8, 9, 12])))) for _ in range(200)} | {"abcabcabcabc", "abcabcabcabcab", "abc", "bca", "cab"}
+    held = lit.Holders([x.encode() for x in texts], literals)
+    assert all(held.of(x).tolist() == [x in lit.fold(t) for t in texts] for x in literals) and held.of("abcabcabcabc").sum() >= 1
+    assert held.of_all([["abc", "bca"], ["cab"]]).tolist() == [("abc" in t or "bca" in t) and "cab" in t for t in map(lit.fold, texts)]
+    assert lit.Holders([], literals).of("abc").tolist() == [] and lit.Holders([b"\xffabc"], {"abc"}).of("abc").tolist() == [True]
