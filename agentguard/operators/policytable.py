@@ -106,7 +106,9 @@ def evaluate_rows(requests: DataFrame, rows: DataFrame, key: str = "policy_id",
 
     filters = rows.where("field = 'arg_filter'").groupBy(key, F.col("subject").alias("__tool")).agg(F.max_by("value", "position").alias("pattern"))
     patterns = pattern_table(filters, [key, "__tool"])
-    hits = pattern_hits(out.select(request_id, key, "__tool", args), patterns, [key, "__tool"], request_id, args).select(request_id).distinct()
+    # Staged, as the plan would have it four times, and without the policies, which add no row.
+    sent = staged(requests.select(request_id, key, tx.canonical_method(F.col(method)).alias("__tool"), args), "filter-texts")
+    hits = pattern_hits(sent, patterns, [key, "__tool"], request_id, args).select(request_id).distinct()
     out = out.join(hits.withColumn("__hit", F.lit(True)), request_id, "left")
     out = out.join(patterns.where("problem IS NOT NULL").select(key, "__tool", F.col("problem").alias("__problem")), [key, "__tool"], "left")
 
